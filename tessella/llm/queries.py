@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import langid, simhash
+from tessella.llm import bpe, langid, mixing, simhash, spans
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,13 +18,44 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_sentences", "n_removed", "text")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op10_simhash)}
+    return {f.__name__: f for f in (op2_language_id, op3_mix_sources, op4_byte_bpe, op6_sentence_spans, op10_simhash)}
+
+
+#: The same inversion in DuckDB: rates by source, the cumulative distribution, one row a copy.
+OP3_SQL = f"""
+WITH counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+rates AS (
+  SELECT source, (SELECT sum(n) FROM counts) * pow(n, {mixing.TEMPER}) / (SELECT sum(pow(n, {mixing.TEMPER})) FROM counts) / n AS rate FROM counts
+),
+steps AS (
+  SELECT source, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p
+  FROM rates, unnest(generate_series(0, CAST(ceil(rate + 10 * sqrt(rate) + 20) AS BIGINT))) AS s(k)
+),
+upto AS (SELECT source, list(p ORDER BY k) AS upto FROM (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS p FROM steps) GROUP BY source),
+keyed AS (SELECT *, coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS key FROM documents),
+drawn AS (SELECT *, CAST('0x' || md5('{mixing.SEED}:' || key)[1:13] AS BIGINT) / 4503599627370496.0 AS u FROM keyed)
+SELECT doc_id, text, lang, d.source, n_chars, CAST(c.copy AS INTEGER) AS copy, md5('{mixing.SEED}:' || key || ':' || c.copy) AS order_key
+FROM drawn d JOIN upto ON d.source IS NOT DISTINCT FROM upto.source,
+     unnest(generate_series(0, len(list_filter(upto, lambda p: p <= u)) - 1)) AS c(copy)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_mix_sources": OP3_SQL}
