@@ -234,23 +234,25 @@ def decode(encoded: DataFrame, ids: str = "token_ids", path: str | None = None,
     return encoded.withColumn("decoded", F.pandas_udf(decoded, "binary").asNondeterministic()(F.col(ids)))
 
 
-def round_trip(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """``docs`` with n_tokens, ids_sha256 and decoded_sha256: encoded, then decoded from the ids, in one pass."""
+def round_trip(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None, ids: bool = False) -> DataFrame:
+    """``docs`` with n_tokens, ids_sha256 and decoded_sha256 (and token_ids): encoded, then decoded from the ids, in one pass."""
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["token_ids"] * ids
+    kinds = ["long", "string", "string"] + ["array<int>"] * ids
 
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = codec(path, pattern)
         for batch in batches:
-            rows: list[tuple[int, str, str]] = []
+            rows: list[tuple] = []
             for part in _pieces([t or "" for t in batch]):
                 own.prepare(part)
                 many = list(own.encode(part))
-                for ids, raw in zip(many, own.decode(many)):
-                    line = " ".join(map(str, ids)).encode()
-                    rows.append((len(ids), hashlib.sha256(line).hexdigest(), hashlib.sha256(raw).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+                for got, raw in zip(many, own.decode(many)):
+                    line = " ".join(map(str, got)).encode()
+                    rows.append((len(got), hashlib.sha256(line).hexdigest(), hashlib.sha256(raw).hexdigest(), *([np.array(got, dtype=np.int32)] * ids)))
+            yield pd.DataFrame(rows, columns=names)
 
-    kept = [c for c in docs.columns if c.lower() not in ("n_tokens", "ids_sha256", "decoded_sha256", "_trip")]
-    udf = F.pandas_udf(digests, "n_tokens long, ids_sha256 string, decoded_sha256 string").asNondeterministic()
+    kept = [c for c in docs.columns if c.lower() not in (*names, "_trip")]
+    udf = F.pandas_udf(digests, ", ".join(f"{n} {k}" for n, k in zip(names, kinds))).asNondeterministic()
     return docs.select(*(F.col(f"`{c}`") for c in kept), udf(text).alias("_trip")).select(
-        *(F.col(f"`{c}`") for c in kept), F.col("_trip.n_tokens").alias("n_tokens"), F.col("_trip.ids_sha256").alias("ids_sha256"), F.col("_trip.decoded_sha256").alias("decoded_sha256")
+        *(F.col(f"`{c}`") for c in kept), *(F.col(f"_trip.{n}").alias(n) for n in names)
     )
