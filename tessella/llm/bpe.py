@@ -31,41 +31,42 @@ from pyspark.sql import functions as F
 
 LONG = 48
 STEPS = 64
-#: Words that a worker remembers; then it begins anew. No result depends on it.
-REMEMBERED = 400_000
+#: Words that a worker remembers in each of two generations. No result depends on it.
+REMEMBERED = 250_000
 #: Ids decoded by one query.
 DECODED_AT_ONCE = 500_000
 
-_CONTRACT = """
+_CONTRACT_LEFTMOST = """
+WITH RECURSIVE state(w, step, ids) AS (
+  SELECT w, 0, ids FROM tokens
+  UNION ALL
+  SELECT state.w, step + 1, list_concat(list_append(ids[1:spot - 1], merged), ids[spot + 2:])
+  FROM state JOIN (
+    SELECT w, best // 4294967296 AS merged, best % 4294967296 AS spot
+    FROM (
+      SELECT w, min(m.merged * 4294967296 + pos) AS best
+      FROM (SELECT w, ids, unnest(generate_series(1, len(ids) - 1)) AS pos FROM state) t
+      JOIN merges m ON m.l = t.ids[pos] AND m.r = t.ids[pos + 1]
+      GROUP BY w
+    )
+  ) chosen ON chosen.w = state.w
+)
+SELECT w, arg_max(ids, step) AS ids FROM state GROUP BY w
+"""
+_CONTRACT_ALL_PLACES = """
 WITH RECURSIVE state(w, step, pos, id) AS (
   SELECT w, 0, pos, id FROM tokens
   UNION ALL
   SELECT w, step + 1, pos, CASE WHEN hit THEN merged ELSE id END
   FROM (
     WITH paired AS MATERIALIZED (
-      SELECT s.w, s.step, s.pos, s.id, s.prev, m.merged, m.alone
+      SELECT s.w, s.step, s.pos, s.id, m.merged, m.alone
       FROM (
-        SELECT w, step, pos, id, lead(id) OVER word AS next, lag(pos) OVER word AS prev
-        FROM state WHERE step < {steps} WINDOW word AS (PARTITION BY w ORDER BY pos)
+        SELECT w, step, pos, id, lead(id) OVER (PARTITION BY w ORDER BY pos) AS next FROM state WHERE step < {steps}
       ) s LEFT JOIN merges m ON m.l = s.id AND m.r = s.next
     ), best AS (
       SELECT w, min(merged * 4294967296 + pos) AS best FROM paired WHERE merged IS NOT NULL GROUP BY w
     )
-    {chosen}
-  )
-  WHERE NOT gone
-), last AS (SELECT w, max(step) AS step FROM state GROUP BY w)
-SELECT state.w, state.pos, state.id, state.step
-FROM state JOIN last ON state.w = last.w AND state.step = last.step
-ORDER BY state.w, state.pos
-"""
-_LEFTMOST = """
-    SELECT p.w, step, pos, id, merged, coalesce(merged * 4294967296 + pos = best, false) AS hit,
-           prev IS NOT DISTINCT FROM best % 4294967296 AS gone
-    FROM paired p JOIN best ON best.w = p.w
-"""
-# Of places of the same pair that overlap (as in aaaa), every other one counts, from the first of the run.
-_ALL_PLACES = """
     SELECT *, lag(hit, 1, false) OVER (PARTITION BY w ORDER BY pos) AS gone
     FROM (
       SELECT *, CASE WHEN NOT same THEN false WHEN alone THEN merged * 4294967296 + pos = best
@@ -78,6 +79,10 @@ _ALL_PLACES = """
         )
       )
     )
+  )
+  WHERE NOT gone
+), last AS (SELECT w, max(step) AS step FROM state GROUP BY w)
+SELECT state.pos, state.id, state.step FROM state JOIN last ON state.w = last.w AND state.step = last.step ORDER BY state.pos
 """
 
 
@@ -91,6 +96,7 @@ class Codec:
         self.bytes_of = dict(zip(self.tokens.values(), self.tokens))
         self.single = np.array([self.tokens[bytes([i])] for i in range(256)], dtype=np.int32)
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         merged = [
             (self.tokens[t[:i]], self.tokens[t[i:]], rank) for t, rank in self.tokens.items() for i in range(1, len(t)) if t[:i] in self.tokens and t[i:] in self.tokens
@@ -106,57 +112,51 @@ class Codec:
         rows = pa.table(columns)  # noqa: F841
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM rows")
 
-    def _fixpoint(self, pieces: list[bytes], chosen: str) -> list[tuple[int, ...]]:
-        """Ids of each piece."""
-        sizes = np.array([len(p) for p in pieces])
-        w = np.repeat(np.arange(len(pieces)), sizes)
-        pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        ids = self.single[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
-        out: list[tuple[int, ...]] = [()] * len(pieces)
-        while len(w):
-            self._table("tokens", w=w, pos=pos, id=ids.astype(np.int64))
-            got = self.db.execute(_CONTRACT.format(chosen=chosen, steps=STEPS)).fetchnumpy()
-            w, pos, ids, step = (np.asarray(got[c]) for c in ("w", "pos", "id", "step"))
-            open_ = step == STEPS
-            cut = np.flatnonzero(np.diff(w, prepend=-1))
-            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(w)]):
-                if not open_[a]:
-                    out[w[a]] = tuple(ids[a:b].tolist())
-            w, pos, ids = w[open_], pos[open_], ids[open_]
+    def _short(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of each word: its leftmost pair of least rank is contracted again and again."""
+        offsets = np.cumsum([0, *map(len, words)], dtype=np.int32)
+        ids = self.single[np.frombuffer(b"".join(words), dtype=np.uint8)].astype(np.int64)
+        self._table("tokens", w=np.arange(len(words)), ids=pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)))
+        out: list[tuple[int, ...]] = [()] * len(words)
+        for w, ids in self.db.execute(_CONTRACT_LEFTMOST).fetchall():
+            out[w] = tuple(ids)
         return out
 
+    def _long(self, word: bytes) -> tuple[int, ...]:
+        """Ids of one word; its places of the pair of least rank are contracted together where that is the same."""
+        ids = self.single[np.frombuffer(word, dtype=np.uint8)]
+        while True:
+            self._table("tokens", w=np.zeros(len(ids), dtype=np.int64), pos=np.arange(len(ids)), id=ids.astype(np.int64))
+            got = self.db.execute(_CONTRACT_ALL_PLACES.format(steps=STEPS)).fetchnumpy()
+            ids = np.asarray(got["id"])
+            if got["step"][0] < STEPS:
+                return tuple(ids.tolist())
+
     def learn(self, words: set[str]) -> None:
-        """Encode the words that aren't known yet."""
-        new = [x for x in words if x not in self.known]
-        short, long = [], []
-        for x in new:
-            (short if len(x.encode()) <= LONG else long).append(x)
+        """Encode the words that aren't known; of two generations of known words, the older is forgotten when the younger is full."""
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        older = self.older
+        short: list[str] = []
+        for x in words.difference(self.known):
+            if x in older:
+                self.known[x] = older[x]
+            elif len(x.encode()) <= LONG:
+                short.append(x)
+            else:
+                self.known[x] = self._long(x.encode())
         for i in range(0, len(short), 20_000):
             part = short[i : i + 20_000]
-            self.known.update(zip(part, self._fixpoint([x.encode() for x in part], _LEFTMOST)))
-        for x in long:
-            self.known[x] = self._fixpoint([x.encode()], _ALL_PLACES)[0]
-
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        """The ids of each text, as many texts at a time as their words call for."""
-        for text in texts:
-            words = self.pattern.findall(text)
-            try:
-                yield list(chain.from_iterable(map(self.known.__getitem__, words)))
-            except KeyError:
-                if len(self.known) > REMEMBERED:
-                    self.known.clear()
-                self.learn(set(words))
-                yield list(chain.from_iterable(map(self.known.__getitem__, words)))
-
-    def prepare(self, texts: list[str]) -> None:
-        """Learn the new words of several texts in one query."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.known.update(zip(part, self._short([x.encode() for x in part])))
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text; new words of all the texts are learned in one go."""
+        split = [self.pattern.findall(t) for t in texts]
         words: set[str] = set()
-        for text in texts:
-            words.update(self.pattern.findall(text))
+        for x in split:
+            words.update(x)
         self.learn(words)
+        return [list(chain.from_iterable(map(self.known.__getitem__, x))) for x in split]
 
     def decode(self, many: list[list[int]]) -> list[bytes]:
         """The bytes of each list of ids."""
@@ -216,7 +216,6 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern
         for batch in batches:
             out: list[np.ndarray] = []
             for part in _pieces([t or "" for t in batch]):
-                own.prepare(part)
                 out.extend(np.array(ids, dtype=np.int32) for ids in own.encode(part))
             yield pd.Series(out, dtype=object)
 
@@ -244,8 +243,7 @@ def round_trip(docs: DataFrame, text: str = "text", path: str | None = None, pat
         for batch in batches:
             rows: list[tuple] = []
             for part in _pieces([t or "" for t in batch]):
-                own.prepare(part)
-                many = list(own.encode(part))
+                many = own.encode(part)
                 for got, raw in zip(many, own.decode(many)):
                     line = " ".join(map(str, got)).encode()
                     rows.append((len(got), hashlib.sha256(line).hexdigest(), hashlib.sha256(raw).hexdigest(), *([np.array(got, dtype=np.int32)] * ids)))
