@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessella.llm import bpe, langid, mixing, simhash, spans
+from tessella.llm import bpe, langid, mixing, quality, simhash, spans, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,12 +31,24 @@ def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_sentences", "n_removed", "text")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return toxicity.classify(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(_table(spark, sf_dir, "documents"))
+    failed = quality.base_failed()
+    counted = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select(*counted, failed.alias("base_failed"), (~failed & F.col("good")).alias("kept"), "quality")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_mix_sources, op4_byte_bpe, op6_sentence_spans, op10_simhash)}
+    return {f.__name__: f for f in (op2_language_id, op3_mix_sources, op4_byte_bpe, op6_sentence_spans, op8_toxicity, op9_quality_rules, op10_simhash)}
 
 
 #: The same inversion in DuckDB: rates by source, the cumulative distribution, one row a copy.
