@@ -18,106 +18,165 @@ n_removed are replaced.
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SENTENCES = 3
 WORDS = 12
 LONG = 12
-_END = re.compile(r"""(?:[.!?…。！？]+["'”’)\]]*\s+|[^\S\n]*\n\s*)""")
-_WORD = re.compile(r"\S+\s*")
-_BASE = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
-
-
-def sentences(text: str) -> tuple[list[int], list[int], list[int]]:
-    """Ends, word counts and hashes of the sentences of ``text``; their slices make up the whole text."""
-    ends: list[int] = []
-    counts: list[int] = []
-    hashes: list[int] = []
-    digest, crc = xxhash.xxh3_64_intdigest, zlib.crc32
-    start = 0
-    cuts = [m.end() for m in _END.finditer(text)]
-    if not cuts or cuts[-1] < len(text):
-        cuts.append(len(text))
-    for end in cuts:
-        words = text[start:end].lower().split()
-        if len(words) <= LONG:
-            ends.append(end)
-            counts.append(len(words))
-            hashes.append(digest(" ".join(words)))
-        else:
-            spots, held = [m.end() for m in _WORD.finditer(text, start, end)], 0
-            if len(spots) != len(words):  # lower() made or lost white space: keep the sentence whole
-                spots, words = [end], [" ".join(words)]
-            for i, w in enumerate(words):
-                if i + 1 == len(words) or w[-1] == "," or not crc(w.encode()) % 6:
-                    ends.append(spots[i] if i + 1 < len(words) else end)
-                    counts.append(i + 1 - held)
-                    hashes.append(digest(" ".join(words[held : i + 1])))
-                    held = i + 1
-        start = end
-    return ends, counts, hashes
-
-
-def spans(counts: list[int], hashes: list[int], least: int = SENTENCES, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First sentence, end and signed hash of every span."""
-    n = len(counts)
-    total = np.concatenate([[0], np.cumsum(np.array(counts, dtype=np.int64))])
-    first = np.arange(n)
-    end = np.maximum(first + least, np.searchsorted(total, total[:-1] + words))
-    first, end = first[end <= n], end[end <= n]
-    prefix, at = np.zeros(n + 1, dtype=np.uint64), 0
-    for i, h in enumerate(hashes, 1):
-        prefix[i] = at = (at * _BASE + h) & _MASK
-    size = end - first
-    power = np.cumprod(np.concatenate([[1], np.full(size.max(initial=0), _BASE, dtype=np.uint64)]).astype(np.uint64))
-    mixed = prefix[end] - prefix[first] * power[size]
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    mixed ^= (mixed >> np.uint64(32)) ^ size.astype(np.uint64)
-    return first, end, mixed.view(np.int64)
+#: A word of a long sentence whose hash this divides ends a piece of it.
+ONE_IN = 6
+#: Characters analysed in one piece; texts are never split, so a longer one is a piece of its own.
+PIECE = 1_000_000
+_ENDS, _CLOSERS = ".!?…。！？", "\"'”’)]»"
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_TABLES: dict[str, np.ndarray] = {}
+
+
+def _tables() -> dict[str, np.ndarray]:
+    """By code point: lower case of one character, white space, sentence ends, closing marks."""
+    if not _TABLES:
+        every = [chr(c) for c in range(65536)]
+        _TABLES["lower"] = np.array([ord(x.lower()) if len(x.lower()) == 1 else ord(x) for x in every], dtype=np.uint32)
+        _TABLES["blank"] = np.array([x.isspace() for x in every])
+        _TABLES["ends"] = np.array([x in _ENDS for x in every])
+        _TABLES["closers"] = np.array([x in _CLOSERS for x in every])
+    return _TABLES
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse modulo 2**64."""
+    if len(_TABLES.get("powers", ())) < n:
+        for name, base in (("powers", _BASE), ("inverses", _INVERSE)):
+            _TABLES[name] = np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(n, base, dtype=np.uint64)]))
+    return _TABLES["powers"][:n], _TABLES["inverses"][:n]
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+@dataclass
+class Cut:
+    """Sentences of some texts, and their spans. Ends are counted in characters from each text's start."""
+
+    doc: np.ndarray
+    end: np.ndarray
+    span_first: np.ndarray
+    span_end: np.ndarray
+    span_hash: np.ndarray
+
+    def first_places(self) -> np.ndarray:
+        """Of each span, whether none before it in the same text is equal."""
+        order = np.lexsort((self.span_first, self.span_hash, self.doc[self.span_first]))
+        d, h = self.doc[self.span_first][order], self.span_hash[order]
+        first = np.ones(len(order), dtype=bool)
+        first[order[1:]] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
+        return first
+
+
+def analyse(texts: list[str]) -> Cut:
+    """Sentences and spans of several texts at once."""
+    none = np.zeros(0, dtype=np.int64)
+    t = _tables()
+    sizes = np.array([len(x) for x in texts], dtype=np.int64)
+    begin = np.concatenate([[0], np.cumsum(sizes + 1)])
+    points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    small = np.minimum(points, 65535)
+    blank = t["blank"][small]
+    edge = np.flatnonzero(np.diff(blank, prepend=True, append=True))
+    start, end = edge[::2], edge[1::2]
+    if not len(start):
+        return Cut(none, none, none, none, none.copy())
+    low = np.where(points > 65535, points, t["lower"][small]).astype(np.uint64)
+    low[blank] = 0
+    length = end - start
+    at = np.arange(len(points)) - np.repeat(start, np.diff(np.append(start, len(points)))) if start[0] == 0 else None
+    if at is None:
+        at = np.arange(len(points))
+        at[start[0] :] -= np.repeat(start, np.diff(np.append(start, len(points))))
+    at[blank] = 0
+    powers, _ = _powers(int(length.max()) + 1)
+    word = _mix(np.add.reduceat((low + np.uint64(1)) * ~blank * powers[at], start) + length.astype(np.uint64))
+    last, before = small[end - 1], small[np.maximum(end - 2, 0)]
+    lines = np.cumsum(points == 10)
+    following = np.append(start[1:], len(points) - 1)
+    stop = t["ends"][last] | t["closers"][last] & t["ends"][before] & (length > 1) | (lines[following] > lines[end - 1])
+    stop[-1] = True
+    sentence = np.cumsum(stop) - stop
+    long = np.bincount(sentence) > LONG
+    stop |= long[sentence] & ((last == 44) | (word % np.uint64(ONE_IN) == 0))
+    final = np.flatnonzero(stop)
+    first = np.concatenate([[0], final[:-1] + 1])
+    doc = np.searchsorted(begin, start[first], side="right") - 1
+    limit = begin[doc] + sizes[doc]
+    ends = np.minimum(np.append(start[first[1:]], len(points)), limit) - begin[doc]
+    n = len(final)
+    total = np.append(0, final + 1)
+    i = np.arange(n)
+    j = np.maximum(i + SENTENCES, np.searchsorted(total, total[:-1] + WORDS))
+    whole = j <= n
+    i, j = i[whole], j[whole]
+    whole = doc[i] == doc[j - 1]
+    i, j = i[whole], j[whole]
+    powers, inverses = _powers(len(word) + 1)
+    prefix = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(word * powers[: len(word)])])
+    a, b = total[i], total[j]
+    hashed = _mix((prefix[b] - prefix[a]) * inverses[a] + (b - a).astype(np.uint64))
+    return Cut(doc, ends, i, j, hashed.view(np.int64))
+
+
+def pieces(texts: list[str]) -> Iterator[slice]:
+    """Slices of neighbouring texts, about ``PIECE`` characters each."""
+    begin = n = 0
+    for k, x in enumerate(texts):
+        n += len(x)
+        if n >= PIECE or k + 1 == len(texts):
+            yield slice(begin, k + 1)
+            begin, n = k + 1, 0
 
 
 def _own_spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        found, owners = [], []
-        for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-            _, counts, hashes = sentences(text)
-            own = np.unique(spans(counts, hashes)[2])
-            found.append(own)
-            owners.append(np.full(len(own), doc_id, dtype=np.int64))
-            if sum(map(len, found)) > 500_000:
-                yield pd.DataFrame({"h": np.concatenate(found), "doc_id": np.concatenate(owners)})
-                found, owners = [], []
-        if found:
-            yield pd.DataFrame({"h": np.concatenate(found), "doc_id": np.concatenate(owners)})
-
-
-def strip(text: str | None, repeated: set[int]) -> tuple[str | None, int, int]:
-    """The text without the sentences that ``repeated`` spans or a span's later places cover; all and removed sentences."""
-    if not text:
-        return text, 0, 0
-    ends, counts, hashes = sentences(text)
-    first, end, hashed = spans(counts, hashes)
-    gone = np.zeros(len(ends) + 1, dtype=np.int64)
-    later = np.ones(len(hashed), dtype=bool)
-    later[np.unique(hashed, return_index=True)[1]] = False
-    if len(repeated):
-        later |= np.isin(hashed, np.fromiter(repeated, dtype=np.int64))
-    np.add.at(gone, first[later], 1)
-    np.add.at(gone, end[later], -1)
-    out = np.cumsum(gone[:-1]) > 0
-    if not out.any():
-        return text, len(ends), 0
-    return "".join(text[a:b] for a, b, x in zip([0, *ends], ends, out) if not x), len(ends), int(out.sum())
+        texts, ids = pdf["text"].tolist(), pdf["doc_id"].to_numpy(np.int64)
+        for part in pieces(texts):
+            cut = analyse(texts[part])
+            once = cut.first_places()
+            yield pd.DataFrame({"h": cut.span_hash[once], "doc_id": ids[part][cut.doc[cut.span_first[once]]]})
+
+
+def strip(texts: list[str | None], repeated: list[np.ndarray | None]) -> list[tuple[str | None, int, int]]:
+    """Each text without the sentences that its ``repeated`` spans, or later places of a span, cover; all and removed sentences."""
+    cut = analyse([x or "" for x in texts])
+    later = ~cut.first_places()
+    owner = cut.doc[cut.span_first]
+    bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+    for k, given in enumerate(repeated):
+        if given is not None and len(given):
+            own = slice(bounds[k], bounds[k + 1])
+            later[own] |= np.isin(cut.span_hash[own], given)
+    depth = np.zeros(len(cut.doc) + 1, dtype=np.int64)
+    np.add.at(depth, cut.span_first[later], 1)
+    np.add.at(depth, cut.span_end[later], -1)
+    gone = np.cumsum(depth[:-1]) > 0
+    bounds = np.searchsorted(cut.doc, np.arange(len(texts) + 1))
+    out: list[tuple[str | None, int, int]] = []
+    for k, text in enumerate(texts):
+        own = slice(bounds[k], bounds[k + 1])
+        n, removed = bounds[k + 1] - bounds[k], int(gone[own].sum())
+        if removed:
+            ends = cut.end[own].tolist()
+            text = "".join(text[a:b] for a, b, x in zip([0, *ends], ends, gone[own]) if not x)
+        out.append((text, int(n), removed))
+    return out
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -130,7 +189,8 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     def cut(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, repeated in rows:
-            done = [strip(t, () if r is None else r) for t, r in zip(texts, repeated)]
+            given, spans_of = texts.tolist(), repeated.tolist()
+            done = [row for part in pieces([t or "" for t in given]) for row in strip(given[part], spans_of[part])]
             yield pd.DataFrame(done, columns=["text", "n_sentences", "n_removed"])
 
     stripped = F.pandas_udf(cut, "text string, n_sentences long, n_removed long").asNondeterministic()
