@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, langid, mixing, quality, simhash, spans, toxicity
+from tessella.llm import bpe, langid, mixing, quality, simhash, spans, toxicity, urls, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(_table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
@@ -27,10 +31,18 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op5_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_sentences", "n_removed", "text")
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     return toxicity.classify(docs, labels).select("doc_id", "held_out", "score", "predicted")
@@ -48,7 +60,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_mix_sources, op4_byte_bpe, op6_sentence_spans, op8_toxicity, op9_quality_rules, op10_simhash)}
+    return {f.__name__: f for f in (
+        op1_warc, op2_language_id, op3_mix_sources, op4_byte_bpe, op5_sorted_projections,
+        op6_sentence_spans, op7_url_filter, op8_toxicity, op9_quality_rules, op10_simhash,
+    )}
 
 
 #: The same inversion in DuckDB: rates by source, the cumulative distribution, one row a copy.
@@ -70,5 +85,16 @@ FROM drawn d JOIN upto ON d.source IS NOT DISTINCT FROM upto.source,
 """
 
 
+OP1_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS newest FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= {warc.REVISIT_FROM} AND page_id < newest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= {warc.REVISIT_FROM} AND page_id < newest THEN newest END AS refers_to
+FROM g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": OP3_SQL}
+    return {"op1_warc": OP1_SQL, "op3_mix_sources": OP3_SQL}
