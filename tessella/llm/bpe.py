@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 LONG = 48
 STEPS = 64
 #: Words that a worker remembers in each of two generations. No result depends on it.
-REMEMBERED = 250_000
+REMEMBERED = 80_000
 #: Ids decoded by one query.
-DECODED_AT_ONCE = 500_000
+DECODED_AT_ONCE = 250_000
 
 _CONTRACT_LEFTMOST = """
 WITH RECURSIVE state(w, step, ids) AS (
@@ -105,6 +105,8 @@ class Codec:
         alone = np.zeros(int(m.max()) + 1, dtype=bool)
         alone[l[m < l]] = alone[r[m < r]] = True
         ids = np.array(sorted(self.bytes_of), dtype=np.int64)
+        self.shared = {i: i for i in ids.tolist()}
+        self.names = {i: str(i) for i in self.shared}
         self._table("merges", l=l, r=r, merged=m, alone=alone[m])
         self._table("vocabulary", id=ids, hex=[self.bytes_of[i].hex() for i in ids.tolist()])
 
@@ -118,8 +120,9 @@ class Codec:
         ids = self.single[np.frombuffer(b"".join(words), dtype=np.uint8)].astype(np.int64)
         self._table("tokens", w=np.arange(len(words)), ids=pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)))
         out: list[tuple[int, ...]] = [()] * len(words)
+        shared = self.shared.__getitem__  # one int object for each id, however many words hold it
         for w, ids in self.db.execute(_CONTRACT_LEFTMOST).fetchall():
-            out[w] = tuple(ids)
+            out[w] = tuple(map(shared, ids))
         return out
 
     def _long(self, word: bytes) -> tuple[int, ...]:
@@ -145,8 +148,8 @@ class Codec:
                 short.append(x)
             else:
                 self.known[x] = self._long(x.encode())
-        for i in range(0, len(short), 20_000):
-            part = short[i : i + 20_000]
+        for i in range(0, len(short), 10_000):
+            part = short[i : i + 10_000]
             self.known.update(zip(part, self._short([x.encode() for x in part])))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -194,7 +197,7 @@ def codec(path: str | None = None, pattern: str | None = None) -> Codec:
     return _CODECS[path, pattern]
 
 
-def _pieces(texts: list[str], size: int = 1_000_000) -> Iterator[list[str]]:
+def _pieces(texts: list[str], size: int = 500_000) -> Iterator[list[str]]:
     """Neighbouring texts, about ``size`` characters together."""
     held: list[str] = []
     n = 0
@@ -245,7 +248,7 @@ def round_trip(docs: DataFrame, text: str = "text", path: str | None = None, pat
             for part in _pieces([t or "" for t in batch]):
                 many = own.encode(part)
                 for got, raw in zip(many, own.decode(many)):
-                    line = " ".join(map(str, got)).encode()
+                    line = " ".join(map(own.names.__getitem__, got)).encode()
                     rows.append((len(got), hashlib.sha256(line).hexdigest(), hashlib.sha256(raw).hexdigest(), *([np.array(got, dtype=np.int32)] * ids)))
             yield pd.DataFrame(rows, columns=names)
 
