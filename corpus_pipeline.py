@@ -24,9 +24,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group stays, once; documents without an id all stay."""
-    leaders = simhash.near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.filter("doc_id is not null").join(leaders, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(COLUMNS).unionByName(docs.filter("doc_id is null").select(COLUMNS))
+    leaders = staged(simhash.near_duplicates(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "leaders")
+    docs = docs.select(COLUMNS)
+    # Texts are streamed past the hashed ids: no sort of whole documents.
+    kept = docs.join(leaders.filter("rows = 1").hint("shuffle_hash"), "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+    if not leaders.filter("rows > 1").isEmpty():
+        again = docs.join(leaders.filter("rows > 1").hint("shuffle_hash"), "doc_id", "left_semi")
+        kept = kept.unionByName(again.dropDuplicates(["doc_id"]))
+    return kept.select(COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
