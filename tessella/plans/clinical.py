@@ -195,14 +195,14 @@ def mad_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT vec_id, round(list_sum(list_transform(embedding, lambda v: abs(CAST(v AS DOUBLE)))), 4) AS total,
-       round(list_sum(list_transform(embedding, lambda v: ln(1 + 10000 * abs(CAST(v AS DOUBLE)) / list_sum(list_transform(embedding, lambda z: abs(CAST(z AS DOUBLE))))))), 4) AS log_total FROM embeddings
+WITH x AS (SELECT vec_id, abs(CAST(unnest(embedding) AS DOUBLE)) AS a FROM embeddings), t AS (SELECT vec_id, sum(a) AS total FROM x GROUP BY 1)
+SELECT vec_id, round(total, 4) AS total, round(sum(ln(1 + 10000 * a / total)), 4) AS log_total FROM x JOIN t USING (vec_id) GROUP BY vec_id, total
 """)
 def vector_norm(spark: SparkSession, d: str) -> DataFrame:
     sizes = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.abs(v).cast("double")).alias("a"))
     added = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
-    sums = sizes.withColumn("total", added("a"))
-    return sums.select("vec_id", F.round("total", 4).alias("total"), F.round(added(F.transform("a", lambda v: F.log1p(F.lit(10000.0) * v / F.col("total")))), 4).alias("log_total"))
+    sums = sizes.withColumn("whole", added("a"))
+    return sums.select("vec_id", F.round("whole", 4).alias("total"), F.round(added(F.transform("a", lambda v: F.log1p(F.lit(10000.0) * v / F.col("whole")))), 4).alias("log_total"))
 
 
 @query("""
