@@ -19,7 +19,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
 
 import duckdb
 import numpy as np
@@ -86,6 +85,36 @@ SELECT state.pos, state.id, state.step FROM state JOIN last ON state.w = last.w
 """
 
 
+class Store:
+    """Encoded words: their ids end to end in one array, and the ids of each as text."""
+
+    def __init__(self) -> None:
+        self.index: dict[str, int] = {}
+        self.lines: list[str] = []
+        self.flat, self.used = np.zeros(1 << 16, dtype=np.int32), 0
+        self.start, self.size = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
+
+    def add(self, words: list[str], flat: np.ndarray, sizes: np.ndarray, lines: list[str]) -> None:
+        n = len(self.lines)
+        while len(self.flat) < self.used + len(flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while len(self.size) < n + len(words):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.size[n : n + len(words)] = sizes
+        self.start[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(flat)
+        self.index.update(zip(words, range(n, n + len(words))))
+        self.lines.extend(lines)
+
+    def take(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words at ``places`` end to end, and how many each has."""
+        sizes = self.size[places]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[places] - (ends - sizes), sizes)
+        return self.flat[at], sizes
+
+
 class Codec:
     """One vocabulary in one DuckDB connection, which keeps to memory and one thread."""
 
@@ -93,10 +122,8 @@ class Codec:
         with open(path, "rb") as f:
             self.tokens = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.pattern = regex.compile(pattern)
-        self.bytes_of = dict(zip(self.tokens.values(), self.tokens))
         self.single = np.array([self.tokens[bytes([i])] for i in range(256)], dtype=np.int32)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.known, self.older = Store(), Store()
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         merged = [
             (self.tokens[t[:i]], self.tokens[t[i:]], rank) for t, rank in self.tokens.items() for i in range(1, len(t)) if t[:i] in self.tokens and t[i:] in self.tokens
@@ -104,28 +131,24 @@ class Codec:
         l, r, m = (np.array(x, dtype=np.int64) for x in zip(*merged))
         alone = np.zeros(int(m.max()) + 1, dtype=bool)
         alone[l[m < l]] = alone[r[m < r]] = True
-        ids = np.array(sorted(self.bytes_of), dtype=np.int64)
-        self.shared = {i: i for i in ids.tolist()}
-        self.names = {i: str(i) for i in self.shared}
+        vocabulary = sorted((i, t.hex()) for t, i in self.tokens.items())
+        self.names = {i: str(i) for i, _ in vocabulary}
         self._table("merges", l=l, r=r, merged=m, alone=alone[m])
-        self._table("vocabulary", id=ids, hex=[self.bytes_of[i].hex() for i in ids.tolist()])
+        self._table("vocabulary", id=np.array([i for i, _ in vocabulary], dtype=np.int64), hex=[h for _, h in vocabulary])
 
     def _table(self, name: str, **columns) -> None:
         rows = pa.table(columns)  # noqa: F841
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM rows")
 
-    def _short(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of each word: its leftmost pair of least rank is contracted again and again."""
+    def _short(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words end to end, and how many each has: its leftmost pair of least rank is contracted again and again."""
         offsets = np.cumsum([0, *map(len, words)], dtype=np.int32)
         ids = self.single[np.frombuffer(b"".join(words), dtype=np.uint8)].astype(np.int64)
         self._table("tokens", w=np.arange(len(words)), ids=pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)))
-        out: list[tuple[int, ...]] = [()] * len(words)
-        shared = self.shared.__getitem__  # one int object for each id, however many words hold it
-        for w, ids in self.db.execute(_CONTRACT_LEFTMOST).fetchall():
-            out[w] = tuple(map(shared, ids))
-        return out
+        got = self.db.sql(f"SELECT * FROM ({_CONTRACT_LEFTMOST}) ORDER BY w").to_arrow_table().combine_chunks()["ids"].combine_chunks()
+        return got.flatten().to_numpy(), got.value_lengths().to_numpy()
 
-    def _long(self, word: bytes) -> tuple[int, ...]:
+    def _long(self, word: bytes) -> np.ndarray:
         """Ids of one word; its places of the pair of least rank are contracted together where that is the same."""
         ids = self.single[np.frombuffer(word, dtype=np.uint8)]
         while True:
@@ -133,54 +156,72 @@ class Codec:
             got = self.db.execute(_CONTRACT_ALL_PLACES.format(steps=STEPS)).fetchnumpy()
             ids = np.asarray(got["id"])
             if got["step"][0] < STEPS:
-                return tuple(ids.tolist())
+                return ids
 
     def learn(self, words: set[str]) -> None:
-        """Encode the words that aren't known; of two generations of known words, the older is forgotten when the younger is full."""
-        if len(self.known) > REMEMBERED:
-            self.older, self.known = self.known, {}
-        older = self.older
-        short: list[str] = []
-        for x in words.difference(self.known):
+        """Encode the words that aren't known yet; of two generations of known words, the older is forgotten when the younger is full."""
+        if len(self.known.lines) > REMEMBERED:
+            self.older, self.known = self.known, Store()
+        older, short = self.older.index, []
+        again = []
+        for x in words.difference(self.known.index):
             if x in older:
-                self.known[x] = older[x]
+                again.append(x)
             elif len(x.encode()) <= LONG:
                 short.append(x)
             else:
-                self.known[x] = self._long(x.encode())
+                ids = self._long(x.encode())
+                self.known.add([x], ids, np.array([len(ids)]), [self._line(ids)])
+        if again:
+            places = np.array([older[x] for x in again])
+            self.known.add(again, *self.older.take(places), [self.older.lines[i] for i in places])
         for i in range(0, len(short), 10_000):
             part = short[i : i + 10_000]
-            self.known.update(zip(part, self._short([x.encode() for x in part])))
+            flat, sizes = self._short([x.encode() for x in part])
+            ends = np.cumsum(sizes).tolist()
+            self.known.add(part, flat, sizes, [self._line(flat[a:b]) for a, b in zip([0, *ends], ends)])
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text; new words of all the texts are learned in one go."""
+    def _line(self, ids: np.ndarray) -> str:
+        return " ".join(map(self.names.__getitem__, ids.tolist()))
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Ids of all texts end to end, how many each has, and each text's ids as text; new words are learned in one go."""
         split = [self.pattern.findall(t) for t in texts]
-        words: set[str] = set()
-        for x in split:
-            words.update(x)
-        self.learn(words)
-        return [list(chain.from_iterable(map(self.known.__getitem__, x))) for x in split]
+        self.learn(set().union(*split))
+        index, lines = self.known.index.__getitem__, self.known.lines.__getitem__
+        places = [np.fromiter(map(index, x), dtype=np.int64, count=len(x)) for x in split]
+        flat, sizes = self.known.take(np.concatenate([np.zeros(0, dtype=np.int64), *places]))
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, places)])]
+        return flat, np.diff(ends), [" ".join(map(lines, p.tolist())) for p in places]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        flat, sizes, _ = self.encode_flat(texts)
+        return np.split(flat, np.cumsum(sizes)[:-1]) if len(texts) else []
+
+    def decode_flat(self, flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """The bytes of each run of ids."""
+        out = [b""] * len(sizes)
+        ends = np.cumsum(sizes)
+        first = 0
+        while first < len(sizes):
+            begin = int(ends[first] - sizes[first])
+            stop = max(first + 1, int(np.searchsorted(ends, begin + DECODED_AT_ONCE, side="right")))
+            part = flat[begin : int(ends[stop - 1])]
+            self._table("ids", k=np.repeat(np.arange(first, stop), sizes[first:stop]), pos=np.arange(len(part)), id=part.astype(np.int64))
+            for k, hexed, missed in self.db.execute(
+                "SELECT k, string_agg(hex, '' ORDER BY pos), count(*) - count(hex) FROM ids LEFT JOIN vocabulary USING (id) GROUP BY k"
+            ).fetchall():
+                if missed:
+                    raise ValueError("an id is not in the vocabulary")
+                out[k] = bytes.fromhex(hexed)
+            first = stop
+        return out
 
-    def decode(self, many: list[list[int]]) -> list[bytes]:
+    def decode(self, many: list) -> list[bytes]:
         """The bytes of each list of ids."""
-        out = [b""] * len(many)
-        held: list[int] = []
-        n = 0
-        for i, ids in enumerate(many):
-            held.append(i)
-            n += len(ids)
-            if n >= DECODED_AT_ONCE or i + 1 == len(many):
-                sizes = np.array([len(many[k]) for k in held])
-                flat = np.fromiter(chain.from_iterable(many[k] for k in held), dtype=np.int64, count=int(sizes.sum()))
-                self._table("ids", k=np.repeat(np.array(held), sizes), pos=np.arange(len(flat)), id=flat)
-                for k, hexed, missed in self.db.execute(
-                    "SELECT k, string_agg(hex, '' ORDER BY pos), count(*) - count(hex) FROM ids LEFT JOIN vocabulary USING (id) GROUP BY k"
-                ).fetchall():
-                    if missed:
-                        raise ValueError("an id is not in the vocabulary")
-                    out[k] = bytes.fromhex(hexed)
-                held, n = [], 0
-        return out
+        arrays = [np.asarray(x, dtype=np.int64) for x in many]
+        return self.decode_flat(np.concatenate([np.zeros(0, dtype=np.int64), *arrays]), np.array([len(x) for x in arrays], dtype=np.int64))
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -217,10 +258,8 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = codec(path, pattern)
         for batch in batches:
-            out: list[np.ndarray] = []
             for part in _pieces([t or "" for t in batch]):
-                out.extend(np.array(ids, dtype=np.int32) for ids in own.encode(part))
-            yield pd.Series(out, dtype=object)
+                yield pd.Series(own.encode(part), dtype=object)
 
     return docs.withColumn("token_ids", F.pandas_udf(encoded, "array<int>").asNondeterministic()(F.col(text)))
 
@@ -231,7 +270,7 @@ def decode(encoded: DataFrame, ids: str = "token_ids", path: str | None = None,
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = codec(path, pattern)
         for batch in batches:
-            yield pd.Series(own.decode([[] if x is None else list(x) for x in batch]), dtype=object)
+            yield pd.Series(own.decode([() if x is None else x for x in batch]), dtype=object)
 
     return encoded.withColumn("decoded", F.pandas_udf(decoded, "binary").asNondeterministic()(F.col(ids)))
 
@@ -244,13 +283,14 @@ def round_trip(docs: DataFrame, text: str = "text", path: str | None = None, pat
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = codec(path, pattern)
         for batch in batches:
-            rows: list[tuple] = []
+            # The pieces of a batch go back one by one: only the rows have to add up.
             for part in _pieces([t or "" for t in batch]):
-                many = own.encode(part)
-                for got, raw in zip(many, own.decode(many)):
-                    line = " ".join(map(own.names.__getitem__, got)).encode()
-                    rows.append((len(got), hashlib.sha256(line).hexdigest(), hashlib.sha256(raw).hexdigest(), *([np.array(got, dtype=np.int32)] * ids)))
-            yield pd.DataFrame(rows, columns=names)
+                rows: list[tuple] = []
+                flat, sizes, lines = own.encode_flat(part)
+                raw, many = own.decode_flat(flat, sizes), np.split(flat, np.cumsum(sizes)[:-1]) if ids else []
+                for k, line in enumerate(lines):
+                    rows.append((int(sizes[k]), hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(raw[k]).hexdigest(), *many[k : k + 1]))
+                yield pd.DataFrame(rows, columns=names)
 
     kept = [c for c in docs.columns if c.lower() not in (*names, "_trip")]
     udf = F.pandas_udf(digests, ", ".join(f"{n} {k}" for n, k in zip(names, kinds))).asNondeterministic()
