@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tessella.functions.values import mixed_date
 
@@ -72,7 +73,7 @@ def similarity(a: str, b: str) -> float:
     return 100 * max(whole, tokens) * (1.0 if x & y else 0.6)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fuzzy_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if p is None or q is None else similarity(p, q) for p, q in zip(a, b)], dtype=float)
 

@@ -10,6 +10,7 @@ from urllib.parse import urlparse
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tessella.functions import text
 from tessella.functions.values import capped_age, coerced_date, shifted_date, stable_index, stable_shift
@@ -98,7 +99,7 @@ def moved_date(found: str, days: int) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def dates_moved(texts: pd.Series, days: pd.Series) -> pd.Series:
     """Dates inside texts, each by its row's days; a callback for each match has no column form."""
     return pd.Series([None if t is None else DATES.sub(lambda m, d=d: moved_date(m[0], int(d)) or m[0], t) for t, d in zip(texts, days)], dtype=object)

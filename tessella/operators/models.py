@@ -8,6 +8,7 @@ from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tessella.sources.extractions import json_object
 
@@ -48,7 +49,7 @@ def compressed(notes: DataFrame, text: str, client: Client) -> DataFrame:
                     done.append((None, f"{type(e).__name__}: {e}"))
             yield pdf.assign(summary=pd.Series([a for a, _ in done], index=pdf.index, dtype=object), error=pd.Series([b for _, b in done], index=pdf.index, dtype=object))[[*columns, "summary", "error"]]
 
-    schema = notes.schema.add("summary", "string").add("error", "string")
+    schema = StructType([*notes.schema.fields, StructField("summary", StringType()), StructField("error", StringType())])
     return notes.mapInPandas(calls, schema)
 
 

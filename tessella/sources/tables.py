@@ -109,13 +109,13 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     options = F.regexp_extract(line, r"\(([^()]*;[^()]*)\)\s*$", 1)
     return lines.select(
         F.when(options == "", line).otherwise(F.trim(F.regexp_replace(line, r"\([^()]*;[^()]*\)\s*$", ""))).alias("question"),
-        F.when(options == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(options, ";"), F.trim)).alias("options"),
+        F.when(options == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(options, ";"), lambda x: F.trim(x))).alias("options"),
     )
 
 
 def read_drug_map(spark: SparkSession, path: str) -> DataFrame:
     df = read_table(spark, path, infer=False)
-    return df.select(F.trim("generic").alias("generic"), F.filter(F.transform(F.split("alternatives", r"\|"), F.trim), lambda x: x != "").alias("alternatives"))
+    return df.select(F.trim("generic").alias("generic"), F.filter(F.transform(F.split("alternatives", r"\|"), lambda x: F.trim(x)), lambda x: x != "").alias("alternatives"))
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
