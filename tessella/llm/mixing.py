@@ -7,7 +7,7 @@ globally by md5(seed, doc_id, copy): dealt to partitions by it and sorted inside
 
 Defined cases: a null source is a source of its own; a source without a target weight gets rate 0; a null doc_id
 draws by its text; repeated rows draw alike; an empty table stays empty; rates over ``MOST_RATE`` raise an error;
-extra columns pass through, and columns named copy or order_key are replaced.
+extra columns pass through; columns named copy, order_key, _copies, _salt, _s or _upto are replaced.
 """
 
 from __future__ import annotations
@@ -54,7 +54,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, target: float | None
     ``weights``: (source, weight), any scale; by default tempered counts. ``target``: documents aimed at, by
     default as many as there are.
     """
-    kept = [c for c in docs.columns if c.lower() not in ("copy", "order_key", "_copies", "_salt", "_s")]
+    kept = [c for c in docs.columns if c.lower() not in ("copy", "order_key", "_copies", "_salt", "_s", "_upto")]
     docs = docs.select(*(F.col(f"`{c}`") for c in kept))
     counts = docs.groupBy("source").agg(F.count("*").alias("n"))
     wanted = (weights if weights is not None else tempered(counts)).select(F.col("source").alias("_s"), F.col("weight").cast("double").alias("weight"))
@@ -64,7 +64,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, target: float | None
     rate = F.lit(aim) * F.col("weight") / F.lit(total[0] or 1.0) / F.col("n")
     steps = both.withColumn("rate", rate).select(
         F.col("source").alias("_s"),
-        F.when(F.col("rate") > MOST_RATE, F.raise_error(F.lit(f"a repetition rate is over {MOST_RATE}"))).otherwise(poisson_steps(F.col("rate"))).alias("upto"),
+        F.when(F.col("rate") > MOST_RATE, F.raise_error(F.lit(f"a repetition rate is over {MOST_RATE}"))).otherwise(poisson_steps(F.col("rate"))).alias("_upto"),
     )
     if (total[2] or 0) <= BROADCAST_SOURCES:
         rated = docs.join(F.broadcast(steps), F.col("source").eqNullSafe(F.col("_s")), "left")
@@ -74,7 +74,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, target: float | None
         rated = dealt.join(steps, F.col("source").eqNullSafe(F.col("_s")) & (dealt["_salt"] == steps["_salt"]), "left").drop(dealt["_salt"]).drop(steps["_salt"])
     key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     drawn = unit_interval(F.lit(seed), key)
-    copies = F.size(F.filter("upto", lambda p: p <= drawn))
+    copies = F.size(F.filter("_upto", lambda p: p <= drawn))
     spread = rated.withColumn("_copies", copies).filter("_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
     ordered = spread.withColumn("order_key", F.md5(F.concat_ws(":", F.lit(seed), key, F.col("copy").cast("string")).cast("binary")))
     return ordered.select(*(F.col(f"`{c}`") for c in kept), "copy", "order_key").repartition("order_key").sortWithinPartitions("order_key")

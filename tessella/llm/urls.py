@@ -6,7 +6,8 @@ one SQL expression, so judging is a projection inside generated code. DataFrame
 
 Defined cases: a null URL, or one without ``://``, has empty host and path, no rule, and the trees' verdict for
 its (empty) features; if no URL is judged by a rule, or all alike, the verdict of the others is ``allow`` or that
-one verdict; repeated rows are judged alike; extra columns pass through, columns named like outputs are replaced.
+one verdict; repeated rows are judged alike; extra columns pass through; columns named like outputs or like
+``FEATURES``, _slot or _says are replaced.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ MOST_RULES = 500
 LABELLED_ROWS = 20_000
 SUFFIX_SLOTS = 512
 TREES, DEPTH = 12, 4
-FEATURES = (
-    "length", "host_length", "path_length", "depth", "labels", "digits", "hyphens", "capitals", "entropy", "parameters", "query_length", "fragment", "suffix_rows", "suffix_blocked",
-)
+FEATURES = tuple(
+    f"_{name}"
+    for name in "length host_length path_length depth labels digits hyphens capitals entropy parameters query_length fragment suffix_rows suffix_blocked".split()
+)
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -64,13 +66,11 @@ def with_features(pages: DataFrame, rows_of: Column, blocked_of: Column) -> Data
     parts = F.transform(F.array_distinct(F.filter(chars, lambda c: c != "")), lambda c: (length - F.length(F.replace(url, c, F.lit("")))) / some)
     entropy = F.aggregate(parts, F.lit(0.0), lambda total, p: total - p * F.log2(p))
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
-    values = {
-        "length": length, "host_length": F.length("host"), "path_length": F.length("path"), "depth": F.regexp_count("path", F.lit("/")),
-        "labels": F.size(F.split("host", r"\.")), "digits": share("[0-9]"), "hyphens": share("-"), "capitals": share("[A-Z]"), "entropy": entropy,
-        "parameters": F.when(query == "", 0).otherwise(F.regexp_count(query, F.lit("&")) + 1), "query_length": F.length(query), "fragment": url.contains("#").cast("int"),
-        "suffix_rows": rows_of, "suffix_blocked": blocked_of,
-    }
-    return pages.withColumns({f: values[f].cast("double") for f in FEATURES})
+    values = (
+        length, F.length("host"), F.length("path"), F.regexp_count("path", F.lit("/")), F.size(F.split("host", r"\.")), share("[0-9]"), share("-"), share("[A-Z]"), entropy,
+        F.when(query == "", 0).otherwise(F.regexp_count(query, F.lit("&")) + 1), F.length(query), url.contains("#").cast("int"), rows_of, blocked_of,
+    )
+    return pages.withColumns({name: value.cast("double") for name, value in zip(FEATURES, values, strict=True)})
 
 
 def tree_expression(node) -> Column:
@@ -83,7 +83,7 @@ def tree_expression(node) -> Column:
 
 def judge(pages: DataFrame, rules=RULES, labelled_rows: int = LABELLED_ROWS) -> DataFrame:
     """``pages`` with host, path, rule, verdict, and block_score (0 to 1, from the trees alone)."""
-    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "block_score", "_slot", *FEATURES)]
+    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "block_score", "_slot", "_says", *FEATURES)]
     name, says = rule_columns(rules)
     parsed = with_host_and_path(pages.select(*(F.col(f"`{c}`") for c in kept))).withColumn("rule", name).withColumn("_says", says).withColumn("_slot", suffix_slot())
     labelled = parsed.filter("_says is not null")
