@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.catalogue import query, table
 from tessella.functions import text, values
-from tessella.operators import codes, stats, timeline
+from tessella.operators import codes, models_fit, notes, stats, timeline
 
 
 @query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
@@ -413,3 +413,50 @@ FROM (SELECT doc_id, text, unnest(range(CASE WHEN length(text) <= 1000 THEN 1 EL
 def chunk_chars(spark: SparkSession, d: str) -> DataFrame:
     pieces = timeline.chunked(F.col("text"), 1000, 100)
     return table(spark, d, "documents").select("doc_id", F.posexplode(pieces).alias("chunk", "piece"))
+
+
+@query("""
+WITH s AS (SELECT avg(l_quantity) FILTER (g) m1, var_samp(l_quantity) FILTER (g) v1, count(*) FILTER (g)::DOUBLE n1, avg(l_quantity) FILTER (NOT g) m2, var_samp(l_quantity) FILTER (NOT g) v2, count(*) FILTER (NOT g)::DOUBLE n2
+           FROM (SELECT l_quantity, l_returnflag = 'R' AS g FROM lineitem))
+SELECT round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 6) AS t, round((v1 / n1 + v2 / n2) * (v1 / n1 + v2 / n2) / ((v1 / n1) * (v1 / n1) / (n1 - 1) + (v2 / n2) * (v2 / n2) / (n2 - 1)), 2) AS degrees FROM s
+""")
+def t_test(spark: SparkSession, d: str) -> DataFrame:
+    return models_fit.welch(table(spark, d, "lineitem"), "l_quantity", F.col("l_returnflag") == "R").select(F.round("t", 6).alias("t"), F.round("degrees", 2).alias("degrees"))
+
+
+@query("""
+SELECT user_id, field, arg_min(event_id, CASE WHEN tumor = -1 THEN 1073741824 ELSE tumor END) AS value
+FROM (SELECT user_id, event_type AS field, CAST(event_id % 5 - 1 AS INTEGER) AS tumor, min(event_id) AS event_id FROM events GROUP BY ALL) GROUP BY 1, 2
+""")
+def registry_dict(spark: SparkSession, d: str) -> DataFrame:
+    tumor = (F.col("event_id") % 5 - 1).cast("int")
+    rows = table(spark, d, "events").groupBy("user_id", F.col("event_type").alias("field"), tumor.alias("tumor_index")).agg(F.min("event_id").alias("value"))
+    return notes.registry_values(rows, "user_id")
+
+
+@query("""
+SELECT vec_id, CAST(n AS INTEGER) AS n_genes, round(share, 6) AS share FROM (
+  SELECT vec_id, count(*) FILTER (v > 0) AS n, coalesce(sum(v) FILTER (i <= 3), 0) / sum(v) AS share
+  FROM (SELECT vec_id, greatest(CAST(unnest(embedding) AS DOUBLE), 0) AS v, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY 1) WHERE n >= 25 AND share <= 0.1
+""")
+def cell_qc(spark: SparkSession, d: str) -> DataFrame:
+    cells = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.greatest(v.cast("double"), F.lit(0.0))).alias("counts"))
+    return models_fit.cell_quality(cells, "vec_id", "counts", [0, 1, 2], 25, 0.1).withColumn("share", F.round("share", 6))
+
+
+@query("""
+SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'What is the stage?' WHEN 1 THEN 'Any drug?' ELSE 'Stage' END AS question
+FROM part WHERE p_partkey % 4 <> 3
+""")
+def qa_keys(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey") % 3
+    key = F.when(F.col("p_partkey") % 4 == 3, "_meta").when(k == 0, "what is the STAGE?").when(k == 1, "Q2: any drug? ").otherwise("Stage")
+    questions = spark.createDataFrame([("What is the stage?", 0), ("Any drug?", 1), ("Stage", 2)], "question string, place int")
+    return notes.answers_by_question(table(spark, d, "part").select("p_partkey", key.alias("key")), questions).select("p_partkey", "question")
+
+
+@query("SELECT l_orderkey, CAST(pos // 3 AS INTEGER) AS batch, count(*) AS n_rows FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos FROM lineitem) GROUP BY 1, 2")
+def batch_split(spark: SparkSession, d: str) -> DataFrame:
+    order = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")]
+    placed = timeline.instances(table(spark, d, "lineitem"), ["l_orderkey"], *order)
+    return notes.batches(placed, "instance", 3).groupBy("l_orderkey", "batch").agg(F.count("*").alias("n_rows"))
