@@ -48,3 +48,23 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def share_by_hash(key: str, seed: int, share: Column | float) -> Column:
     """Keeps about ``share`` of the rows, the same ones on every run and at every partitioning."""
     return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) < share * F.lit(1_000_000.0)
+
+
+#: A group with more than a HUBS-th of all grouped rows is a hub, so there are fewer than HUBS of them.
+HUBS = 500
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, key: str, spread: Column) -> DataFrame:
+    """``rows`` that have a group, with its columns, in one pass over rows; no key fills a task.
+
+    ``groups``: (key, n, more columns), staged, n the rows of a group. Hubs are broadcast, and their rows are dealt by
+    ``spread``, of the key's type, in the shuffle that joins all others.
+    """
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    hub = F.col("n") * HUBS > F.lit(total)
+    more = F.struct(*(c for c in groups.columns if c not in (key, "n")))
+    hubs = groups.filter(hub).select(key, more.alias("_hub"))
+    rest = groups.filter(~hub).select(F.col(key).alias("_k"), more.alias("_rest"))
+    met = rows.join(F.broadcast(hubs), key, "left").withColumn("_own", F.when(F.col("_hub").isNull(), F.col(key)).otherwise(spread))
+    met = met.join(rest, (F.col("_own") == F.col("_k")) & F.col("_hub").isNull(), "left")
+    return met.withColumn("_got", F.coalesce("_hub", "_rest")).filter("_got is not null").select(*rows.columns, "_got.*")

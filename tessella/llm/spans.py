@@ -8,8 +8,8 @@ kept where the doc_id is smallest, one that repeats inside a document at its fir
 other occurrence covers is removed.
 
 Spans are compared by 64-bit hashes of their lower-cased words. Only (hash, doc_id) pairs are shuffled, once for
-each document that holds the span: counts and smallest ids are pre-aggregated, and the join back is spread by the
-skew join, so a passage that a third of all documents share lands in no single task.
+each document that holds the span: counts and smallest ids are pre-aggregated, and in the join back the most frequent
+spans, a bounded number, are broadcast, so a passage that a third of all documents share lands in no single task.
 
 Defined cases: null and empty texts come back as they are; rows that share a doc_id count as one document; a null
 doc_id takes part in no comparison between documents; extra columns pass through; columns named n_sentences or
@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.shared import staged, with_groups
+
 SENTENCES = 3
 WORDS = 12
 LONG = 12
@@ -184,8 +186,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     kept = [c for c in docs.columns if c.lower() not in ("n_sentences", "n_removed", "_spans", "_cut")]
     docs = docs.select(*(F.col(f"`{c}`") for c in kept))
     own = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null and text is not null").mapInPandas(_own_spans, "h long, doc_id long")
-    shared = own.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1").drop("n")
-    later = own.join(shared, "h").filter("doc_id > first_id").groupBy("doc_id").agg(F.collect_set("h").alias("_spans"))
+    shared = staged(own.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1"), "spans")
+    later = with_groups(own, shared, "h", F.xxhash64("doc_id", "h")).filter("doc_id > first_id").groupBy("doc_id").agg(F.collect_set("h").alias("_spans"))
 
     def cut(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, repeated in rows:
