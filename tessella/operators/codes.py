@@ -62,6 +62,11 @@ def resolved(values: DataFrame, table: DataFrame, value: str, keys: list[str] =
     return out.withColumn("resolved_code", code).withColumn("resolution_confidence", sure).select(*values.columns, "resolved_code", "resolution_confidence")
 
 
+def expanded(query: Column) -> Column:
+    """Everyday words with the formal ones beside them."""
+    return F.regexp_replace(query, r"(?<!\S)(cancers?)(?!\S)", "$1 malignant neoplasm carcinoma tumor")
+
+
 def similarity(a: str, b: str) -> float:
     """0 to 100: the better of whole and token-set likeness; no shared token costs two fifths."""
     a, b = a.lower(), b.lower()
@@ -128,3 +133,34 @@ def laterality_edit(site: Column, laterality: Column) -> Column:
 def treatment_edit(diagnosed: Column, treated: Column) -> Column:
     """Treatment dates before the date of diagnosis, both in any registry format."""
     return F.coalesce(mixed_date(treated) < mixed_date(diagnosed), F.lit(False))
+
+
+def retrieved(keywords: DataFrame, vocabulary: DataFrame, key: str, word: str, a_word: int = 5, in_all: int = 25) -> DataFrame:
+    """(key, code, description, score): at most ``a_word`` codes for each keyword, each code once, at most ``in_all`` a key."""
+    top = fuzzy_top(keywords, vocabulary, word, a_word)
+    hits = keywords.join(top, word).groupBy(key, "code").agg(F.max("score").alias("score"))
+    rank = Window.partitionBy(key).orderBy(F.desc("score"), "code")
+    kept = hits.withColumn("_n", F.row_number().over(rank)).filter(F.col("_n") <= in_all).drop("_n")
+    return kept.join(vocabulary.groupBy("code").agg(F.min("description").alias("description")), "code").select(key, "code", "description", "score")
+
+
+def topography(diagnoses: DataFrame, groups: DataFrame, table: DataFrame, key: str, normal: str, generic: list[tuple[str, str]], cutoff: float = 60.0) -> DataFrame:
+    """(key, code, how) for normalised diagnoses: keyword groups, else fuzzy descriptions, else the generic codes.
+
+    ``groups``: (keyword, code), a fixed list of a few hundred; whether a keyword stands anywhere in a text has no key to
+    join by, so that list is broadcast.
+    """
+    if groups.limit(5001).count() > 5000:
+        raise ValueError("more than 5000 keywords")
+    by_word = diagnoses.join(F.broadcast(groups), F.contains(F.col(normal), F.col("keyword"))).select(key, "code").distinct().withColumn("how", F.lit("keyword"))
+    open_ = diagnoses.join(by_word.select(key).distinct(), key, "left_anti")
+    fuzzy = open_.join(fuzzy_top(open_, table, normal, 5, cutoff), normal).select(key, "code").distinct().withColumn("how", F.lit("fuzzy"))
+    rest = open_.join(fuzzy.select(key).distinct(), key, "left_anti")
+    rest = rest.select(key, F.explode(F.array(*(F.lit(c) for c, _ in generic))).alias("code")).withColumn("how", F.lit("generic"))
+    return by_word.unionByName(fuzzy).unionByName(rest)
+
+
+def audit_trail(results: DataFrame) -> DataFrame:
+    """Where each value came from; evidence is cut at 500 characters."""
+    keep = [c for c in ("patient_id", "field", "value", "resolved_code", "confidence", "source_chunk_id", "pass", "ontology_id") if c in results.columns]
+    return results.select(*keep, F.substring(F.coalesce("evidence", F.lit("")), 1, 500).alias("evidence"))

@@ -102,12 +102,17 @@ def inverse_weights(df: DataFrame, treated: Column, score: Column, low: float =
     return df.withColumn("weight", F.when(treated, 1 / p).otherwise(1 / (1 - p))).withColumn("stabilized", F.when(treated, share / p).otherwise((1 - share) / (1 - p)))
 
 
-def adjusted_p(df: DataFrame, p: str, key: str, name: str = "adjusted") -> DataFrame:
-    """Benjamini-Hochberg: p * n / rank, made monotone from the largest p down."""
-    n = df.filter(F.col(p).isNotNull()).count()
-    ranked = df.withColumn("_rank", F.row_number().over(Window.orderBy(p, key)))
-    raw = F.least(F.col(p) * n / F.col("_rank"), F.lit(1.0))
-    return ranked.withColumn(name, F.min(raw).over(Window.orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0))).drop("_rank")
+def adjusted_p(df: DataFrame, p: str, name: str = "adjusted") -> DataFrame:
+    """Benjamini-Hochberg: p * n / rank, made monotone from the largest p down; equal p share the last of their ranks.
+
+    Windows run over one row for each distinct p.
+    """
+    counts = df.filter(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_m"))
+    n = counts.agg(F.sum("_m")).first()[0] or 0
+    up, down = Window.orderBy("_p"), Window.orderBy(F.desc("_p"))
+    raw = counts.withColumn("_raw", F.least(F.col("_p") * n / F.sum("_m").over(up), F.lit(1.0)))
+    adjusted = raw.select("_p", F.min("_raw").over(down.rowsBetween(Window.unboundedPreceding, 0)).alias(name))
+    return df.join(adjusted, F.col(p) == F.col("_p"), "left").drop("_p")
 
 
 def deviation_of_dimensions(df: DataFrame, vector: str, top: int) -> DataFrame:

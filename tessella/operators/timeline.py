@@ -70,3 +70,8 @@ def chunked(text: Column, size: int, overlap: int) -> Column:
     step = max(1, size - overlap)
     n = F.when(F.length(text) <= size, 1).otherwise(F.ceil((F.length(text) - size) / step).cast("int") + 1)
     return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr(text, i * step + 1, F.lit(size))))
+
+
+def open_fields(wanted: DataFrame, results: DataFrame, keys: list[str], confidence: str, lock: float = LOCK) -> DataFrame:
+    """The wanted fields that are to be asked again: absent, or nowhere sure enough."""
+    return wanted.join(results.filter(F.coalesce(confidence, F.lit(0.0)) >= lock).select(*keys).distinct(), keys, "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.catalogue import query, table
 from tessella.functions import text, values
-from tessella.operators import codes, models_fit, notes, stats, timeline
+from tessella.operators import codes, metadata, models_fit, notes, stats, timeline
 
 
 @query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
@@ -183,7 +183,7 @@ SELECT p_partkey, round(min(least(p * n / k, 1)) OVER (ORDER BY k DESC), 9) AS a
 """)
 def bh_adjust(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select("p_partkey", (((F.col("p_partkey") * 7919) % 1000 + 1) / F.lit(1000.0)).cast("double").alias("p"))
-    return stats.adjusted_p(p, "p", "p_partkey").select("p_partkey", F.round("adjusted", 9).alias("adjusted"))
+    return stats.adjusted_p(p, "p").select("p_partkey", F.round("adjusted", 9).alias("adjusted"))
 
 
 @query("""
@@ -460,3 +460,20 @@ def batch_split(spark: SparkSession, d: str) -> DataFrame:
     order = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")]
     placed = timeline.instances(table(spark, d, "lineitem"), ["l_orderkey"], *order)
     return notes.batches(placed, "instance", 3).groupBy("l_orderkey", "batch").agg(F.count("*").alias("n_rows"))
+
+
+@query("""
+WITH c AS (SELECT 'c_mktsegment' AS column_name, c_mktsegment AS value, count(*) AS n FROM customer GROUP BY 2 UNION ALL SELECT 'c_nationkey', CAST(c_nationkey AS VARCHAR), count(*) FROM customer GROUP BY 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS k FROM c WHERE value IS NOT NULL)
+SELECT column_name, value, CASE WHEN n < 10 THEN '<10' ELSE CAST(n AS VARCHAR) END AS n_rows FROM r WHERE k <= 15
+""")
+def metadata_categorical(spark: SparkSession, d: str) -> DataFrame:
+    return metadata.categorical_summary(table(spark, d, "customer"), ["c_mktsegment", "c_nationkey"])
+
+
+@query("""
+SELECT DISTINCT o_custkey, o_orderstatus AS field FROM orders WHERE (o_custkey, o_orderstatus) NOT IN (SELECT (o_custkey, o_orderstatus) FROM orders WHERE (o_orderkey % 100) / 100.0 >= 0.9)
+""")
+def open_fields(spark: SparkSession, d: str) -> DataFrame:
+    results = table(spark, d, "orders").select("o_custkey", F.col("o_orderstatus").alias("field"), ((F.col("o_orderkey") % 100) / F.lit(100.0)).alias("confidence"))
+    return timeline.open_fields(results.select("o_custkey", "field").distinct(), results, ["o_custkey", "field"], "confidence")

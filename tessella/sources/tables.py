@@ -205,3 +205,12 @@ def is_data_file(name: Column) -> Column:
 def safe_name(name: str) -> str:
     out = re.sub("[^0-9a-z]+", "_", name.lower()).strip("_")
     return f"t_{out}" if out[:1].isdigit() else out or "unknown"
+
+
+def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
+    """(row, column, value), from 0, of a coordinate matrix file; comments and the line of sizes are skipped."""
+    lines = spark.read.text(path).select(F.trim("value").alias("v"), F.monotonically_increasing_id().alias("n")).filter((F.col("v") != "") & ~F.col("v").startswith("%"))
+    sizes = lines.agg(F.min("n")).first()[0]
+    parts = F.split("v", r"\s+")
+    cells = lines.filter(F.col("n") != sizes).select(parts.alias("p"))
+    return cells.select((F.get("p", F.lit(0)).cast("long") - 1).alias("row"), (F.get("p", F.lit(1)).cast("long") - 1).alias("column"), F.coalesce(F.get("p", F.lit(2)).cast("double"), F.lit(1.0)).alias("value"))

@@ -96,3 +96,32 @@ def test_logistic_and_cox(spark):
 def test_ranked_genes(spark):
     df = spark.createDataFrame([("g", 1.0), ("g", 3.0), ("h", 2.0), ("i", None), (None, 4.0)], "n string, s double")
     assert [tuple(r) for r in models_fit.ranked_genes(df, "n", "s").collect()] == [("g", 3.0), ("h", 2.0)]
+
+
+def test_retrieval_and_topography(spark):
+    from tessella.operators import codes
+
+    table = spark.createDataFrame([("C50.9", "breast"), ("C34.9", "lung"), ("C34.1", "upper lobe lung"), ("C61.9", "prostate gland")], "code string, description string")
+    words = spark.createDataFrame([("p", "breast"), ("p", "lung"), ("q", "nothing")], "k string, w string")
+    got = {(r["k"], r["code"]) for r in codes.retrieved(words, table, "k", "w").collect()}
+    assert ("p", "C50.9") in got and ("p", "C34.9") in got and not any(k == "q" for k, _ in got)
+    asked = spark.createDataFrame([("a", "left breast"), ("b", "prostate gland adeno"), ("c", "unknown thing")], "k string, normal string")
+    groups = spark.createDataFrame([("breast", "C50.9"), ("mamma", "C50.9")], "keyword string, code string")
+    got = {(r["k"], r["code"], r["how"]) for r in codes.topography(asked, groups, table, "k", "normal", [("C80.9", "unknown")]).collect()}
+    assert got == {("a", "C50.9", "keyword"), ("b", "C61.9", "fuzzy"), ("c", "C80.9", "generic")}
+    trail = codes.audit_trail(spark.createDataFrame([("p", "f", "v", "x" * 900)], "patient_id string, field string, value string, evidence string")).first()
+    assert len(trail["evidence"]) == 500
+
+
+def test_metadata(spark, tmp_path):
+    from tessella.operators import metadata
+    from tessella.sources import tables
+
+    df = spark.createDataFrame([(i, "a" if i < 25 else "b", float(i)) for i in range(30)], "record_id int, grp string, x double")
+    m = metadata.table_metadata(df)
+    assert m["n_rows"] == 30 and m["categorical"] == {"grp": [["a", "25"], ["b", "<10"]]} and m["numeric"]["x"]["median"] == 14.5
+    assert metadata.table_metadata(df.limit(5))["numeric"]["x"] == {"n_values": "<10", "mean": None, "q1": None, "median": None, "q3": None}
+    metadata.write_metadata({"t": df}, str(tmp_path))
+    assert "## t" in "".join(p.read_text() for p in (tmp_path / "schema.md").glob("part*"))
+    (tmp_path / "m.mtx").write_text("%%MatrixMarket matrix coordinate real general\n% c\n3 2 2\n1 1 5\n3 2 0.5\n")
+    assert {tuple(r) for r in tables.read_matrix_market(spark, str(tmp_path / "m.mtx")).collect()} == {(0, 0, 5.0), (2, 1, 0.5)}
