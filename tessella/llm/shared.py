@@ -54,8 +54,8 @@ def share_by_hash(key: str, seed: int, share: Column | float) -> Column:
 HUBS = 500
 
 
-def with_groups(rows: DataFrame, groups: DataFrame, key: str, spread: Column) -> DataFrame:
-    """``rows`` that have a group, with its columns, in one pass over rows; no key fills a task.
+def with_groups(rows: DataFrame, groups: DataFrame, key: str, spread: Column, outer: bool = False) -> DataFrame:
+    """``rows`` that have a group (``outer``: all rows), with its columns, in one pass over rows; no key fills a task.
 
     ``groups``: (key, n, more columns), staged, n the rows of a group. Hubs are broadcast, and their rows are dealt by
     ``spread``, of the key's type, in the shuffle that joins all others.
@@ -67,4 +67,5 @@ def with_groups(rows: DataFrame, groups: DataFrame, key: str, spread: Column) ->
     rest = groups.filter(~hub).select(F.col(key).alias("_k"), more.alias("_rest"))
     met = rows.join(F.broadcast(hubs), key, "left").withColumn("_own", F.when(F.col("_hub").isNull(), F.col(key)).otherwise(spread))
     met = met.join(rest, (F.col("_own") == F.col("_k")) & F.col("_hub").isNull(), "left")
-    return met.withColumn("_got", F.coalesce("_hub", "_rest")).filter("_got is not null").select(*rows.columns, "_got.*")
+    met = met.withColumn("_got", F.coalesce("_hub", "_rest"))
+    return (met if outer else met.filter("_got is not null")).select(*rows.columns, "_got.*")

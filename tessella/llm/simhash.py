@@ -7,6 +7,11 @@ the one anchor within distance 3, and is replicated to every anchor within 3 + 1
 bit of the block stands at its home anchor too, so comparing the homes of an anchor with all its replicas
 misses no pair. Only distinct fingerprints are compared; documents that share one follow it.
 
+Beyond ``WIDE_FROM`` distinct fingerprints an anchor is a pair of codewords, one in each of two blocks, of which there
+are 2**24: of three pairs of blocks, one holds at most two of the four differing bits, so whoever is near stands within
+3 + e and 3 + f of the home's codewords with e + f at most 2. That takes about 183 replicas of a fingerprint instead
+of 16, but a 4096th of the comparisons. Both ways find the same links.
+
 An anchor with more rows than ``BLOCK`` is dealt over pairs of row blocks, so no task holds more than two
 blocks. A task gives back a spanning forest of the links it finds, never all pairs.
 
@@ -19,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -27,13 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.components import components
-from tessella.llm.shared import staged
+from tessella.llm.shared import staged, with_groups
 
 SHINGLE = 4
 MAX_BITS = 4
 BLOCKS = ((0, 21), (21, 21), (42, 22))
 #: Rows of one anchor that are compared in one piece.
 BLOCK = 4096
+#: From so many distinct fingerprints on, single blocks would be split into more pieces than pairs of blocks have replicas.
+WIDE_FROM = 30_000_000
+#: Neighbouring small anchors that share a task's call, where there are millions of them.
+CELL = 64
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
@@ -71,44 +81,61 @@ def _tables() -> dict[str, np.ndarray]:
             remainder = np.where(remainder >> bit & 1, remainder ^ np.uint32(generator << (bit - 11)), remainder)
         code = rest | remainder
         unit = np.array([remainder[1 << (i - 11)] if i >= 11 else 1 << i for i in range(23)], dtype=np.uint32)
-        ones = np.arange(23)
         error = np.zeros(1 << 11, dtype=np.uint32)
-        fours: list[list[int]] = [[] for _ in range(1 << 11)]
-        singles = [(1 << i, int(unit[i])) for i in ones]
-        for i, (a, sa) in enumerate(singles):
-            error[sa] = a
-            for j, (b, sb) in enumerate(singles[i + 1 :], i + 1):
-                error[sa ^ sb] = a | b
-                for k, (c, sc) in enumerate(singles[j + 1 :], j + 1):
-                    error[sa ^ sb ^ sc] = a | b | c
-                    for d, sd in singles[k + 1 :]:
-                        fours[sa ^ sb ^ sc ^ sd].append(a | b | c | d)
-        width = max(map(len, fours))
+        heavier: dict[int, list[list[int]]] = {w: [[] for _ in range(1 << 11)] for w in (4, 5)}
+        for weight in range(1, 6):
+            for bits in combinations(range(23), weight):
+                word = syndrome = 0
+                for i in bits:
+                    word |= 1 << i
+                    syndrome ^= int(unit[i])
+                if weight <= 3:
+                    error[syndrome] = word
+                else:
+                    heavier[weight][syndrome].append(word)
         _TABLES["unit"], _TABLES["error"], _TABLES["code"] = unit, error, code
-        _TABLES["fours"] = np.array([f + [0] * (width - len(f)) for f in fours], dtype=np.uint32)
+        for weight, words in heavier.items():
+            width = max(map(len, words))
+            _TABLES[f"weight {weight}"] = np.array([w + [0] * (width - len(w)) for w in words], dtype=np.uint32)
     return _TABLES
 
 
-def anchors(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, anchor, home) of every replica of uint64 fingerprints; anchor numbers are below 3 * 4096."""
+def _codewords(prints: np.ndarray, low: int, width: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of the codewords within 3 bits of a block, at 4 and at 5 bits: for each, (words, which of them count) by row."""
     t = _tables()
+    block = (prints >> np.uint64(low) & np.uint64((1 << width) - 1)).astype(np.uint32)
+    syndrome = np.zeros(len(block), dtype=np.uint32)
+    for i in range(width):
+        syndrome ^= np.where(block >> np.uint32(i) & np.uint32(1), t["unit"][i], np.uint32(0))
+    out = [(((block ^ t["error"][syndrome]) >> np.uint32(11)).astype(np.int32)[:, None], np.ones((len(block), 1), dtype=bool))]
+    for weight in (4, 5):
+        more = t[f"weight {weight}"][syndrome]
+        out.append((((block[:, None] ^ more) >> np.uint32(11)).astype(np.int32), more != 0))
+    return out
+
+
+def anchors(prints: np.ndarray, wide: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, anchor, home) of every replica of uint64 fingerprints; anchors are below 3 * 2**12, or 3 * 2**24 if wide."""
+    blocks = [_codewords(prints, *b) for b in BLOCKS]
     rows, names, homes = [], [], []
-    for b, (low, width) in enumerate(BLOCKS):
-        block = (prints >> np.uint64(low) & np.uint64((1 << width) - 1)).astype(np.uint32)
-        syndrome = np.zeros(len(block), dtype=np.uint32)
-        for i in range(width):
-            syndrome ^= np.where(block >> np.uint32(i) & np.uint32(1), t["unit"][i], np.uint32(0))
-        home = block ^ t["error"][syndrome]
-        rows.append(np.arange(len(block)))
-        names.append(home >> np.uint32(11))
-        homes.append(np.ones(len(block), dtype=bool))
-        more = t["fours"][syndrome]
-        at, which = np.nonzero(more)
+
+    def found(at: np.ndarray, anchor: np.ndarray, home: bool) -> None:
         rows.append(at)
-        names.append((block[at] ^ more[at, which]) >> np.uint32(11))
-        homes.append(np.zeros(len(at), dtype=bool))
-        for k in (-2, -1):
-            names[k] = names[k].astype(np.int32) + b * 4096
+        names.append(anchor)
+        homes.append(np.full(len(at), home))
+
+    if not wide:
+        for b, near in enumerate(blocks):
+            for distance in (0, 1):
+                words, counts = near[distance]
+                at, which = np.nonzero(counts)
+                found(at, words[at, which] + b * 4096, distance == 0)
+    else:
+        for k, (a, b) in enumerate(combinations(range(3), 2)):
+            for e, f in ((e, f) for e in range(3) for f in range(3 - e)):
+                (wa, ca), (wb, cb) = blocks[a][e], blocks[b][f]
+                at, i, j = np.nonzero(ca[:, :, None] & cb[:, None, :])
+                found(at, (k << 24) + (wa[at, i] << 12) + wb[at, j], e == f == 0)
     return np.concatenate(rows), np.concatenate(names), np.concatenate(homes)
 
 
@@ -134,44 +161,57 @@ def with_fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("fingerprint", F.pandas_udf(digests, "string").asNondeterministic()(F.col(text)))
 
 
-def links(prints: DataFrame) -> DataFrame:
+def _compared(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Spanning links of a piece, or pair of pieces, of one anchor, or of several whole anchors."""
+    pdf = pdf.sort_values(["anchor", "f"], ignore_index=True)
+    starts = np.flatnonzero(np.diff(pdf["anchor"].to_numpy(), prepend=-1))
+    ends = [*starts[1:], len(pdf)]
+    f, home, own = pdf["f"].to_numpy(np.int64), pdf["home"].to_numpy(bool), pdf["own"].to_numpy()
+    first, second = pdf["p"].iat[0], pdf["q"].iat[0]
+    root = np.arange(len(f))
+    for a, b in zip(starts, ends):
+        u, h = f[a:b].view(np.uint64), home[a:b]
+        if first == second:
+            label = forest(u, np.flatnonzero(h), np.arange(b - a))
+        else:
+            label, left = np.arange(b - a), own[a:b] == first
+            for x, y in ((left, ~left), (~left, left)):
+                got = forest(u, np.flatnonzero(h & x), np.flatnonzero(y))
+                for i in np.flatnonzero(got != np.arange(b - a)):
+                    met = np.unique(label[[i, got[i]]])
+                    if len(met) > 1:
+                        label[label == met[1]] = met[0]
+        root[a:b] = label + a
+    at = np.flatnonzero(root != np.arange(len(f)))
+    return pd.DataFrame({"a": f[at], "b": f[root[at]]})
+
+
+def links(prints: DataFrame, wide: bool = False) -> DataFrame:
     """Spanning links (a, b) between fingerprints of ``prints`` (f long, distinct) that differ in 4 bits or fewer."""
 
     def replicas(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            row, anchor, home = anchors(pdf["f"].to_numpy(np.int64).view(np.uint64))
-            yield pd.DataFrame({"anchor": anchor, "home": home, "f": pdf["f"].to_numpy()[row]})
+            for at in range(0, len(pdf), 4096):
+                f = pdf["f"].to_numpy(np.int64)[at : at + 4096]
+                row, anchor, home = anchors(f.view(np.uint64), wide)
+                yield pd.DataFrame({"anchor": anchor.astype(np.int32), "home": home, "f": f[row]})
 
     spread = prints.mapInPandas(replicas, "anchor int, home boolean, f long")
-    # At most 3 x 4096 anchors, whatever the input: their pieces are a small table by construction.
-    pieces = spread.groupBy("anchor").agg(F.count("*").alias("n")).select("anchor", F.ceil(F.col("n") / BLOCK).cast("int").alias("pieces"))
-    own = F.pmod(F.xxhash64("f"), F.col("pieces")).cast("int")
+    sizes = spread.groupBy("anchor").agg(F.count("*").alias("n")).withColumn("pieces", F.ceil(F.col("n") / BLOCK).cast("int"))
+    if wide:
+        met = with_groups(spread, staged(sizes.filter("pieces > 1"), "anchors"), "anchor", F.hash("f"), outer=True).withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+        cell = F.when(F.col("pieces") > 1, F.col("anchor")).otherwise(-1 - F.floor(F.col("anchor") / CELL).cast("int"))
+    else:
+        # At most 3 x 4096 anchors, whatever the input: their pieces are a small table by construction.
+        met, cell = spread.join(F.broadcast(sizes.drop("n")), "anchor"), F.col("anchor")
     dealt = (
-        spread.join(F.broadcast(pieces), "anchor")
-        .withColumn("own", own)
+        met.withColumn("cell", cell)
+        .withColumn("own", F.pmod(F.xxhash64("f"), F.col("pieces")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-        .select("anchor", "home", "f", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+        .select("cell", "anchor", "home", "f", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
     )
-
-    def compared(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["f", "home"], ignore_index=True)
-        f, home, own = pdf["f"].to_numpy(np.int64), pdf["home"].to_numpy(), pdf["own"].to_numpy()
-        u = f.view(np.uint64)
-        if pdf["p"].iat[0] == pdf["q"].iat[0]:
-            label = forest(u, np.flatnonzero(home), np.arange(len(f)))
-        else:
-            label = np.arange(len(f))
-            first = own == pdf["p"].iat[0]
-            for a, b in ((first, ~first), (~first, first)):
-                found = forest(u, np.flatnonzero(home & a), np.flatnonzero(b))
-                for i in np.flatnonzero(found != np.arange(len(f))):
-                    met = np.unique(label[[i, found[i]]])
-                    if len(met) > 1:
-                        label[label == met[1]] = met[0]
-        at = np.flatnonzero(label != np.arange(len(f)))
-        return pd.DataFrame({"a": f[at], "b": f[label[at]]})
-
-    return dealt.groupBy("anchor", "p", "q").applyInPandas(compared, "a long, b long")
+    # Without this, rows could stay dealt by anchor alone, and a split anchor in one task.
+    return dealt.repartition("cell", "p", "q").groupBy("cell", "p", "q").applyInPandas(_compared, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -180,7 +220,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     half = lambda at: F.conv(F.substring("fingerprint", at, 8), 16, 10).cast("long")
     signed = F.shiftleft(half(1), 32).bitwiseOR(half(9))
     prints = staged(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")).withColumn("f", signed), "prints")
-    joined = components(links(prints.select("f")), "a", "b").withColumnRenamed("node", "f")
+    wide = prints.count() > WIDE_FROM
+    joined = components(links(prints.select("f"), wide), "a", "b").withColumnRenamed("node", "f")
     grouped = prints.join(joined, "f", "left").select("fingerprint", "first_id", F.coalesce("component", "f").alias("component"))
     least = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = grouped.join(least, "component").select("fingerprint", "component_id")

@@ -252,7 +252,8 @@ def test_fingerprints_and_groups_against_brute_force(spark):
     assert [got[r["doc_id"]]["component_id"] for r in rows] == want
 
 
-def test_covering_misses_no_pair():
+@pytest.mark.parametrize("wide", [False, True])
+def test_covering_misses_no_pair(wide):
     rng = np.random.default_rng(3)
     x = rng.integers(0, 1 << 64, 400, dtype=np.uint64)
     y = x.copy()
@@ -260,17 +261,19 @@ def test_covering_misses_no_pair():
         for b in rng.choice(64, 4, replace=False):
             y[i] ^= np.uint64(1) << np.uint64(b)
     homes = collections.defaultdict(set)
-    for r, a, h in zip(*simhash.anchors(x)):
+    for r, a, h in zip(*simhash.anchors(x, wide)):
         if h:
             homes[r].add(a)
-    places = collections.defaultdict(set)
-    for r, a, _ in zip(*simhash.anchors(y)):
-        places[r].add(a)
-    assert all(len(homes[r]) == 3 and homes[r] & places[r] for r in range(len(x)))
+    places = collections.defaultdict(list)
+    for r, a, _ in zip(*simhash.anchors(y, wide)):
+        places[r].append(a)
+    assert all(len(homes[r]) == 3 and homes[r] & set(places[r]) and len(set(places[r])) == len(places[r]) for r in range(len(x)))
 
 
-def test_large_anchors_are_split_without_loss(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK", 20)
+@pytest.mark.parametrize("wide", [False, True])
+@pytest.mark.parametrize("block", [20, 4096])
+def test_large_anchors_are_split_without_loss(spark, monkeypatch, wide, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
     rng = np.random.default_rng(6)
     base = rng.integers(0, 1 << 63, 5, dtype=np.uint64)
     f = set()
@@ -281,7 +284,7 @@ def test_large_anchors_are_split_without_loss(spark, monkeypatch):
         f.add(v)
     values = np.array(sorted(f), dtype=np.uint64)
     df = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "f long")
-    got = {r["node"]: r["component"] for r in components.components(simhash.links(df), "a", "b").collect()}
+    got = {r["node"]: r["component"] for r in components.components(simhash.links(df, wide), "a", "b").collect()}
     ids = values.view(np.int64).tolist()
     want = smallest_reachable(ids, lambda i: np.flatnonzero(np.bitwise_count(values ^ values[i]) <= 4))
     assert [got.get(k, k) for k in ids] == want
