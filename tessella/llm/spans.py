@@ -1,8 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences after ``.``, ``!`` or ``?`` followed by white space, and at line breaks. A sentence
-of more than ``LONG`` words is cut further after commas and after words picked by their own hash, so that a
-passage pasted into the middle of a sentence finds its cuts again. At every sentence starts a span: the shortest
+of more than ``LONG`` words is cut further after commas, after words picked by their own hash and after ``MOST`` words
+at the latest, so that a passage pasted into the middle of a sentence finds its cuts again. At every sentence starts a span: the shortest
 run of at least ``SENTENCES`` sentences and ``WORDS`` words. A span that stands in several documents is
 kept where the doc_id is smallest, one that repeats inside a document at its first place; every sentence that any
 other occurrence covers is removed.
@@ -33,6 +33,8 @@ WORDS = 12
 LONG = 12
 #: A word of a long sentence whose hash this divides ends a piece of it.
 ONE_IN = 6
+#: A piece ends after so many words at the latest, counted from a cut that the words themselves make.
+MOST = 16
 #: Characters analysed in one piece; texts are never split, so a longer one is a piece of its own.
 PIECE = 1_000_000
 _ENDS, _CLOSERS = ".!?…。！？", "\"'”’)]»"
@@ -85,6 +87,12 @@ class Cut:
         return first
 
 
+def _runs(stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Last and first word of each piece."""
+    final = np.flatnonzero(stop)
+    return final, np.concatenate([[0], final[:-1] + 1])
+
+
 def analyse(texts: list[str]) -> Cut:
     """Sentences and spans of several texts at once."""
     none = np.zeros(0, dtype=np.int64)
@@ -116,8 +124,9 @@ def analyse(texts: list[str]) -> Cut:
     sentence = np.cumsum(stop) - stop
     long = np.bincount(sentence) > LONG
     stop |= long[sentence] & ((last == 44) | (word % np.uint64(ONE_IN) == 0))
-    final = np.flatnonzero(stop)
-    first = np.concatenate([[0], final[:-1] + 1])
+    final, first = _runs(stop)
+    stop |= (np.arange(len(stop)) - np.repeat(first, final + 1 - first)) % MOST == MOST - 1
+    final, first = _runs(stop)
     doc = np.searchsorted(begin, start[first], side="right") - 1
     limit = begin[doc] + sizes[doc]
     ends = np.minimum(np.append(start[first[1:]], len(points)), limit) - begin[doc]
