@@ -36,7 +36,7 @@ ONE_IN = 6
 #: A piece ends after so many words at the latest, counted from a cut that the words themselves make.
 MOST = 16
 #: Characters analysed in one piece; texts are never split, so a longer one is a piece of its own.
-PIECE = 1_000_000
+PIECE = 300_000
 _ENDS, _CLOSERS = ".!?…。！？", "\"'”’)]»"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
