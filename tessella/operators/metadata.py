@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessella.functions.values import small_masked
 from tessella.operators.detect import shown_columns
 from tessella.operators.privacy import MIN_CELL
+from tessella.operators.stats import five_numbers
 
 TOP = 15
 
@@ -25,12 +26,9 @@ def categorical_summary(df: DataFrame, columns: list[str], least: int = MIN_CELL
 
 def numeric_summary(df: DataFrame, columns: list[str], least: int = MIN_CELL) -> DataFrame:
     """Count, mean and quartiles of each column; all masked where fewer than ``least`` values are known."""
-    long = df.unpivot([], [F.col(c).cast("double").alias(c) for c in columns], "column_name", "value")
-    n = F.count("value")
-    shown = lambda c: F.when(n >= least, c)
-    return long.groupBy("column_name").agg(
-        small_masked(n, least).alias("n_values"), shown(F.avg("value")).alias("mean"), *(shown(F.percentile("value", F.lit(p))).alias(name) for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)))
-    )
+    plain = five_numbers(df, columns)
+    shown = lambda c: F.when(F.col("n_values") >= least, F.col(c)).alias(c)
+    return plain.select("column_name", small_masked(F.col("n_values"), least).alias("n_values"), *map(shown, ("mean", "q1", "median", "q3")))
 
 
 def table_metadata(df: DataFrame, least: int = MIN_CELL) -> dict:

@@ -6,13 +6,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def quantiles(df: DataFrame, key: str, value: str, shares: list[float]) -> dict[object, list[float]]:
+    """Exact interpolated quantiles of a value in each group, for groups that are few and values that may be many.
+
+    Distinct values are counted first, dealt by range, and counted by partition; only the partitions that hold a wanted
+    rank are then walked. No task holds a group, and the driver sees two values for each quantile.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    ranged = counts.repartitionByRange("_k", "_v").withColumn("_part", F.spark_partition_id()).persist()
+    try:
+        sums: dict[object, list[tuple[int, int]]] = {}
+        for r in ranged.groupBy("_k", "_part").agg(F.sum("_n").alias("n")).collect():
+            sums.setdefault(r["_k"], []).append((r["_part"], r["n"]))
+        wanted, places = [], {}
+        for k, parts in sums.items():
+            total = sum(n for _, n in parts)
+            places[k] = [(int((total - 1) * p), (total - 1) * p % 1) for p in shares]
+            ranks = sorted({x for at, rest in places[k] for x in ([at, at + 1] if rest else [at])})
+            before = 0
+            for part, n in sorted(parts):
+                wanted += [(k, part, before, x) for x in ranks if before <= x < before + n]
+                before += n
+        if not wanted:
+            return {}
+        kind = df.schema[key].dataType.simpleString()
+        ranks = df.sparkSession.createDataFrame(wanted, f"_k {kind}, _part int, _before long, _rank long")
+        parts = ranks.select("_k", "_part", "_before").distinct()
+        walked = ranged.join(F.broadcast(parts), ["_k", "_part"]).withColumn("_upto", F.col("_before") + F.sum("_n").over(Window.partitionBy("_k", "_part").orderBy("_v")))
+        hit = (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_n"))
+        found = {(r["_k"], r["_rank"]): r["_v"] for r in walked.join(F.broadcast(ranks.drop("_before")), ["_k", "_part"]).filter(hit).select("_k", "_rank", "_v").collect()}
+    finally:
+        ranged.unpersist()
+    return {k: [found[k, at] + (found[k, at + 1] - found[k, at]) * rest if rest else found[k, at] for at, rest in places[k]] for k in places}
+
+
 def five_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, least, largest, mean, median and quartiles of each column, one row a column."""
     long = df.unpivot([], [F.col(c).cast("double").alias(c) for c in columns], "column_name", "value")
-    return long.groupBy("column_name").agg(
-        F.count("value").alias("n_values"), F.min("value").alias("least"), F.max("value").alias("largest"), F.avg("value").alias("mean"),
-        F.percentile("value", F.lit(0.5)).alias("median"), F.percentile("value", F.lit(0.25)).alias("q1"), F.percentile("value", F.lit(0.75)).alias("q3"),
-    )
+    plain = long.groupBy("column_name").agg(F.count("value").alias("n_values"), F.min("value").alias("least"), F.max("value").alias("largest"), F.avg("value").alias("mean"))
+    found = quantiles(long, "column_name", "value", [0.5, 0.25, 0.75])
+    table = df.sparkSession.createDataFrame([(c, *found.get(c, [None] * 3)) for c in columns], "column_name string, median double, q1 double, q3 double")
+    return plain.join(F.broadcast(table), "column_name")
 
 
 def top_values(df: DataFrame, column: str, limit: int = 15) -> DataFrame:
@@ -117,9 +151,11 @@ def adjusted_p(df: DataFrame, p: str, name: str = "adjusted") -> DataFrame:
 
 def deviation_of_dimensions(df: DataFrame, vector: str, top: int) -> DataFrame:
     """Median absolute deviation of each vector component, the largest first."""
+    spark = df.sparkSession
     long = df.select(F.posexplode(vector).alias("dimension", "x")).select("dimension", F.col("x").cast("double").alias("x"))
-    centers = long.groupBy("dimension").agg(F.percentile("x", F.lit(0.5)).alias("m"))
-    spread = long.join(centers, "dimension").groupBy("dimension").agg(F.percentile(F.abs(F.col("x") - F.col("m")), F.lit(0.5)).alias("mad"))
+    centers = spark.createDataFrame([(k, m) for k, (m,) in quantiles(long, "dimension", "x", [0.5]).items()], "dimension int, m double")
+    apart = long.join(F.broadcast(centers), "dimension").select("dimension", F.abs(F.col("x") - F.col("m")).alias("a"))  # a row a dimension
+    spread = spark.createDataFrame([(k, m) for k, (m,) in quantiles(apart, "dimension", "a", [0.5]).items()], "dimension int, mad double")
     return spread.orderBy(F.desc("mad"), "dimension").limit(top)
 
 

@@ -125,3 +125,15 @@ def test_metadata(spark, tmp_path):
     assert "## t" in "".join(p.read_text() for p in (tmp_path / "schema.md").glob("part*"))
     (tmp_path / "m.mtx").write_text("%%MatrixMarket matrix coordinate real general\n% c\n3 2 2\n1 1 5\n3 2 0.5\n")
     assert {tuple(r) for r in tables.read_matrix_market(spark, str(tmp_path / "m.mtx")).collect()} == {(0, 0, 5.0), (2, 1, 0.5)}
+
+
+def test_quantiles_are_exact(spark):
+    from tessella.operators import stats
+
+    rng = np.random.default_rng(2)
+    rows = [("a", float(v)) for v in rng.normal(size=401)] + [("b", float(v)) for v in rng.integers(0, 4, 90)] + [("c", 7.0), ("d", None)] + [("hot", 1.5)] * 300 + [("hot", 2.5)] * 3
+    got = stats.quantiles(spark.createDataFrame(rows, "k string, v double").repartition(6), "k", "v", [0.0, 0.1, 0.25, 0.5, 0.999, 1.0])
+    for k in ("a", "b", "c", "hot"):
+        assert np.allclose(got[k], np.quantile([v for g, v in rows if g == k], [0.0, 0.1, 0.25, 0.5, 0.999, 1.0]), atol=1e-12)
+    assert "d" not in got
+    assert stats.quantiles(spark.createDataFrame([], "k string, v double"), "k", "v", [0.5]) == {}
