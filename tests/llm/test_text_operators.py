@@ -413,3 +413,20 @@ def test_pipeline_against_its_parts(spark):
         out = stage(spark, out, "")
     got = collections.Counter((r["doc_id"], r["source"], r["n_tokens"], r["ids_sha256"]) for r in out.collect())
     assert got == want
+
+
+def test_stages_take_odd_and_empty_tables(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    clashing = ["score", "rows", "component_id", "_copies", "h", "token_ids", "copy"]
+    odd = odd_documents(spark, clashing)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, odd, "").columns == corpus_pipeline.COLUMNS, name
+        assert stage(spark, no_documents(spark), "").count() == 0, name
+    assert corpus_pipeline.tokenize(spark, no_documents(spark), "").count() == 0
+    assert len(corpus_pipeline.tokenize(spark, odd, "").collect()) == 14
+    kept = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, odd, "").collect()]
+    assert kept.count(None) == 2 and 2 not in kept and 4 not in kept and 5 not in kept and kept.count(10) <= 1 and 1 in kept and 3 in kept
+    letters = {r["doc_id"] for r in corpus_pipeline.language_id(spark, odd, "").collect()}
+    assert not letters & {3, 4, 5, 9} and {1, 2, 6} <= letters
+    assert len(corpus_pipeline.substring_dedup(spark, odd, "").collect()) >= 12
+    assert corpus_pipeline.mix_sources(spark, odd, "").count() > 0
