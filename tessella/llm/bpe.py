@@ -24,6 +24,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -132,9 +133,9 @@ class Codec:
         alone = np.zeros(int(m.max()) + 1, dtype=bool)
         alone[l[m < l]] = alone[r[m < r]] = True
         vocabulary = sorted((i, t.hex()) for t, i in self.tokens.items())
-        self.names = {i: str(i) for i, _ in vocabulary}
+        self.names = pa.array([str(i) for i in range(vocabulary[-1][0] + 1)])
         self._table("merges", l=l, r=r, merged=m, alone=alone[m])
-        self._table("vocabulary", id=np.array([i for i, _ in vocabulary], dtype=np.int64), hex=[h for _, h in vocabulary])
+        self._table("vocabulary", id=np.array([i for i, _ in vocabulary], dtype=np.int32), hex=[h for _, h in vocabulary])
 
     def _table(self, name: str, **columns) -> None:
         rows = pa.table(columns)  # noqa: F841
@@ -171,18 +172,19 @@ class Codec:
                 short.append(x)
             else:
                 ids = self._long(x.encode())
-                self.known.add([x], ids, np.array([len(ids)]), [self._line(ids)])
+                self.known.add([x], ids, np.array([len(ids)]), self._lines(ids, np.array([len(ids)])))
         if again:
             places = np.array([older[x] for x in again])
             self.known.add(again, *self.older.take(places), [self.older.lines[i] for i in places])
-        for i in range(0, len(short), 10_000):
-            part = short[i : i + 10_000]
+        for i in range(0, len(short), 20_000):
+            part = short[i : i + 20_000]
             flat, sizes = self._short([x.encode() for x in part])
-            ends = np.cumsum(sizes).tolist()
-            self.known.add(part, flat, sizes, [self._line(flat[a:b]) for a, b in zip([0, *ends], ends)])
+            self.known.add(part, flat, sizes, self._lines(flat, sizes))
 
-    def _line(self, ids: np.ndarray) -> str:
-        return " ".join(map(self.names.__getitem__, ids.tolist()))
+    def _lines(self, flat: np.ndarray, sizes: np.ndarray) -> list[str]:
+        """The ids of each word as text."""
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), self.names.take(pa.array(flat))), " ").to_pylist()
 
     def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Ids of all texts end to end, how many each has, and each text's ids as text; new words are learned in one go."""
@@ -203,19 +205,19 @@ class Codec:
         """The bytes of each run of ids."""
         out = [b""] * len(sizes)
         ends = np.cumsum(sizes)
-        first = 0
+        first = found = 0
         while first < len(sizes):
             begin = int(ends[first] - sizes[first])
             stop = max(first + 1, int(np.searchsorted(ends, begin + DECODED_AT_ONCE, side="right")))
             part = flat[begin : int(ends[stop - 1])]
-            self._table("ids", k=np.repeat(np.arange(first, stop), sizes[first:stop]), pos=np.arange(len(part)), id=part.astype(np.int64))
-            for k, hexed, missed in self.db.execute(
-                "SELECT k, string_agg(hex, '' ORDER BY pos), count(*) - count(hex) FROM ids LEFT JOIN vocabulary USING (id) GROUP BY k"
-            ).fetchall():
-                if missed:
-                    raise ValueError("an id is not in the vocabulary")
+            # The view of the rows in DuckDB; an id that the vocabulary lacks makes its run come out short.
+            rows = pa.table({"k": np.repeat(np.arange(first, stop, dtype=np.int32), sizes[first:stop]), "pos": np.arange(len(part), dtype=np.int32), "id": part.astype(np.int32)})  # noqa: F841
+            for k, hexed, n in self.db.execute("SELECT k, string_agg(hex, '' ORDER BY pos), count(*) FROM rows JOIN vocabulary USING (id) GROUP BY k").fetchall():
                 out[k] = bytes.fromhex(hexed)
+                found += n
             first = stop
+        if found != len(flat):
+            raise ValueError("an id is not in the vocabulary")
         return out
 
     def decode(self, many: list) -> list[bytes]:
@@ -238,7 +240,7 @@ def codec(path: str | None = None, pattern: str | None = None) -> Codec:
     return _CODECS[path, pattern]
 
 
-def _pieces(texts: list[str], size: int = 500_000) -> Iterator[list[str]]:
+def _pieces(texts: list[str], size: int = 1_000_000) -> Iterator[list[str]]:
     """Neighbouring texts, about ``size`` characters together."""
     held: list[str] = []
     n = 0
