@@ -32,6 +32,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cleared(spark: SparkSession) -> None:
+    """Delete all that this driver has staged, once the results built on it are written."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch(spark, "any")).getParent()
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def dropped(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a staged table that no plan reads any more."""
     jvm = spark.sparkContext._jvm

@@ -430,3 +430,16 @@ def test_stages_take_odd_and_empty_tables(spark):
     assert not letters & {3, 4, 5, 9} and {1, 2, 6} <= letters
     assert len(corpus_pipeline.substring_dedup(spark, odd, "").collect()) >= 12
     assert corpus_pipeline.mix_sources(spark, odd, "").count() > 0
+
+
+def test_staged_tables_are_shared_and_can_be_cleared(spark):
+    from pathlib import Path
+
+    from tessella.llm.shared import cleared, scratch, staged
+
+    df = staged(spark.range(5).toDF("k"), "kept")
+    folder = Path(df.inputFiles()[0].removeprefix("file://")).parent.parent
+    assert str(folder).startswith(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    assert scratch(spark, "a") != scratch(spark, "a") and staged(spark.range(0).toDF("k"), "none").count() == 0
+    cleared(spark)
+    assert not folder.exists()
