@@ -42,8 +42,8 @@ BLOCKS = ((0, 21), (21, 21), (42, 22))
 BLOCK = 4096
 #: From so many distinct fingerprints on, single blocks would be split into more pieces than pairs of blocks have replicas.
 WIDE_FROM = 30_000_000
-#: Neighbouring small anchors that share a task's call, where there are millions of them.
-CELL = 64
+#: Neighbouring small anchors that share a call, of thousands (single blocks) and of millions (pairs).
+CELL, WIDE_CELL = 16, 64
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
@@ -200,10 +200,11 @@ def links(prints: DataFrame, wide: bool = False) -> DataFrame:
     sizes = spread.groupBy("anchor").agg(F.count("*").alias("n")).withColumn("pieces", F.ceil(F.col("n") / BLOCK).cast("int"))
     if wide:
         met = with_groups(spread, staged(sizes.filter("pieces > 1"), "anchors"), "anchor", F.hash("f"), outer=True).withColumn("pieces", F.coalesce("pieces", F.lit(1)))
-        cell = F.when(F.col("pieces") > 1, F.col("anchor")).otherwise(-1 - F.floor(F.col("anchor") / CELL).cast("int"))
     else:
         # At most 3 x 4096 anchors, whatever the input: their pieces are a small table by construction.
-        met, cell = spread.join(F.broadcast(sizes.drop("n")), "anchor"), F.col("anchor")
+        met = spread.join(F.broadcast(sizes.drop("n")), "anchor")
+    shared = -1 - F.floor(F.col("anchor") / (WIDE_CELL if wide else CELL)).cast("int")
+    cell = F.when(F.col("pieces") > 1, F.col("anchor")).otherwise(shared)
     dealt = (
         met.withColumn("cell", cell)
         .withColumn("own", F.pmod(F.xxhash64("f"), F.col("pieces")).cast("int"))
