@@ -204,3 +204,30 @@ def test_recall_of_passes(spark):
     got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")).collect()}
     assert all(got[k] <= n for k, n in degree.items())
     assert sum(got.values()) >= 0.9 * sum(degree.values())
+
+
+def cone_with_pairs(n, pairs, dim=64, seed=11):
+    """Random unit vectors, a third of them in one cone (cosine about 0.7), the first ``pairs`` rows of either with a partner at cosine 0.905."""
+    rng = np.random.default_rng(seed)
+    m = rng.normal(size=(n, dim))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    m[: n // 3] = np.sqrt(0.7) * m[0] + np.sqrt(0.3) * m[: n // 3]
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    at = np.concatenate([np.arange(pairs), n // 3 + np.arange(pairs)])
+    aside = rng.normal(size=(2 * pairs, dim))
+    aside -= (aside * m[at]).sum(axis=1, keepdims=True) * m[at]
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    return np.concatenate([m, 0.905 * m[at] + np.sqrt(1 - 0.905**2) * aside]), at
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_planted_pairs_in_a_hot_cone(spark, monkeypatch, exact):
+    if not exact:
+        monkeypatch.setattr(vectors, "PIECE_NUMBERS", 64)  # many pieces: dealing them costs more than passes
+        monkeypatch.setattr(vectors, "WINDOWS", (64, 256))
+    m, at = cone_with_pairs(20_000, 300)
+    assert (vectors.planned(m, len(m))[0] == 0) == exact
+    df = spark.createDataFrame(list(enumerate(m.tolist())), "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["component_id"] for r in vectors.near_duplicates(df).collect()}
+    found = np.array([got[20_000 + k] == got[i] for k, i in enumerate(at)])
+    assert found.all() if exact else found[:300].mean() >= 0.97 and found[300:].mean() >= 0.98
