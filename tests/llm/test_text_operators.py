@@ -1,4 +1,5 @@
 import collections
+import decimal
 import hashlib
 import math
 import random
@@ -87,6 +88,25 @@ def test_mixing_to_given_weights(spark):
         mixing.mix(docs, weights, 1e9).count()
 
 
+def test_mixing_rare_sources_at_high_rates(spark):
+    """Rates of about 190, 900 and 1,600, by a recurrence in decimals that can't underflow."""
+    docs = spark.range(5020).selectExpr("id AS doc_id", "'t' AS text", "CASE WHEN id < 5 THEN 'a' WHEN id < 10 THEN 'b' WHEN id < 20 THEN 'c' ELSE 'd' END AS source")
+    weights = spark.createDataFrame([("a", 8000.0), ("b", 4500.0), ("c", 1900.0), ("d", 2500.0)], "source string, weight double")
+    want = {}
+    for i in range(20):
+        rate = decimal.Decimal(1600 if i < 5 else 900 if i < 10 else 190)
+        u = decimal.Decimal(int(hashlib.md5(f"{mixing.SEED}:{i}".encode()).hexdigest()[:13], 16)) / 2**52
+        p = upto = (-rate).exp()
+        k = 0
+        while upto <= u:
+            k += 1
+            p *= rate / k
+            upto += p
+        want[i] = k
+    got = collections.Counter(r["doc_id"] for r in mixing.mix(docs, weights, 16900).filter("doc_id < 20").collect())
+    assert got == want
+
+
 def test_mixing_odd_documents(spark):
     got = mixing.mix(odd_documents(spark, ["copy", "n", "weight"]), target=60).collect()
     assert got and {r["n"] for r in got} == {"kept"} and all(isinstance(r["copy"], int) for r in got)
