@@ -3,7 +3,7 @@
 A feature is the presence of a hashed character n-gram (3 to 6 characters, word ends included) anywhere in the
 whole text. Each is scaled by the log ratio of its smoothed document shares among toxic and other texts; an L2
 regularised logistic regression with balanced classes is fitted on the scaled features. The score 0.7 is then
-placed at the cut of cross-fitted margins that costs least.
+placed at the cut of cross-fitted margins that costs least over all labelled rows that the sample stands for.
 
 Defined cases: null and empty texts have no feature and get the score of the intercept; rows without a label, or
 with a null doc_id, teach nothing; if either class is missing among the labels, every score is 0; of several
@@ -90,6 +90,16 @@ def fit_rows(features: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray,
     return weights, float(b)
 
 
+def cheapest_cut(margins: np.ndarray, toxic: np.ndarray, stands_for: np.ndarray) -> float:
+    """The margin from which texts are accused at the least cost, each row counting as often as it stands for."""
+    order = np.argsort(margins, kind="stable")
+    bad, times = toxic[order] == 1, stands_for[order]
+    # A cut below position k misses the toxic ones before it and accuses the clean ones from it on.
+    cost = np.concatenate([[0], np.cumsum(bad * times)]) + ACCUSED * np.concatenate([np.cumsum((~bad * times)[::-1])[::-1], [0]])
+    k = int(np.argmin(cost[1:-1])) + 1
+    return float((margins[order[k - 1]] + margins[order[k]]) / 2)
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> ToxicityModel:
     """Fit on whole texts of a sample by hash of the labelled rows that aren't held out, bounded by the parameter."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
@@ -120,12 +130,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
             for i in np.flatnonzero(fold == k):
                 margins[i] = w[features[i]].sum(dtype=np.float64) + b
     if not np.isnan(margins).any():
-        order = np.argsort(margins, kind="stable")
-        bad = toxic[order] == 1
-        # A cut below position k misses the toxic ones before it and accuses the clean ones from it on.
-        cost = np.concatenate([[0], np.cumsum(bad)]) + ACCUSED * np.concatenate([np.cumsum(~bad[::-1])[::-1], [0]])
-        k = int(np.argmin(cost[1:-1])) + 1
-        intercept += np.log(THRESHOLD / (1 - THRESHOLD)) - (margins[order[k - 1]] + margins[order[k]]) / 2
+        # A drawn row stands for as many labelled rows as its class had for each one drawn.
+        stands_for = np.where(toxic == 1, counts[1] / toxic.sum(), counts[0] / (1 - toxic).sum())
+        intercept += np.log(THRESHOLD / (1 - THRESHOLD)) - cheapest_cut(margins, toxic, stands_for)
     return ToxicityModel(weights, float(intercept))
 
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -347,6 +348,23 @@ def test_toxicity_of_held_out_documents(spark):
     assert held[held.toxic == 1].predicted.mean() >= 0.8 and held[held.toxic == 0].predicted.mean() <= 0.03
 
 
+def test_toxicity_cut_counts_what_a_sample_stands_for(spark, monkeypatch):
+    """The cut of a class-balanced sample is that of all rows, and a fit hands over the shares of its draw."""
+    rng = np.random.default_rng(8)
+    margins, toxic = np.concatenate([rng.normal(2, 1, 20_000), rng.normal(-1, 1, 160_000)]), np.repeat([1, 0], [20_000, 160_000])
+    drawn = np.concatenate([np.arange(20_000), 20_000 + rng.choice(160_000, 20_000, replace=False)])
+    whole = toxicity.cheapest_cut(margins, toxic, np.ones(180_000))
+    assert abs(toxicity.cheapest_cut(margins[drawn], toxic[drawn], np.repeat([1.0, 8.0], 20_000)) - whole) < 0.15
+    assert abs(toxicity.cheapest_cut(margins[drawn], toxic[drawn], np.ones(40_000)) - whole) > 0.4
+    docs = spark.range(900).selectExpr("id AS doc_id", "concat('word', id % 40, IF(id % 9 = 0, ' bad', ' good')) AS text")
+    seen, cut = [], toxicity.cheapest_cut
+    monkeypatch.setattr(toxicity, "cheapest_cut", lambda *a: seen.append(a) or cut(*a))
+    toxicity.fit(docs, docs.selectExpr("doc_id", "CAST(doc_id % 9 = 0 AS INT) AS toxic"), 50)
+    n = collections.Counter(i % 9 == 0 for i in range(900) if zlib.crc32(str(i).encode()) % 3 != 1)
+    _, labels, times = seen[0]
+    assert len(labels) < 200 and np.isclose(times[labels == 1].sum(), n[True]) and np.isclose(times[labels == 0].sum(), n[False])
+
+
 def test_toxicity_of_odd_documents(spark):
     docs = odd_documents(spark, ["score", "toxic"])
     labels = spark.createDataFrame([(1, 0, 0), (2, 0, 1), (2, 0, 0), (6, 1, 0), (8, 1, 0), (None, 1, 1), (10, 1, None)], "doc_id long, quality int, toxic int")
