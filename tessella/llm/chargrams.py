@@ -18,8 +18,16 @@ def _letters() -> np.ndarray:
     return _LETTERS[0]
 
 
+def has_letter(codes: np.ndarray) -> bool:
+    """Whether one of some lower-case code points is a letter (category L); marks alone, as of emoji, are none."""
+    if len(_LETTERS) < 2:
+        _letters()
+        _LETTERS.append(np.array([unicodedata.category(chr(c))[0] == "L" for c in range(65536)]))
+    return bool(_LETTERS[1][np.minimum(codes, 65535)].any()) or any(chr(c).isalpha() for c in codes[codes > 65535].tolist())
+
+
 def letter_codes(text: str | None) -> np.ndarray:
-    """Lower-case code points of the letters, words set apart by one space, a space at either end; empty if no letter."""
+    """Lower-case code points of the letters, words set apart by one space, a space at either end; empty if no letter or mark."""
     points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     folded = _letters()[np.minimum(points, 65535)]
     for at in np.flatnonzero(points > 65535):

@@ -4,9 +4,11 @@ Features are square roots of the shares of hashed character 1- to 3-grams of the
 A one-versus-rest linear SVM picks the language family; one linear SVM for each pair of languages inside that
 family then votes. Text and labels are the only inputs of learning, text the only input of a prediction.
 
-Defined cases: a null text, or one without a letter, is ``und`` with score 0; without any labelled row every
-text is ``und``; ties go to the language that sorts first; extra columns pass through, and a column of the input
-named like an output is replaced.
+Defined cases: a null text, or one without a letter (Unicode category L: digits, emoji and lone marks are none), is
+``und`` with score 0; without any labelled row every text is ``und``; ties go to the language that sorts first; a null
+doc_id teaches nothing and isn't held out, its text is judged like any other; rows that share a doc_id are each judged by
+their own text, and each teaches if the id isn't held out; extra columns pass through, and a column of the input named
+like an output is replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.chargrams import gram_slots, letter_codes
+from tessella.llm.chargrams import gram_slots, has_letter, letter_codes
 from tessella.llm.shared import held_out, share_by_hash
 
 # Language families by ISO 639-1 code. A language that is not listed is a family of its own.
@@ -45,7 +47,7 @@ def family_of(lang: str) -> str:
 
 def features(text: str | None) -> np.ndarray | None:
     codes = letter_codes(text)
-    if not len(codes):
+    if not has_letter(codes):
         return None
     counts = np.bincount(gram_slots(codes, ORDERS, BITS, False), minlength=1 << BITS)
     return np.sqrt(counts / counts.sum())
