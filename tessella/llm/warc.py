@@ -44,6 +44,8 @@ ARCHIVE_BYTES = 32_000_000
 #: The dictionary of an archive is trained on this many of its first bytes.
 TRAINED_BYTES, DICTIONARY_BYTES, LEAST_SAMPLES = 2_000_000, 65_536, 16
 LEVEL = 3
+#: Reading tasks for each core at most; a task reads its archives one after the other.
+READS = 64
 _HEADER = re.compile(rb"([!#$%&'*+\-.^_`|~0-9A-Za-z]+):[ \t]*(.*?)[ \t]*\Z", re.S)
 
 
@@ -126,8 +128,8 @@ def _dictionary(head: bytes, stream) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(raw)
 
 
-def read_archive(uri: str, chunk: int = 1 << 20) -> Iterator[bytes]:
-    """The decoded frames of an archive, one after the other."""
+def read_archive(uri: str, chunk: int = 1 << 16) -> Iterator[bytes]:
+    """The decoded frames of an archive, one after the other. What follows a frame is copied, hence short chunks."""
     with _open(uri, "r") as stream:
         dictionary = _dictionary(stream.read(8), stream)
         context = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
@@ -245,5 +247,7 @@ def read(archives: DataFrame, payloads: bool = False) -> DataFrame:
         return pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string" + ", payload binary" * payloads
-    # One archive is the unit of reading: deal them evenly.
-    return archives.select("uri").repartition("uri").mapInPandas(records, schema)
+    # One archive is the unit of reading. Names are short, so adaptive execution would put them all into one task; a
+    # stated number of partitions is kept: one an archive, until every core has READS of them to go through.
+    parts = max(1, min(archives.count(), READS * archives.sparkSession.sparkContext.defaultParallelism))
+    return archives.select("uri").repartition(parts).mapInPandas(records, schema)
