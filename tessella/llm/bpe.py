@@ -5,10 +5,12 @@ Words are the matches of the tokenizer's pattern. Words that a worker hasn't met
 table and contracts each word's leftmost pair of minimum rank until no pair is left. Decoding joins the ids with
 the vocabulary and puts the bytes together by an ordered aggregation.
 
-Words of more than ``LONG`` bytes contract all places of their minimum-rank pair in one step where that is the
-same: merging to token c can be followed by a pair of lower rank only if c stands in a merge of a lower rank than
-its own, and such merges are contracted one at a time. A recursive query makes ``STEPS`` steps at most and is fed
-its own result until nothing changes, which bounds its rows.
+A new word is first cut wherever no token of the vocabulary can reach across, which its neighbouring bytes tell: no
+merge ever crosses such a place, so its pieces contract on their own, and runs of unspaced scripts fall into short pieces
+that come back again and again. Pieces of more than ``LONG`` bytes, many in one query, contract all places of their
+minimum-rank pair in one step where that is the same: merging to token c can be followed by a pair of lower rank only if
+c stands in a merge of a lower rank than its own, and such merges are contracted one at a time. A recursive query makes
+as many steps as keep it below ``ROWS`` rows, and what is unfinished then is fed to it again.
 
 Defined cases: a null text is empty: no ids, and decodes to no bytes; ids outside the vocabulary raise an error;
 extra columns pass through, and columns named like the outputs are replaced.
@@ -30,8 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LONG = 48
-STEPS = 64
-#: Words that a worker remembers in each of two generations. No result depends on it.
+#: Rows that a query of long pieces makes at most, and its steps at most; bytes of pieces given to it together.
+ROWS, STEPS = 4_000_000, 64
+TOGETHER = 50_000
+#: Words, and pieces of words, that a worker remembers in each of two generations. No result depends on it.
 REMEMBERED = 80_000
 #: Ids decoded by one query.
 DECODED_AT_ONCE = 250_000
@@ -82,40 +86,58 @@ WITH RECURSIVE state(w, step, pos, id) AS (
   )
   WHERE NOT gone
 ), last AS (SELECT w, max(step) AS step FROM state GROUP BY w)
-SELECT state.pos, state.id, state.step FROM state JOIN last ON state.w = last.w AND state.step = last.step ORDER BY state.pos
+SELECT state.w, state.id, state.step FROM state JOIN last ON state.w = last.w AND state.step = last.step ORDER BY state.w, state.pos
 """
 
 
 class Store:
-    """Encoded words: their ids end to end in one array, and the ids of each as text."""
+    """Encoded strings: their ids end to end in one array, and if ``named`` the ids of each as text."""
 
     def __init__(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index: dict[str | bytes, int] = {}
         self.lines: list[str] = []
         self.flat, self.used = np.zeros(1 << 16, dtype=np.int32), 0
         self.start, self.size = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
 
-    def add(self, words: list[str], flat: np.ndarray, sizes: np.ndarray, lines: list[str]) -> None:
-        n = len(self.lines)
+    def add(self, keys: list, flat: np.ndarray, sizes: np.ndarray, lines: list[str] | None = None) -> None:
+        n = len(self.index)
         while len(self.flat) < self.used + len(flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while len(self.size) < n + len(words):
+        while len(self.size) < n + len(keys):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
         self.flat[self.used : self.used + len(flat)] = flat
-        self.size[n : n + len(words)] = sizes
-        self.start[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.size[n : n + len(keys)] = sizes
+        self.start[n : n + len(keys)] = self.used + np.cumsum(sizes) - sizes
         self.used += len(flat)
-        self.index.update(zip(words, range(n, n + len(words))))
-        self.lines.extend(lines)
+        self.index.update(zip(keys, range(n, n + len(keys))))
+        self.lines.extend(lines or ())
 
     def take(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the words at ``places`` end to end, and how many each has."""
+        """The ids of the strings at ``places`` end to end, and how many each has."""
         sizes = self.size[places]
         ends = np.cumsum(sizes)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[places] - (ends - sizes), sizes)
         return self.flat[at], sizes
 
 
+def reaches(tokens) -> np.ndarray:
+    """By three bytes: 1 if a token holds them in a row, 2 if one begins with them; by two bytes (times 65536 more): 4 if they are a token."""
+    table = np.zeros(1 << 24, dtype=np.uint8)
+    longer = [t for t in tokens if len(t) > 2]
+    joined = np.frombuffer(b"".join(longer), dtype=np.uint8).astype(np.int32)
+    ends = np.cumsum([len(t) for t in longer])
+    whole = np.ones(len(joined), dtype=bool)
+    whole[ends - 1] = whole[ends - 2] = False
+    at = np.flatnonzero(whole)
+    table[joined[at] << 16 | joined[at + 1] << 8 | joined[at + 2]] |= 1
+    at = ends - [len(t) for t in longer]
+    table[joined[at] << 16 | joined[at + 1] << 8 | joined[at + 2]] |= 2
+    for t in tokens:
+        if len(t) == 2:
+            table[t[0] << 16 | t[1] << 8 : (t[0] << 16 | t[1] << 8) + 256] |= 4
+    return table
+
+
 class Codec:
     """One vocabulary in one DuckDB connection, which keeps to memory and one thread."""
 
@@ -125,6 +147,8 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.single = np.array([self.tokens[bytes([i])] for i in range(256)], dtype=np.int32)
         self.known, self.older = Store(), Store()
+        self.pieces, self.older_pieces = Store(), Store()
+        self.reach = reaches(self.tokens)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         merged = [
             (self.tokens[t[:i]], self.tokens[t[i:]], rank) for t, rank in self.tokens.items() for i in range(1, len(t)) if t[:i] in self.tokens and t[i:] in self.tokens
@@ -149,37 +173,80 @@ class Codec:
         got = self.db.sql(f"SELECT * FROM ({_CONTRACT_LEFTMOST}) ORDER BY w").to_arrow_table().combine_chunks()["ids"].combine_chunks()
         return got.flatten().to_numpy(), got.value_lengths().to_numpy()
 
-    def _long(self, word: bytes) -> np.ndarray:
-        """Ids of one word; its places of the pair of least rank are contracted together where that is the same."""
-        ids = self.single[np.frombuffer(word, dtype=np.uint8)]
-        while True:
-            self._table("tokens", w=np.zeros(len(ids), dtype=np.int64), pos=np.arange(len(ids)), id=ids.astype(np.int64))
-            got = self.db.execute(_CONTRACT_ALL_PLACES.format(steps=STEPS)).fetchnumpy()
-            ids = np.asarray(got["id"])
-            if got["step"][0] < STEPS:
-                return ids
+    def _long(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of each word; the places of a word's pair of least rank are contracted together where that is the same."""
+        now = {w: self.single[np.frombuffer(x, dtype=np.uint8)].astype(np.int64) for w, x in enumerate(words)}
+        done: dict[int, np.ndarray] = {}
+        while now:
+            sizes = [len(x) for x in now.values()]
+            steps = max(1, min(STEPS, ROWS // sum(sizes)))
+            self._table("tokens", w=np.repeat(list(now), sizes), pos=np.concatenate([np.arange(n) for n in sizes]), id=np.concatenate(list(now.values())))
+            got = self.db.execute(_CONTRACT_ALL_PLACES.format(steps=steps)).fetchnumpy()
+            w, ids, step = (np.asarray(got[x]) for x in ("w", "id", "step"))
+            starts = np.flatnonzero(np.diff(w, prepend=-1))
+            parts = {int(w[a]): (ids[a:b], step[a]) for a, b in zip(starts, [*starts[1:], len(w)])}
+            done |= {k: x for k, (x, last) in parts.items() if last < steps}
+            now = {k: x for k, (x, last) in parts.items() if last >= steps}
+        return [done[w] for w in range(len(words))]
+
+    def cuts(self, joined: np.ndarray) -> np.ndarray:
+        """For each byte but the last, whether no token can hold it and the next."""
+        none = np.zeros(2, dtype=np.int32)
+        code = np.concatenate([joined, none]).astype(np.int32)
+        found = self.reach[code[:-2] << 16 | code[1:-1] << 8 | code[2:]]
+        # A token over the place between i and i + 1 holds i - 1 too, or begins at i: it is those two bytes or longer.
+        across = found[:-1] & 4 > 0
+        across[:-1] |= found[:-2] & 2 > 0
+        across[1:] |= found[:-2] & 1 > 0
+        return ~across
+
+    def _learn_pieces(self, pieces: set[bytes]) -> None:
+        if len(self.pieces.index) > REMEMBERED:
+            self.older_pieces, self.pieces = self.pieces, Store()
+        older = self.older_pieces.index
+        new = pieces.difference(self.pieces.index)
+        again = [x for x in new if x in older]
+        if again:
+            self.pieces.add(again, *self.older_pieces.take(np.array([older[x] for x in again])))
+            new.difference_update(again)
+        short = [x for x in new if len(x) <= LONG]
+        for i in range(0, len(short), 20_000):
+            self.pieces.add(short[i : i + 20_000], *self._short(short[i : i + 20_000]))
+        long = [x for x in new if len(x) > LONG]
+        group = np.cumsum([len(x) for x in long]) // TOGETHER
+        for k in np.unique(group):
+            part = [long[i] for i in np.flatnonzero(group == k)]
+            got = self._long(part)
+            self.pieces.add(part, np.concatenate(got), np.array([len(g) for g in got]))
 
     def learn(self, words: set[str]) -> None:
         """Encode the words that aren't known yet; of two generations of known words, the older is forgotten when the younger is full."""
         if len(self.known.lines) > REMEMBERED:
             self.older, self.known = self.known, Store()
-        older, short = self.older.index, []
-        again = []
-        for x in words.difference(self.known.index):
-            if x in older:
-                again.append(x)
-            elif len(x.encode()) <= LONG:
-                short.append(x)
-            else:
-                ids = self._long(x.encode())
-                self.known.add([x], ids, np.array([len(ids)]), self._lines(ids, np.array([len(ids)])))
+        older = self.older.index
+        new = words.difference(self.known.index)
+        again = [x for x in new if x in older]
         if again:
             places = np.array([older[x] for x in again])
             self.known.add(again, *self.older.take(places), [self.older.lines[i] for i in places])
-        for i in range(0, len(short), 20_000):
-            part = short[i : i + 20_000]
-            flat, sizes = self._short([x.encode() for x in part])
-            self.known.add(part, flat, sizes, self._lines(flat, sizes))
+            new.difference_update(again)
+        fresh = list(new)
+        for i in range(0, len(fresh), 20_000):
+            self._learn_words(fresh[i : i + 20_000])
+
+    def _learn_words(self, words: list[str]) -> None:
+        raw = [x.encode() for x in words]
+        joined = b"".join(raw)
+        ends = np.cumsum([len(x) for x in raw])
+        last = self.cuts(np.frombuffer(joined, dtype=np.uint8))
+        last = np.append(last, True)
+        last[ends - 1] = True
+        stops = np.flatnonzero(last) + 1
+        pieces = [joined[a:b] for a, b in zip([0, *stops.tolist()], stops.tolist())]
+        self._learn_pieces(set(pieces))
+        flat, sizes = self.pieces.take(np.fromiter(map(self.pieces.index.__getitem__, pieces), dtype=np.int64, count=len(pieces)))
+        total = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.searchsorted(stops, ends, side="right")])]
+        self.known.add(words, flat, np.diff(total), self._lines(flat, np.diff(total)))
 
     def _lines(self, flat: np.ndarray, sizes: np.ndarray) -> list[str]:
         """The ids of each word as text."""
