@@ -12,9 +12,9 @@ from pyspark.sql.types import DoubleType
 from tessella.functions.values import mixed_date
 
 # Registry sites and histology ranges.
-PAIRED_SITES = "C50 C34 C64 C69 C62 C56 C74 C07 C09 C30 C44 C47 C49 C70 C71 C72 C40 C41".split()
-MALE_SITES = "C61 C62 C63".split()
-FEMALE_SITES = "C53 C54 C55 C56 C57 C58".split()
+PAIRED_SITES = ("C50", "C34", "C64", "C69", "C62", "C56", "C74", "C07", "C09", "C30", "C44", "C47", "C49", "C70", "C71", "C72", "C40", "C41")
+MALE_SITES = ("C61", "C62", "C63")
+FEMALE_SITES = ("C53", "C54", "C55", "C56", "C57", "C58")
 HISTOLOGY_RANGES = {"melanoma": (8720, 8790), "myeloma": (9731, 9734), "lymphoma": (9590, 9729), "leukemia": (9800, 9948)}
 #: First characters of ICD-10-CM codes by chapter.
 CHAPTERS = (
@@ -52,14 +52,15 @@ def resolved(values: DataFrame, table: DataFrame, value: str, keys: list[str] =
         .unionByName(table.select(*keys, F.col("code").alias("_code"), F.lit(CONFIDENCE["description"]).alias("_sure"), F.concat(F.lit("d:"), F.lower("description")).alias("_at")))
     )
     best = offers.groupBy(*keys, "_at").agg(F.max("_sure").alias("_sure"), F.min("_code").alias("_code"))
+    # Each distinct value is resolved once, by one join of its three keys; empty values take part in no join.
     v = F.trim(F.col(value))
-    out = values
-    for k, at in enumerate((v, F.concat(F.lit("c:"), F.lower(v)), F.concat(F.lit("d:"), F.lower(v)))):
-        tier = best.withColumnsRenamed({"_at": f"_at{k}", "_sure": f"_sure{k}", "_code": f"_code{k}"})
-        out = out.withColumn(f"_at{k}", F.when(v != "", at)).join(tier, [*keys, f"_at{k}"], "left")
-    code = F.coalesce("_code0", "_code1", "_code2")
-    sure = F.coalesce("_sure0", "_sure1", "_sure2", F.lit(0.0))
-    return out.withColumn("resolved_code", code).withColumn("resolution_confidence", sure).select(*values.columns, "resolved_code", "resolution_confidence")
+    asked = values.select(*keys, v.alias("_v")).filter("_v <> ''").distinct()
+    ways = F.explode(F.array(F.col("_v"), F.concat(F.lit("c:"), F.lower("_v")), F.concat(F.lit("d:"), F.lower("_v")))).alias("_at")
+    found = asked.select(*keys, "_v", ways).join(best, [*keys, "_at"]).groupBy(*keys, "_v").agg(F.max_by("_code", "_sure").alias("_code"), F.max("_sure").alias("_sure"))
+    # A random text that stands in for empty ones deals them evenly and meets nothing.
+    nothing = F.concat(F.lit("\u0000"), F.monotonically_increasing_id().cast("string"))
+    out = values.withColumn("_v", F.when(v != "", v).otherwise(nothing)).join(found, [*keys, "_v"], "left")
+    return out.withColumn("resolved_code", F.col("_code")).withColumn("resolution_confidence", F.coalesce("_sure", F.lit(0.0))).select(*values.columns, "resolved_code", "resolution_confidence")
 
 
 def expanded(query: Column) -> Column:
@@ -67,15 +68,33 @@ def expanded(query: Column) -> Column:
     return F.regexp_replace(query, r"(?<!\S)(cancers?)(?!\S)", "$1 malignant neoplasm carcinoma tumor")
 
 
+# Words that stand in very many descriptions and tell nothing.
+BOILERPLATE = (
+    "the", "of", "in", "and", "or", "with", "by", "to", "for", "malignant", "neoplasm", "unspecified", "disease", "disorder", "value", "volume", "mass", "type", "other", "not",
+    "elsewhere", "classified", "nos", "finding", "procedure", "qualifier", "tumor", "tumour", "carcinoma",
+)
+
+
+def partial_ratio(a: str, b: str) -> float:
+    """0 to 1: how like the shorter text is to the part of the longer that it fits best."""
+    short, long = sorted((a, b), key=len)
+    if not short:
+        return 0.0
+    if short in long:
+        return 1.0
+    starts = {max(0, m.b - m.a) for m in SequenceMatcher(None, short, long, autojunk=False).get_matching_blocks()}
+    return max(SequenceMatcher(None, short, long[s : s + len(short)], autojunk=False).ratio() for s in starts)
+
+
 def similarity(a: str, b: str) -> float:
-    """0 to 100: the better of whole and token-set likeness; no shared token costs two fifths."""
+    """0 to 100: the better of partial and token-set likeness; no shared word beside boilerplate costs two fifths."""
     a, b = a.lower(), b.lower()
-    whole = SequenceMatcher(None, a, b).ratio()
     x, y = set(a.split()), set(b.split())
     shared = " ".join(sorted(x & y))
     left, right = " ".join([shared, *sorted(x - y)]).strip(), " ".join([shared, *sorted(y - x)]).strip()
-    tokens = max((SequenceMatcher(None, p, q).ratio() for p, q in ((shared, left), (shared, right), (left, right)) if p and q), default=0.0)
-    return 100 * max(whole, tokens) * (1.0 if x & y else 0.6)
+    tokens = max((SequenceMatcher(None, p, q, autojunk=False).ratio() for p, q in ((shared, left), (shared, right), (left, right)) if p and q), default=0.0)
+    told, known = x - set(BOILERPLATE), y - set(BOILERPLATE)
+    return 100 * max(partial_ratio(a, b), tokens) * (0.6 if told and known and not told & known else 1.0)
 
 
 @F.pandas_udf(DoubleType())
@@ -84,12 +103,22 @@ def fuzzy_score(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def fuzzy_top(values: DataFrame, table: DataFrame, value: str, limit: int = 5, cutoff: float = FUZZY_CUTOFF) -> DataFrame:
-    """(value, code, score): best codes for each distinct value among those that share a token with it."""
-    left = values.select(value).filter(F.col(value).isNotNull()).distinct().withColumn("_t", F.explode(F.array_distinct(F.split(F.lower(value), r"\s+"))))
-    right = table.select("code", "description").withColumn("_t", F.explode(F.array_distinct(F.split(F.lower("description"), r"\s+"))))
+    """(value, code, score): best codes for each distinct value among those that share a telling word with it.
+
+    Boilerplate doesn't bring two texts together, unless a text holds nothing else.
+    """
+
+    def words(text: str):
+        every = F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != ""))
+        telling = F.array_except(every, F.array(*map(F.lit, BOILERPLATE)))
+        return F.explode(F.when(F.size(telling) > 0, telling).otherwise(every)).alias("_t")
+
+    left = values.select(value).filter(F.col(value).isNotNull()).distinct().select(value, words(value))
+    right = table.select("code", "description", words("description"))
     pairs = left.join(right, "_t").select(value, "code", "description").distinct().withColumn("score", fuzzy_score(value, "description"))
+    best = pairs.filter(F.col("score") >= cutoff).groupBy(value, "code").agg(F.max("score").alias("score"))
     rank = Window.partitionBy(value).orderBy(F.desc("score"), "code")
-    return pairs.filter(F.col("score") >= cutoff).withColumn("_n", F.row_number().over(rank)).filter(F.col("_n") <= limit).select(value, "code", "score")
+    return best.withColumn("_n", F.row_number().over(rank)).filter(F.col("_n") <= limit).select(value, "code", "score")
 
 
 def schema_of(site: Column, histology: Column, schemas: dict[str, str]) -> Column:

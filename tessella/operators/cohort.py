@@ -78,13 +78,25 @@ def surrogate_ids(df: DataFrame, key: str, prefix: str = "patient", name: str =
     return numbered(ids, "_text").select(key, F.format_string(f"{prefix}_%06d", F.col("_rank")).alias(name))
 
 
+#: Ranges that a global numbering is dealt into.
+RANGES = 256
+
+
 def numbered(df: DataFrame, order: str, start: int = 1, name: str = "_rank") -> DataFrame:
-    """``df`` with dense global numbers by a column without ties."""
-    parts = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()).persist()
+    """``df`` with dense global numbers by a text column without ties.
+
+    Borders between ranges are texts of the column itself, from a sample by hash; rows are counted by range, numbered
+    inside, and offset by the ranges before. Nothing is kept in memory, and a retry deals the rows alike.
+    """
+    sampled = df.select(order).filter(F.pmod(F.xxhash64(order), F.lit(1 << 20)) < F.lit(max(1, (64 * RANGES << 20) // max(df.count(), 1))))
+    texts = sorted(r[0] for r in sampled.limit(256 * RANGES).collect())
+    bounds = sorted({texts[i * len(texts) // RANGES] for i in range(1, RANGES)}) if texts else []
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < F.col(order))) if bounds else F.lit(0)
+    parts = df.withColumn("_part", part)
     sizes = sorted((r["_part"], r["n"]) for r in parts.groupBy("_part").agg(F.count("*").alias("n")).collect())
     offsets, total = [], start
-    for part, n in sizes:
-        offsets.append((part, total))
+    for p, n in sizes:
+        offsets.append((p, total))
         total += n
     table = df.sparkSession.createDataFrame(offsets, "_part int, _offset long")
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(order))

@@ -16,50 +16,104 @@ from tessella.functions import text
 from tessella.functions.values import capped_age, coerced_date, shifted_date, stable_index, stable_shift
 from tessella.operators.cohort import extended_manifest
 
-# Column names by what they hold.
-PATIENT_IDS = "patient_id patientid record_id person_id subject_id".split()
-MRN_NAMES = "mrn medical_record_number med_rec".split()
-BIRTH_NAMES = "dob birth_date birthdate date_of_birth".split()
-AGE_NAMES = "age patient_age age_at_visit age_at_diagnosis".split()
-TEXT_MARKERS = "text note notes comment comments evidence blurb summary narrative finding findings impression description reason".split()
-NOT_PERSONS = "biomarker cancer diagnosis disease drug facility gene histology hospital institution lab med medication procedure provider regimen test therapy tumor".split()
-IDENTIFIERS = "email phone fax ssn address street zip postal city county url ip".split()
-SAMPLE = 100
+# Column names, and words in them, by what they hold.
+PATIENT_IDS = (
+    "patient_id", "patientid", "pat_id", "record_id", "subject_id", "subjectid", "person_id", "personid", "empi", "enterprise_id", "study_id", "participant_id", "case_id",
+)
+MRN_NAMES = ("mrn", "medical_record_number", "medicalrecordnumber", "medrecnum", "med_rec")
+BIRTH_NAMES = ("dob", "date_of_birth", "birth_date", "birthdate", "patient_dob")
+AGE_NAMES = ("age", "patient_age", "age_at_visit", "age_at_diagnosis")
+FIRST_WORDS, LAST_WORDS, MIDDLE_WORDS = ("first", "given", "fname"), ("last", "family", "surname", "lname"), ("middle", "mname")
+PERSON_NAMES = (
+    "name", "patient_name", "full_name", "person_name", "first_name", "first_nm", "last_name", "last_nm", "middle_name", "middle_nm", "fname", "lname", "mname",
+)
+PERSON_WORDS = ("name", "patient", "person", "member", "subject")
+NOT_PERSONS = (
+    "biomarker", "cancer", "diagnosis", "disease", "drug", "facility", "gene", "histology", "hospital", "institution", "lab", "med", "medication", "procedure", "provider",
+    "regimen", "test", "therapy", "tumor", "doctor", "physician",
+)
+IDENTIFIERS = (
+    "phone", "mobile", "email", "ssn", "social_security", "address", "street", "city", "zip", "zipcode", "zip_code", "postal", "county", "fax", "insurance", "policy", "account",
+    "acct", "accession",
+)
+STATE_NAMES = ("state", "patient_state", "address_state", "mailing_state")
+TEXT_WORDS = (
+    "text", "note", "notes", "comment", "comments", "evidence", "blurb", "summary", "narrative", "finding", "findings", "impression", "description", "reason",
+)
+#: Words of our own: network addresses, and times beside dates.
+MORE_IDENTIFIERS = ("ip", "url")
+DATE_WORDS = ("date", "dt", "datetime", "timestamp")
+#: From so many characters on average, with spaces in half the values, a column of mostly different values is free text.
+TEXT_LENGTH = 25
 DATES = re.compile(r"\b\d{4}-\d{1,2}-\d{1,2}\b|\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b")
 FIRST_NAMES = {"f": "Alda Brisa Celia Dagny Edda Flora Greta Hilde".split(), "m": "Anders Boris Casper Dario Emil Falk Gustav Henrik".split(), "": "Ari Blair Casey Devon Eden Finley Gray Harper".split()}
 LAST_NAMES = "Abel Birk Corder Dahl Elster Farrow Gale Holm Ivers Jarl Keller Lund".split()
 
 
 def classified(df: DataFrame, hints: dict[str, str] | None = None) -> dict[str, str]:
-    """Each column's class: patient_id, mrn, name, birth_date, date, age, text, drop or keep; one sample of rows decides on values."""
+    """Each column's class: patient_id, mrn, name, birth_date, date, age, text, drop or keep.
+
+    A name that says what a column holds decides; the values of all other columns are measured by one aggregate over
+    all rows. ``hints``: classes by column, which go before all rules.
+    """
     hints = {k.lower(): v for k, v in (hints or {}).items()}
-    sample = df.limit(SAMPLE).toPandas()
-    return {c: hints.get(c.lower()) or _class(c, sample[c].dropna().astype(str)) for c in df.columns}
-
-
-def _class(column: str, values: pd.Series) -> str:
-    norm = re.sub("[^a-z0-9]+", "_", column.lower()).strip("_")
-    marks = set(norm.split("_"))
-    share = lambda pattern: values.str.contains(pattern, regex=True).mean() if len(values) else 0.0
-    if norm in PATIENT_IDS or {"patient", "id"} <= marks:
-        return "patient_id"
-    if norm in MRN_NAMES or "mrn" in marks:
-        return "mrn"
-    if norm in BIRTH_NAMES:
-        return "birth_date"
-    if norm in AGE_NAMES or norm.startswith("age_") or norm.endswith("_age"):
-        return "age"
-    if "name" in marks and not marks & set(NOT_PERSONS):
-        return "name"
-    if marks & set(IDENTIFIERS):
-        return "drop"
-    if marks & {"date", "dt", "datetime", "timestamp"} or share(r"^\s*(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}/\d{1,2}/\d{2,4})") >= 0.8:
-        return "date"
-    if marks & set(TEXT_MARKERS) or (len(values) and values.str.len().mean() > 60):
-        return "text"
-    if share(f"{text.EMAIL.replace('(?i)', '(?:')})|{text.PHONE}|{text.SSN}") >= 0.2:
-        return "drop"
-    return "keep"
+    found = {c: hints.get(c.lower()) or class_by_name(c) for c in df.columns}
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    found |= {c: "date" for c, k in found.items() if k is None and kinds[c] in ("date", "timestamp", "timestamp_ntz")}
+    return found | class_by_values(df, [c for c, k in found.items() if k is None])
+
+
+def class_by_name(column: str) -> str | None:
+    """The class that a column's name tells, if it does."""
+    norm = re.sub("[^a-z0-9]+", "_", column.strip().lower()).strip("_")
+    words = set(norm.split("_"))
+    person = not words & set(NOT_PERSONS) and ("name" in words or words & {*FIRST_WORDS, *LAST_WORDS, *MIDDLE_WORDS} and words & set(PERSON_WORDS))
+    rules = (
+        ("patient_id", norm in PATIENT_IDS or {"patient", "id"} <= words),
+        ("mrn", norm in MRN_NAMES or "mrn" in words),
+        ("birth_date", norm in BIRTH_NAMES),
+        ("age", norm in AGE_NAMES or norm.startswith("age_") or norm.endswith("_age")),
+        ("name", norm in PERSON_NAMES or person),
+        ("drop", norm in STATE_NAMES or norm in IDENTIFIERS or words & {*IDENTIFIERS, *MORE_IDENTIFIERS}),
+        ("date", words & set(DATE_WORDS)),
+        ("text", words & set(TEXT_WORDS)),
+    )
+    return next((kind for kind, fits in rules if fits), None)
+
+
+def class_by_values(df: DataFrame, columns: list[str]) -> dict[str, str]:
+    """date, text, drop or keep, from shares of all non-blank values; one pass over the table."""
+    if not columns:
+        return {}
+    measures = []
+    for i, c in enumerate(columns):
+        v = text.clean_scalar(F.col(f"`{c}`").cast("string"))
+        measures += [
+            F.count(v).alias(f"n{i}"), F.avg(F.length(v)).alias(f"length{i}"), F.avg(v.contains(" ").cast("int")).alias(f"spaced{i}"), F.approx_count_distinct(v).alias(f"distinct{i}"),
+            F.avg(v.rlike(r"^(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[/-]\d{1,2}[/-]\d{2,4})(?:[ T].*)?$").cast("int")).alias(f"dates{i}"),
+            F.avg((v.rlike(text.EMAIL) | v.rlike(text.PHONE) | v.rlike(text.SSN)).cast("int")).alias(f"contacts{i}"),
+        ]
+    row = df.agg(*measures).first()
+
+    def judged(i: int) -> str:
+        n = row[f"n{i}"]
+        if not n:
+            return "keep"
+        if row[f"dates{i}"] >= 0.8:
+            return "date"
+        # Different from one another: half of them, or fifty different ones in a long table.
+        varied = row[f"distinct{i}"] >= 0.5 * min(n, 100)
+        if row[f"length{i}"] >= TEXT_LENGTH and row[f"spaced{i}"] >= 0.5 and varied or row[f"length{i}"] > 60:
+            return "text"
+        return "drop" if row[f"contacts{i}"] >= 0.2 else "keep"
+
+    return {c: judged(i) for i, c in enumerate(columns)}
+
+
+def name_part(column: str) -> str:
+    """first, last, middle or full: which part of a name a column holds."""
+    words = set(re.sub("[^a-z0-9]+", "_", column.lower()).strip("_").split("_"))
+    return next((part for part, marks in (("first", FIRST_WORDS), ("last", LAST_WORDS), ("middle", MIDDLE_WORDS)) if words & set(marks)), "full")
 
 
 def identity_key(patient_id: Column | None, mrn: Column | None, *names: Column) -> Column:
@@ -76,15 +130,17 @@ def identity_key(patient_id: Column | None, mrn: Column | None, *names: Column)
 
 
 def identities(keys: DataFrame, salt: str, days: int, manifest: DataFrame | None = None) -> DataFrame:
-    """(identity, number, patient_id, first_name, last_name, shift) for keys (identity, sex); known numbers stay."""
+    """(identity, number, patient_id, first_name, last_name, middle_name, shift) for keys (identity, sex); known numbers stay."""
     spark = keys.sparkSession
     known = manifest.select("identity", "number") if manifest is not None else spark.createDataFrame([], "identity string, number long")
-    sex = keys.groupBy("identity").agg(F.min(F.lower(F.substring("sex", 1, 1))).alias("sex"))
+    given = F.lower(F.trim("sex"))
+    sex = keys.groupBy("identity").agg(F.min(F.when(given.isin("f", "female", "woman", "w"), "f").when(given.isin("m", "male", "man"), "m")).alias("sex"))
     numbered = extended_manifest(known, keys, "identity").join(sex, "identity", "left")
     pick = lambda pool, tag: F.get(F.array(*map(F.lit, pool)), stable_index(len(pool), F.lit(salt), F.lit(tag), F.col("identity")))
     first = F.when(F.col("sex") == "f", pick(FIRST_NAMES["f"], "first")).when(F.col("sex") == "m", pick(FIRST_NAMES["m"], "first")).otherwise(pick(FIRST_NAMES[""], "first"))
     return numbered.select(
         "identity", "number", F.format_string("P%06d", F.col("number")).alias("patient_id"), first.alias("first_name"), pick(LAST_NAMES, "last").alias("last_name"),
+        F.char(F.lit(65) + stable_index(26, F.lit(salt), F.lit("middle"), F.col("identity"))).alias("middle_name"),
         stable_shift(days, F.lit(salt), F.lit("shift"), F.col("identity")).alias("shift"),
     )
 
@@ -134,7 +190,8 @@ def deidentified(df: DataFrame, classes: dict[str, str], known: DataFrame, sex:
         elif kind == "mrn":
             out.append(F.format_string("MRN%06d", F.col("_k_number")).alias(c))
         elif kind == "name":
-            out.append((F.col("_k_first_name") if "first" in c.lower() else F.col("_k_last_name") if "last" in c.lower() else F.concat_ws(" ", "_k_first_name", "_k_last_name")).alias(c))
+            shown = {"first": F.col("_k_first_name"), "last": F.col("_k_last_name"), "middle": F.col("_k_middle_name")}
+            out.append(shown.get(name_part(c), F.concat_ws(" ", "_k_first_name", "_k_last_name")).alias(c))
         elif kind == "date":
             out.append(shifted_date(F.col(c).cast("string"), F.col("_k_shift")).alias(c))
         elif kind == "age":

@@ -6,10 +6,13 @@ import math
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.stats import crosstab_statistic, range_bounds, running
+
 
 def welch(df: DataFrame, value: str, first_group: Column) -> DataFrame:
     """Welch's t and its degrees of freedom."""
@@ -34,6 +37,23 @@ def fisher(df: DataFrame, exposed: Column, outcome: Column) -> float:
     return fisher_p(*df.agg(of(1, 1), of(1, 0), of(0, 1), of(0, 0)).first())
 
 
+def association(df: DataFrame, a: str, b: str) -> dict:
+    """How two columns hang together: Fisher's exact test if a two-by-two table has a cell under 5, else Pearson's chi-square.
+
+    ``method``, ``p``, and for chi-square ``statistic`` and ``degrees``; p is None where a larger table leaves it to a
+    table of the distribution. Rows with a null in either column don't count.
+    """
+    cells = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("n")).limit(5).collect()
+    rows, columns = sorted({r[a] for r in cells}), sorted({r[b] for r in cells})
+    if len(rows) == len(columns) == 2:
+        n = {(r[a], r[b]): r["n"] for r in cells}
+        four = [n.get((x, y), 0) for x in rows for y in columns]
+        if min(four) < 5:
+            return {"method": "fisher", "p": fisher_p(*four)}
+    statistic, degrees = crosstab_statistic(df, a, b).first()
+    return {"method": "chi-square", "statistic": statistic, "degrees": degrees, "p": math.erfc(math.sqrt(max(statistic, 0.0) / 2)) if degrees == 1 else None}
+
+
 def logistic(df: DataFrame, label: str, covariates: list[str]) -> dict[str, float]:
     """Coefficients of an unpenalised logistic regression."""
     rows = VectorAssembler(inputCols=covariates, outputCol="_x", handleInvalid="skip").transform(df).select("_x", F.col(label).cast("double").alias("_y"))
@@ -49,7 +69,7 @@ def cox(df: DataFrame, time: str, event: str, covariates: list[str], rounds: int
     p = len(covariates)
     x = [F.col(c).cast("double") for c in covariates]
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    beta = np.zeros(p)
+    beta, bounds = np.zeros(p), range_bounds(df.select(F.col(time).alias("t")).distinct(), "t")
     for _ in range(rounds):
         risk = F.exp(sum((F.lit(float(b)) * c for b, c in zip(beta, x)), F.lit(0.0)))
         e = F.col(event).cast("double")
@@ -57,9 +77,9 @@ def cox(df: DataFrame, time: str, event: str, covariates: list[str], rounds: int
             F.sum(e).alias("d"), F.sum(risk).alias("s0"), *(F.sum(risk * c).alias(f"s1_{i}") for i, c in enumerate(x)),
             *(F.sum(risk * x[i] * x[j]).alias(f"s2_{i}_{j}") for i, j in pairs), *(F.sum(e * c).alias(f"o_{i}") for i, c in enumerate(x)),
         )
-        later = Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
         names = ["s0", *(f"s1_{i}" for i in range(p)), *(f"s2_{i}_{j}" for i, j in pairs)]
-        risks = sums.select("d", *(f"o_{i}" for i in range(p)), *(F.sum(n).over(later).alias(n) for n in names)).filter("d > 0")
+        later = running(sums, "t", {f"r_{n}": ("sum", F.col(n)) for n in names}, descending=True, bounds=bounds)
+        risks = later.select("d", *(f"o_{i}" for i in range(p)), *(F.col(f"r_{n}").alias(n) for n in names)).filter("d > 0")
         mean = [F.col(f"s1_{i}") / F.col("s0") for i in range(p)]
         row = risks.agg(
             *(F.sum(F.col(f"o_{i}") - F.col("d") * mean[i]) for i in range(p)), *(F.sum(F.col("d") * (F.col(f"s2_{i}_{j}") / F.col("s0") - mean[i] * mean[j])) for i, j in pairs)
@@ -80,6 +100,21 @@ def ranked_genes(df: DataFrame, name: str, score: str) -> DataFrame:
     return df.filter(F.col(score).isNotNull() & F.col(name).isNotNull()).groupBy(name).agg(F.max(score).alias(score)).orderBy(F.desc(score), name)
 
 
+def principal_components(df: DataFrame, cell: str, counts: str, k: int, genes: int = 2000, scale: float = 10_000.0) -> DataFrame:
+    """(cell, components): counts scaled to one total, log1p, the most variable genes, and their first ``k`` principal components.
+
+    Variances are one aggregate over (gene, value) pairs of non-zero counts; the covariance is as large as the genes kept.
+    """
+    total = F.aggregate(counts, F.lit(0.0), lambda s, v: s + v)
+    logs = df.filter(total > 0).select(cell, F.transform(counts, lambda v: F.log1p(v * scale / total)).alias("_logs"))
+    n = logs.count()
+    sums = logs.select(F.posexplode("_logs").alias("gene", "v")).filter("v <> 0").groupBy("gene").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
+    kept = sorted(r["gene"] for r in sums.orderBy(F.desc(F.col("q") - F.col("s") * F.col("s") / max(n, 1)), "gene").limit(genes).collect())
+    rows = logs.select(cell, array_to_vector(F.array(*(F.get("_logs", F.lit(g)) for g in kept))).alias("_x"))
+    fit = PCA(k=min(k, len(kept)), inputCol="_x", outputCol="_y").fit(rows)
+    return fit.transform(rows).select(cell, vector_to_array("_y").alias("components"))
+
+
 def cell_quality(df: DataFrame, cell: str, counts: str, genes: list[int], least: int, most_share: float) -> DataFrame:
     """Cells with at least ``least`` genes seen and at most a share of counts in ``genes``."""
     total = F.aggregate(counts, F.lit(0.0), lambda s, v: s + v)

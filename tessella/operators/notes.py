@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -15,19 +16,25 @@ PATIENT_FIELDS_LEVEL = -1
 
 def pieces_at_boundaries(text: str, size: int, overlap: int = 0, marker: str = "\n--- ", reach: int = 2000) -> list[str]:
     """Pieces of at most ``size`` characters; an end moves back to the last marker within reach; neighbours overlap."""
-    if size <= 0 or len(text) <= size:
-        return [text] if text else []
-    out, start = [], 0
-    while start < len(text):
-        end = start + size
-        if end < len(text):
-            found = text.rfind(marker, max(start, end - reach), end)
-            end = found if found > start else end
-        out.append(text[start:end])
-        if end >= len(text):
-            return out
-        start = max(start + 1, end - overlap)
-    return out
+    if not text:
+        return []
+    if size <= 0:
+        return [text]
+    # Ends are looked up among all places of the marker, found once.
+    marks = [m.start() for m in re.finditer(f"(?={re.escape(marker)})", text)]
+
+    def end_of(start: int) -> int:
+        hard = start + size
+        if hard >= len(text):
+            return len(text)
+        k = bisect.bisect_right(marks, hard - len(marker)) - 1
+        return marks[k] if k >= 0 and marks[k] > start and marks[k] >= hard - reach else hard
+
+    ends = [(0, end_of(0))]
+    while ends[-1][1] < len(text):
+        begin = max(ends[-1][0] + 1, ends[-1][1] - overlap)
+        ends.append((begin, end_of(begin)))
+    return [text[a:b] for a, b in ends]
 
 
 def chunked_notes(notes: DataFrame, text: str, size: int, overlap: int, by_tokens: bool = False, marker: str = "\n--- ", reach: int = 2000) -> DataFrame:

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from tessella.functions.values import small_masked
 
 # Names of count and rate columns.
-COUNT_NAMES = "count cnt n total freq frequency".split()
+COUNT_NAMES = ("count", "cnt", "n", "total", "freq", "frequency")
 COUNT_STARTS, COUNT_ENDS = ("n_", "num_", "count_", "cnt_"), ("_count", "_cnt", "_total", "_n", "_freq")
-NOT_COUNTS = "n_stage m_stage t_stage total_dose total_fractions n_category".split()
-RATE_PARTS = "pct percent rate prevalence proportion ci_lower ci_upper survival median_os".split()
+NOT_COUNTS = ("n_stage", "m_stage", "t_stage", "total_dose", "total_fractions", "n_category")
+RATE_PARTS = ("pct", "percent", "rate", "prevalence", "proportion", "ci_lower", "ci_upper", "survival", "median_os")
 MIN_CELL, MAX_ROWS, MOST_SHARE = 10, 500, 0.5
 
 
@@ -31,34 +31,41 @@ def is_rate(name: str) -> bool:
 
 
 def suppressed(
-    df: DataFrame, least: int = MIN_CELL, counts: list[str] | None = None, forbidden: tuple[str, ...] = ("record_id",), also: tuple[str, ...] = ()
-) -> DataFrame:
+    df: DataFrame, least: int = MIN_CELL, counts: list[str] | None = None, forbidden: tuple[str, ...] = ("record_id",), also: tuple[str, ...] = (),
+    group: str | None = None, grouped_by: tuple[str, ...] = (),
+) -> DataFrame:
     """Small counts as ``<k``; on such rows rate columns, and those of ``also``, read ``suppressed``.
 
-    Every column that could be masked is text in the result, so its type doesn't depend on the data.
+    ``group``: a column with the rows behind each row, which leaves. Where it is small, whatever is neither a count nor
+    in ``grouped_by`` becomes null; without any count to show, the row itself goes. Every column that could be masked is
+    text in the result, so its type doesn't depend on the data.
     """
     df = df.drop(*[c for c in df.columns if c.lower() in forbidden])
-    masked = count_columns(df.columns, counts)
+    shown_columns = [c for c in df.columns if c != group]
+    masked = count_columns(shown_columns, counts)
+    few = F.coalesce(F.col(f"`{group}`") < least, F.lit(False)) if group else F.lit(False)
     if not masked:
-        return df
+        return df.filter(~few).select(*(F.col(f"`{c}`") for c in shown_columns)) if group else df
     small = reduce(lambda a, b: a | b, (F.coalesce(F.col(f"`{c}`") < least, F.lit(False)) for c in masked))
 
     def shown(c: str) -> Column:
         if c in masked:
             return small_masked(F.col(f"`{c}`"), least).alias(c)
         if is_rate(c) or c in also:
-            return F.when(small, "suppressed").otherwise(F.col(f"`{c}`").cast("string")).alias(c)
+            return F.when(small | few, "suppressed").otherwise(F.col(f"`{c}`").cast("string")).alias(c)
+        if group and c not in grouped_by:
+            return F.when(~few, F.col(f"`{c}`")).alias(c)
         return F.col(f"`{c}`")
 
-    return df.select(*(shown(c) for c in df.columns))
+    return df.select(*(shown(c) for c in shown_columns))
 
 
 def row_capped(df: DataFrame, most: int = MAX_ROWS) -> DataFrame:
-    """At most ``most`` + 1 rows are computed; more than ``most`` raise an error."""
-    head = df.limit(most + 1)
-    if head.count() > most:
+    """The rows of ``df``, computed once; more than ``most`` raise an error. At most ``most`` + 1 of them reach the driver."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
         raise PermissionError(f"the result has more than {most} rows")
-    return df.limit(most)
+    return df.sparkSession.createDataFrame(rows, df.schema)
 
 
 def size_guarded(df: DataFrame, cohort: int, share: float = MOST_SHARE) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Profiles, survival and tests, by windows and aggregates over pre-aggregated tables."""
+"""Profiles, survival and tests, by aggregates that run over pre-aggregated tables dealt by ranges."""
 
 from __future__ import annotations
 
@@ -40,13 +40,65 @@ def quantiles(df: DataFrame, key: str, value: str, shares: list[float]) -> dict[
     return {k: [found[k, at] + (found[k, at + 1] - found[k, at]) * rest if rest else found[k, at] for at, rest in places[k]] for k in places}
 
 
+#: A column of no more distinct values than these has its quantiles from one aggregate, whose state holds each value once.
+NARROW = 50_000
+
+
 def five_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, least, largest, mean, median and quartiles of each column, one row a column."""
-    long = df.unpivot([], [F.col(c).cast("double").alias(c) for c in columns], "column_name", "value")
-    plain = long.groupBy("column_name").agg(F.count("value").alias("n_values"), F.min("value").alias("least"), F.max("value").alias("largest"), F.avg("value").alias("mean"))
-    found = quantiles(long, "column_name", "value", [0.5, 0.25, 0.75])
-    table = df.sparkSession.createDataFrame([(c, *found.get(c, [None] * 3)) for c in columns], "column_name string, median double, q1 double, q3 double")
-    return plain.join(F.broadcast(table), "column_name")
+    """Count, least, largest, mean, median and quartiles of each column, one row a column.
+
+    One pass tells counts and how many values are distinct; columns of few get their quantiles from a second, all others
+    by range partitions.
+    """
+    named = {c: F.col(f"`{c}`").cast("double") for c in columns}
+    shares = [0.5, 0.25, 0.75]
+    plain = df.agg(*(f(v).alias(f"{k}{i}") for i, v in enumerate(named.values()) for k, f in (("n", F.count), ("least", F.min), ("largest", F.max), ("mean", F.avg), ("d", F.approx_count_distinct)))).first()
+    narrow = [c for i, c in enumerate(columns) if plain[f"d{i}"] <= NARROW]
+    found = dict(zip(narrow, df.agg(*(F.percentile(named[c], F.array(*map(F.lit, shares))).alias(f"q{i}") for i, c in enumerate(narrow))).first())) if narrow else {}
+    wide = [c for c in columns if c not in narrow]
+    if wide:
+        found |= quantiles(df.unpivot([], [named[c].alias(c) for c in wide], "column_name", "value"), "column_name", "value", shares)
+    rows = [(c, plain[f"n{i}"], plain[f"least{i}"], plain[f"largest{i}"], plain[f"mean{i}"], *(found.get(c) or [None] * 3)) for i, c in enumerate(columns)]
+    return df.sparkSession.createDataFrame(rows, "column_name string, n_values long, least double, largest double, mean double, median double, q1 double, q3 double")
+
+
+#: Ranges into which running aggregates are dealt.
+RANGES = 128
+
+
+def _number(df: DataFrame, order: str) -> Column:
+    return (F.unix_date(order) if df.schema[order].dataType.typeName() == "date" else F.col(order)).cast("double")
+
+
+def range_bounds(df: DataFrame, order: str) -> list[float]:
+    """Borders between about equally many rows of ``df`` in the order of a number or date."""
+    return sorted(set(df.select(_number(df, order).alias("_o")).approxQuantile("_o", [i / RANGES for i in range(1, RANGES)], 0.002)))
+
+
+def running(
+    df: DataFrame, order: str, wanted: dict[str, tuple[str, Column]], descending: bool = False, strict: bool = False, by: str | None = None, bounds: list[float] | None = None
+) -> DataFrame:
+    """``df`` with running aggregates in the order of a number or date: {name: ("sum" or "min", column)}; ``order`` has no ties.
+
+    Rows are dealt by ranges of the order (and by ``by``), run inside each, and are offset by what the ranges before
+    amount to, so no task sees all rows. ``strict``: without the row itself; null where nothing stands before.
+    ``bounds``: borders found for the same order before.
+    """
+    total = {"sum": F.sum, "min": F.min}
+    both = {"sum": lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b), "min": F.least}
+    number = _number(df, order)
+    bounds = range_bounds(df, order) if bounds is None else bounds
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < number)) if bounds else F.lit(0)
+    parts = df.withColumn("_part", part)
+    keys = [by, "_part"] if by else ["_part"]
+    sums = parts.groupBy(*keys).agg(*(total[kind](c).alias(f"_of_{name}") for name, (kind, c) in wanted.items()))
+    # At most RANGES rows for each value of ``by``.
+    over = (Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy(F.desc("_part") if descending else F.asc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*keys, *(total[kind](f"_of_{name}").over(over).alias(f"_to_{name}") for name, (kind, _) in wanted.items()))
+    inside = Window.partitionBy(*keys).orderBy(F.desc(order) if descending else F.asc(order)).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
+    own = parts.select("*", *(total[kind](c).over(inside).alias(f"_in_{name}") for name, (kind, c) in wanted.items()))
+    joined = own.join(F.broadcast(before), keys)
+    return joined.select(*df.columns, *(both[kind](F.col(f"_to_{name}"), F.col(f"_in_{name}")).alias(name) for name, (kind, _) in wanted.items()))
 
 
 def top_values(df: DataFrame, column: str, limit: int = 15) -> DataFrame:
@@ -64,37 +116,35 @@ def entropy(df: DataFrame, column: str, by: list[str] = ()) -> DataFrame:
 def kaplan_meier(df: DataFrame, time: str, event: str, entry: str | None = None) -> DataFrame:
     """time, at_risk, events, survival at each event time; with ``entry``, only those entered before are at risk.
 
-    Windows run over one row for each distinct time, not over subjects.
+    Aggregates run over one row for each distinct time, dealt by ranges of time.
     """
     times = df.groupBy(F.col(time).alias("t")).agg(F.count("*").alias("m"), F.sum(F.col(event).cast("long")).alias("d"))
+    bounds = range_bounds(times, "t")
     if entry is None:
-        at_risk = F.sum("m").over(Window.orderBy(F.desc("t")))
-        table = times.withColumn("n", at_risk)
+        table = running(times, "t", {"n": ("sum", F.col("m"))}, descending=True, bounds=bounds)
     else:
         entered = df.groupBy(F.col(entry).alias("t")).agg(F.count("*").alias("e"))
         both = times.select("t", "m", "d", F.lit(0).alias("e")).unionByName(entered.select("t", F.lit(0).alias("m"), F.lit(0).alias("d"), "e"))
         both = both.groupBy("t").agg(F.sum("m").alias("m"), F.sum("d").alias("d"), F.sum("e").alias("e"))
-        before = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-        inside = F.coalesce(F.sum("e").over(before), F.lit(0)) - F.coalesce(F.sum("m").over(before), F.lit(0))
-        table = both.withColumn("n", inside)
+        inside = running(both, "t", {"n": ("sum", F.col("e") - F.col("m"))}, strict=True, bounds=bounds)
+        table = inside.withColumn("n", F.coalesce("n", F.lit(0)))
     steps = table.filter("d > 0").withColumn("f", 1 - F.col("d") / F.col("n"))
-    run = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    steps = running(steps, "t", {"lowest": ("min", F.col("f")), "logs": ("sum", F.when(F.col("f") > 0, F.ln("f")))}, bounds=bounds)
     # Once everyone at risk has had the event, survival stays zero.
-    alive = F.min("f").over(run) > 0
-    survival = F.when(alive, F.exp(F.sum(F.when(F.col("f") > 0, F.ln("f"))).over(run))).otherwise(0.0)
+    survival = F.when(F.col("lowest") > 0, F.exp("logs")).otherwise(0.0)
     return steps.select(F.col("t").alias("time"), F.col("n").alias("at_risk"), F.col("d").alias("events"), survival.alias("survival"))
 
 
 def cumulative_incidence(df: DataFrame, time: str, cause: str) -> DataFrame:
     """Aalen-Johansen for causes 1, 2, ...; 0 is censored. time, cause, incidence at each time of that cause."""
     times = df.groupBy(F.col(time).alias("t")).agg(F.count("*").alias("m"), F.sum((F.col(cause) > 0).cast("long")).alias("d"))
-    times = times.withColumn("n", F.sum("m").over(Window.orderBy(F.desc("t")))).withColumn("f", 1 - F.col("d") / F.col("n"))
-    before = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.when(F.coalesce(F.min("f").over(before), F.lit(1.0)) > 0, F.exp(F.coalesce(F.sum(F.when(F.col("f") > 0, F.ln("f"))).over(before), F.lit(0.0)))).otherwise(0.0)
-    times = times.select("t", "n", left.alias("s"))
+    bounds = range_bounds(times, "t")
+    times = running(times, "t", {"n": ("sum", F.col("m"))}, descending=True, bounds=bounds).withColumn("f", 1 - F.col("d") / F.col("n"))
+    times = running(times, "t", {"lowest": ("min", F.col("f")), "logs": ("sum", F.when(F.col("f") > 0, F.ln("f")))}, strict=True, bounds=bounds)
+    left = F.when(F.coalesce("lowest", F.lit(1.0)) > 0, F.exp(F.coalesce("logs", F.lit(0.0)))).otherwise(0.0)
     causes = df.filter(F.col(cause) > 0).groupBy(F.col(time).alias("t"), F.col(cause).alias("cause")).agg(F.count("*").alias("k"))
-    run = Window.partitionBy("cause").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    return causes.join(times, "t").select(F.col("t").alias("time"), "cause", F.sum(F.col("s") * F.col("k") / F.col("n")).over(run).alias("incidence"))
+    steps = causes.join(times.select("t", "n", left.alias("s")), "t")
+    return running(steps, "t", {"incidence": ("sum", F.col("s") * F.col("k") / F.col("n"))}, by="cause", bounds=bounds).select(F.col("t").alias("time"), "cause", "incidence")
 
 
 def landmark(df: DataFrame, time: str, at: float) -> DataFrame:
@@ -114,8 +164,7 @@ def crosstab_statistic(df: DataFrame, a: str, b: str) -> DataFrame:
 def mann_whitney(df: DataFrame, value: str, first_group: Column) -> DataFrame:
     """U of the first group by mid-ranks, over one row for each distinct value."""
     ties = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.when(first_group, 1)).alias("k"), F.count("*").alias("m"))
-    below = F.coalesce(F.sum("m").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = ties.withColumn("mid", below + (F.col("m") + 1) / 2)
+    ranked = running(ties, "v", {"below": ("sum", F.col("m"))}, strict=True).withColumn("mid", F.coalesce("below", F.lit(0)) + (F.col("m") + 1) / 2)
     sums = ranked.agg(F.sum(F.col("k") * F.col("mid")).alias("r"), F.sum("k").alias("n1"), F.sum("m").alias("n"))
     return sums.select((F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2).alias("u"), F.col("n1"), (F.col("n") - F.col("n1")).alias("n2"))
 
@@ -139,13 +188,13 @@ def inverse_weights(df: DataFrame, treated: Column, score: Column, low: float =
 def adjusted_p(df: DataFrame, p: str, name: str = "adjusted") -> DataFrame:
     """Benjamini-Hochberg: p * n / rank, made monotone from the largest p down; equal p share the last of their ranks.
 
-    Windows run over one row for each distinct p.
+    Aggregates run over one row for each distinct p, dealt by ranges of p.
     """
     counts = df.filter(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_m"))
     n = counts.agg(F.sum("_m")).first()[0] or 0
-    up, down = Window.orderBy("_p"), Window.orderBy(F.desc("_p"))
-    raw = counts.withColumn("_raw", F.least(F.col("_p") * n / F.sum("_m").over(up), F.lit(1.0)))
-    adjusted = raw.select("_p", F.min("_raw").over(down.rowsBetween(Window.unboundedPreceding, 0)).alias(name))
+    bounds = range_bounds(counts, "_p")
+    raw = running(counts, "_p", {"_rank": ("sum", F.col("_m"))}, bounds=bounds).withColumn("_raw", F.least(F.col("_p") * n / F.col("_rank"), F.lit(1.0)))
+    adjusted = running(raw, "_p", {name: ("min", F.col("_raw"))}, descending=True, bounds=bounds).select("_p", name)
     return df.join(adjusted, F.col(p) == F.col("_p"), "left").drop("_p")
 
 

@@ -319,10 +319,13 @@ def date_shift_stable(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", shift.alias("shift"), values.shifted_date(F.date_format("o_orderdate", "yyyy-MM-dd"), shift).alias("moved"))
 
 
-@query("SELECT p_partkey, CASE WHEN a > 89 THEN '90+' WHEN p_partkey % 4 = 0 THEN 'about ' || a ELSE CAST(a AS VARCHAR) END AS age FROM (SELECT *, p_size * 2 AS a FROM part) WHERE NOT (p_partkey % 4 = 0 AND a > 89)")
+@query("""
+SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN CASE WHEN a > 89 THEN 'seen at age 90+' ELSE 'seen at age ' || a END WHEN a > 89 THEN '90+' ELSE CAST(a AS VARCHAR) END AS age
+FROM (SELECT *, p_size * 2 AS a FROM part)
+""")
 def age_cap(spark: SparkSession, d: str) -> DataFrame:
-    aged = table(spark, d, "part").withColumn("a", F.col("p_size") * 2).filter("NOT (p_partkey % 4 = 0 AND a > 89)")
-    raw = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("about "), F.col("a").cast("string"))).otherwise(F.col("a").cast("double").cast("string"))
+    aged = table(spark, d, "part").withColumn("a", F.col("p_size") * 2)
+    raw = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("seen at age "), F.col("a").cast("string"))).otherwise(F.col("a").cast("double").cast("string"))
     return aged.select("p_partkey", values.capped_age(raw).alias("age"))
 
 

@@ -11,16 +11,16 @@ from pyspark.sql import functions as F
 
 # Names under which a category may stand.
 ALIASES = {
-    "patient": "patient patient_level patient_level_data patient_data patient_records",
-    "cancer_diagnosis": "cancer_diagnosis cancer_diagnoses cancer_diagnosis_records diagnosis diagnoses",
-    "regimen": "regimen regimens regimen_records treatment_regimens treatment_regimen",
-    "medical_oncologist_assessment": "medical_oncologist_assessment medical_oncologist_assessments medical_oncologist_assessment_records",
+    "patient": ("patient", "patient_level", "patient_level_data", "patient_data", "patient_records"),
+    "cancer_diagnosis": ("cancer_diagnosis", "cancer_diagnoses", "cancer_diagnosis_records", "diagnosis", "diagnoses"),
+    "regimen": ("regimen", "regimens", "regimen_records", "treatment_regimens", "treatment_regimen"),
+    "medical_oncologist_assessment": ("medical_oncologist_assessment", "medical_oncologist_assessments", "medical_oncologist_assessment_records"),
 }
 SCHEMA = "patient_id string, ontology string, category string, tumor_index int, instance int, field string, value string"
 
 
 def category_of(name: str) -> str | None:
-    return next((c for c, names in ALIASES.items() if name in names.split()), None)
+    return next((c for c, names in ALIASES.items() if name in names), None)
 
 
 def _bare(value):
