@@ -1,6 +1,7 @@
 """Mixing sources to target weights by Poisson replication, in DataFrame functions only.
 
-A source with n documents and share w of the target of T documents has the repetition rate T * w / n. Each
+A source with n documents and share w of the target of T documents has the repetition rate T * w / n; w is in
+proportion to given weights, or to n ** ``TEMPER`` times a boost by the source's name. Each
 document draws u from md5(seed, doc_id) and is repeated as often as the Poisson distribution with that mean
 exceeds at u (inversion), so the outcome depends on neither partitioning nor retries. Copies are then shuffled
 globally by md5(seed, doc_id, copy): dealt to partitions by it and sorted inside them.
@@ -15,7 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.shared import staged
+
 SEED = "mix-1"
+#: The mixture that the query and the pipeline aim at: these sources weigh so many times what their tempered count says,
+#: all others once.
+BOOSTS = {"src0": 0.5, "src1": 3.0, "src2": 2.0, "src3": 1.5, "src4": 0.25}
 #: Share of a source in the target is in proportion to its count to this power.
 TEMPER = 0.5
 #: Mean over all documents; only a target given as parameter can be beyond it.
@@ -26,9 +32,12 @@ BROADCAST_STEPS = 2_000_000
 SALTS = 32
 
 
-def tempered(counts: DataFrame, power: float = TEMPER) -> DataFrame:
-    """(source, weight) with weights in proportion to count ** power."""
-    return counts.select("source", F.pow(F.col("n").cast("double"), F.lit(power)).alias("weight"))
+def tempered(counts: DataFrame, boosts: dict[str, float] | None = None, power: float = TEMPER) -> DataFrame:
+    """(source, weight) with weights in proportion to count ** power, times the boost that a source is given by name."""
+    boost = F.lit(1.0)
+    for name, times in (boosts or {}).items():
+        boost = F.when(F.col("source") == name, times).otherwise(boost)
+    return counts.select("source", (F.pow(F.col("n").cast("double"), F.lit(power)) * boost).alias("weight"))
 
 
 def first_step(rate: Column) -> Column:
@@ -67,16 +76,16 @@ def unit_interval(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, target: float | None = None, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame | None = None, target: float | None = None, seed: str = SEED, boosts: dict[str, float] | None = None) -> DataFrame:
     """``docs`` repeated to the target weights, with copy (from 0) and order_key, in globally shuffled order.
 
-    ``weights``: (source, weight), any scale; by default tempered counts. ``target``: documents aimed at, by
-    default as many as there are.
+    ``weights``: (source, weight), any scale; by default tempered counts with ``boosts``. ``target``: documents aimed at,
+    by default as many as there are.
     """
     kept = [c for c in docs.columns if c.lower() not in ("copy", "order_key", "_copies", "_salt", "_s", "_upto", "_first")]
     docs = docs.select(*(F.col(f"`{c}`") for c in kept))
-    counts = docs.groupBy("source").agg(F.count("*").alias("n"))
-    wanted = (weights if weights is not None else tempered(counts)).select(F.col("source").alias("_s"), F.col("weight").cast("double").alias("weight"))
+    counts = staged(docs.groupBy("source").agg(F.count("*").alias("n")), "sources")
+    wanted = (weights if weights is not None else tempered(counts, boosts)).select(F.col("source").alias("_s"), F.col("weight").cast("double").alias("weight"))
     both = counts.join(wanted, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "n", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     total = both.agg(F.sum(F.col("weight")), F.sum("n"), F.count("*"), F.sum(F.sqrt(F.col("weight") / F.col("n")))).first()
     aim = float(target if target is not None else total[1] or 0)

@@ -24,7 +24,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixing.mix(_table(spark, sf_dir, "documents"), boosts=mixing.BOOSTS)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,10 +68,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 #: The same inversion in DuckDB: rates by source, the cumulative distribution, one row a copy.
 OP3_SQL = f"""
-WITH counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-rates AS (
-  SELECT source, (SELECT sum(n) FROM counts) * pow(n, {mixing.TEMPER}) / (SELECT sum(pow(n, {mixing.TEMPER})) FROM counts) / n AS rate FROM counts
+WITH boosts(name, times) AS (VALUES {", ".join(f"('{name}', {times})" for name, times in mixing.BOOSTS.items())}),
+counts AS (
+  SELECT source, n, pow(n, {mixing.TEMPER}) * coalesce(times, 1.0) AS weight
+  FROM (SELECT source, count(*) AS n FROM documents GROUP BY source) LEFT JOIN boosts ON name = source
 ),
+rates AS (SELECT source, (SELECT sum(n) FROM counts) * weight / (SELECT sum(weight) FROM counts) / n AS rate FROM counts),
 steps AS (
   SELECT source, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p
   FROM rates, unnest(generate_series(0, CAST(ceil(rate + 10 * sqrt(rate) + 20) AS BIGINT))) AS s(k)
