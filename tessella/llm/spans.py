@@ -1,9 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences after ``.``, ``!`` or ``?`` followed by white space, and at line breaks. A sentence
-of more than ``LONG`` words is cut further after commas, after words picked by their own hash and after ``MOST`` words
-at the latest, so that a passage pasted into the middle of a sentence finds its cuts again. At every sentence starts a span: the shortest
-run of at least ``SENTENCES`` sentences and ``WORDS`` words. A span that stands in several documents is
+A text is cut into sentences after ``.``, ``!`` or ``?`` followed by white space, after full-width ends, and at line
+breaks. A sentence of more than ``LONG`` words is cut further after commas, after words picked by their own hash and after
+``MOST`` words at the latest, so that a passage pasted into the middle of a sentence finds its cuts again. Words are runs
+without white space; in scripts that set no spaces, every character with the marks after it is one. At every sentence starts a
+span: the shortest run of at least ``SENTENCES`` sentences and ``WORDS`` words. A span that stands in several documents is
 kept where the doc_id is smallest, one that repeats inside a document at its first place; every sentence that any
 other occurrence covers is removed.
 
@@ -18,6 +19,7 @@ n_removed are replaced.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from tessella.llm.shared import staged, with_groups
 
 SENTENCES = 3
-WORDS = 12
+WORDS = 20
 LONG = 12
 #: A word of a long sentence whose hash this divides ends a piece of it.
 ONE_IN = 6
@@ -37,20 +39,26 @@ ONE_IN = 6
 MOST = 16
 #: Characters analysed in one piece; texts are never split, so a longer one is a piece of its own.
 PIECE = 300_000
-_ENDS, _CLOSERS = ".!?…。！？", "\"'”’)]»"
+_ENDS, _CLOSERS, _COMMAS = ".!?…。！？｡", "\"'”’)]»」』）】〉》", ",，、､"
+#: First and last code points of scripts without spaces between words: Thai, Lao, Burmese, Khmer, kana, ideographs.
+_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3041, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _TABLES: dict[str, np.ndarray] = {}
 
 
 def _tables() -> dict[str, np.ndarray]:
-    """By code point: lower case of one character, white space, sentence ends, closing marks."""
+    """By code point: lower case of one character, white space, sentence ends, closing marks, commas, words of their own, full-width marks."""
     if not _TABLES:
         every = [chr(c) for c in range(65536)]
         _TABLES["lower"] = np.array([ord(x.lower()) if len(x.lower()) == 1 else ord(x) for x in every], dtype=np.uint32)
         _TABLES["blank"] = np.array([x.isspace() for x in every])
         _TABLES["ends"] = np.array([x in _ENDS for x in every])
         _TABLES["closers"] = np.array([x in _CLOSERS for x in every])
+        _TABLES["commas"] = np.array([x in _COMMAS for x in every])
+        _TABLES["solo"] = np.array([any(a <= c <= b for a, b in _UNSPACED) and unicodedata.category(x)[0] != "M" for c, x in enumerate(every)])
+        _TABLES["mark"] = np.array([unicodedata.category(x)[0] == "M" for x in every])
+        _TABLES["wide"] = np.array([0x3000 <= c <= 0x303F or 0xFF00 <= c <= 0xFF65 and not x.isalnum() for c, x in enumerate(every)])
     return _TABLES
 
 
@@ -102,8 +110,16 @@ def analyse(texts: list[str]) -> Cut:
     points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     small = np.minimum(points, 65535)
     blank = t["blank"][small]
-    edge = np.flatnonzero(np.diff(blank, prepend=True, append=True))
-    start, end = edge[::2], edge[1::2]
+    solo = t["solo"][small] | (points > 65535) & (points >= _UNSPACED[-1][0]) & (points <= _UNSPACED[-1][1])
+    starts = ~blank & np.append(True, blank[:-1])
+    if solo.any():
+        # Such a character starts a word, and after one, or its marks, another letter does.
+        wide = solo | t["wide"][small]
+        after = np.append(False, wide[:-1]) & ~wide & ~blank & ~t["ends"][small] & ~t["closers"][small] & ~t["commas"][small]
+        after[points > 767] &= ~t["mark"][small[points > 767]]
+        starts |= solo | after
+    start = np.flatnonzero(starts)
+    end = np.flatnonzero(~blank & np.append(starts[1:] | blank[1:], True)) + 1
     if not len(start):
         return Cut(none, none, none, none, none.copy())
     low = np.where(points > 65535, points, t["lower"][small]).astype(np.uint64)
@@ -123,7 +139,7 @@ def analyse(texts: list[str]) -> Cut:
     stop[-1] = True
     sentence = np.cumsum(stop) - stop
     long = np.bincount(sentence) > LONG
-    stop |= long[sentence] & ((last == 44) | (word % np.uint64(ONE_IN) == 0))
+    stop |= long[sentence] & (t["commas"][last] | (word % np.uint64(ONE_IN) == 0))
     final, first = _runs(stop)
     stop |= (np.arange(len(stop)) - np.repeat(first, final + 1 - first)) % MOST == MOST - 1
     final, first = _runs(stop)
