@@ -1,7 +1,8 @@
 """A training corpus from ``documents``: language ID, near-dedup, substring dedup, mixing, tokens.
 
 Every stage takes (spark, docs, sf_dir), works on all rows of its predecessor and, but for the last, returns the
-columns of documents. ``run`` writes each stage to the shared folder and reads it again.
+columns of documents. ``run`` writes each stage to the shared folder, reads it again, and deletes what the stage has
+staged and the table before it.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import bpe, langid, mixing, simhash, spans
-from tessella.llm.shared import staged
+from tessella.llm.shared import released, staged, staged_so_far
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents whose language is less sure than this go; ``und`` has score 0.
@@ -18,35 +19,61 @@ LEAST_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or of no language that the model is sure of, go."""
+    """Documents without a letter, or of no language that the model is sure of, go.
+
+    Null and empty texts go; a null lang or doc_id teaches nothing, and the row is judged by its text like any other;
+    rows that share a doc_id are each judged by their own text; an empty table stays empty; extra columns are dropped.
+    """
     return langid.predict(docs, langid.fit(docs)).filter(F.col("score") >= LEAST_SCORE).select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group stays, once; documents without an id all stay."""
-    leaders = staged(simhash.near_duplicates(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "leaders")
+    """Of each group the document with the smallest doc_id stays, once.
+
+    Null and empty texts are one group. Documents without an id all stay. Rows that share a doc_id are told apart by
+    their fingerprints: each group keeps the row with the smallest (doc_id, fingerprint), and of rows equal in both the
+    one with the smallest hash of its text, then lang, then source. Extra columns are dropped.
+    """
+    judged = staged(simhash.near_duplicates(docs, groups=True).filter("doc_id is not null"), "judged")
+    first = judged.groupBy("component").agg(F.min(F.struct("doc_id", "fingerprint")).alias("first")).select("first.*")
+    leaders = staged(first.join(judged.groupBy("doc_id").agg(F.count("*").alias("rows")), "doc_id"), "leaders")
     docs = docs.select(COLUMNS)
     # Texts are streamed past the hashed ids: no sort of whole documents.
     kept = docs.join(leaders.filter("rows = 1").hint("shuffle_hash"), "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
-    if not leaders.filter("rows > 1").isEmpty():
-        again = docs.join(leaders.filter("rows > 1").hint("shuffle_hash"), "doc_id", "left_semi")
-        kept = kept.unionByName(again.dropDuplicates(["doc_id"]))
+    repeated = leaders.filter("rows > 1").select("doc_id", "fingerprint")
+    if not repeated.isEmpty():
+        again = simhash.with_fingerprints(docs.join(repeated.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi"))
+        again = again.join(repeated.hint("shuffle_hash"), ["doc_id", "fingerprint"], "left_semi")
+        one = F.min_by(F.struct(*COLUMNS), F.struct(F.xxhash64("text"), "lang", "source"))
+        kept = kept.unionByName(again.groupBy("doc_id", "fingerprint").agg(one.alias("one")).select("one.*"))
     return kept.select(COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated sentence spans go; a document of which nothing is left goes with them."""
+    """Repeated sentence spans go; a document of which nothing is left goes with them.
+
+    Null and empty texts stay as they are; rows that share a doc_id count as one document; rows with a null doc_id take
+    part in no comparison between documents; n_chars is counted anew; extra columns are dropped.
+    """
     cut = spans.dedup(docs).filter((F.col("n_removed") == 0) | (F.trim("text") != ""))
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's repetition rate calls for, in shuffled order."""
-    return mixing.mix(docs).select(COLUMNS)
+    """Each document as often as its source's repetition rate calls for, in shuffled order.
+
+    A null source is a source of its own; a null doc_id draws by its text; rows that share a doc_id draw alike; null and
+    empty texts are mixed like any other; an empty table stays empty; extra columns are dropped.
+    """
+    return mixing.mix(docs, boosts=mixing.BOOSTS).select(COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, and the digest of what they decode to."""
+    """Token ids, and the digest of what they decode to.
+
+    A null text is empty: no ids. Every row is encoded on its own, so repeated rows and null ids need no rule; an empty
+    table stays empty; of the columns doc_id, lang and source are kept.
+    """
     return bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), ids=True).drop("text")
 
 
@@ -63,7 +90,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), staged_so_far()
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        released(spark, before, docs)
     return docs

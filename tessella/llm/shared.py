@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+#: Paths staged by this driver and not yet deleted.
+_STAGED: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -29,21 +31,39 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: short lineage that survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
+    _STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _deleted(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cleared(spark: SparkSession) -> None:
     """Delete all that this driver has staged, once the results built on it are written."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch(spark, "any")).getParent()
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _deleted(spark, scratch(spark, "any").rsplit("/", 1)[0])
+    _STAGED.clear()
+
+
+def staged_so_far() -> int:
+    """How many tables are staged, for ``released``."""
+    return len(_STAGED)
+
+
+def released(spark: SparkSession, since: int, kept: DataFrame) -> None:
+    """Delete what was staged after the first ``since`` tables, but for ``kept``, a staged table that needs none of it."""
+    own = {f.rsplit("/", 1)[0].split("/", 1)[1].lstrip("/") for f in kept.inputFiles()}
+    for path in _STAGED[since:]:
+        if path.split("/", 1)[1].lstrip("/") not in own:
+            _deleted(spark, path)
+            _STAGED.remove(path)
 
 
 def dropped(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a staged table that no plan reads any more."""
-    jvm = spark.sparkContext._jvm
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _deleted(spark, path)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

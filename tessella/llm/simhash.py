@@ -215,15 +215,21 @@ def links(prints: DataFrame, wide: bool = False) -> DataFrame:
     return dealt.repartition("cell", "p", "q").groupBy("cell", "p", "q").applyInPandas(_compared, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, component_id (smallest doc_id reachable by links, itself included) for every row of ``docs``."""
+def near_duplicates(docs: DataFrame, groups: bool = False) -> DataFrame:
+    """doc_id, fingerprint, component_id (smallest doc_id reachable by links, itself included) for every row of ``docs``.
+
+    ``groups``: also component, the smallest fingerprint reachable, which tells groups apart that share a doc_id.
+    """
     marked = staged(with_fingerprints(docs.select("doc_id", "text")).select("doc_id", "fingerprint"), "fingerprints")
     half = lambda at: F.conv(F.substring("fingerprint", at, 8), 16, 10).cast("long")
     signed = F.shiftleft(half(1), 32).bitwiseOR(half(9))
-    prints = staged(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")).withColumn("f", signed), "prints")
+    prints = staged(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).withColumn("f", signed), "prints")
     wide = prints.count() > WIDE_FROM
     joined = components(links(prints.select("f"), wide), "a", "b").withColumnRenamed("node", "f")
-    grouped = prints.join(joined, "f", "left").select("fingerprint", "first_id", F.coalesce("component", "f").alias("component"))
-    least = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = grouped.join(least, "component").select("fingerprint", "component_id")
-    return marked.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    grouped = prints.join(joined, "f", "left").select("fingerprint", "n", "first_id", F.coalesce("component", "f").alias("component"))
+    least = staged(grouped.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n")), "components")
+    # Neither a group of very many fingerprints nor a fingerprint of very many documents fills a task.
+    named = with_groups(grouped.withColumnRenamed("n", "rows"), least, "component", F.xxhash64("fingerprint")).select("fingerprint", F.col("rows").alias("n"), "component", "component_id")
+    spread = F.hex(F.xxhash64("doc_id", F.monotonically_increasing_id()))
+    out = with_groups(marked, staged(named, "named"), "fingerprint", spread)
+    return out.select("doc_id", "fingerprint", "component_id", *["component"] * groups)
