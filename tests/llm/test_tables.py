@@ -45,6 +45,18 @@ def test_archives_come_back(spark):
     assert warc.read(warc.write(spark.createDataFrame([], PAGES))).count() == 0
 
 
+def test_archives_are_read_by_many_tasks(spark, tmp_path):
+    named = []
+    for k in range(40):
+        uri = f"file://{tmp_path}/{k}.warc.zst"
+        warc.write_archive(uri, iter([warc.record_bytes(100 * k + i, "http://h/", b"text %d" % i, None, i) for i in range(20)]))
+        named.append((uri,))
+    archives = spark.createDataFrame(named, "uri string")
+    got = warc.read(archives).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r["page_id"] for r in got) == [100 * k + i for k in range(40) for i in range(20)]
+    assert len({r["task"] for r in got}) >= 20
+
+
 def one_archive(tmp_path, n=60, enough=1 << 30):
     records = [warc.record_bytes(i, f"http://h/{i}", f"<html>page {i} of the same kind {'x' * (i % 9)}</html>".encode(), None, i) for i in range(n)]
     path = tmp_path / "a.warc.zst"
@@ -136,6 +148,27 @@ def test_trees_learn_what_rules_say(spark):
     assert ((got.block_score >= 0.5) == blocked).mean() > 0.75
 
 
+def test_trees_judge_urls_that_taught_nothing(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    teaches = F.pmod(F.xxhash64("url", F.lit(99)), F.lit(3)) != 0
+    got = urls.judge(pages, teaches=teaches).filter("rule is not null").withColumn("taught", teaches).toPandas()
+    got["right"] = (got.block_score >= 0.5) == (got.verdict == "block")
+    held = got[~got.taught]
+    assert len(held) > 300
+    by_rule = held.groupby("rule").right.mean()
+    # Beside the largest class of each group of rules, the trees have to tell paths and hosts apart.
+    assert held.right.mean() > max(0.75, (held.verdict == "block").mean()) and (by_rule > 0.5).sum() >= 3, by_rule
+
+
+def test_the_expression_of_trees_is_the_model(spark):
+    rng = np.random.default_rng(6)
+    rows = [(*map(float, rng.normal(size=len(urls.FEATURES)).round(1)), float(rng.random() < 0.4), float(rng.integers(1, 4))) for _ in range(400)]
+    df = urls.assembled(spark.createDataFrame(rows, [*urls.FEATURES, "label", "n"]))
+    model = urls.fitted(df)
+    got = model.transform(df).withColumn("s", urls.tree_score(model)).toPandas()
+    assert np.allclose(got.s, got.probability.map(lambda v: v[1])) and got.s.nunique() > 20
+
+
 def test_odd_urls(spark):
     got = urls.judge(odd_urls(spark)).collect()
     assert len(got) == 19 and {(r["length"], r["n"]) for r in got} == {("kept", "kept")}
@@ -148,7 +181,7 @@ def test_odd_urls(spark):
 
 
 def test_features(spark):
-    row = urls.with_features(urls.with_host_and_path(spark.createDataFrame([("http://ab-c.example.net/p/q?x=1&y=2#f",)], "url string")), F.lit(0.5), F.lit(0.25)).first()
+    row = urls.with_features(urls.with_host_and_path(spark.createDataFrame([("http://ab-c.example.net/p/q?x=1&y=2#f",)], "url string")), *map(F.lit, (0.5, 0.25, 0.125, 0.75))).first()
     url = "http://ab-c.example.net/p/q?x=1&y=2#f"
     p = np.array([url.count(c) for c in set(url)]) / len(url)
     want = {"length": len(url), "host_length": len("ab-c.example.net"), "path_length": 4, "depth": 2, "labels": 3, "digits": 2 / len(url), "hyphens": 1 / len(url), "capitals": 0, "parameters": 2, "query_length": 7, "fragment": 1}

@@ -4,13 +4,14 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from common import PROSE, SCHEMA, no_documents, odd_documents
+from common import GERMAN, PROSE, SCHEMA, no_documents, odd_documents
 from tessella.llm import bpe, components, langid, mixing, quality, simhash, spans, toxicity
 from tessella.llm.shared import held_out
 
@@ -50,6 +51,46 @@ def test_prediction_sees_only_the_text(spark):
     assert {r["k"]: r["lang_pred"] for r in langid.predict(blind, model).collect()} == a
 
 
+@pytest.mark.parametrize("text", ["123", "❤️ 123", "1️⃣", "\u0301", "\u0301 \u0308 5", "🎉🎉", "\u200d", "٣٤"])
+def test_marks_and_digits_are_no_letters(spark, text):
+    rows = [(3 * i, f"{PROSE} {i}", "en") for i in range(9)] + [(100, text, None), (101, f"é{text}", None)]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[100] == ("und", 0.0) and got[101][0] == "en"
+
+
+def test_language_svms_against_plain_python(spark):
+    rng = np.random.default_rng(3)
+    x, y = rng.random((60, 5)), np.where(np.arange(60) % 3 == 0, 1.0, -1.0)
+    x[y > 0, 0] += 0.4
+
+    def objective(w):  # L2 regularised squared hinge loss, classes balanced
+        total = sum(v * v for v in w) / 2
+        for row, sign in zip(x, y):
+            share = len(y) / (2 * sum(y == sign))
+            total += 0.2 * share * max(0.0, 1 - sign * (sum(a * b for a, b in zip(row, w)) + w[-1])) ** 2
+        return total
+
+    fitted = langid.linear_svm(x, y, cost=0.2, epochs=300)
+    for k in range(6):  # no step along any axis is better
+        for step in (-0.02, 0.02):
+            w = fitted.copy()
+            w[k] += step
+            assert objective(w) > objective(fitted)
+    assert objective(langid.linear_svm(x, y, cost=0.2)) <= 1.02 * objective(fitted)
+    docs = documents(spark)
+    model = langid.fit(docs)
+    families = sorted(model.langs)
+    for r in docs.select("text").limit(60).collect():
+        v = langid.features(r["text"])
+        margins = {f: sum(a * b for a, b in zip(model.family_w[i], [*v, 1.0])) for i, f in enumerate(families)}
+        family = max(margins, key=lambda f: margins[f])
+        votes = dict.fromkeys(model.langs[family], 0)
+        for (a, b), w in model.duels.items():
+            if a in votes:
+                votes[a if sum(p * q for p, q in zip(w, [*v, 1.0])) >= 0 else b] += 1
+        assert votes[model.predict(r["text"])[0]] == max(votes.values())
+
+
 # Mixing
 
 
@@ -108,6 +149,23 @@ def test_mixing_rare_sources_at_high_rates(spark):
     assert got == want
 
 
+def test_mixing_of_many_documents_and_one_rare_against_sql(spark, tmp_path):
+    import duckdb
+
+    from oracle import same
+    from tessella.llm import queries
+
+    many = spark.range(100_000).select(F.col("id").alias("doc_id"), F.format_string("text %d", "id").alias("text"), F.lit("en").alias("lang"), F.expr("CASE WHEN id < 60000 THEN 'src0' WHEN id < 99900 THEN 'src4' ELSE 'src1' END").alias("source"))
+    docs = many.unionByName(spark.createDataFrame([(200_000, "rare", "en", "rare"), (200_001, "none", "en", None)], "doc_id long, text string, lang string, source string")).withColumn("n_chars", F.length("text").cast("long"))
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    same(spark, con, queries.op3_mix_sources, queries.OP3_SQL, str(tmp_path))
+    n = {r["source"]: r["n"] for r in queries.op3_mix_sources(spark, str(tmp_path)).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    given = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert n["rare"] > 300 and n[None] > 300 and n["src1"] > 100 * given["src1"] and n["src4"] < 0.8 * given["src4"]
+
+
 def test_mixing_odd_documents(spark):
     got = mixing.mix(odd_documents(spark, ["copy", "n", "weight"]), target=60).collect()
     assert got and {r["n"] for r in got} == {"kept"} and all(isinstance(r["copy"], int) for r in got)
@@ -154,6 +212,28 @@ def test_bpe_of_long_words():
         own.decode([[1, 10**6]])
 
 
+def test_bpe_of_many_unspaced_runs():
+    enc, own, rng = reference_encoding(), bpe.codec(), random.Random(3)
+    scripts = [(0x4E00, 0x9FFF), (0x3041, 0x3094), (0xE01, 0xE3A), (0x900, 0x950), (0xAC00, 0xD7A3), (0x41, 0x5A), (0x61, 0x7A), (0x600, 0x64A)]
+    texts = ["，".join("".join(chr(rng.randrange(a, b)) for _ in range(rng.randint(17, 60))) for _ in range(100)) for a, b in scripts for _ in range(13)]
+    assert [g.tolist() for g in own.encode(texts)] == [enc.encode_ordinary(x) for x in texts]
+    pieces = [x for x in own.pieces.index if len(x) > bpe.LONG]
+    assert len(pieces) < 100  # the runs, over 10,000 of them, are hardly ever contracted as a whole
+
+
+def test_no_token_reaches_over_a_cut():
+    own, rng = bpe.codec(), random.Random(4)
+    tokens = set(own.tokens)
+    raw = bytes(rng.choice(b"etaoinqzx \xe4\xb8\xad\xff") for _ in range(3000)) + "das Wörterbuch 漢字かな".encode() * 5
+    cut = own.cuts(np.frombuffer(raw, dtype=np.uint8))
+    crossed = np.zeros(len(raw) - 1, dtype=bool)
+    for a in range(len(raw)):
+        for b in range(a + 2, min(len(raw), a + 128) + 1):
+            if raw[a:b] in tokens:
+                crossed[a : b - 1] = True
+    assert cut.any() and not (cut & crossed).any()
+
+
 def test_bpe_forgets_without_harm(monkeypatch):
     enc, own, rng = reference_encoding(), bpe.codec(), random.Random(2)
     monkeypatch.setattr(bpe, "REMEMBERED", 50)
@@ -165,12 +245,56 @@ def test_bpe_forgets_without_harm(monkeypatch):
 # Sentence spans
 
 
+def plain_units(text):
+    """The text cut into sentences, character by character, with the words of each."""
+    unspaced = lambda c: any(a <= ord(c) <= b for a, b in ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3041, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))) and unicodedata.category(c)[0] != "M"
+    wide = lambda c: unspaced(c) or 0x3000 <= ord(c) <= 0x303F or 0xFF00 <= ord(c) <= 0xFF65 and not c.isalnum()
+    ends, closers, commas = ".!?…。！？｡", "\"'”’)]»」』）】〉》", ",，、､"
+    starts, stops = [], []
+    for i, c in enumerate(text):
+        before = text[i - 1] if i else " "
+        if not c.isspace():
+            new = before.isspace() or unspaced(c)
+            new = new or wide(before) and not wide(c) and c not in ends + closers + commas and unicodedata.category(c)[0] != "M"
+            if new:
+                starts.append(i)
+                stops.append(i + 1)
+            stops[-1] = i + 1
+    words = [text[a:b] for a, b in zip(starts, stops)]
+    if not words:
+        return [text] if text else [], [[]] if text else []
+    mask = (1 << 64) - 1
+
+    def hashed(word):
+        x = (sum((ord(c.lower() if len(c.lower()) == 1 else c) + 1) * pow(0x9E3779B97F4A7C15, k, 1 << 64) for k, c in enumerate(word)) + len(word)) & mask
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    def pieces(cut):
+        held, out = [], []
+        for i in range(len(words)):
+            held.append(i)
+            if cut(i, held) or i + 1 == len(words):
+                out.append(held)
+                held = []
+        return out
+
+    def natural(i, _):
+        w = words[i]
+        gap = text[stops[i] : starts[i + 1]] if i + 1 < len(words) else ""
+        return w[-1] in ends or (len(w) > 1 and w[-1] in closers and w[-2] in ends) or "\n" in gap
+
+    long = {i for s in pieces(natural) if len(s) > spans.LONG for i in s}
+    finer = lambda i, held: natural(i, held) or i in long and (words[i][-1] in commas or hashed(words[i]) % spans.ONE_IN == 0)
+    found = pieces(lambda i, held: finer(i, held) or len(held) == spans.MOST)
+    borders = [0, *(starts[s[0]] for s in found[1:]), len(text)]
+    return [text[a:b] for a, b in zip(borders, borders[1:])], [[words[i].lower() for i in s] for s in found]
+
+
 def plain_spans(text):
     """Sentences and spans of one text, word by word."""
-    cut = spans.analyse([text])
-    ends = [0, *cut.end.tolist()]
-    units = [text[a:b] for a, b in zip(ends, ends[1:])]
-    words = [u.lower().split() for u in units]
+    units, words = plain_units(text)
     found = []
     for i in range(len(units)):
         for j in range(i + spans.SENTENCES, len(units) + 1):
@@ -181,6 +305,28 @@ def plain_spans(text):
     return units, found
 
 
+def test_sentences_against_plain_python(spark):
+    texts = [r["text"] for r in documents(spark).select("text").limit(80).collect() if r["text"]]
+    texts += ["Er sagte: 「今日は雨です。」それから、彼は家に帰りました。Then he left. 雨が降る！また明日？", "กขฃคฅ ฆงจฉ ำ่ะั กา", "a\n\nb. c? (d!) e", "x" * 50, "  ", ".", "…」", "中" * 40 + "。" + "国" * 9, "\U00020000\U00020001。a"]
+    for t in texts:
+        cut = spans.analyse([t])
+        ends = [0, *cut.end.tolist()]
+        units, found = plain_spans(t)
+        if t.strip():
+            assert [t[a:b] for a, b in zip(ends, ends[1:])] == units
+        assert [(int(i), int(j)) for i, j in zip(cut.span_first, cut.span_end)] == [(i, j) for i, j, _ in found]
+
+
+def test_passages_of_unspaced_scripts_are_found(spark):
+    rng = random.Random(12)
+    fresh = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) + ("。" if rng.random() < 0.1 else "") for _ in range(n))
+    passage = fresh(120)
+    rows = [(1, fresh(50) + passage + fresh(70)), (2, fresh(80) + passage + fresh(30)), (3, fresh(200))]
+    got = {r["doc_id"]: r for r in spans.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["n_removed"] == got[3]["n_removed"] == 0 and got[2]["n_removed"] >= 3
+    assert passage[30:90] not in got[2]["text"] and got[2]["text"].startswith(rows[1][1][:50])
+
+
 def test_spans_against_brute_force(spark):
     passage = "Rain fell on the old harbour all night. Nobody at the inn slept, and the lamps burned low. By morning the ships were gone. Only ropes lay on the quay, wet and heavy. The keeper wrote it all down in his book. Then he shut the door and left the town for good, as he had said he would. "
     rng = random.Random(5)
@@ -365,6 +511,31 @@ def test_toxicity_cut_counts_what_a_sample_stands_for(spark, monkeypatch):
     assert len(labels) < 200 and np.isclose(times[labels == 1].sum(), n[True]) and np.isclose(times[labels == 0].sum(), n[False])
 
 
+def test_toxicity_weights_against_plain_python():
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["awful", "stupid", "idiot"] if k % 3 == 0 and rng.random() < 0.6 else ["garden", "river", "table", "summer"]) for _ in range(4)) for k in range(40)]
+    toxic = np.array([int(k % 3 == 0) for k in range(40)])
+    features = [np.unique(toxicity.slots(t)) for t in texts]
+    weights, b = toxicity.fit_rows(features, toxic)
+    n_bad, n_good, checked = int(toxic.sum()), int((1 - toxic).sum()), 0
+    ratio = {}
+    for slot in {int(s) for f in features for s in f}:
+        bad = sum(slot in f for f, t in zip(features, toxic) if t)
+        good = sum(slot in f for f, t in zip(features, toxic) if not t)
+        r = math.log((bad + 1) / (n_bad + 2)) - math.log((good + 1) / (n_good + 2))
+        if bad + good >= toxicity.LEAST_TEXTS and abs(r) >= toxicity.LEAST_RATIO:
+            ratio[slot] = r
+    assert set(np.flatnonzero(weights)) <= set(ratio) and len(ratio) > 20
+    margins = [sum(float(weights[s]) for s in f) + b for f in features]
+    share = [40 / (2 * (n_bad if t else n_good)) for t in toxic]
+    errors = [c * (1 / (1 + math.exp(-m)) - t) for c, m, t in zip(share, margins, toxic)]
+    for slot, r in ratio.items():  # the gradient of the regularised loss is nought where the fit ended
+        slope = sum(e * r for e, f in zip(errors, features) if slot in f) + toxicity.PENALTY * float(weights[slot]) / r
+        assert abs(slope) < 0.02
+        checked += 1
+    assert checked == len(ratio) and abs(sum(errors)) < 0.05
+
+
 def test_toxicity_of_odd_documents(spark):
     docs = odd_documents(spark, ["score", "toxic"])
     labels = spark.createDataFrame([(1, 0, 0), (2, 0, 1), (2, 0, 0), (6, 1, 0), (8, 1, 0), (None, 1, 1), (10, 1, None)], "doc_id long, quality int, toxic int")
@@ -439,12 +610,13 @@ def test_pipeline_against_its_parts(spark):
         if not gone or text.strip(" "):
             left.append((r["doc_id"], r["source"], text))
     n = collections.Counter(s for _, s, _ in left)
-    total = sum(math.sqrt(c) for c in n.values())
+    weight = {s: math.sqrt(c) * mixing.BOOSTS.get(s, 1.0) for s, c in n.items()}
+    total = sum(weight.values())
     enc = reference_encoding()
     want = collections.Counter()
     for k, s, text in left:
         ids = enc.encode_ordinary(text)
-        if copies := inverted(len(left) * math.sqrt(n[s]) / total / n[s], k):
+        if copies := inverted(len(left) * weight[s] / total / n[s], k):
             want[k, s, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()] += copies
     out = docs
     for _, stage in corpus_pipeline.STAGES:
@@ -453,6 +625,33 @@ def test_pipeline_against_its_parts(spark):
     assert got == want
 
 
+def test_near_dedup_tells_rows_of_one_id_apart(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    other = " ".join(f"w{k}" for k in range(90))
+    third = " ".join(f"v{k * k}" for k in range(90))
+    rows = [(1, PROSE, "en", "a"), (1, other, "en", "a"), (1, other, "en", "a"), (2, PROSE, "en", "b"), (2, third, "en", "b"), (3, other, "en", "c"), (4, third, "en", "c"), (5, GERMAN, "de", "c")]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], SCHEMA)
+    got = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert got == sorted([(1, PROSE), (1, other), (2, third), (5, GERMAN)])
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_the_whole_pipeline_on_odd_and_empty_tables(spark, tmp_path, empty):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from tessella.llm import shared
+
+    docs = odd_documents(spark, ["score", "component"]).unionByName(documents(spark).limit(60).withColumns({"score": F.lit("e"), "component": F.lit("e")}))
+    docs.limit(0 if empty else 1000).write.parquet(f"{tmp_path}/documents.parquet")
+    before = shared.staged_so_far()
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"]
+    assert shared.staged_so_far() == before + 1  # all other tables are deleted
+    rows = out.collect()
+    assert (len(rows) == 0) == empty
+    for r in rows:
+        assert hashlib.sha256(" ".join(map(str, r["token_ids"])).encode()).hexdigest() == r["ids_sha256"] and r["n_tokens"] == len(r["token_ids"])
+
+
 def test_stages_take_odd_and_empty_tables(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     clashing = ["score", "rows", "component_id", "_copies", "h", "token_ids", "copy"]
