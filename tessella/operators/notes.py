@@ -121,3 +121,11 @@ def instance_rows(a: DataFrame, b: DataFrame, keys: list[str], index: str) -> Da
 def snippets(docs: DataFrame, key: str, text: str, pattern: str, around: int = 60) -> DataFrame:
     """(key, snippet): the first match in each document that has one, with its surroundings."""
     return docs.filter(F.col(text).rlike(pattern)).select(key, F.regexp_extract(text, rf"(?s)(.{{0,{around}}}(?:{pattern}).{{0,{around}}})", 1).alias("snippet"))
+
+
+def contradictions(answers: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, n_answers, n_different, answers): where answers to one question differ, blanks and case aside."""
+    said = F.lower(F.trim(F.col(value).cast("string")))
+    counts = answers.filter(said != "").groupBy(*keys, said.alias("_said")).agg(F.count("*").alias("_n"))
+    groups = counts.groupBy(*keys).agg(F.sum("_n").alias("n_answers"), F.count("*").alias("n_different"), F.array_join(F.array_sort(F.collect_list("_said")), "; ").alias("answers"))
+    return groups.filter("n_different > 1")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.catalogue import query, table
-from tessella.operators import cohort, deid, derive, models_fit
+from tessella.operators import cohort, deid, derive, models_fit, notes
 from tessella.plans import gate
 from tessella.plans.dialect import translated
 
@@ -143,3 +143,11 @@ def association(spark: SparkSession, d: str) -> DataFrame:
 def global_numbers(spark: SparkSession, d: str) -> DataFrame:
     ids = table(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("as_text"))
     return cohort.numbered(ids, "as_text", name="place").select("o_orderkey", F.col("place").cast("long").alias("place"))
+
+
+@query("""
+WITH s AS (SELECT o_custkey, lower(trim(o_orderstatus)) AS said, count(*) AS n FROM orders GROUP BY 1, 2)
+SELECT o_custkey, CAST(sum(n) AS BIGINT) AS n_answers, count(*) AS n_different, string_agg(said, '; ' ORDER BY said) AS answers FROM s GROUP BY 1 HAVING count(*) > 1
+""")
+def answer_contradictions(spark: SparkSession, d: str) -> DataFrame:
+    return notes.contradictions(table(spark, d, "orders"), ["o_custkey"], "o_orderstatus")

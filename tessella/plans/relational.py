@@ -381,7 +381,7 @@ def score_topk(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", score.alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS n_rows, 0.0::DOUBLE AS null_fraction, 5 AS n_columns, 'usable' AS verdict FROM (SELECT * FROM documents LIMIT 1000)")
+@query("SELECT CAST(count(*) AS BIGINT) AS n_rows, 0.0::DOUBLE AS null_fraction, 5 AS n_columns, 'usable' AS verdict FROM documents")
 def file_verdict(spark: SparkSession, d: str) -> DataFrame:
     return tables.inspected(table(spark, d, "documents")).withColumn("null_fraction", F.round("null_fraction", 6))
 

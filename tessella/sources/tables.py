@@ -125,13 +125,12 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return df.filter(number.isNotNull()).withColumn("item_number", number).withColumn("active", F.coalesce(F.trim("year_retired"), F.lit("")) == "")
 
 
-def inspected(df: DataFrame, sample: int = 1000) -> DataFrame:
-    """columns, rows (of the sample), null fraction and a verdict."""
-    head = df.limit(sample)
+def inspected(df: DataFrame) -> DataFrame:
+    """n_rows, null fraction of all cells, n_columns and a verdict; one pass over all rows."""
     n = len(df.columns)
     filled = F.avg(sum((F.col(f"`{c}`").isNotNull().cast("int") for c in df.columns), F.lit(0)) / F.lit(float(n or 1)))
     verdict = F.when(F.col("n_rows") == 0, "empty").when(F.col("null_fraction") > 0.5, "mostly missing").when((F.lit(n) < 2) | (F.col("n_rows") < 3), "too small").otherwise("usable")
-    return head.agg(F.count("*").alias("n_rows"), F.coalesce(1 - filled, F.lit(0.0)).alias("null_fraction")).withColumn("n_columns", F.lit(n)).withColumn("verdict", verdict)
+    return df.agg(F.count("*").alias("n_rows"), F.coalesce(1 - filled, F.lit(0.0)).alias("null_fraction")).withColumn("n_columns", F.lit(n)).withColumn("verdict", verdict)
 
 
 def save_database(frames: dict[str, DataFrame], folder: str, only: set[str] | None = None) -> None:

@@ -1,5 +1,6 @@
-"""Column classes, running aggregates, derived variables, code likeness and dialect, beyond what queries show."""
+"""Model flows, column classes, running aggregates, derived variables, code likeness and dialect, beyond what queries show."""
 
+import json
 import math
 import random
 import statistics
@@ -7,7 +8,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import codes, deid, derive, models_fit, notes, stats
+from tessella.operators import codes, deid, derive, models, models_fit, notes, stats
 from tessella.plans.dialect import Refused, translated
 
 CLASSES = {
@@ -159,3 +160,55 @@ def test_functions_that_are_defined_otherwise(spark):
     for text in ("SELECT entropy(x) FROM moments", "SELECT histogram(x) FROM moments", "SELECT kurtosis(x) FILTER (WHERE x > 1) FROM moments"):
         with pytest.raises(Refused):
             translated(text)
+
+
+def clerk():
+    """Answers by the prompt; every third call fails, and one record is never answered."""
+
+    class Clerk:
+        def __init__(self):
+            self.calls = 0
+
+        def generate(self, prompt):
+            self.calls += 1
+            if self.calls % 3 == 2 or "mute" in prompt:
+                raise RuntimeError("busy")
+            if prompt.startswith("Name every"):
+                return "thought" if "garbled" in prompt else json.dumps([{"diagnosis": "lung cancer"}, "skin cancer", ""])
+            if prompt.startswith("Give each"):
+                return "[]" if "uncoded" in prompt else json.dumps([{"site": "C34"}, {"site": "C44", "histology": 8720}])
+            if prompt.startswith("Known so far"):
+                record = prompt.rsplit("Record:\n", 1)[1]
+                return json.dumps({q.upper(): a for q, _, a in (x.partition("=") for x in record.split())})
+            if prompt.startswith(("Write", "Bring")):
+                return f" {prompt.count('part') + prompt.count('Summary')} lines "
+            return json.dumps({"stage": {"value": "II", "confidence": 0.8}, "grade": 3})
+
+    return Clerk()
+
+
+def test_diagnoses_in_two_steps(spark):
+    long = " and so on for some time"
+    df = spark.createDataFrame([("a", "record" + long), ("b", "short"), ("c", None), ("d", "garbled" + long), ("e", "mute" + long)], "p string, text string")
+    got = {(r["p"], r["tumor_index"]): (r["diagnosis"], r["site"], r["histology"], r["how"]) for r in models.discovered(df.coalesce(1), "p", "text", clerk(), lambda d: f"see {d}").collect()}
+    unknown = ("unknown", None, None, "unknown")
+    assert got == {("a", 0): ("lung cancer", "C34", None, "coded"), ("a", 1): ("skin cancer", "C44", "8720", "coded"), ("b", 0): unknown, ("c", 0): unknown, ("d", 0): unknown, ("e", 0): unknown}
+    plain = models.discovered(df.filter("p = 'a'"), "p", "text", clerk(), lambda d: "uncoded").collect()
+    assert [(r["diagnosis"], r["how"]) for r in plain] == [("lung cancer", "plain"), ("skin cancer", "plain")]
+    assert models.discovered(df.limit(0), "p", "text", clerk()).count() == 0
+
+
+def test_one_call_a_request(spark):
+    df = spark.createDataFrame([("a", 0, "o", "extract"), ("a", 1, "o", "mute")], "p string, tumor int, ontology string, prompt string")
+    got = sorted(models.extracted(df.coalesce(1), ["p", "tumor", "ontology"], "prompt", clerk()).collect(), key=str)
+    assert [(r["tumor"], r["field"], r["value"], r["confidence"]) for r in got if not r["error"]] == [(0, "grade", "3", None), (0, "stage", "II", 0.8)]
+    assert [r["error"] for r in got if r["tumor"] == 1] == ["RuntimeError: busy"]
+
+
+def test_questions_in_batches_and_running_summaries(spark):
+    chunks = spark.createDataFrame([("p", 2, "q2=no q5=late"), ("p", 1, "q1=yes q2=maybe"), ("q", 1, "mute")], "p string, k int, text string")
+    got = {(r["p"], r["question"]): (r["answer"], r["n_failed"]) for r in models.answered(chunks, "p", "k", "text", ["q1", "q2", "q5"], clerk(), batch=2).collect()}
+    assert {k: v[0] for k, v in got.items()} == {("p", "q1"): "yes", ("p", "q2"): "no", ("p", "q5"): "late", ("q", "q1"): None, ("q", "q2"): None, ("q", "q5"): None}
+    assert got["p", "q1"][1] == 0 and got["q", "q1"][1] == 2
+    sums = {r["p"]: (r["summary"], r["n_failed"]) for r in models.summarised(chunks, "p", "k", "text", clerk()).collect()}
+    assert sums["p"][0].endswith("lines") and sums["q"] == (None, 1)
