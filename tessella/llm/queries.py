@@ -59,10 +59,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op7 SQL can say: host, path, rule, and the rule's verdict."""
+    rule, verdict = urls.rule_columns()
+    return urls.with_host_and_path(_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op9 SQL can say: the base counts of whole texts."""
+    counted = quality.counts(_table(spark, sf_dir, "documents"))
+    return counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality.base_failed().alias("base_failed"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_warc, op2_language_id, op3_mix_sources, op4_byte_bpe, op5_sorted_projections,
-        op6_sentence_spans, op7_url_filter, op8_toxicity, op9_quality_rules, op10_simhash,
+        op6_sentence_spans, op7_url_filter, op8_toxicity, op9_quality_rules, op10_simhash, url_rules, quality_counts,
     )}
 
 
@@ -98,5 +110,37 @@ FROM g
 """
 
 
+def _rule_sql(of: int) -> str:
+    """The longest rule that fits, or its verdict, as a CASE."""
+    fits = lambda host, path: f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}')"
+    return "CASE " + " ".join(f"WHEN {fits(*r[0].split('/', 1))} THEN '{r[of]}'" for r in sorted(urls.RULES, key=lambda r: -len(r[0]))) + " END"
+
+
+URL_RULES_SQL = rf"""
+WITH parts AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path
+  FROM pages
+)
+SELECT page_id, host, path, {_rule_sql(0)} AS rule, {_rule_sql(1)} AS verdict FROM parts
+"""
+
+
+QUALITY_COUNTS_SQL = rf"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
+u AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
+k AS (SELECT doc_id, i, x || ' ' || lead(x, 1) OVER v || ' ' || lead(x, 2) OVER v AS g FROM u WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
+again AS (SELECT doc_id, i FROM k WHERE g IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, g) >= 2),
+covered AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM again) GROUP BY doc_id),
+c AS (
+  SELECT l.doc_id, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+         len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM l LEFT JOIN covered ON covered.doc_id = l.doc_id
+)
+SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op3_mix_sources": OP3_SQL}
+    return {"op1_warc": OP1_SQL, "op3_mix_sources": OP3_SQL, "url_rules": URL_RULES_SQL, "quality_counts": QUALITY_COUNTS_SQL}

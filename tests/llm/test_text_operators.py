@@ -571,6 +571,16 @@ def test_quality_counts_and_posterior(spark):
     assert all(abs(sum(h) - 1) < 1e-9 for kind in habits for h in kind)
 
 
+def test_quality_of_odd_documents(spark):
+    odd = odd_documents(spark, ["n_words", "quality", "good", "v0", "w", "l"])
+    got = quality.judge(odd).collect()
+    assert len(got) == 14 and all(0 <= r["quality"] <= 1 and r["good"] == (r["quality"] >= quality.KEPT_FROM) for r in got)
+    counts = {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_repeat_words"]) for r in got if r["doc_id"] in (3, 4, 5, 7, 8)}
+    assert counts == {3: (0, 0, 0), 4: (0, 0, 0), 5: (0, 0, 0), 7: (1, 4, 0), 8: (60_000, 240_000, 60_000)}
+    assert len({(r["n_words"], r["quality"]) for r in got if r["doc_id"] == 10}) == 1
+    assert quality.judge(no_documents(spark)).count() == 0
+
+
 def test_quality_agrees_with_labels(spark):
     folder = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
