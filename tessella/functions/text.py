@@ -113,4 +113,4 @@ def event_tags(c: Column) -> Column:
     """``<type>text`` up to the next ``<``, as array<struct<type, text>>."""
     kinds = F.regexp_extract_all(c, F.lit(r"<([A-Za-z_]+)>([^<]*)"), F.lit(1))
     texts = F.regexp_extract_all(c, F.lit(r"<([A-Za-z_]+)>([^<]*)"), F.lit(2))
-    return F.transform(F.arrays_zip(kinds.alias("type"), texts.alias("text")), lambda e: F.struct(e["type"].alias("type"), F.trim(e["text"]).alias("text")))
+    return F.transform(F.arrays_zip(kinds.alias("type"), texts.alias("text")), lambda e: F.struct(e["type"].alias("type"), F.trim(e["text"], F.lit(" \t\r\n")).alias("text")))

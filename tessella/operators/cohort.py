@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.text import value_map
+from tessella.functions.values import TRANSFORMS
+
 # Column names that hold personal data.
 PII_SUBSTRINGS = ("mrn", "ssn", "phone", "email", "address", "zip_code", "postal")
 PII_NAMES = (
@@ -19,6 +22,20 @@ def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.withColumnsRenamed({a: b for a, b in names.items() if a in df.columns and a != b})
 
 
+def harmonised(df: DataFrame, key: str, mappings: list[dict]) -> dict[str, DataFrame]:
+    """One table for each category: the key, ``source``, and a column for each mapping whose own column exists.
+
+    A mapping is {category, column, field, values?, transform?}; values are recoded before the transform. Of two mappings to
+    one field the later counts; categories without any column are left out; an unknown transform changes nothing.
+    """
+    by_category: dict[str, dict[str, Column]] = {}
+    for m in mappings:
+        if m["column"] in df.columns:
+            recoded = value_map(F.col(f"`{m['column']}`").cast("string"), m["values"]) if m.get("values") else F.col(f"`{m['column']}`")
+            by_category.setdefault(m["category"], {})[m["field"]] = TRANSFORMS.get(m.get("transform"), lambda c: c)(recoded).alias(m["field"])
+    return {category: df.select(key, F.lit("structured").alias("source"), *fields.values()) for category, fields in by_category.items()}
+
+
 def with_record_id(df: DataFrame, candidates: list[str], name: str = "record_id") -> DataFrame:
     """The first candidate that the table has, in the given order, becomes the id."""
     own = next((c for c in candidates if c in df.columns), None)

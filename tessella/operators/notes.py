@@ -118,6 +118,15 @@ def instance_rows(a: DataFrame, b: DataFrame, keys: list[str], index: str) -> Da
     return a.join(b, [*keys, index], "full")
 
 
+def merged_codes(plain: DataFrame, coded: DataFrame, key: str, index: str, place: str, codes: list[str]) -> DataFrame:
+    """``plain`` with the codes of ``coded``: matched by index within a key, and where no index fits by place."""
+    by_index = coded.filter(F.col(index).isNotNull()).select(key, index, F.struct(*codes).alias("_i"))
+    by_place = coded.select(key, F.col(place).alias("_p"), F.struct(*codes).alias("_q"))
+    joined = plain.join(by_index, [key, index], "left").join(by_place.withColumnRenamed(key, "_k"), (F.col(key) == F.col("_k")) & (F.col(place) == F.col("_p")), "left")
+    found = F.coalesce("_i", "_q")
+    return joined.select(*plain.columns, *(found[c].alias(c) for c in codes))
+
+
 def snippets(docs: DataFrame, key: str, text: str, pattern: str, around: int = 60) -> DataFrame:
     """(key, snippet): the first match in each document that has one, with its surroundings."""
     return docs.filter(F.col(text).rlike(pattern)).select(key, F.regexp_extract(text, rf"(?s)(.{{0,{around}}}(?:{pattern}).{{0,{around}}})", 1).alias("snippet"))

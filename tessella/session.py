@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -22,3 +24,16 @@ def session(name: str = "tessella", master: str | None = None, shuffle_partition
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     return builder.config(map=settings | conf).getOrCreate()
+
+
+_LOCAL: dict[str, str] = {}
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path under the folder that the cluster names in spark.checkpoint.dir; only a local master without one has its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="tessella-"))
+    return f"{base.rstrip('/')}/tessella-tables/{os.getpid()}/{uuid.uuid4().hex}-{name}"

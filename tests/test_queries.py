@@ -4,7 +4,7 @@ import pytest
 
 from oracle import connection, same
 from tessella.catalogue import ORACLES, QUERIES
-from tessella.plans import clinical, derived, relational  # noqa: F401
+from tessella.plans import clinical, derived, relational, rules  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 INVARIANT = ("conf_merge_locking", "line_of_therapy", "cohort_ids", "km_curve", "asof_join", "code_resolve", "concat_notes", "manifest_extend")
