@@ -41,8 +41,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 
 REVISIT_FROM = 1000
 ARCHIVE_BYTES = 32_000_000
-#: The dictionary of an archive is trained on this many of its first bytes.
-TRAINED_BYTES, DICTIONARY_BYTES, LEAST_SAMPLES = 2_000_000, 65_536, 16
+#: The dictionary of an archive is trained on its first records, about so many bytes, in samples of one size.
+TRAINED_BYTES, DICTIONARY_BYTES, LEAST_SAMPLES, SAMPLE_BYTES = 2_000_000, 65_536, 16, 16_384
 LEVEL = 3
 #: Reading tasks for each core at most; a task reads its archives one after the other.
 READS = 64
@@ -95,7 +95,8 @@ def write_archive(uri: str, records: Iterator[bytes], enough: int = ARCHIVE_BYTE
     dictionary = None
     if len(first) >= LEAST_SAMPLES:
         try:
-            dictionary = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, size // 8)), [x[:16_384] for x in first])
+            samples = [x[at : at + SAMPLE_BYTES] for x in first for at in range(0, len(x), SAMPLE_BYTES)]
+            dictionary = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, size // 8)), samples)
         except zstandard.ZstdError:
             dictionary = None  # too little in common
     raw = dictionary.as_bytes() if dictionary else b""
