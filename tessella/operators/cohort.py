@@ -95,21 +95,30 @@ def surrogate_ids(df: DataFrame, key: str, prefix: str = "patient", name: str =
     return numbered(ids, "_text").select(key, F.format_string(f"{prefix}_%06d", F.col("_rank")).alias(name))
 
 
-#: Ranges that a global numbering is dealt into.
+def range_number(value: Column, bounds: list) -> Column:
+    """How many of the ordered ``bounds`` lie below a value: the number of its range."""
+    return F.greatest(F.lit(0), F.lit(0), *(F.when(F.lit(b) < value, i + 1) for i, b in enumerate(bounds)))
+
+
+def range_count(df: DataFrame, most: int) -> int:
+    """As many ranges as the session shuffles into, up to ``most``."""
+    return max(1, min(most, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+#: Ranges that a global numbering is dealt into at most.
 RANGES = 256
 
 
 def numbered(df: DataFrame, order: str, start: int = 1, name: str = "_rank") -> DataFrame:
     """``df`` with dense global numbers by a text column without ties.
 
-    Borders between ranges are texts of the column itself, from a sample by hash; rows are counted by range, numbered
+    Borders between ranges are texts of the column itself, those with the least hashes; rows are counted by range, numbered
     inside, and offset by the ranges before. Nothing is kept in memory, and a retry deals the rows alike.
     """
-    sampled = df.select(order).filter(F.pmod(F.xxhash64(order), F.lit(1 << 20)) < F.lit(max(1, (64 * RANGES << 20) // max(df.count(), 1))))
-    texts = sorted(r[0] for r in sampled.limit(256 * RANGES).collect())
-    bounds = sorted({texts[i * len(texts) // RANGES] for i in range(1, RANGES)}) if texts else []
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < F.col(order))) if bounds else F.lit(0)
-    parts = df.withColumn("_part", part)
+    ranges = range_count(df, RANGES)
+    texts = sorted(r[0] for r in df.select(order).orderBy(F.xxhash64(order)).limit(64 * ranges).collect())
+    bounds = sorted({texts[i * len(texts) // ranges] for i in range(1, ranges)}) if texts else []
+    parts = df.withColumn("_part", range_number(F.col(order), bounds))
     sizes = sorted((r["_part"], r["n"]) for r in parts.groupBy("_part").agg(F.count("*").alias("n")).collect())
     offsets, total = [], start
     for p, n in sizes:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Words in names of columns that no dashboard shows, and suffixes of extraction files.
-HIDDEN_WORDS = "date time timestamp calendar_year years_since_birth record_id patient_id id data_source".split()
+HIDDEN_WORDS = ("date", "time", "timestamp", "calendar_year", "years_since_birth", "record_id", "patient_id", "id", "data_source")
 ID_PATTERN = re.compile(r"(?:^|_)(?:patient|subject|person|record|participant|case)_?(?:id|key|num|number)$|^mrn$|^pid$", re.I)
 SECRETS = re.compile(r"key|token|secret|password", re.I)
 

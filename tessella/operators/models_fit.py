@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.stats import crosstab_statistic, range_bounds, running
+from tessella.session import written
 
 
 def welch(df: DataFrame, value: str, first_group: Column) -> DataFrame:
@@ -78,7 +79,7 @@ def cox(df: DataFrame, time: str, event: str, covariates: list[str], rounds: int
             *(F.sum(risk * x[i] * x[j]).alias(f"s2_{i}_{j}") for i, j in pairs), *(F.sum(e * c).alias(f"o_{i}") for i, c in enumerate(x)),
         )
         names = ["s0", *(f"s1_{i}" for i in range(p)), *(f"s2_{i}_{j}" for i, j in pairs)]
-        later = running(sums, "t", {f"r_{n}": ("sum", F.col(n)) for n in names}, descending=True, bounds=bounds)
+        later = running(written(sums, "risks"), "t", {f"r_{n}": ("sum", F.col(n)) for n in names}, descending=True, bounds=bounds)
         risks = later.select("d", *(f"o_{i}" for i in range(p)), *(F.col(f"r_{n}").alias(n) for n in names)).filter("d > 0")
         mean = [F.col(f"s1_{i}") / F.col("s0") for i in range(p)]
         row = risks.agg(

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.cohort import range_count, range_number
+from tessella.session import written
+
 
 def quantiles(df: DataFrame, key: str, value: str, shares: list[float]) -> dict[object, list[float]]:
     """Exact interpolated quantiles of a value in each group, for groups that are few and values that may be many.
@@ -40,6 +43,64 @@ def quantiles(df: DataFrame, key: str, value: str, shares: list[float]) -> dict[
     return {k: [found[k, at] + (found[k, at + 1] - found[k, at]) * rest if rest else found[k, at] for at, rest in places[k]] for k in places}
 
 
+#: Distinct values of a bracket that are gathered at most, and how far a bracket reaches beyond a rank, as a share.
+GATHERED, REACH = 20_000, 0.003
+
+
+def ranked_quantiles(df: DataFrame, columns: dict[str, tuple[Column, int]], shares: list[float]) -> dict[str, list[float]]:
+    """Exact interpolated quantiles of whole columns; {name: (number, count of its values)}.
+
+    Approximate quantiles bracket the wanted ranks; the values of a bracket are gathered when they are few, else the
+    bracket is bracketed again, a 150th of its rows at a time.
+    """
+    if not columns:
+        return {}
+    named = {c: v for c, (v, _) in columns.items()}
+    places = {(c, p): ((n - 1) * p, None, None) for c, (_, n) in columns.items() for p in shares}
+    kept: dict[tuple[str, float], list[float]] = {}
+    inside = df.select(*(v.alias(c) for c, v in named.items()))
+    while places:
+        keys = list(places)
+        narrowed = {}
+        for c in {c for c, _ in keys}:
+            # The first brackets of all shares of a column come from one pass.
+            same = [k for k in keys if k[0] == c]
+            for group in [same] if places[same[0]][1] is None else [[k] for k in same]:
+                _, low, high = places[group[0]]
+                part = inside if low is None else inside.filter(F.col(c).between(low, high))
+                n = columns[c][1] if low is None else part.count()
+                before = 0 if low is None else inside.filter(F.col(c) < low).count()
+                probes = [min(1.0, max(0.0, (places[k][0] - before) / n + side * (REACH + 2 / n))) for k in group for side in (-1, 1)]
+                ends = part.approxQuantile(c, probes, REACH / 3)
+                narrowed |= {k: (ends[2 * i], ends[2 * i + 1]) for i, k in enumerate(group)}
+        within = lambda k: F.col(k[0]).between(*narrowed[k])
+        below = inside.agg(*(F.count(F.when(F.col(k[0]) < narrowed[k][0], 1)).alias(f"b{i}") for i, k in enumerate(keys))).first()
+        marked = F.array_compact(F.array(*(F.when(within(k), F.struct(F.lit(i).alias("k"), F.col(k[0]).alias("v"))) for i, k in enumerate(keys))))
+        counts = inside.select(F.explode(marked).alias("m")).groupBy("m.k", "m.v").agg(F.count("*").alias("n"))
+        gathered: dict[int, list[tuple[float, int]]] = {}
+        for r in counts.limit(GATHERED * len(keys) + 1).collect():
+            gathered.setdefault(r["k"], []).append((r["v"], r["n"]))
+        whole = sum(map(len, gathered.values())) <= GATHERED * len(keys)
+        for i, k in enumerate(keys):
+            place = places[k][0]
+            if not whole and narrowed[k][0] < narrowed[k][1]:
+                places[k] = (place, *narrowed[k])
+                continue
+            # A bracket of one value holds the rank whatever the others are.
+            values, at = sorted(gathered[i]) if whole else [(narrowed[k][0], columns[k[0]][1])], below[f"b{i}"]
+            picked = []
+            for rank in (int(place), int(place) + (place % 1 > 0)):
+                upto = at
+                for v, n in values:
+                    upto += n
+                    if rank < upto:
+                        picked.append(v)
+                        break
+            kept[k] = [picked[0] + (picked[-1] - picked[0]) * (place % 1)]
+            del places[k]
+    return {c: [kept[c, p][0] for p in shares] for c in columns}
+
+
 #: A column of no more distinct values than these has its quantiles from one aggregate, whose state holds each value once.
 NARROW = 50_000
 
@@ -48,21 +109,19 @@ def five_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, least, largest, mean, median and quartiles of each column, one row a column.
 
     One pass tells counts and how many values are distinct; columns of few get their quantiles from a second, all others
-    by range partitions.
+    from brackets that are narrowed until few values are left in them.
     """
     named = {c: F.col(f"`{c}`").cast("double") for c in columns}
     shares = [0.5, 0.25, 0.75]
     plain = df.agg(*(f(v).alias(f"{k}{i}") for i, v in enumerate(named.values()) for k, f in (("n", F.count), ("least", F.min), ("largest", F.max), ("mean", F.avg), ("d", F.approx_count_distinct)))).first()
     narrow = [c for i, c in enumerate(columns) if plain[f"d{i}"] <= NARROW]
     found = dict(zip(narrow, df.agg(*(F.percentile(named[c], F.array(*map(F.lit, shares))).alias(f"q{i}") for i, c in enumerate(narrow))).first())) if narrow else {}
-    wide = [c for c in columns if c not in narrow]
-    if wide:
-        found |= quantiles(df.unpivot([], [named[c].alias(c) for c in wide], "column_name", "value"), "column_name", "value", shares)
+    found |= ranked_quantiles(df, {c: (named[c], plain[f"n{i}"]) for i, c in enumerate(columns) if c not in narrow}, shares)
     rows = [(c, plain[f"n{i}"], plain[f"least{i}"], plain[f"largest{i}"], plain[f"mean{i}"], *(found.get(c) or [None] * 3)) for i, c in enumerate(columns)]
     return df.sparkSession.createDataFrame(rows, "column_name string, n_values long, least double, largest double, mean double, median double, q1 double, q3 double")
 
 
-#: Ranges into which running aggregates are dealt.
+#: Ranges into which running aggregates are dealt at most.
 RANGES = 128
 
 
@@ -72,7 +131,8 @@ def _number(df: DataFrame, order: str) -> Column:
 
 def range_bounds(df: DataFrame, order: str) -> list[float]:
     """Borders between about equally many rows of ``df`` in the order of a number or date."""
-    return sorted(set(df.select(_number(df, order).alias("_o")).approxQuantile("_o", [i / RANGES for i in range(1, RANGES)], 0.002)))
+    n = range_count(df, RANGES)
+    return sorted(set(df.select(_number(df, order).alias("_o")).approxQuantile("_o", [i / n for i in range(1, n)], 0.002))) if n > 1 else []
 
 
 def running(
@@ -88,13 +148,20 @@ def running(
     both = {"sum": lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b), "min": F.least}
     number = _number(df, order)
     bounds = range_bounds(df, order) if bounds is None else bounds
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < number)) if bounds else F.lit(0)
-    parts = df.withColumn("_part", part)
+    parts = df.withColumn("_part", range_number(number, bounds))
     keys = [by, "_part"] if by else ["_part"]
     sums = parts.groupBy(*keys).agg(*(total[kind](c).alias(f"_of_{name}") for name, (kind, c) in wanted.items()))
-    # At most RANGES rows for each value of ``by``.
-    over = (Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy(F.desc("_part") if descending else F.asc("_part")).rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select(*keys, *(total[kind](f"_of_{name}").over(over).alias(f"_to_{name}") for name, (kind, _) in wanted.items()))
+    # At most RANGES rows for each value of ``by``: what each range is offset by is summed up here.
+    table, seen = [], {}
+    for row in sorted(sums.collect(), key=lambda r: -r["_part"] if descending else r["_part"]):
+        held = seen.setdefault(row[by] if by else None, dict.fromkeys(wanted))
+        table.append((*(row[k] for k in keys), *held.values()))
+        for name, (kind, _) in wanted.items():
+            own, upto = row[f"_of_{name}"], held[name]
+            if own is not None:
+                held[name] = own if upto is None else upto + own if kind == "sum" else min(upto, own)
+    renamed = [(f.name.replace("_of_", "_to_", 1), f.dataType.simpleString()) for f in sums.schema.fields]
+    before = df.sparkSession.createDataFrame(table, ", ".join(f"`{n}` {t}" for n, t in renamed))
     inside = Window.partitionBy(*keys).orderBy(F.desc(order) if descending else F.asc(order)).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
     own = parts.select("*", *(total[kind](c).over(inside).alias(f"_in_{name}") for name, (kind, c) in wanted.items()))
     joined = own.join(F.broadcast(before), keys)
@@ -118,14 +185,14 @@ def kaplan_meier(df: DataFrame, time: str, event: str, entry: str | None = None)
 
     Aggregates run over one row for each distinct time, dealt by ranges of time.
     """
-    times = df.groupBy(F.col(time).alias("t")).agg(F.count("*").alias("m"), F.sum(F.col(event).cast("long")).alias("d"))
+    times = written(df.groupBy(F.col(time).alias("t")).agg(F.count("*").alias("m"), F.sum(F.col(event).cast("long")).alias("d")), "times")
     bounds = range_bounds(times, "t")
     if entry is None:
         table = running(times, "t", {"n": ("sum", F.col("m"))}, descending=True, bounds=bounds)
     else:
         entered = df.groupBy(F.col(entry).alias("t")).agg(F.count("*").alias("e"))
         both = times.select("t", "m", "d", F.lit(0).alias("e")).unionByName(entered.select("t", F.lit(0).alias("m"), F.lit(0).alias("d"), "e"))
-        both = both.groupBy("t").agg(F.sum("m").alias("m"), F.sum("d").alias("d"), F.sum("e").alias("e"))
+        both = written(both.groupBy("t").agg(F.sum("m").alias("m"), F.sum("d").alias("d"), F.sum("e").alias("e")), "entries")
         inside = running(both, "t", {"n": ("sum", F.col("e") - F.col("m"))}, strict=True, bounds=bounds)
         table = inside.withColumn("n", F.coalesce("n", F.lit(0)))
     steps = table.filter("d > 0").withColumn("f", 1 - F.col("d") / F.col("n"))
@@ -137,7 +204,7 @@ def kaplan_meier(df: DataFrame, time: str, event: str, entry: str | None = None)
 
 def cumulative_incidence(df: DataFrame, time: str, cause: str) -> DataFrame:
     """Aalen-Johansen for causes 1, 2, ...; 0 is censored. time, cause, incidence at each time of that cause."""
-    times = df.groupBy(F.col(time).alias("t")).agg(F.count("*").alias("m"), F.sum((F.col(cause) > 0).cast("long")).alias("d"))
+    times = written(df.groupBy(F.col(time).alias("t")).agg(F.count("*").alias("m"), F.sum((F.col(cause) > 0).cast("long")).alias("d")), "times")
     bounds = range_bounds(times, "t")
     times = running(times, "t", {"n": ("sum", F.col("m"))}, descending=True, bounds=bounds).withColumn("f", 1 - F.col("d") / F.col("n"))
     times = running(times, "t", {"lowest": ("min", F.col("f")), "logs": ("sum", F.when(F.col("f") > 0, F.ln("f")))}, strict=True, bounds=bounds)
@@ -164,6 +231,7 @@ def crosstab_statistic(df: DataFrame, a: str, b: str) -> DataFrame:
 def mann_whitney(df: DataFrame, value: str, first_group: Column) -> DataFrame:
     """U of the first group by mid-ranks, over one row for each distinct value."""
     ties = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.when(first_group, 1)).alias("k"), F.count("*").alias("m"))
+    ties = written(ties, "ties")
     ranked = running(ties, "v", {"below": ("sum", F.col("m"))}, strict=True).withColumn("mid", F.coalesce("below", F.lit(0)) + (F.col("m") + 1) / 2)
     sums = ranked.agg(F.sum(F.col("k") * F.col("mid")).alias("r"), F.sum("k").alias("n1"), F.sum("m").alias("n"))
     return sums.select((F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2).alias("u"), F.col("n1"), (F.col("n") - F.col("n1")).alias("n2"))
@@ -190,7 +258,7 @@ def adjusted_p(df: DataFrame, p: str, name: str = "adjusted") -> DataFrame:
 
     Aggregates run over one row for each distinct p, dealt by ranges of p.
     """
-    counts = df.filter(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_m"))
+    counts = written(df.filter(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_m")), "p")
     n = counts.agg(F.sum("_m")).first()[0] or 0
     bounds = range_bounds(counts, "_p")
     raw = running(counts, "_p", {"_rank": ("sum", F.col("_m"))}, bounds=bounds).withColumn("_raw", F.least(F.col("_p") * n / F.col("_rank"), F.lit(1.0)))

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "tessella", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -37,3 +37,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="tessella-"))
     return f"{base.rstrip('/')}/tessella-tables/{os.getpid()}/{uuid.uuid4().hex}-{name}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, however often it is read, and safe from lost executors."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
