@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, langid, mixing, quality, simhash, spans, toxicity, urls, vectors, warc
+from tessella.llm import bpe, langid, mixing, quality, resampling, simhash, spans, toxicity, urls, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return resampling.resample(docs.select("doc_id", "text"), target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of op7 SQL can say: host, path, rule, and the rule's verdict."""
     rule, verdict = urls.rule_columns()
@@ -74,7 +79,7 @@ def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_warc, op2_language_id, op3_mix_sources, op4_byte_bpe, op5_sorted_projections,
-        op6_sentence_spans, op7_url_filter, op8_toxicity, op9_quality_rules, op10_simhash, url_rules, quality_counts,
+        op6_sentence_spans, op7_url_filter, op8_toxicity, op9_quality_rules, op10_simhash, op11_resample, url_rules, quality_counts,
     )}
 
 
@@ -142,5 +147,42 @@ SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words
 """
 
 
+#: Words of a text as in op11 and op13; the table of crc32 is worked out from its polynomial.
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP11_SQL = rf"""
+WITH RECURSIVE crc(b, k, c) AS (
+  SELECT b, 0, b FROM range(256) AS r(b)
+  UNION ALL
+  SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc WHERE k < 8
+),
+steps AS (SELECT list(c ORDER BY b) AS t FROM crc WHERE k = 8),
+d AS (SELECT doc_id, {WORDS} AS ws FROM documents),
+dw AS (SELECT doc_id, unnest(ws) AS w FROM d),
+bw AS (SELECT unnest({WORDS}) AS w FROM benchmark),
+words AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+coded AS (
+  SELECT w, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(length(x) // 2), lambda i: CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT))),
+                            lambda c, y: xor(c >> 8, t[1 + (xor(c, y) & 255)])), 4294967295) % {resampling.BUCKETS} AS bucket
+  FROM words, steps
+),
+s AS (SELECT bucket, count(*) AS n FROM dw JOIN coded USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM bw JOIN coded USING (w) GROUP BY bucket),
+gain AS (
+  SELECT s.bucket, CAST(floor(1000 * ln(((coalesce(t.n, 0) + 1) * ((SELECT coalesce(sum(n), 0) FROM s) + {resampling.BUCKETS}))::DOUBLE
+                                        / ((s.n + 1) * ((SELECT coalesce(sum(n), 0) FROM t) + {resampling.BUCKETS}))::DOUBLE)) AS BIGINT) AS g
+  FROM s LEFT JOIN t ON t.bucket = s.bucket
+),
+summed AS (SELECT doc_id, CAST(sum(g) AS BIGINT) AS weight FROM dw JOIN coded USING (w) JOIN gain USING (bucket) GROUP BY doc_id),
+scored AS (
+  SELECT d.doc_id, len(ws) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('{resampling.SEED}:' || d.doc_id)[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM d LEFT JOIN summed ON summed.doc_id = d.doc_id
+),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= {resampling.LEAST_WORDS})
+SELECT scored.doc_id, n_features, weight, score, CASE WHEN place <= n * {resampling.PERCENT} // 100 THEN place END AS rank
+FROM scored LEFT JOIN placed ON placed.doc_id = scored.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op3_mix_sources": OP3_SQL, "url_rules": URL_RULES_SQL, "quality_counts": QUALITY_COUNTS_SQL}
+    return {"op1_warc": OP1_SQL, "op3_mix_sources": OP3_SQL, "op11_resample": OP11_SQL, "url_rules": URL_RULES_SQL, "quality_counts": QUALITY_COUNTS_SQL}
