@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, langid, mixing, quality, resampling, simhash, spans, toxicity, urls, vectors, warc
+from tessella.llm import bpe, langid, mixing, quality, ranked, resampling, simhash, spans, toxicity, urls, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(docs.select("doc_id", "text"), target).select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(ranked.index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+
+
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of op7 SQL can say: host, path, rule, and the rule's verdict."""
     rule, verdict = urls.rule_columns()
@@ -79,7 +83,7 @@ def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_warc, op2_language_id, op3_mix_sources, op4_byte_bpe, op5_sorted_projections,
-        op6_sentence_spans, op7_url_filter, op8_toxicity, op9_quality_rules, op10_simhash, op11_resample, url_rules, quality_counts,
+        op6_sentence_spans, op7_url_filter, op8_toxicity, op9_quality_rules, op10_simhash, op11_resample, op13_ranked_search, url_rules, quality_counts,
     )}
 
 
@@ -184,5 +188,17 @@ FROM scored LEFT JOIN placed ON placed.doc_id = scored.doc_id
 """
 
 
+OP13_SQL = f"""
+WITH d AS (SELECT doc_id, {WORDS} AS ws FROM documents),
+totals AS (SELECT count(*) FILTER (len(ws) > 0) AS n_all, CAST(sum(len(ws)) AS BIGINT) AS l_all FROM d),
+q AS (SELECT item_id, w, count(*) AS times FROM (SELECT item_id, unnest({WORDS}) AS w FROM benchmark) GROUP BY item_id, w),
+p AS (SELECT doc_id, w, n, count(*) AS tf FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS w FROM d) SEMI JOIN q USING (w) GROUP BY doc_id, w, n),
+f AS (SELECT w, CAST(floor(1000 * ln((2 * n_all + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight FROM p, totals GROUP BY w, n_all),
+c AS (SELECT doc_id, w, weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_all) // l_all))) AS part FROM p JOIN f USING (w), totals),
+s AS (SELECT item_id, doc_id, CAST(sum(times * part) AS BIGINT) AS score FROM q JOIN c USING (w) GROUP BY item_id, doc_id HAVING sum(times * part) > 0)
+SELECT item_id, CAST(row_number() OVER v AS INTEGER) AS rank, doc_id, score FROM s WINDOW v AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY rank <= {ranked.TOP}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op3_mix_sources": OP3_SQL, "op11_resample": OP11_SQL, "url_rules": URL_RULES_SQL, "quality_counts": QUALITY_COUNTS_SQL}
+    return {"op1_warc": OP1_SQL, "op3_mix_sources": OP3_SQL, "op11_resample": OP11_SQL, "op13_ranked_search": OP13_SQL, "url_rules": URL_RULES_SQL, "quality_counts": QUALITY_COUNTS_SQL}
