@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, langid, mixing, quality, ranked, resampling, simhash, spans, toxicity, urls, vectors, warc
+from tessella.llm import bpe, langid, mixing, quality, ranked, resampling, simhash, spans, suffixes, toxicity, urls, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,11 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(docs.select("doc_id", "text"), target).select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(ranked.index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
 
@@ -83,7 +88,7 @@ def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_warc, op2_language_id, op3_mix_sources, op4_byte_bpe, op5_sorted_projections,
-        op6_sentence_spans, op7_url_filter, op8_toxicity, op9_quality_rules, op10_simhash, op11_resample, op13_ranked_search, url_rules, quality_counts,
+        op6_sentence_spans, op7_url_filter, op8_toxicity, op9_quality_rules, op10_simhash, op11_resample, op12_suffix_array, op13_ranked_search, url_rules, quality_counts,
     )}
 
 
@@ -188,6 +193,21 @@ FROM scored LEFT JOIN placed ON placed.doc_id = scored.doc_id
 """
 
 
+#: Every string of 100 bytes with its first place; a byte goes if a repeated one starts at it or within 99 bytes before.
+OP12_SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+b AS (SELECT doc_id, i, x[2 * i + 1:2 * i + 2] AS byte, md5(x[2 * i + 1:2 * (i + {suffixes.LENGTH})]) AS s, i + {suffixes.LENGTH} <= len(x) // 2 AS whole
+      FROM (SELECT doc_id, x, unnest(range(len(x) // 2)) AS i FROM d)),
+f AS (SELECT s, min((doc_id, i)) AS first FROM b WHERE whole GROUP BY s HAVING count(*) > 1),
+m AS (SELECT b.*, whole AND coalesce((doc_id, i) > first, false) AS later FROM b LEFT JOIN f USING (s)),
+g AS (SELECT doc_id, i, byte, coalesce(i - max(CASE WHEN later THEN i END) OVER (PARTITION BY doc_id ORDER BY i) < {suffixes.LENGTH}, false) AS gone FROM m),
+o AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM g),
+r AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, coalesce(string_agg(byte, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM o GROUP BY doc_id)
+SELECT d.doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN r ON r.doc_id = d.doc_id
+"""
+
+
 OP13_SQL = f"""
 WITH d AS (SELECT doc_id, {WORDS} AS ws FROM documents),
 totals AS (SELECT count(*) FILTER (len(ws) > 0) AS n_all, CAST(sum(len(ws)) AS BIGINT) AS l_all FROM d),
@@ -201,4 +221,4 @@ SELECT item_id, CAST(row_number() OVER v AS INTEGER) AS rank, doc_id, score FROM
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op3_mix_sources": OP3_SQL, "op11_resample": OP11_SQL, "op13_ranked_search": OP13_SQL, "url_rules": URL_RULES_SQL, "quality_counts": QUALITY_COUNTS_SQL}
+    return {"op1_warc": OP1_SQL, "op3_mix_sources": OP3_SQL, "op11_resample": OP11_SQL, "op12_suffix_array": OP12_SQL, "op13_ranked_search": OP13_SQL, "url_rules": URL_RULES_SQL, "quality_counts": QUALITY_COUNTS_SQL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -66,6 +67,12 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         _deleted(spark, path)
 
 
+def freed(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished stages: it does once the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True where crc32 of the id as text leaves 1 modulo 3; such rows teach no classifier. Null ids: false."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
