@@ -285,21 +285,22 @@ def _of_windows(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, versions, data, begin = _texts(batch)
-            places = batch.column("_places")
-            of = np.repeat(np.arange(len(ids)), places.value_lengths().to_numpy(zero_copy_only=False))
-            place = places.flatten().to_numpy(zero_copy_only=False)
-            size = place & 65535
-            row = np.repeat(np.arange(len(place)), size)
-            start = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + (place >> 16)[row]
-            at, text = start + begin[of[row]], of[row]
-            order = np.argsort(at, kind="stable")
-            at, start, text = at[order], start[order], text[order]
-            for _, _, low, high in parts_of(begin, length):
-                here = slice(*np.searchsorted(at, [low, max(high - length + 1, low)]))
-                if here.start < here.stop:
-                    digests = [Digests(data[low:high], k).of(length)[at[here] - low].view(np.int64) for k in (0, 1)]
-                    columns = [*digests, ids[text[here]], versions[text[here]], start[here].astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], list(_KEYS))
+            for part in terms.pieces(begin, PIECE):
+                places = batch.column("_places").slice(part.start, part.stop - part.start)
+                of = np.repeat(np.arange(part.start, part.stop), places.value_lengths().to_numpy(zero_copy_only=False))
+                place = places.flatten().to_numpy(zero_copy_only=False)
+                size = place & 65535
+                row = np.repeat(np.arange(len(place)), size)
+                start = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + (place >> 16)[row]
+                at, text = start + begin[of[row]], of[row]
+                order = np.argsort(at, kind="stable")
+                at, start, text = at[order], start[order], text[order]
+                for _, _, low, high in parts_of(begin[part.start : part.stop + 1], length):
+                    here = slice(*np.searchsorted(at, [low, max(high - length + 1, low)]))
+                    if here.start < here.stop:
+                        digests = [Digests(data[low:high], k).of(length)[at[here] - low].view(np.int64) for k in (0, 1)]
+                        columns = [*digests, ids[text[here]], versions[text[here]], start[here].astype(np.int32)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], list(_KEYS))
 
     names = ", ".join(f"{c} {'int' if c == 'start' else 'long'}" for c in _KEYS)
     rows = staged(_with_texts(docs, asked, "inner").mapInArrow(windows, names), "windows")
@@ -350,21 +351,23 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, places in batches:
-            data, begin = terms.bytes_of(texts)
-            size, value = places.fill_null([]).value_lengths().to_numpy(zero_copy_only=False), places.fill_null([]).flatten().to_numpy(zero_copy_only=False)
-            depth = np.zeros(len(data) + 1, dtype=np.int32)
-            at = np.repeat(begin[:-1], size) + (value >> 16)
-            np.add.at(depth, at, 1)
-            np.add.at(depth, at + (value & 65535) + length - 1, -1)
-            gone = np.cumsum(depth[:-1]) > 0
-            border = np.zeros(len(data) + 1, dtype=bool)
-            border[begin] = True
-            opens = gone & ~(np.append(False, gone[:-1]) & ~border[:-1]) if len(data) else gone
-            removed, spans = (np.append(0, np.cumsum(x))[begin] for x in (gone, opens))
-            left = data[~gone]
-            ends = begin - removed
-            kept = pa.Array.from_buffers(pa.large_binary(), len(begin) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(left)]).cast(pa.binary())
-            yield pa.StructArray.from_arrays([pa.array(np.diff(begin)), pa.array(np.diff(removed)), pa.array(np.diff(spans)), kept], ["n_bytes", "n_removed", "n_spans", "kept"])
+            whole, borders = terms.bytes_of(texts)
+            for part in terms.pieces(borders):
+                begin = borders[part.start : part.stop + 1]
+                data, begin, own = whole[begin[0] : begin[-1]], begin - begin[0], places.slice(part.start, part.stop - part.start)
+                size, value = own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), own.flatten().to_numpy(zero_copy_only=False)
+                depth = np.zeros(len(data) + 1, dtype=np.int32)
+                at = np.repeat(begin[:-1], size) + (value >> 16)
+                np.add.at(depth, at, 1)
+                np.add.at(depth, at + (value & 65535) + length - 1, -1)
+                gone = np.cumsum(depth[:-1]) > 0
+                border = np.zeros(len(data) + 1, dtype=bool)
+                border[begin] = True
+                opens = gone & ~(np.append(False, gone[:-1]) & ~border[:-1]) if len(data) else gone
+                removed, spans = (np.append(0, np.cumsum(x))[begin] for x in (gone, opens))
+                buffers = [None, pa.py_buffer((begin - removed).astype(np.int64)), pa.py_buffer(data[~gone])]
+                kept = pa.Array.from_buffers(pa.large_binary(), len(begin) - 1, buffers).cast(pa.binary())
+                yield pa.StructArray.from_arrays([pa.array(np.diff(begin)), pa.array(np.diff(removed)), pa.array(np.diff(spans)), kept], ["n_bytes", "n_removed", "n_spans", "kept"])
 
     stripped = F.arrow_udf(cut, "n_bytes long, n_removed long, n_spans long, kept binary").asNondeterministic()
     met = _with_texts(keyed, repeats, "left").withColumn("_cut", stripped("text", "_places"))
