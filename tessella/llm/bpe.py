@@ -7,9 +7,15 @@ the vocabulary and puts the bytes together by an ordered aggregation.
 
 A new word is first cut wherever no token of the vocabulary can reach across, which its neighbouring bytes tell: no
 merge ever crosses such a place, so its pieces contract on their own, and runs of unspaced scripts fall into short pieces
-that come back again and again. Pieces of more than ``LONG`` bytes, many in one query, contract all places of their
-minimum-rank pair in one step where that is the same: merging to token c can be followed by a pair of lower rank only if
-c stands in a merge of a lower rank than its own, and such merges are contracted one at a time. A recursive query makes
+that come back again and again. Pieces of more than ``LONG`` bytes are contracted in parts of ``LONG``, and a seam between two
+parts holds if its last and first token, put together, contract to just these two: then no merge of the whole crosses it,
+since whatever pair crossed it first would stand, with the same rank and at the same turn, between the two tokens alone.
+Tokens around a seam that doesn't hold are contracted anew together, with new seams at both sides, until all hold, so
+the work grows with the length.
+
+Where most seams keep failing (long runs of one letter, whose merges follow from their first byte), all places of the
+minimum-rank pair are contracted in one step where that is the same: merging to token c can be followed by a pair of lower
+rank only if c stands in a merge of a lower rank than its own, and such merges are contracted one at a time. Such a query makes
 as many steps as keep it below ``ROWS`` rows, and what is unfinished then is fed to it again.
 
 Defined cases: a null text is empty: no ids, and decodes to no bytes; ids outside the vocabulary raise an error;
@@ -35,6 +41,8 @@ LONG = 48
 #: Rows that a query of long pieces makes at most, and its steps at most; bytes of pieces given to it together.
 ROWS, STEPS = 4_000_000, 64
 TOGETHER = 50_000
+#: Tokens at each side of a seam that are contracted anew, at first and at most; rounds after which most seams must hold.
+NEAR, FAR, PATIENCE = 4, 24, 6
 #: Words, and pieces of words, that a worker remembers in each of two generations. No result depends on it.
 REMEMBERED = 80_000
 #: Ids decoded by one query.
@@ -148,6 +156,10 @@ class Codec:
         self.single = np.array([self.tokens[bytes([i])] for i in range(256)], dtype=np.int32)
         self.known, self.older = Store(), Store()
         self.pieces, self.older_pieces = Store(), Store()
+        self.spelled = {i: t for t, i in self.tokens.items()}
+        self.sizes = np.zeros(max(self.spelled) + 1, dtype=np.int64)
+        self.sizes[list(self.spelled)] = [len(t) for t in self.spelled.values()]
+        self.seams: dict[tuple[int, int], bool] = {}
         self.reach = reaches(self.tokens)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         merged = [
@@ -173,7 +185,104 @@ class Codec:
         got = self.db.sql(f"SELECT * FROM ({_CONTRACT_LEFTMOST}) ORDER BY w").to_arrow_table().combine_chunks()["ids"].combine_chunks()
         return got.flatten().to_numpy(), got.value_lengths().to_numpy()
 
+    def _each(self, parts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each part; equal parts are contracted once."""
+        distinct = list(dict.fromkeys(parts))
+        got: dict[bytes, np.ndarray] = {}
+        for i in range(0, len(distinct), 20_000):
+            some = distinct[i : i + 20_000]
+            flat, sizes = self._short(some)
+            got |= zip(some, np.split(flat, np.cumsum(sizes)[:-1]))
+        return [got[x] for x in parts]
+
+    def _holding(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether neighbouring tokens of two parts stay as they are when the parts are put together."""
+        pairs = list(zip(left.tolist(), right.tolist()))
+        if len(self.seams) > REMEMBERED:
+            self.seams = {}
+        new = [p for p in dict.fromkeys(pairs) if p not in self.seams]
+        if new:
+            got = self._each([self.spelled[a] + self.spelled[b] for a, b in new])
+            self.seams.update((p, tuple(x.tolist()) == p) for p, x in zip(new, got))
+        return np.fromiter((self.seams[p] for p in pairs), dtype=bool, count=len(pairs))
+
     def _long(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of each word: sewn from parts of equal length, else from parts that end with a token, else place by place."""
+        done: dict[int, np.ndarray] = {}
+        for method in (self._cut_evenly, self._cut_by_tokens):
+            left = [w for w in range(len(words)) if w not in done]
+            if left:
+                done |= {left[k]: x for k, x in self._sewn([method(words[w]) for w in left]).items()}
+        left = [w for w in range(len(words)) if w not in done]
+        done |= zip(left, self._by_places([words[w] for w in left]) if left else ())
+        return [done[w] for w in range(len(words))]
+
+    def _cut_evenly(self, word: bytes) -> list[bytes]:
+        return [word[i : i + LONG] for i in range(0, len(word), LONG)]
+
+    def _cut_by_tokens(self, word: bytes) -> list[bytes]:
+        """Parts that begin where a token of what stands before ends: in a run of one letter they keep its step."""
+        known: dict[bytes, int] = {}
+        out, at = [], 0
+        while at < len(word):
+            ahead = word[at : at + 4 * LONG]
+            if ahead not in known:
+                ends = np.cumsum(self.sizes[self._each([ahead])[0]])
+                known[ahead] = len(ahead) if len(ahead) < 4 * LONG else int(ends[max(0, np.searchsorted(ends, 2 * LONG, side="right") - 1)])
+            out.append(word[at : at + known[ahead]])
+            at += known[ahead]
+        return out
+
+    def _sewn(self, words: list[list[bytes]]) -> dict[int, np.ndarray]:
+        """Ids of the words, given in parts, by their number; those of which most seams keep failing are left out."""
+        parts = [(w, x) for w, own in enumerate(words) for x in own]
+        got = self._each([x for _, x in parts])
+        sizes = np.array([len(x) for x in got])
+        ids, of = np.concatenate(got), np.repeat([w for w, _ in parts], sizes)
+        seam = np.zeros(len(ids), dtype=bool)
+        seam[np.cumsum(sizes)[:-1] - 1] = True
+        seam[:-1] &= of[:-1] == of[1:]
+        most, rounds = None, 0
+        while True:
+            at = np.flatnonzero(seam)
+            holds = self._holding(ids[at], ids[at + 1])
+            seam[at[holds]] = False
+            at = at[~holds]
+            most = len(at) if most is None else most
+            if not len(at) or (rounds >= PATIENCE and len(at) > most / 2) or rounds > 8 * PATIENCE:
+                break
+            wide = min(FAR, NEAR + 2 * rounds)
+            first, after = np.searchsorted(of, of[at]), np.searchsorted(of, of[at], side="right")
+            regions, upto = [], 0
+            # At most 2 * LONG bytes at each side, or one token.
+            ends = np.cumsum(self.sizes[ids])
+            near = np.minimum(np.searchsorted(ends, ends[at] - 2 * LONG) + 1, at), np.maximum(np.searchsorted(ends, ends[at] + 2 * LONG, side="right"), at + 2)
+            for a, b in zip(np.maximum(np.maximum(first, at - wide + 1), near[0]).tolist(), np.minimum(np.minimum(after, at + wide + 1), near[1]).tolist()):
+                if a >= upto:
+                    regions.append((a, b))
+                    upto = b
+            fresh = self._each([b"".join(map(self.spelled.__getitem__, ids[a:b].tolist())) for a, b in regions])
+            new_ids, new_of, new_seam, upto = [], [], [], 0
+            for (a, b), x in zip(regions, fresh):
+                before = seam[upto:a].copy()
+                if a > upto:
+                    before[-1] = of[a - 1] == of[a]
+                elif new_seam and a:
+                    new_seam[-1][-1] = of[a - 1] == of[a]
+                inside = np.zeros(len(x), dtype=bool)
+                inside[-1] = b < len(of) and of[b] == of[b - 1]
+                new_ids += [ids[upto:a], x]
+                new_of += [of[upto:a], np.full(len(x), of[a])]
+                new_seam += [before, inside]
+                upto = b
+            ids, of, seam = (np.concatenate([*new, old[upto:]]) for new, old in ((new_ids, ids), (new_of, of), (new_seam, seam)))
+            rounds += 1
+        bounds = np.searchsorted(of, np.arange(len(words) + 1))
+        done = [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+        failed = set(of[at].tolist())
+        return {w: x for w, x in enumerate(done) if w not in failed}
+
+    def _by_places(self, words: list[bytes]) -> list[np.ndarray]:
         """Ids of each word; the places of a word's pair of least rank are contracted together where that is the same."""
         now = {w: self.single[np.frombuffer(x, dtype=np.uint8)].astype(np.int64) for w, x in enumerate(words)}
         done: dict[int, np.ndarray] = {}

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import unicodedata
 import zlib
 
@@ -212,6 +213,17 @@ def test_bpe_of_long_words():
         own.decode([[1, 10**6]])
 
 
+@pytest.mark.parametrize("kind", ["the", "aaab", "ACGT", "syllables", "=", "ideographs", "mixed"])
+def test_bpe_of_words_of_a_hundred_thousand_letters(kind):
+    enc, own, rng = reference_encoding(), bpe.codec(), random.Random(kind)
+    parts = {"ACGT": list("ACGT"), "syllables": ["ba", "ton", "ing", "re", "thou", "est", "er", "ka"], "ideographs": [chr(0x4E00 + k) for k in range(3000)], "mixed": ["the", "a" * 33, "xy", "===="]}.get(kind, [kind])
+    text = "".join(rng.choice(parts) for _ in range(100_000 // len(parts[0])))[:100_000]
+    began = time.process_time()
+    got = own.encode([text])[0].tolist()
+    assert time.process_time() - began < 10  # it grows with the length; about a second, and hours if each merge walked the word
+    assert got == enc.encode_ordinary(text)
+
+
 def test_bpe_of_many_unspaced_runs():
     enc, own, rng = reference_encoding(), bpe.codec(), random.Random(3)
     scripts = [(0x4E00, 0x9FFF), (0x3041, 0x3094), (0xE01, 0xE3A), (0x900, 0x950), (0xAC00, 0xD7A3), (0x41, 0x5A), (0x61, 0x7A), (0x600, 0x64A)]
