@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,8 +70,10 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
 
 def freed(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished stages: it does once the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what this process lets go of first, the driver's JVM can collect then
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
