@@ -24,8 +24,6 @@ SEED = "mix-1"
 BOOSTS = {"src0": 0.5, "src1": 3.0, "src2": 2.0, "src3": 1.5, "src4": 0.25}
 #: Share of a source in the target is in proportion to its count to this power.
 TEMPER = 0.5
-#: Mean over all documents; only a target given as parameter can be beyond it.
-MOST_RATE = 10_000
 #: A rate table of no more sources and steps than these is broadcast; a larger one is joined with salt.
 BROADCAST_SOURCES = 5000
 BROADCAST_STEPS = 2_000_000
@@ -76,6 +74,11 @@ def unit_interval(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def salt() -> Column:
+    """Deals the rows of one source; rows without an id are dealt by their text."""
+    return F.pmod(F.coalesce(F.xxhash64("doc_id", "text"), F.lit(0)), F.lit(SALTS)).cast("int")
+
+
 def mix(docs: DataFrame, weights: DataFrame | None = None, target: float | None = None, seed: str = SEED, boosts: dict[str, float] | None = None) -> DataFrame:
     """``docs`` repeated to the target weights, with copy (from 0) and order_key, in globally shuffled order.
 
@@ -89,8 +92,6 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, target: float | None
     both = counts.join(wanted, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "n", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     total = both.agg(F.sum(F.col("weight")), F.sum("n"), F.count("*"), F.sum(F.sqrt(F.col("weight") / F.col("n")))).first()
     aim = float(target if target is not None else total[1] or 0)
-    if aim > MOST_RATE * (total[1] or aim):
-        raise ValueError(f"a mean repetition rate is over {MOST_RATE}")
     n_steps = 40 * (total[2] or 0) + 20 * (aim / (total[0] or 1.0)) ** 0.5 * (total[3] or 0)
     rate = F.lit(aim) * F.col("weight") / F.lit(total[0] or 1.0) / F.col("n")
     steps = both.withColumn("rate", rate).select(
@@ -102,7 +103,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, target: float | None
         rated = docs.join(F.broadcast(steps), F.col("source").eqNullSafe(F.col("_s")), "left")
     else:
         steps = steps.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        dealt = docs.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        dealt = docs.withColumn("_salt", salt())
         rated = dealt.join(steps, F.col("source").eqNullSafe(F.col("_s")) & (dealt["_salt"] == steps["_salt"]), "left").drop(dealt["_salt"]).drop(steps["_salt"])
     key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     drawn = unit_interval(F.lit(seed), key)
