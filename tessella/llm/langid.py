@@ -5,7 +5,7 @@ A one-versus-rest linear SVM picks the language family; one linear SVM for each
 family then votes. Text and labels are the only inputs of learning, text the only input of a prediction.
 
 Defined cases: a null text, or one without a letter (Unicode category L: digits, emoji and lone marks are none), is
-``und`` with score 0; without any labelled row every text is ``und``; ties go to the language that sorts first; a null
+``und`` with score 0; without any labelled row every text is ``und``; beyond ``LANGUAGES`` labels, rarer ones aren't learned; ties go to the language that sorts first; a null
 doc_id teaches nothing and isn't held out, its text is judged like any other; rows that share a doc_id are each judged by
 their own text, and each teaches if the id isn't held out; extra columns pass through, and a column of the input named
 like an output is replaced.
@@ -38,6 +38,8 @@ BITS = 12
 ORDERS = (1, 2, 3)
 #: Rows that a fit gathers: at most about this many a language, and in all.
 ROWS_PER_LANGUAGE, ROWS_IN_ALL = 500, 4000
+#: Languages that are learned at most, the most frequent ones; a label column may hold anything.
+LANGUAGES = 200
 SLOPE = 3.0
 
 
@@ -96,10 +98,11 @@ class LanguageModel:
         return lang, float(odds[best] / odds.sum() * (np.mean(sure[lang]) if sure[lang] else 1.0))
 
 
-def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, rows_in_all: int = ROWS_IN_ALL) -> LanguageModel:
-    """Fit on whole texts of a sample by hash, bounded by the two parameters, of the labelled rows that aren't held out."""
+def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, rows_in_all: int = ROWS_IN_ALL, languages: int = LANGUAGES) -> LanguageModel:
+    """Fit on whole texts of a sample by hash, bounded by the three parameters, of the labelled rows that aren't held out."""
     labelled = docs.filter(F.col("lang").isNotNull() & ~held_out() & F.col("doc_id").isNotNull())
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    every = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = {r["lang"]: r["n"] for r in every.orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not counts:
         return LanguageModel()
     most = min(rows_per_language, max(1, rows_in_all // len(counts)))
@@ -109,7 +112,7 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, rows_in_all
     def counted(texts: pd.Series) -> pd.Series:
         return pd.Series([None if (x := features(t)) is None else x.astype(np.float32).tobytes() for t in texts], dtype=object)
 
-    drawn = labelled.filter(share_by_hash("doc_id", 2, shares[F.col("lang")])).select("lang", counted("text").alias("x"), "doc_id")
+    drawn = labelled.filter(F.col("lang").isin(*counts)).filter(share_by_hash("doc_id", 2, shares[F.col("lang")])).select("lang", counted("text").alias("x"), "doc_id")
     rows = sorted((r["lang"], r["doc_id"], bytes(r["x"])) for r in drawn.filter("x is not null").toLocalIterator())
     if not rows:
         return LanguageModel()
