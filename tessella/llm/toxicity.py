@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.chargrams import gram_slots, letter_codes
-from tessella.llm.shared import held_out, share_by_hash
+from tessella.llm.shared import held_out, share_by_hash, staged
 
 BITS = 18
 ORDERS = (3, 4, 5, 6)
 #: About so many labelled documents of each class are gathered for a fit.
 ROWS_PER_CLASS = 2000
+#: Bytes of their features that the driver takes, about; of longer texts fewer are gathered.
+FEATURE_BYTES = 200_000_000
 THRESHOLD = 0.7
 #: Features in fewer texts, or with a smaller absolute log-count ratio, are left out of the fit.
 LEAST_TEXTS, LEAST_RATIO = 3, 0.3
@@ -100,8 +102,8 @@ def cheapest_cut(margins: np.ndarray, toxic: np.ndarray, stands_for: np.ndarray)
     return float((margins[order[k - 1]] + margins[order[k]]) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> ToxicityModel:
-    """Fit on whole texts of a sample by hash of the labelled rows that aren't held out, bounded by the parameter."""
+def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, feature_bytes: int = FEATURE_BYTES) -> ToxicityModel:
+    """Fit on whole texts of a sample by hash of the labelled rows that aren't held out, bounded by the parameters."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
@@ -115,6 +117,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
 
     # About 2 * rows_per_class ids, whatever the input: small by construction.
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", present("text").alias("x"))
+    rows = staged(rows, "features")
+    held = rows.agg(F.sum(F.octet_length("x"))).first()[0] or 0
+    if held > feature_bytes:
+        rows = rows.filter(share_by_hash("doc_id", 9, feature_bytes / held))
     got = sorted(((r["doc_id"], r["toxic"], bytes(r["x"])) for r in rows.toLocalIterator()), key=lambda r: r[0])
     features = [np.frombuffer(r[2], dtype=np.uint32) for r in got]
     toxic = np.array([r[1] for r in got], dtype=np.int64)
