@@ -30,22 +30,29 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group the document with the smallest doc_id stays, once.
 
-    Null and empty texts are one group. Documents without an id all stay. Rows that share a doc_id are told apart by
-    their fingerprints: each group keeps the row with the smallest (doc_id, fingerprint), and of rows equal in both the
-    one with the smallest hash of its text, then lang, then source. Extra columns are dropped.
+    Null and empty texts are one group. Rows that share a doc_id are told apart by their fingerprints: each group keeps
+    the row with the smallest (doc_id, fingerprint), rows without an id after all others, and of rows equal in both the one with
+    the smallest hash of its text, then lang, then source. Extra columns are dropped.
     """
-    judged = staged(simhash.near_duplicates(docs, groups=True).filter("doc_id is not null"), "judged")
-    first = judged.groupBy("component").agg(F.min(F.struct("doc_id", "fingerprint")).alias("first")).select("first.*")
-    leaders = staged(first.join(judged.groupBy("doc_id").agg(F.count("*").alias("rows")), "doc_id"), "leaders")
+    judged = staged(simhash.near_duplicates(docs, groups=True), "judged")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fingerprint"))
+    first = staged(judged.groupBy("component").agg(least.alias("first")).select("first.*"), "first")
+    rows = judged.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    leaders = staged(first.filter("not nameless").drop("nameless").join(rows, "doc_id"), "leaders")
     docs = docs.select(COLUMNS)
     # Texts are streamed past the hashed ids: no sort of whole documents.
-    kept = docs.join(leaders.filter("rows = 1").hint("shuffle_hash"), "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+    kept = docs.join(leaders.filter("rows = 1").hint("shuffle_hash"), "doc_id", "left_semi")
+    one = F.min_by(F.struct(*COLUMNS), F.struct(F.xxhash64("text"), "lang", "source")).alias("one")
     repeated = leaders.filter("rows > 1").select("doc_id", "fingerprint")
     if not repeated.isEmpty():
         again = simhash.with_fingerprints(docs.join(repeated.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi"))
         again = again.join(repeated.hint("shuffle_hash"), ["doc_id", "fingerprint"], "left_semi")
-        one = F.min_by(F.struct(*COLUMNS), F.struct(F.xxhash64("text"), "lang", "source"))
-        kept = kept.unionByName(again.groupBy("doc_id", "fingerprint").agg(one.alias("one")).select("one.*"))
+        kept = kept.unionByName(again.groupBy("doc_id", "fingerprint").agg(one).select("one.*"))
+    nameless = first.filter("nameless").select("fingerprint")
+    if not nameless.isEmpty():
+        # Copies are put together before they are shuffled.
+        again = simhash.with_fingerprints(docs.filter("doc_id is null")).groupBy("fingerprint").agg(one)
+        kept = kept.unionByName(again.join(nameless, "fingerprint", "left_semi").select("one.*"))
     return kept.select(COLUMNS)
 
 
