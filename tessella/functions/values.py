@@ -30,16 +30,16 @@ def years_whole_days(later: Column, earlier: Column) -> Column:
 
 
 def stable_index(size: int, *parts: Column) -> Column:
-    """SHA-256 of the parts, joined by bars: its first 16 hex digits modulo ``size``."""
-    digest = F.sha2(F.concat_ws("|", *parts), 256)
+    """SHA-256 of the parts, joined by double bars: its first 16 hex digits modulo ``size``."""
+    digest = F.sha2(F.concat_ws("||", *parts), 256)
     return (F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)") % F.lit(size)).cast("int")
 
 
-def stable_shift(days: int, *parts: Column) -> Column:
-    """A number of days from -days to days that depends on the parts alone."""
+def stable_shift(days: int, seed: Column, key: Column) -> Column:
+    """A number of days from -days to days that depends on seed and key alone."""
     if days < 0:
         raise ValueError("the range of a date shift cannot be negative")
-    return stable_index(2 * days + 1, *parts) - F.lit(days) if days else F.lit(0)
+    return stable_index(2 * days + 1, seed, key, F.lit("date_shift")) - F.lit(days) if days else F.lit(0)
 
 
 def shifted_date(c: Column, days: Column) -> Column:

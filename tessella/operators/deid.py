@@ -136,12 +136,12 @@ def identities(keys: DataFrame, salt: str, days: int, manifest: DataFrame | None
     given = F.lower(F.trim("sex"))
     sex = keys.groupBy("identity").agg(F.min(F.when(given.isin("f", "female", "woman", "w"), "f").when(given.isin("m", "male", "man"), "m")).alias("sex"))
     numbered = extended_manifest(known, keys, "identity").join(sex, "identity", "left")
-    pick = lambda pool, tag: F.get(F.array(*map(F.lit, pool)), stable_index(len(pool), F.lit(salt), F.lit(tag), F.col("identity")))
+    pick = lambda pool, tag: F.get(F.array(*map(F.lit, pool)), stable_index(len(pool), F.lit(salt), F.col("identity"), F.lit(tag)))
     first = F.when(F.col("sex") == "f", pick(FIRST_NAMES["f"], "first")).when(F.col("sex") == "m", pick(FIRST_NAMES["m"], "first")).otherwise(pick(FIRST_NAMES[""], "first"))
     return numbered.select(
         "identity", "number", F.format_string("P%06d", F.col("number")).alias("patient_id"), first.alias("first_name"), pick(LAST_NAMES, "last").alias("last_name"),
-        F.char(F.lit(65) + stable_index(26, F.lit(salt), F.lit("middle"), F.col("identity"))).alias("middle_name"),
-        stable_shift(days, F.lit(salt), F.lit("shift"), F.col("identity")).alias("shift"),
+        F.char(F.lit(65) + stable_index(26, F.lit(salt), F.col("identity"), F.lit("middle"))).alias("middle_name"),
+        stable_shift(days, F.lit(salt), F.col("identity")).alias("shift"),
     )
 
 

@@ -312,10 +312,10 @@ def date_detect(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT o_orderkey, s AS shift, strftime(CAST(o_orderdate AS DATE) + CAST(s AS INTEGER), '%Y-%m-%d') AS moved
-FROM (SELECT *, CAST(('0x' || substr(sha256('salt|shift|' || o_custkey), 1, 16))::UHUGEINT % 361 AS INTEGER) - 180 AS s FROM orders)
+FROM (SELECT *, CAST(('0x' || substr(sha256('salt||' || o_custkey || '||date_shift'), 1, 16))::UHUGEINT % 361 AS INTEGER) - 180 AS s FROM orders)
 """)
 def date_shift_stable(spark: SparkSession, d: str) -> DataFrame:
-    shift = values.stable_shift(180, F.lit("salt"), F.lit("shift"), F.col("o_custkey").cast("string"))
+    shift = values.stable_shift(180, F.lit("salt"), F.col("o_custkey").cast("string"))
     return table(spark, d, "orders").select("o_orderkey", shift.alias("shift"), values.shifted_date(F.date_format("o_orderdate", "yyyy-MM-dd"), shift).alias("moved"))
 
 

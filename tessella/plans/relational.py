@@ -450,7 +450,7 @@ def cross_edit(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 AND c_custkey % 2 = 0 THEN '__file__' WHEN c_custkey % 7 = 0 THEN 'name:' || c_name WHEN c_custkey % 5 = 0 THEN 'mrn:M' || c_custkey ELSE CAST(c_custkey AS VARCHAR) END AS identity,
-       CAST(('0x' || substr(sha256('s|pool|' || c_custkey), 1, 16))::UHUGEINT % 8 AS INTEGER) AS pool
+       CAST(('0x' || substr(sha256('s||' || c_custkey || '||pool'), 1, 16))::UHUGEINT % 8 AS INTEGER) AS pool
 FROM customer
 """)
 def identity_key(spark: SparkSession, d: str) -> DataFrame:
@@ -460,4 +460,4 @@ def identity_key(spark: SparkSession, d: str) -> DataFrame:
         F.when(k % 2 != 0, F.col("c_name")).alias("name"),
     )
     identity = deid.identity_key(F.col("pid"), F.col("mrn"), F.col("name"))
-    return rows.select("c_custkey", identity.alias("identity"), values.stable_index(8, F.lit("s"), F.lit("pool"), k.cast("string")).alias("pool"))
+    return rows.select("c_custkey", identity.alias("identity"), values.stable_index(8, F.lit("s"), k.cast("string"), F.lit("pool")).alias("pool"))

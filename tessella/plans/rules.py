@@ -114,7 +114,7 @@ def dates_in_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH i AS (SELECT DISTINCT 'K' || o_custkey AS identity FROM orders), n AS (SELECT identity, row_number() OVER (ORDER BY identity) AS k, CAST(('0x' || substr(sha256('s|shift|' || identity), 1, 16))::UHUGEINT % 61 AS INTEGER) - 30 AS s FROM i)
+WITH i AS (SELECT DISTINCT 'K' || o_custkey AS identity FROM orders), n AS (SELECT identity, row_number() OVER (ORDER BY identity) AS k, CAST(('0x' || substr(sha256('s||' || identity || '||date_shift'), 1, 16))::UHUGEINT % 61 AS INTEGER) - 30 AS s FROM i)
 SELECT o_orderkey, 'P' || lpad(CAST(k AS VARCHAR), 6, '0') AS patient_id, strftime(CAST(o_orderdate AS DATE) + s, '%Y-%m-%d') AS visit_date, CASE WHEN o_orderkey % 100 > 89 THEN '90+' ELSE CAST(o_orderkey % 100 AS VARCHAR) END AS age,
        'seen: P' || lpad(CAST(k AS VARCHAR), 6, '0') AS note, false AS needs_review
 FROM orders JOIN n ON identity = 'K' || o_custkey

@@ -53,7 +53,13 @@ def test_shift_keeps_intervals(spark):
     assert (__import__("datetime").date.fromisoformat(got[1]["m"]) - __import__("datetime").date.fromisoformat(got[0]["m"])).days == 10
     assert got[2]["m"] == "not a date" and abs(got[0]["s"]) <= 30
     with pytest.raises(ValueError):
-        values.stable_shift(-1, F.lit("x"))
+        values.stable_shift(-1, F.lit("x"), F.lit("y"))
+
+
+def test_hashes_are_pinned(spark):
+    index = lambda modulo, *parts: int(__import__("hashlib").sha256("||".join(parts).encode()).hexdigest()[:16], 16) % modulo
+    got = spark.range(1).select(values.stable_shift(30, F.lit("seed"), F.lit("P1")), values.stable_shift(365, F.lit(""), F.lit("mrn:7")), values.stable_index(26, F.lit("s"), F.lit("k"), F.lit("middle")), values.stable_shift(0, F.lit("s"), F.lit("k"))).first()
+    assert tuple(got) == (index(61, "seed", "P1", "date_shift") - 30, index(731, "", "mrn:7", "date_shift") - 365, index(26, "s", "k", "middle"), 0) == (24, -110, 15, 0)
 
 
 def test_deidentification(spark):
