@@ -31,6 +31,32 @@ def gated_hidden_count(spark: SparkSession, d: str) -> DataFrame:
     return gate.answer(spark, "SELECT c_mktsegment AS seg, c_nationkey AS nation, max(c_acctbal) AS top FROM gate_uncounted GROUP BY c_mktsegment, c_nationkey", least=12).data
 
 
+@query("""
+SELECT seg, nation, CASE WHEN n < 12 THEN '<12' ELSE CAST(n AS VARCHAR) END AS n, CASE WHEN people >= 12 THEN top END AS top
+FROM (SELECT c_mktsegment AS seg, c_nationkey AS nation, count(*) AS n, max(c_acctbal) AS top, count(DISTINCT c_custkey) AS people FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2)
+""")
+def gated_people_of_a_join(spark: SparkSession, d: str) -> DataFrame:
+    """Orders multiply the rows of a customer, not the people: groups are judged by the customers behind them."""
+    table(spark, d, "customer").createOrReplaceTempView("gate_people")
+    table(spark, d, "orders").createOrReplaceTempView("gate_orders")
+    asked = "SELECT c_mktsegment AS seg, c_nationkey AS nation, count(*) AS n, max(c_acctbal) AS top FROM gate_people JOIN gate_orders ON o_custkey = c_custkey GROUP BY c_mktsegment, c_nationkey"
+    return gate.answer(spark, asked, least=12, protected=("c_custkey",)).data
+
+
+@query("""
+SELECT seg, month, CASE WHEN n < 40 THEN '<40' ELSE CAST(n AS VARCHAR) END AS n, CASE WHEN people >= 40 THEN high END AS high
+FROM (SELECT seg, month, count(*) AS n, max(most) AS high, max(people) AS people
+      FROM (SELECT c_mktsegment AS seg, month(o_orderdate) AS month, c_nationkey, count(DISTINCT c_custkey) AS people, max(o_totalprice) AS most FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2, 3) GROUP BY 1, 2)
+""")
+def gated_people_of_groups(spark: SparkSession, d: str) -> DataFrame:
+    """An aggregate over groups counts as many people as the largest of its groups, at least."""
+    table(spark, d, "customer").createOrReplaceTempView("gate_people")
+    table(spark, d, "orders").createOrReplaceTempView("gate_orders")
+    inner = "SELECT c_mktsegment AS seg, month(o_orderdate) AS month, c_nationkey, max(o_totalprice) AS most FROM gate_people JOIN gate_orders ON o_custkey = c_custkey GROUP BY c_mktsegment, month(o_orderdate), c_nationkey"
+    asked = f"SELECT seg, month, count(*) AS n, max(most) AS high FROM ({inner}) GROUP BY seg, month"
+    return gate.answer(spark, asked, least=40, protected=("c_custkey",)).data
+
+
 @query("""
 SELECT * FROM (VALUES ('case_id', 'patient_id'), ('last_nm', 'name'), ('fname', 'name'), ('mobile', 'drop'), ('account_no', 'drop'), ('patient_state', 'drop'), ('zipcode', 'drop'), ('insurance_id', 'drop'),
   ('policy_number', 'drop'), ('patient_dob', 'birth_date'), ('remarks', 'text'), ('disease_state', 'keep'), ('drug_name', 'keep'), ('seen', 'date'), ('visit_age', 'age'), ('lang', 'keep')) AS t(column_name, class)
