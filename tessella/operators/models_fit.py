@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.stats import crosstab_statistic, range_bounds, running
+from tessella.operators.survival import chi_square_p
 from tessella.session import written
 
 
@@ -41,8 +42,7 @@ def fisher(df: DataFrame, exposed: Column, outcome: Column) -> float:
 def association(df: DataFrame, a: str, b: str) -> dict:
     """How two columns hang together: Fisher's exact test if a two-by-two table has a cell under 5, else Pearson's chi-square.
 
-    ``method``, ``p``, and for chi-square ``statistic`` and ``degrees``; p is None where a larger table leaves it to a
-    table of the distribution. Rows with a null in either column don't count.
+    ``method``, ``p``, and for chi-square ``statistic`` and ``degrees``; p is None where a table has one row or column. Rows with a null in either column don't count.
     """
     cells = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("n")).limit(5).collect()
     rows, columns = sorted({r[a] for r in cells}), sorted({r[b] for r in cells})
@@ -52,7 +52,7 @@ def association(df: DataFrame, a: str, b: str) -> dict:
         if min(four) < 5:
             return {"method": "fisher", "p": fisher_p(*four)}
     statistic, degrees = crosstab_statistic(df, a, b).first()
-    return {"method": "chi-square", "statistic": statistic, "degrees": degrees, "p": math.erfc(math.sqrt(max(statistic, 0.0) / 2)) if degrees == 1 else None}
+    return {"method": "chi-square", "statistic": statistic, "degrees": degrees, "p": chi_square_p(statistic, degrees) if degrees else None}
 
 
 def logistic(df: DataFrame, label: str, covariates: list[str]) -> dict[str, float]:
@@ -62,28 +62,42 @@ def logistic(df: DataFrame, label: str, covariates: list[str]) -> dict[str, floa
     return {"intercept": float(fit.intercept)} | dict(zip(covariates, map(float, fit.coefficients)))
 
 
-def cox(df: DataFrame, time: str, event: str, covariates: list[str], rounds: int = 12, tolerance: float = 1e-8) -> dict[str, tuple[float, float]]:
-    """(coefficient, standard error) of each covariate by Newton's method with Breslow's ties.
+def cox(
+    df: DataFrame, time: str, event: str, covariates: list[str], rounds: int = 12, tolerance: float = 1e-8, entry: str | None = None, efron: bool = False
+) -> dict[str, tuple[float, float]]:
+    """(coefficient, standard error) of each covariate by Newton's method, with Breslow's or Efron's ties.
 
-    Each round is one aggregation to a row a time, and running sums over those; subjects never leave the executors.
+    With ``entry``, a subject is at risk from after its entry to its time: what entered later is taken off the running sums of
+    what left later. Each round is one aggregation to a row a time, and running sums over those; subjects never leave the
+    executors.
     """
     p = len(covariates)
     x = [F.col(c).cast("double") for c in covariates]
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    beta, bounds = np.zeros(p), range_bounds(df.select(F.col(time).alias("t")).distinct(), "t")
+    names = ["s0", *(f"s1_{i}" for i in range(p)), *(f"s2_{i}_{j}" for i, j in pairs)]
+    every = df.select(F.col(time).alias("t")) if entry is None else df.select(F.explode(F.array(F.col(time), F.col(entry))).alias("t"))
+    beta, bounds = np.zeros(p), range_bounds(every.distinct(), "t")
     for _ in range(rounds):
         risk = F.exp(sum((F.lit(float(b)) * c for b, c in zip(beta, x)), F.lit(0.0)))
         e = F.col(event).cast("double")
+        terms = dict(zip(names, [risk, *(risk * c for c in x), *(risk * x[i] * x[j] for i, j in pairs)]))
         sums = df.groupBy(F.col(time).alias("t")).agg(
-            F.sum(e).alias("d"), F.sum(risk).alias("s0"), *(F.sum(risk * c).alias(f"s1_{i}") for i, c in enumerate(x)),
-            *(F.sum(risk * x[i] * x[j]).alias(f"s2_{i}_{j}") for i, j in pairs), *(F.sum(e * c).alias(f"o_{i}") for i, c in enumerate(x)),
+            F.sum(e).alias("d"), *(F.sum(v).alias(n) for n, v in terms.items()), *(F.sum(e * v).alias(f"dead_{n}") for n, v in terms.items()), *(F.sum(e * c).alias(f"o_{i}") for i, c in enumerate(x)),
+        )
+        if entry is not None:
+            late = df.groupBy(F.col(entry).alias("t")).agg(*(F.sum(-v).alias(n) for n, v in terms.items()))
+            both = sums.unionByName(late, allowMissingColumns=True).groupBy("t")
+            sums = both.agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in sums.columns if c != "t"))
+        later = running(written(sums, "risks"), "t", {f"r_{n}": ("sum", F.col(n)) for n in names}, descending=True, bounds=bounds).filter("d > 0")
+        # Of d subjects that die together, Efron takes the shares 0, 1/d, ... of their own risk off; Breslow none.
+        before = F.explode(F.sequence(F.lit(0), F.col("d").cast("int") - 1)) if efron else F.lit(0)
+        each = later.withColumn("before", before).withColumn("gone", F.col("before") / F.col("d")).select(
+            F.when(F.col("gone") == 0, 1).otherwise(0).alias("first"), (F.lit(1.0) if efron else F.col("d")).alias("times"), *(f"o_{i}" for i in range(p)),
+            *((F.col(f"r_{n}") - F.col("gone") * F.col(f"dead_{n}")).alias(n) for n in names),
         )
-        names = ["s0", *(f"s1_{i}" for i in range(p)), *(f"s2_{i}_{j}" for i, j in pairs)]
-        later = running(written(sums, "risks"), "t", {f"r_{n}": ("sum", F.col(n)) for n in names}, descending=True, bounds=bounds)
-        risks = later.select("d", *(f"o_{i}" for i in range(p)), *(F.col(f"r_{n}").alias(n) for n in names)).filter("d > 0")
         mean = [F.col(f"s1_{i}") / F.col("s0") for i in range(p)]
-        row = risks.agg(
-            *(F.sum(F.col(f"o_{i}") - F.col("d") * mean[i]) for i in range(p)), *(F.sum(F.col("d") * (F.col(f"s2_{i}_{j}") / F.col("s0") - mean[i] * mean[j])) for i, j in pairs)
+        row = each.agg(
+            *(F.sum(F.col("first") * F.col(f"o_{i}") - F.col("times") * mean[i]) for i in range(p)), *(F.sum(F.col("times") * (F.col(f"s2_{i}_{j}") / F.col("s0") - mean[i] * mean[j])) for i, j in pairs)
         ).first()
         slope, curve = np.array(row[:p], dtype=float), np.zeros((p, p))
         for (i, j), v in zip(pairs, row[p:]):
