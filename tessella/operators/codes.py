@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tessella.functions.values import mixed_date
+from tessella.session import written
 
 # Registry sites and histology ranges.
 PAIRED_SITES = ("C50", "C34", "C64", "C69", "C62", "C56", "C74", "C07", "C09", "C30", "C44", "C47", "C49", "C70", "C71", "C72", "C40", "C41")
@@ -97,15 +100,67 @@ def similarity(a: str, b: str) -> float:
     return 100 * max(partial_ratio(a, b), tokens) * (0.6 if told and known and not told & known else 1.0)
 
 
+#: Letters of a gram, and rows of one gram on the left that one task gets, about.
+GRAM, SPLIT = 2, 20_000
+#: Texts this like a description are compared with it though they share no word.
+SPELT_ALIKE = 70.0
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, split: int = SPLIT) -> DataFrame:
+    """An inner join by ``key`` in which a frequent key is split: its left rows are dealt by ``spread``, its right rows repeated.
+
+    A key with n rows on the left has one part for every ``split`` of them, so no common word or gram fills a task.
+    """
+    parts = left.groupBy(key).agg(F.ceil(F.count("*") / split).cast("int").alias("_parts"))
+    dealt = left.join(parts, key).withColumn("_part", F.pmod(F.xxhash64(spread), F.col("_parts")).cast("int")).drop("_parts")
+    repeated = right.join(parts, key).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return dealt.join(repeated, [key, "_part"]).drop("_part")
+
+
+def grams(text: Column) -> Column:
+    """The padded grams of a text, each with how often it has stood before, so equal ones stay apart."""
+    padded = F.concat(F.lit("\u0001" * (GRAM - 1)), text, F.lit("\u0001" * (GRAM - 1)))
+    every = F.transform(F.sequence(F.lit(1), F.length(text) + GRAM - 1), lambda i: F.substr(padded, i, F.lit(GRAM)))
+    return F.transform(every, lambda g, i: F.concat(g, F.size(F.filter(F.slice(every, 1, i), lambda x: x == g)).cast("string")))
+
+
+def alike(values: DataFrame, table: DataFrame, value: str, other: str, cutoff: float = 75.0) -> DataFrame:
+    """(value, other, score): all pairs of distinct texts whose edit distance leaves ``cutoff`` percent of the longer one, or more.
+
+    Complete, without comparing all pairs: k edits destroy at most GRAM * k grams, so of two texts that close one of the
+    GRAM * k + 1 rarest grams of either is shared. Those are an inverted index; candidates that differ too much in length are
+    left out, and the rest is settled by the edit distance itself. The cut-off must lie above GRAM / (GRAM + 1), below which texts may
+    share no gram. Null and empty texts are like nothing.
+    """
+    c = cutoff / 100
+    if not GRAM / (GRAM + 1) < c <= 1:
+        raise ValueError(f"the cut-off lies above {100 * GRAM / (GRAM + 1):.0f} and is 100 at most")
+    left = written(values.select(F.col(value).alias("a")).filter("a <> ''").distinct(), "values")
+    right = written(table.select(F.col(other).alias("b")).filter("b <> ''").distinct(), "others")
+    long = lambda df, t: df.select(t, F.explode(grams(F.col(t))).alias("g"))
+    frequency = written(long(left, "a").select("g").unionByName(long(right, "b").select("g")).groupBy("g").agg(F.count("*").alias("n")), "grams")
+
+    def prefix(df: DataFrame, t: str) -> DataFrame:
+        kept = GRAM * F.floor((1 - c) / c * F.length(t) + 1e-9) + 1
+        rows = salted_join(long(df, t), frequency, "g", t).groupBy(t).agg(F.sort_array(F.collect_list(F.struct("n", "g"))).alias("every"))
+        return rows.select(t, F.explode(F.slice("every", F.lit(1), kept.cast("int"))["g"]).alias("g"))
+
+    near = (F.length("a") * c <= F.length("b") + 1e-9) & (F.length("b") * c <= F.length("a") + 1e-9)
+    pairs = salted_join(prefix(left, "a"), prefix(right, "b"), "g", "a").filter(near).select("a", "b").distinct()
+    score = 100 * (1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b")))
+    return pairs.withColumn("score", score).filter(F.col("score") >= cutoff - 1e-9).select(F.col("a").alias(value), F.col("b").alias(other), "score")
+
+
 @F.pandas_udf(DoubleType())
 def fuzzy_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if p is None or q is None else similarity(p, q) for p, q in zip(a, b)], dtype=float)
 
 
 def fuzzy_top(values: DataFrame, table: DataFrame, value: str, limit: int = 5, cutoff: float = FUZZY_CUTOFF) -> DataFrame:
-    """(value, code, score): best codes for each distinct value among those that share a telling word with it.
+    """(value, code, score): best codes for each distinct value among descriptions that share a telling word with it, or are spelt alike.
 
-    Boilerplate doesn't bring two texts together, unless a text holds nothing else.
+    Boilerplate doesn't bring two texts together, unless a text holds nothing else. Misspelt texts that share no word are
+    found by their grams, completely from ``SPELT_ALIKE`` percent on.
     """
 
     def words(text: str):
@@ -113,9 +168,13 @@ def fuzzy_top(values: DataFrame, table: DataFrame, value: str, limit: int = 5, c
         telling = F.array_except(every, F.array(*map(F.lit, BOILERPLATE)))
         return F.explode(F.when(F.size(telling) > 0, telling).otherwise(every)).alias("_t")
 
-    left = values.select(value).filter(F.col(value).isNotNull()).distinct().select(value, words(value))
-    right = table.select("code", "description", words("description"))
-    pairs = left.join(right, "_t").select(value, "code", "description").distinct().withColumn("score", fuzzy_score(value, "description"))
+    left = values.select(value).filter(F.col(value).isNotNull()).distinct()
+    right = table.select("code", "description").filter(F.col("description").isNotNull()).distinct()
+    sharing = salted_join(left.select(value, words(value)), right.select("description", words("description")).distinct(), "_t", value).select(value, "description")
+    low = lambda df, c, name: df.select(c, F.lower(c).alias(name))
+    spelt = alike(low(left, value, "_low"), low(right, "description", "_known"), "_low", "_known", SPELT_ALIKE).drop("score")
+    spelt = low(left, value, "_low").join(spelt, "_low").join(low(right, "description", "_known").distinct(), "_known").select(value, "description")
+    pairs = sharing.unionByName(spelt).distinct().withColumn("score", fuzzy_score(value, "description")).join(right, "description")
     best = pairs.filter(F.col("score") >= cutoff).groupBy(value, "code").agg(F.max("score").alias("score"))
     rank = Window.partitionBy(value).orderBy(F.desc("score"), "code")
     return best.withColumn("_n", F.row_number().over(rank)).filter(F.col("_n") <= limit).select(value, "code", "score")
@@ -173,15 +232,49 @@ def retrieved(keywords: DataFrame, vocabulary: DataFrame, key: str, word: str, a
     return kept.join(vocabulary.groupBy("code").agg(F.min("description").alias("description")), "code").select(key, "code", "description", "score")
 
 
+#: Keywords of one automaton, and their characters, at most; more keywords take more passes over the texts.
+AUTOMATON, AUTOMATON_TEXT = 100_000, 2_000_000
+
+
+def _finder(shared):
+    """A UDF for the broadcast keywords that stand in a text."""
+
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = ahocorasick.Automaton()
+        for k in shared.value:
+            automaton.add_word(k, k)
+        automaton.make_automaton()
+        for batch in batches:
+            yield pd.Series([sorted({k for _, k in automaton.iter(t)}) if t and shared.value else [] for t in batch], dtype=object)
+
+    return F.pandas_udf(found, "array<string>").asNondeterministic()
+
+
+def containing(texts: DataFrame, keywords: DataFrame, text: str, keyword: str) -> DataFrame:
+    """``texts`` with ``keyword``, one row for each distinct keyword that stands anywhere in the text.
+
+    Keywords become automata (a trie with failure links) of a bounded size, which are broadcast; each finds all of its keywords
+    in one pass over a text, however many there are. Null texts, and null or empty keywords, meet nothing.
+    """
+    known = written(keywords.select(F.col(keyword).alias("k")).filter("k <> ''").distinct(), "keywords")
+    n, size = known.agg(F.count("*"), F.coalesce(F.sum(F.length("k")), F.lit(0))).first()
+    blocks = max(1, -(-n // AUTOMATON), -(-size // AUTOMATON_TEXT))
+    out = None
+    for block in range(blocks):
+        own = [r["k"] for r in known.filter(F.pmod(F.xxhash64("k"), F.lit(blocks)) == block).collect()]
+        hit = _finder(texts.sparkSession.sparkContext.broadcast(own))
+        rows = texts.withColumn("_hits", hit(text)).withColumn(keyword, F.explode("_hits")).drop("_hits")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def topography(diagnoses: DataFrame, groups: DataFrame, table: DataFrame, key: str, normal: str, generic: list[tuple[str, str]], cutoff: float = 60.0) -> DataFrame:
     """(key, code, how) for normalised diagnoses: keyword groups, else fuzzy descriptions, else the generic codes.
 
-    ``groups``: (keyword, code), a fixed list of a few hundred; whether a keyword stands anywhere in a text has no key to
-    join by, so that list is broadcast.
+    ``groups``: (keyword, code), any number; the keywords are found by automata.
     """
-    if groups.limit(5001).count() > 5000:
-        raise ValueError("more than 5000 keywords")
-    by_word = diagnoses.join(F.broadcast(groups), F.contains(F.col(normal), F.col("keyword"))).select(key, "code").distinct().withColumn("how", F.lit("keyword"))
+    standing = containing(diagnoses, groups, normal, "keyword").select(key, "keyword")
+    by_word = standing.join(groups, "keyword").select(key, "code").distinct().withColumn("how", F.lit("keyword"))
     open_ = diagnoses.join(by_word.select(key).distinct(), key, "left_anti")
     fuzzy = open_.join(fuzzy_top(open_, table, normal, 5, cutoff), normal).select(key, "code").distinct().withColumn("how", F.lit("fuzzy"))
     rest = open_.join(fuzzy.select(key).distinct(), key, "left_anti")

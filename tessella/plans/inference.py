@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.catalogue import query, table
-from tessella.operators import models_fit, survival
+from tessella.operators import codes, models_fit, survival
 
 SUBJECTS_SQL = """
 s AS (SELECT CAST((CAST(o_orderdate AS DATE) - DATE '1992-01-01') // 30 AS INTEGER) AS t, o_orderstatus = 'F' AS ev, o_orderpriority AS arm,
@@ -81,3 +81,28 @@ def cox_with_entry(spark: SparkSession, d: str) -> DataFrame:
     rows = _subjects(spark, d).withColumns({"urgent": (F.col("arm") < "3").cast("int"), "price": F.col("o_totalprice") / 100_000})
     got = models_fit.cox(rows, "t", "ev", ["urgent", "price"], entry="entry", efron=True)
     return spark.createDataFrame([(c, b, s) for c, (b, s) in got.items()], "covariate string, coefficient double, std_error double")
+
+
+def _words(df: DataFrame, least: int) -> DataFrame:
+    return df.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).filter(F.length("word") >= least).distinct()
+
+
+@query("""
+WITH d AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM benchmark)
+SELECT word, term, round(100 * (1 - levenshtein(word, term) / greatest(length(word), length(term))), 6) AS score FROM d, b
+WHERE length(word) >= 7 AND length(term) >= 7 AND 4 * levenshtein(word, term) <= greatest(length(word), length(term))
+""")
+def fuzzy_words(spark: SparkSession, d: str) -> DataFrame:
+    """Every word of the documents beside all words of the benchmark that are spelt like it: all pairs, found by grams."""
+    got = codes.alike(_words(table(spark, d, "documents"), 7), _words(table(spark, d, "benchmark"), 7).withColumnRenamed("word", "term"), "word", "term", 75.0)
+    return got.withColumn("score", F.round("score", 6))
+
+
+@query("""
+WITH k AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark)
+SELECT word, count(*) AS n_docs FROM k JOIN documents ON contains(lower(text), word) WHERE length(word) >= 6 GROUP BY word
+""")
+def keyword_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in which each keyword stands, as a word or within one."""
+    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))
+    return codes.containing(docs, _words(table(spark, d, "benchmark"), 6), "text", "word").groupBy("word").agg(F.count("*").alias("n_docs"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import models_fit, survival
+from tessella.operators import codes, models_fit, survival
 
 
 def test_chi_square_p_of_known_values():
@@ -74,3 +74,50 @@ def test_curves_and_log_rank_by_definition(spark):
     none = survival.summary(df.filter("not e"), "t", "e", "g", [5]).collect()
     assert len(none) == 3 and all(r["median"] is None and r["at_5"] == 1.0 for r in none)
     assert survival.curve(df.limit(0), "t", "e", "g").count() == 0
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("cutoff", [70.0, 80.0, 100.0])
+def test_alike_texts_are_all_found(spark, monkeypatch, cutoff):
+    monkeypatch.setattr(codes, "SPLIT", 5)
+    rng = random.Random(int(cutoff))
+    known = ["".join(rng.choice("abé ") for _ in range(rng.randint(1, 14))) for _ in range(60)] + ["aaaaaaaa", "aaaa", "mastocytosis"]
+
+    def misspelt(t):
+        t = list(t)
+        for _ in range(rng.randint(0, 3)):
+            t[rng.randint(0, len(t)) : rng.randint(0, len(t))] = rng.choice("abx")
+        return "".join(t)
+
+    values = [misspelt(rng.choice(known)) for _ in range(120)] + ["mastocitosis", "", None, "a"]
+    got = codes.alike(spark.createDataFrame([(v,) for v in values], "v string"), spark.createDataFrame([(k,) for k in [*known, None, ""]], "k string"), "v", "k", cutoff).collect()
+    want = {(v, k) for v in set(values) - {"", None} for k in set(known) if 1 - distance(v, k) / max(len(v), len(k)) >= cutoff / 100 - 1e-9}
+    assert {(r["v"], r["k"]) for r in got} == want and len(got) == len(want) and len(want) > 20 - (cutoff == 100) * 15
+    with pytest.raises(ValueError):
+        codes.alike(spark.createDataFrame([("a",)], "v string"), spark.createDataFrame([("a",)], "k string"), "v", "k", 60.0)
+
+
+def test_a_misspelt_name_of_one_word_is_found(spark):
+    table = spark.createDataFrame([("D47.0", "Mastocytosis"), ("C50.9", "Malignant neoplasm of breast"), ("C34.9", "Malignant neoplasm of lung")], "code string, description string")
+    got = codes.fuzzy_top(spark.createDataFrame([("mastocitosis",), ("brest cancer",), ("breast",)], "v string"), table, "v", cutoff=50).collect()
+    assert {(r["v"], r["code"]) for r in got} >= {("mastocitosis", "D47.0"), ("breast", "C50.9")}
+
+
+def test_automata_find_what_stands_anywhere(spark, monkeypatch):
+    rng = random.Random(2)
+    texts = [(i, "".join(rng.choice("abcé ") for _ in range(rng.randint(0, 60)))) for i in range(80)] + [(100, None), (101, "")]
+    words = list({"".join(rng.choice("abcé") for _ in range(rng.randint(1, 4))) for _ in range(150)})
+    want = sorted((i, w) for i, t in texts for w in words if t and w in t)
+    for most in (100_000, 20):
+        monkeypatch.setattr(codes, "AUTOMATON", most)
+        got = codes.containing(spark.createDataFrame(texts, "i int, t string"), spark.createDataFrame([(w,) for w in [*words, None, "", words[0]]], "w string"), "t", "w")
+        assert sorted((r["i"], r["w"]) for r in got.collect()) == want
+    assert codes.containing(spark.createDataFrame(texts, "i int, t string"), spark.createDataFrame([], "w string"), "t", "w").count() == 0
