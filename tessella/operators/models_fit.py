@@ -71,6 +71,8 @@ def cox(
     what left later. Each round is one aggregation to a row a time, and running sums over those; subjects never leave the
     executors.
     """
+    if entry is not None:
+        df = df.filter(F.col(entry) < F.col(time))  # others are never at risk
     p = len(covariates)
     x = [F.col(c).cast("double") for c in covariates]
     pairs = [(i, j) for i in range(p) for j in range(i, p)]

@@ -47,13 +47,27 @@ def chi_square_p(x: float, degrees: int) -> float:
     return front * h
 
 
+def risk_sets(df: DataFrame, entry: str, stop: str) -> DataFrame:
+    """(t, at_risk) at each stop: those who entered before and stop then or later, as a running difference of two counts.
+
+    Who enters at the stop or after it is never at risk.
+    """
+    stops = df.groupBy(F.col(stop).alias("t")).agg(F.count(F.when(F.col(entry) < F.col(stop), 1)).alias("m"), F.lit(True).alias("is_stop"))
+    entries = df.filter(F.col(entry) < F.col(stop)).groupBy(F.col(entry).alias("t")).agg((-F.count("*")).alias("m"), F.lit(False).alias("is_stop"))
+    both = written(stops.unionByName(entries).groupBy("t").agg(F.sum("m").alias("m"), F.max("is_stop").alias("is_stop")).filter("t is not null"), "risk-times")
+    counted = running(both, "t", {"at_risk": ("sum", F.col("m"))}, descending=True)
+    return counted.filter("is_stop and at_risk > 0").select("t", "at_risk")
+
+
 def curve(df: DataFrame, time: str, event: str, by: str, entry: str | None = None) -> DataFrame:
     """(by, time, at_risk, events, survival, std_error, lower, upper) at each time with an event.
 
     Greenwood's error, and a 95 % interval on the log-minus-log scale; both bounds are null where survival is 0. With
-    ``entry``, only those who entered before are at risk.
+    ``entry``, only those who entered before are at risk; who enters at its own time or after it never is.
     """
     own = df.filter(F.col(by).isNotNull() & F.col(time).isNotNull())
+    if entry is not None:
+        own = own.filter(F.col(entry) < F.col(time))
     times = own.groupBy(by, F.col(time).alias("t")).agg(F.count("*").alias("m"), F.sum(F.col(event).cast("long")).alias("d"))
     if entry is not None:
         entered = own.groupBy(by, F.col(entry).alias("t")).agg((-F.count("*")).alias("m"), F.lit(0).cast("long").alias("d"))

@@ -89,12 +89,12 @@ def ecog_selection(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT user_id, event_type, max(value >= 200) AS hit FROM events WHERE event_type IN ('click', 'view', 'error') AND event_id % 7 < 4 GROUP BY 1, 2)
+WITH p AS (SELECT user_id, event_type, max(value >= 200) AS hit FROM events WHERE event_type IN ('click', 'view', 'error') GROUP BY 1, 2)
 SELECT user_id, CASE WHEN bool_or(hit) THEN false WHEN count(*) = 3 THEN true END AS triple_negative FROM p GROUP BY 1
 """)
 def biomarker_composite(spark: SparkSession, d: str) -> DataFrame:
     tests = ["click", "view", "error"]
-    events = table(spark, d, "events").filter(F.col("event_type").isin(tests) & (F.col("event_id") % 7 < 4))
+    events = table(spark, d, "events").filter(F.col("event_type").isin(tests))
     return derive.all_negative(events, ["user_id"], "event_type", derive.reaches(F.col("value"), 200), tests, "triple_negative")
 
 
@@ -135,11 +135,16 @@ def quality_flags(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT * FROM (VALUES ('c_custkey', 'first'), ('c_name', 'first'), ('key', 'shared'), ('name', 'second')) AS t(column_name, standing)
+JOIN (SELECT 'c_custkey' AS column_name, count(c_custkey) AS n_values FROM customer UNION ALL SELECT 'c_name', count(c_name) FROM customer
+      UNION ALL SELECT 'key', (SELECT count(c_nationkey) FROM customer) + count(n_nationkey) FROM nation UNION ALL SELECT 'name', count(n_name) FROM nation) USING (column_name)
 """)
 def column_sets(spark: SparkSession, d: str) -> DataFrame:
     customers = table(spark, d, "customer").select("c_custkey", "c_name", F.col("c_nationkey").alias("KEY"))
     nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))
-    return derive.column_sets(customers, nations)
+    """Where each column stands, whatever its case, and the values that it holds in both tables."""
+    held = [cohort.nonnull_counts(t.toDF(*(c.lower() for c in t.columns))) for t in (customers, nations)]
+    counts = held[0].unionByName(held[1]).groupBy("column_name").agg(F.sum("n_values").alias("n_values"))
+    return derive.column_sets(customers, nations).join(counts, "column_name")
 
 
 @query("""

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.catalogue import query, table
 from tessella.functions import text, values
-from tessella.operators import codes, cohort, deid, derive, notes
+from tessella.operators import codes, cohort, deid, derive, notes, survival
 from tessella.plans import gate
 from tessella.session import shared_path
 from tessella.sources import extractions, tables
@@ -31,9 +33,9 @@ def tsv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return _round_trip(spark, table(spark, d, "supplier").select("s_suppkey", "s_name"), "tsv", infer=False)
 
 
-@query("SELECT doc_id, text, lang FROM documents WHERE length(text) < 2000")
+@query("SELECT doc_id, text, lang FROM documents")
 def note_lines_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    return _round_trip(spark, table(spark, d, "documents").filter(F.length("text") < 2000).select("doc_id", "text", "lang"), "jsonl").select("doc_id", "text", "lang")
+    return _round_trip(spark, table(spark, d, "documents").select("doc_id", "text", "lang"), "jsonl").select("doc_id", "text", "lang")
 
 
 @query("SELECT patient_id, 1 AS round, 'new ' || o_orderstatus AS extraction, 2 AS num_chunks FROM (SELECT DISTINCT 'p' || o_orderkey AS patient_id, o_orderstatus FROM orders)")
@@ -162,7 +164,8 @@ def event_tag_rows(spark: SparkSession, d: str) -> DataFrame:
 def patient_blocks(spark: SparkSession, d: str) -> DataFrame:
     """A text of several patients, split at its marks."""
     joined = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))), lambda x: x["o_orderstatus"]), " ").alias("t"))
-    whole = joined.groupBy((F.col("o_custkey") % 5).alias("k")).agg(F.array_join(F.collect_list(F.concat(F.col("o_custkey").cast("string"), F.lit("|"), "t")), "<new_patient>").alias("t"))
+    # Fifty patients a text at most, however many there are.
+    whole = joined.groupBy(F.floor(F.col("o_custkey") / 50).alias("k")).agg(F.array_join(F.collect_list(F.concat(F.col("o_custkey").cast("string"), F.lit("|"), "t")), "<new_patient>").alias("t"))
     blocks = whole.select(F.explode(F.split("t", "<new_patient>")).alias("b"))
     return blocks.select(F.substring_index("b", "|", 1).cast("long").alias("o_custkey"), F.substring_index("b", "|", -1).alias("block"))
 
@@ -176,31 +179,31 @@ def model_answers(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, CASE WHEN length(text) > 60 THEN substr(text, 1, 30) || ' ... ' || substr(text, length(text) - 29, 30) ELSE text END AS middle, substr(text, 1, 500) AS evidence FROM documents WHERE length(text) < 5000
+SELECT doc_id, CASE WHEN length(text) > 60 THEN substr(text, 1, 30) || ' ... ' || substr(text, length(text) - 29, 30) ELSE text END AS middle, substr(text, 1, 500) AS evidence FROM documents
 """)
 def clipped_texts(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").filter(F.length("text") < 5000)
+    docs = table(spark, d, "documents")
     clipped = codes.audit_trail(docs.select(F.col("doc_id").alias("value"), F.col("text").alias("evidence"), "text")).select(F.col("value").alias("doc_id"), "evidence")
     return docs.select("doc_id", text.middle_cut(F.col("text"), 60).alias("middle")).join(clipped, "doc_id")
 
 
 @query("""
-SELECT doc_id, CAST(i AS INTEGER) AS chunk, substr(text, CAST(i * 160 + 1 AS BIGINT), 200) AS piece FROM documents, range(0, 1000) AS r(i)
-WHERE length(text) BETWEEN 1 AND 3000 AND i < CASE WHEN length(text) <= 200 THEN 1 ELSE CAST(ceil((length(text) - 200) / 160.0) AS BIGINT) + 1 END
+SELECT doc_id, CAST(i AS INTEGER) AS chunk, substr(text, CAST(i * 160 + 1 AS BIGINT), 200) AS piece
+FROM (SELECT doc_id, text, unnest(range(CASE WHEN length(text) = 0 THEN 0 WHEN length(text) <= 200 THEN 1 ELSE CAST(ceil((length(text) - 200) / 160.0) AS BIGINT) + 1 END)) AS i FROM documents)
 """)
 def token_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Pieces of 50 tokens that overlap by 10, at about four characters a token, in texts without a mark to end at."""
-    docs = table(spark, d, "documents").filter(F.length("text").between(1, 3000)).select("doc_id", "text")
+    docs = table(spark, d, "documents").select("doc_id", "text")
     return notes.chunked_notes(docs, "text", 50, 10, by_tokens=True, marker="\u0001").select("doc_id", "chunk", "piece")
 
 
 @query("""
 SELECT l_orderkey, l_linenumber, CASE WHEN regexp_matches(site, '^C[0-9]{2,3}$') THEN 'valid' WHEN l_discount >= 0.05 THEN 'corrected' WHEN l_discount > 0 THEN 'warning' ELSE 'invalid' END AS status,
        histology BETWEEN 8000 AND 9989 AS histology_ok, CASE WHEN site IN ('C30', 'C34', 'C40', 'C41', 'C44', 'C47', 'C49', 'C50', 'C56') AND l_linenumber % 3 = 0 THEN 'paired site without side' END AS edit
-FROM (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN 'X' ELSE 'C' END || CAST(CAST(l_quantity AS BIGINT) + 10 AS VARCHAR) AS site, 7000 + l_partkey % 3500 AS histology FROM lineitem WHERE l_linenumber < 6)
+FROM (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN 'X' ELSE 'C' END || CAST(CAST(l_quantity AS BIGINT) + 10 AS VARCHAR) AS site, 7000 + l_partkey % 3500 AS histology FROM lineitem)
 """)
 def field_validation(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").filter("l_linenumber < 6")
+    lines = table(spark, d, "lineitem")
     site = F.concat(F.when(F.col("l_linenumber") % 2 == 0, "X").otherwise("C"), (F.col("l_quantity").cast("long") + 10).cast("string"))
     side = F.when(F.col("l_linenumber") % 3 == 0, F.lit("9")).otherwise("1")
     return lines.select(
@@ -211,9 +214,10 @@ def field_validation(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT * FROM (VALUES (0, 'aggregate', true), (1, 'aggregate', false), (2, 'aggregate', false), (3, 'aggregate', false), (4, 'aggregate', false), (5, 'individual', true), (6, 'individual', true), (7, 'individual', false), (8, 'aggregate', false), (9, 'aggregate', false)) AS t(place, mode, allowed)
+LEFT JOIN (SELECT 0 AS place, count(DISTINCT c_mktsegment) AS n_rows FROM customer UNION ALL SELECT 5, least(count(*), 5) FROM customer UNION ALL SELECT 6, count(*) FROM customer) USING (place)
 """)
 def gate_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    """What the gate says of statements in either mode; nothing of them runs."""
+    """What the gate says of statements in either mode, and the rows of those that it lets through."""
     table(spark, d, "customer").createOrReplaceTempView("gate_judged")
     asked = [
         ("aggregate", "SELECT c_mktsegment, count(*) AS n FROM gate_judged GROUP BY c_mktsegment"), ("aggregate", "SELECT * FROM gate_judged"), ("aggregate", "SELECT c_acctbal FROM gate_judged"),
@@ -221,14 +225,22 @@ def gate_verdicts(spark: SparkSession, d: str) -> DataFrame:
         ("individual", "SELECT c_acctbal FROM gate_judged"), ("individual", "SELECT c_custkey FROM gate_judged LIMIT 5"), ("aggregate", "SELECT c_mktsegment, collect_list(c_acctbal) AS l FROM gate_judged GROUP BY 1"),
         ("aggregate", "SELECT count(*) AS n FROM gate_judged UNION ALL SELECT c_nationkey FROM gate_judged"),
     ]
-    return spark.createDataFrame([(i, mode, gate.examine(spark, sql, mode, ("c_custkey",)).allowed) for i, (mode, sql) in enumerate(asked)], "place int, mode string, allowed boolean")
+    said = [gate.examine(spark, sql, mode, ("c_custkey",)).allowed for mode, sql in asked]
+    rows = [spark.sql(sql).agg(F.lit(i).alias("place"), F.count("*").alias("n_rows")) for i, (_, sql) in enumerate(asked) if said[i]]
+    verdicts = spark.createDataFrame([(i, mode, said[i]) for i, (mode, _) in enumerate(asked)], "place int, mode string, allowed boolean")
+    return verdicts.join(reduce(DataFrame.unionByName, rows), "place", "left")
 
 
-@query("SELECT 'only the individual one without a limit' AS warned, count(*) AS n FROM (VALUES (1)) AS t(x)")
+@query("SELECT 'all' AS asked, true AS warned, count(*) AS n_rows FROM customer UNION ALL SELECT 'three', false, least(count(*), 3) FROM customer")
 def limit_warnings(spark: SparkSession, d: str) -> DataFrame:
     table(spark, d, "customer").createOrReplaceTempView("gate_limited")
-    said = ["no LIMIT" in gate.examine(spark, f"SELECT c_acctbal FROM gate_limited{more}", "individual").warnings for more in ("", " LIMIT 3")]
-    return spark.createDataFrame([("only the individual one without a limit" if said == [True, False] else f"{said}", 1)], "warned string, n long")
+    """Whether a statement is warned of its missing limit, and the rows it gives."""
+    out = []
+    for name, more in (("all", ""), ("three", " LIMIT 3")):
+        sql = f"SELECT c_acctbal FROM gate_limited{more}"
+        warned = "no LIMIT" in gate.examine(spark, sql, "individual").warnings
+        out.append(spark.sql(sql).agg(F.lit(name).alias("asked"), F.lit(warned).alias("warned"), F.count("*").alias("n_rows")))
+    return out[0].unionByName(out[1])
 
 
 @query("""
@@ -278,13 +290,13 @@ def snomed_table(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT a.l_orderkey, a.place, a.tumor, coalesce(i.code, p.code) AS code
-FROM (SELECT l_orderkey, l_linenumber AS place, l_linenumber * 10 AS tumor FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL) a
+FROM (SELECT l_orderkey, l_linenumber AS place, l_linenumber * 10 AS tumor FROM lineitem GROUP BY ALL) a
 LEFT JOIN (SELECT l_orderkey, 10 AS tumor, 'C2' AS code FROM lineitem WHERE l_linenumber = 2 GROUP BY ALL) i ON a.l_orderkey = i.l_orderkey AND a.tumor = i.tumor
 LEFT JOIN (SELECT l_orderkey, l_linenumber AS place, 'C' || l_linenumber AS code FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL) p ON a.l_orderkey = p.l_orderkey AND a.place = p.place
 """)
 def code_positions(spark: SparkSession, d: str) -> DataFrame:
     """Codes of a second step beside the rows of a first: by index, else by place."""
-    lines = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("place")).filter("place <= 3").distinct()
+    lines = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("place")).distinct()
     plain = lines.withColumn("tumor", F.col("place") * 10)
     coded = lines.filter("place <= 2").select("l_orderkey", "place", F.when(F.col("place") == 2, 10).alias("tumor"), F.concat(F.lit("C"), "place").alias("code"))
     return notes.merged_codes(plain, coded, "l_orderkey", "tumor", "place", ["code"])
@@ -295,11 +307,9 @@ WITH t AS (SELECT DISTINCT CAST(floor(o_totalprice / 100000) AS INTEGER) AS t FR
 SELECT t.t, count(*) AS at_risk FROM t JOIN s ON s.entry < t.t AND t.t <= s.stop GROUP BY 1
 """)
 def risk_sets(spark: SparkSession, d: str) -> DataFrame:
-    """Who has entered before a time and is still followed at it; entries and stops are counted first."""
+    """Who has entered before a time and is still followed at it."""
     s = table(spark, d, "orders").select(F.floor(F.col("o_totalprice") / 100000).cast("int").alias("stop"), (F.col("o_orderkey") % 4).cast("int").alias("entry"))
-    pairs = s.groupBy("entry", "stop").agg(F.count("*").alias("n"))
-    times = s.select(F.col("stop").alias("t")).distinct()
-    return times.join(pairs, (F.col("entry") < F.col("t")) & (F.col("t") <= F.col("stop"))).groupBy("t").agg(F.sum("n").alias("at_risk"))
+    return survival.risk_sets(s, "entry", "stop")
 
 
 @query("""
