@@ -65,20 +65,31 @@ def compressed(notes: DataFrame, text: str, client: Client) -> DataFrame:
     return notes.mapInPandas(calls, schema)
 
 
+def merged(state: dict[str, tuple[str, float, int]], found: dict, step: int, locked: set[str]) -> None:
+    """Adds an answer's fields to ``state`` (value, confidence, step): the surer one wins, the earlier of equals; locked ones stay."""
+    for name, got in found.items():
+        value, sure = (got.get("value"), got.get("confidence")) if isinstance(got, dict) else (got, 0.0)
+        try:
+            sure = float(sure or 0)
+        except (TypeError, ValueError):
+            sure = 0.0
+        if name not in locked and (name not in state or sure > state[name][1]):
+            state[name] = (str(value), sure, step)
+
+
 def folded(chunks: DataFrame, patient: str, order: str, text: str, client: Client, lock: float = 0.9) -> DataFrame:
     """(patient, field, value, confidence, pass): chunks of a patient in order; a field that is sure enough is not asked again.
 
-    One patient's chunks are folded in one task; patients are independent.
+    One patient's chunks are folded in one task; patients are independent. A chunk whose calls fail, or bring nothing readable, adds
+    nothing.
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         state: dict[str, tuple[str, float, int]] = {}
         for step, t in enumerate(pdf.sort_values(order)[text]):
             locked = {f for f, (_, c, _) in state.items() if c >= lock}
-            for name, got in (json_object(client.generate(f"known: {sorted(locked)}\n{t}")) or {}).items():
-                value, sure = (got.get("value"), float(got.get("confidence", 0))) if isinstance(got, dict) else (got, 0.0)
-                if name not in locked and (name not in state or sure > state[name][1]):
-                    state[name] = (str(value), sure, step)
+            found, _ = asked(client, f"known: {sorted(locked)}\n{t}", json_object)
+            merged(state, found or {}, step, locked)
         rows = [(pdf[patient].iat[0], f, v, c, s) for f, (v, c, s) in sorted(state.items())]
         return pd.DataFrame(rows, columns=[patient, "field", "value", "confidence", "pass"])
 

@@ -16,30 +16,28 @@ def quantiles(df: DataFrame, key: str, value: str, shares: list[float]) -> dict[
     rank are then walked. No task holds a group, and the driver sees two values for each quantile.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    ranged = counts.repartitionByRange("_k", "_v").withColumn("_part", F.spark_partition_id()).persist()
-    try:
-        sums: dict[object, list[tuple[int, int]]] = {}
-        for r in ranged.groupBy("_k", "_part").agg(F.sum("_n").alias("n")).collect():
-            sums.setdefault(r["_k"], []).append((r["_part"], r["n"]))
-        wanted, places = [], {}
-        for k, parts in sums.items():
-            total = sum(n for _, n in parts)
-            places[k] = [(int((total - 1) * p), (total - 1) * p % 1) for p in shares]
-            ranks = sorted({x for at, rest in places[k] for x in ([at, at + 1] if rest else [at])})
-            before = 0
-            for part, n in sorted(parts):
-                wanted += [(k, part, before, x) for x in ranks if before <= x < before + n]
-                before += n
-        if not wanted:
-            return {}
-        kind = df.schema[key].dataType.simpleString()
-        ranks = df.sparkSession.createDataFrame(wanted, f"_k {kind}, _part int, _before long, _rank long")
-        parts = ranks.select("_k", "_part", "_before").distinct()
-        walked = ranged.join(F.broadcast(parts), ["_k", "_part"]).withColumn("_upto", F.col("_before") + F.sum("_n").over(Window.partitionBy("_k", "_part").orderBy("_v")))
-        hit = (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_n"))
-        found = {(r["_k"], r["_rank"]): r["_v"] for r in walked.join(F.broadcast(ranks.drop("_before")), ["_k", "_part"]).filter(hit).select("_k", "_rank", "_v").collect()}
-    finally:
-        ranged.unpersist()
+    # Written, since a partition that is dealt anew after a lost executor may hold other values.
+    ranged = written(counts.repartitionByRange("_k", "_v").withColumn("_part", F.spark_partition_id()), "ranged")
+    sums: dict[object, list[tuple[int, int]]] = {}
+    for r in ranged.groupBy("_k", "_part").agg(F.sum("_n").alias("n")).collect():
+        sums.setdefault(r["_k"], []).append((r["_part"], r["n"]))
+    wanted, places = [], {}
+    for k, parts in sums.items():
+        total = sum(n for _, n in parts)
+        places[k] = [(int((total - 1) * p), (total - 1) * p % 1) for p in shares]
+        ranks = sorted({x for at, rest in places[k] for x in ([at, at + 1] if rest else [at])})
+        before = 0
+        for part, n in sorted(parts):
+            wanted += [(k, part, before, x) for x in ranks if before <= x < before + n]
+            before += n
+    if not wanted:
+        return {}
+    kind = df.schema[key].dataType.simpleString()
+    ranks = df.sparkSession.createDataFrame(wanted, f"_k {kind}, _part int, _before long, _rank long")
+    parts = ranks.select("_k", "_part", "_before").distinct()
+    walked = ranged.join(F.broadcast(parts), ["_k", "_part"]).withColumn("_upto", F.col("_before") + F.sum("_n").over(Window.partitionBy("_k", "_part").orderBy("_v")))
+    hit = (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_n"))
+    found = {(r["_k"], r["_rank"]): r["_v"] for r in walked.join(F.broadcast(ranks.drop("_before")), ["_k", "_part"]).filter(hit).select("_k", "_rank", "_v").collect()}
     return {k: [found[k, at] + (found[k, at + 1] - found[k, at]) * rest if rest else found[k, at] for at, rest in places[k]] for k in places}
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.catalogue import query, table
-from tessella.operators import codes, models_fit, survival
+from tessella.operators import codes, models_fit, rounds, survival
+from tessella.session import shared_path
 
 SUBJECTS_SQL = """
 s AS (SELECT CAST((CAST(o_orderdate AS DATE) - DATE '1992-01-01') // 30 AS INTEGER) AS t, o_orderstatus = 'F' AS ev, o_orderpriority AS arm,
@@ -106,3 +107,29 @@ def keyword_documents(spark: SparkSession, d: str) -> DataFrame:
     """Documents in which each keyword stands, as a word or within one."""
     docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))
     return codes.containing(docs, _words(table(spark, d, "benchmark"), 6), "text", "word").groupBy("word").agg(F.count("*").alias("n_docs"))
+
+
+class Echo:
+    """A stand-in for a model: what the prompt says after its first line."""
+
+    def generate(self, prompt: str) -> str:
+        return prompt.split("\n", 1)[1]
+
+
+@query("""
+WITH c AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS step, o_orderpriority AS v, CAST(o_orderkey % 97 AS DOUBLE) / 100 AS sure FROM orders),
+k AS (SELECT *, sure >= 0.9 AS locks FROM c)
+SELECT o_custkey, CAST(max(step) // 5 + 1 AS INTEGER) AS rounds, 'priority' AS field,
+       CASE WHEN bool_or(locks) THEN arg_min(v, step) FILTER (locks) ELSE arg_max(v, (sure, -step)) END AS value,
+       CASE WHEN bool_or(locks) THEN arg_min(sure, step) FILTER (locks) ELSE max(sure) END AS confidence,
+       CAST(CASE WHEN bool_or(locks) THEN min(step) FILTER (locks) ELSE arg_max(step, (sure, -step)) END AS INTEGER) AS step
+FROM k GROUP BY 1
+""")
+def rounds_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as a customer's notes, five a round: a run that stops after its second round, and is taken up again."""
+    sure = (F.col("o_orderkey") % 97).cast("double") / 100
+    said = F.to_json(F.struct(F.struct(F.col("o_orderpriority").alias("value"), sure.alias("confidence")).alias("priority")))
+    notes = table(spark, d, "orders").select("o_custkey", "o_orderkey", said.alias("text"))
+    folder = shared_path(spark, "rounds")
+    rounds.extract(notes, "o_custkey", "o_orderkey", "text", Echo(), folder, most=1)
+    return rounds.final_rows(rounds.extract(notes, "o_custkey", "o_orderkey", "text", Echo(), folder), "o_custkey")

@@ -60,7 +60,15 @@ def consolidated_rows(text: str, stem: str, category_by_field: dict[str, str]) -
                 tumor = item.get("tumor_index", i if isinstance(content, list) else -1)
                 for name, value in item.items():
                     if name != "tumor_index":
-                        yield who, ontology, category, int(tumor), i, name, _bare(value)
+                        yield who, ontology, category, _index(tumor), i, name, _bare(value)
+
+
+def _index(tumor) -> int:
+    """A tumour's number; -1 where it is missing or no whole number."""
+    try:
+        return int(tumor)
+    except (TypeError, ValueError, OverflowError):
+        return -1
 
 
 def consolidate(documents: DataFrame, category_by_field: dict[str, str] | None = None) -> DataFrame:

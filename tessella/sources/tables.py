@@ -62,9 +62,11 @@ def read_json_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_rounds(spark: SparkSession, path: str) -> DataFrame:
-    """Round checkpoints as JSON lines; broken lines are skipped; the last line of a patient and round wins."""
+    """Round checkpoints as JSON lines; broken lines are skipped; the last line of a patient and round, by file name and place, wins."""
     schema = "patient_id string, round int, extraction string, num_chunks int"
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_line")).filter(F.trim("value") != "")
+    # Ids grow along the rows of a task, which reads one block of a file from its start to its end.
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(path).select("value", place.alias("_line")).filter(F.trim("value") != "")
     rows = lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"), "_line").select("r.*", "_line").filter(F.col("patient_id").isNotNull())
     return rows.groupBy("patient_id", "round").agg(F.max_by(F.struct("extraction", "num_chunks"), "_line").alias("r")).select("patient_id", "round", "r.*")
 

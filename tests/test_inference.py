@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import codes, models_fit, survival
+from tessella.operators import codes, models_fit, rounds, survival
+from tessella.sources import extractions, tables
 
 
 def test_chi_square_p_of_known_values():
@@ -121,3 +122,50 @@ def test_automata_find_what_stands_anywhere(spark, monkeypatch):
         got = codes.containing(spark.createDataFrame(texts, "i int, t string"), spark.createDataFrame([(w,) for w in [*words, None, "", words[0]]], "w string"), "t", "w")
         assert sorted((r["i"], r["w"]) for r in got.collect()) == want
     assert codes.containing(spark.createDataFrame(texts, "i int, t string"), spark.createDataFrame([], "w string"), "t", "w").count() == 0
+
+
+class Failing:
+    """Answers a chunk with itself, but for those that hold a word; notes each call in a file."""
+
+    def __init__(self, log, word=None):
+        self.log, self.word = str(log), word
+
+    def generate(self, prompt):
+        text = prompt.split("\n", 1)[1]
+        with open(self.log, "a") as f:
+            f.write(text + "\n")
+        if self.word and self.word in text:
+            raise RuntimeError("down")
+        return text
+
+
+def test_rounds_go_on_where_they_stopped(spark, tmp_path):
+    rng = random.Random(4)
+    chunks = [(f"p{i}", k, '{"f%d": {"value": "v%d%s", "confidence": %s}}' % (rng.randint(0, 2), k, "x" if i == 2 and k == 4 else "", round(rng.random(), 2))) for i in range(6) for k in range(i + 2)]
+    df = spark.createDataFrame(chunks, "p string, k int, t string")
+    want = rounds.final_rows(rounds.extract(df, "p", "k", "t", Failing(tmp_path / "a"), f"file://{tmp_path}/one", 2), "p").collect()
+    folder = f"file://{tmp_path}/two"
+    rounds.extract(df, "p", "k", "t", Failing(tmp_path / "b"), folder, 2, most=0)
+    down = {r["p"]: r["rounds"] for r in rounds.final_rows(rounds.extract(df, "p", "k", "t", Failing(tmp_path / "b", "v3"), folder, 2), "p").collect()}
+    assert down["p0"] == 1 and down["p3"] == 1  # chunk 3 stands in the second round
+    before = len((tmp_path / "b").read_text().splitlines())
+    got = rounds.final_rows(rounds.extract(df, "p", "k", "t", Failing(tmp_path / "b"), folder, 2), "p").collect()
+    assert sorted(got) == sorted(want)
+    assert before < len((tmp_path / "b").read_text().splitlines())
+    again = len((tmp_path / "b").read_text().splitlines())
+    assert rounds.extract(df, "p", "k", "t", Failing(tmp_path / "b"), folder, 2).count() == sum(-(-(i + 2) // 2) for i in range(6))
+    assert len((tmp_path / "b").read_text().splitlines()) == again  # nothing is asked twice
+    assert rounds.extract(df.limit(0), "p", "k", "t", Failing(tmp_path / "c"), f"file://{tmp_path}/three").count() == 0
+
+
+def test_the_last_line_over_several_files_wins(spark, tmp_path):
+    line = '{"patient_id": "a", "round": 1, "extraction": "%s", "num_chunks": 1}\n'
+    for name, what in (("b", "late"), ("a", "early")):
+        (tmp_path / f"{name}.jsonl").write_text((line % "first") * 3 + line % what)
+    assert [r["extraction"] for r in tables.read_rounds(spark, str(tmp_path)).collect()] == ["late"]
+
+
+@pytest.mark.parametrize("tumor", ["null", '"two"', "1e400", "[1]", "2"])
+def test_an_odd_tumour_number_ends_no_job(tumor):
+    rows = list(extractions.consolidated_rows('{"patient_id": "p", "diagnoses": [{"tumor_index": %s, "site": "C50"}]}' % tumor, "p", {}))
+    assert {r[3] for r in rows} == {2 if tumor == "2" else -1}
