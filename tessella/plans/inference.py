@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.catalogue import query, table
 from tessella.operators import codes, models_fit, rounds, survival
+from tessella.plans.dialect import translated
 from tessella.session import shared_path
 
 SUBJECTS_SQL = """
@@ -133,3 +134,16 @@ def rounds_resumed(spark: SparkSession, d: str) -> DataFrame:
     folder = shared_path(spark, "rounds")
     rounds.extract(notes, "o_custkey", "o_orderkey", "text", Echo(), folder, most=1)
     return rounds.final_rows(rounds.extract(notes, "o_custkey", "o_orderkey", "text", Echo(), folder), "o_custkey")
+
+
+QUALIFY = """
+SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS place FROM {orders}
+WHERE o_orderstatus <> 'P' QUALIFY place <= 2 AND o_totalprice > avg(o_totalprice) OVER (PARTITION BY o_orderpriority)
+"""
+
+
+@query(QUALIFY.format(orders="orders"))
+def qualified_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The same statement in either dialect: QUALIFY over a window in the list and one in the condition."""
+    table(spark, d, "orders").createOrReplaceTempView("qualify_orders")
+    return spark.sql(translated(QUALIFY.format(orders="qualify_orders")))
