@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.catalogue import query, table
-from tessella.operators import codes, models_fit, rounds, survival
+from tessella.operators import codes, expression, models_fit, rounds, survival
 from tessella.plans.dialect import translated
 from tessella.session import shared_path
 
@@ -147,3 +147,27 @@ def qualified_windows(spark: SparkSession, d: str) -> DataFrame:
     """The same statement in either dialect: QUALIFY over a window in the list and one in the condition."""
     table(spark, d, "orders").createOrReplaceTempView("qualify_orders")
     return spark.sql(translated(QUALIFY.format(orders="qualify_orders")))
+
+
+@query("""
+WITH r AS (SELECT p_partkey, p_brand, p_size - 25 AS s, row_number() OVER (ORDER BY p_size - 25 DESC, p_partkey) AS k, count(*) OVER () AS n FROM part),
+b AS (SELECT DISTINCT p_brand FROM part),
+w AS (SELECT b.p_brand, r.k, CASE WHEN r.p_brand = b.p_brand THEN abs(s)::DOUBLE / sum(CASE WHEN r.p_brand = b.p_brand THEN abs(s) END) OVER v ELSE -1.0::DOUBLE / (n - count(*) FILTER (r.p_brand = b.p_brand) OVER v) END AS step, count(*) FILTER (r.p_brand = b.p_brand) OVER v AS size
+      FROM b, r WINDOW v AS (PARTITION BY b.p_brand)),
+u AS (SELECT p_brand, size, sum(step) OVER (PARTITION BY p_brand ORDER BY k) AS v FROM w)
+SELECT p_brand, size, round(CASE WHEN max(v) >= -min(v) THEN max(v) ELSE min(v) END, 6) AS enrichment FROM u GROUP BY 1, 2
+""")
+def gene_set_enrichment(spark: SparkSession, d: str) -> DataFrame:
+    """Brands as gene sets, parts as genes in the order of their size."""
+    part = table(spark, d, "part")
+    got = expression.enrichment(part.select("p_partkey", (F.col("p_size") - 25).alias("score")), part, "p_partkey", "score", "p_brand")
+    return got.withColumn("enrichment", F.round("enrichment", 6))
+
+
+@query()
+def moderated_expression(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as genes, suppliers in twelve samples, quantities as counts; plain Python holds it in the tests."""
+    lines = table(spark, d, "lineitem").groupBy((F.col("l_partkey") % 500).alias("gene"), (F.col("l_suppkey") % 12).alias("sample")).agg(F.sum("l_quantity").alias("count"))
+    grid = lines.select("gene").distinct().join(F.broadcast(spark.range(12).withColumnRenamed("id", "sample")))  # twelve rows
+    filled = grid.join(lines, ["gene", "sample"], "left").withColumn("count", F.coalesce("count", F.lit(0.0)))
+    return expression.moderated_t(filled, "gene", "sample", "count", F.col("sample") < 6)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import codes, models_fit, rounds, survival
+from tessella.operators import codes, expression, models_fit, rounds, survival
 from tessella.sources import extractions, tables
 
 
@@ -169,3 +169,60 @@ def test_the_last_line_over_several_files_wins(spark, tmp_path):
 def test_an_odd_tumour_number_ends_no_job(tumor):
     rows = list(extractions.consolidated_rows('{"patient_id": "p", "diagnoses": [{"tumor_index": %s, "site": "C50"}]}' % tumor, "p", {}))
     assert {r[3] for r in rows} == {2 if tumor == "2" else -1}
+
+
+def test_tails_of_t_and_gamma_derivatives():
+    for t, degrees, p in [(2.228138851964939, 10, 0.05), (12.706204736432095, 1, 0.05), (0.5, 3, 0.6514483), (1.959963984540054, math.inf, 0.05), (0.0, 5, 1.0), (-4.0, 2, 1 - 4 / math.sqrt(18)), (1.5, 1, 1 - 2 / math.pi * math.atan(1.5)), (7.0, 1, 1 - 2 / math.pi * math.atan(7))]:
+        assert math.isclose(expression.t_p(np.array([t]), degrees)[0], p, rel_tol=1e-4)
+    assert math.isclose(expression.digamma(1.0), -0.5772156649015329, rel_tol=1e-10) and math.isclose(expression.digamma(0.5, 1), math.pi**2 / 2, rel_tol=1e-10)
+    degrees, variance = expression.prior_of(math.log(2.0) + expression.digamma(2.0) - math.log(2.0) - expression.digamma(5.0) + math.log(5.0), expression.digamma(2.0, 1) + expression.digamma(5.0, 1), 4)
+    assert math.isclose(degrees, 10, rel_tol=1e-6) and math.isclose(variance, 2.0, rel_tol=1e-6)
+
+
+def test_moderated_t_against_plain_python(spark):
+    rng = np.random.default_rng(5)
+    genes, samples = 120, 8
+    level = rng.gamma(2, 60, genes)
+    counts = rng.poisson(np.outer(level, np.ones(samples)) * rng.gamma(8, 1 / 8, (genes, samples)) * np.where((np.arange(genes)[:, None] < 10) & (np.arange(samples) >= 4), 4, 1))
+    df = spark.createDataFrame([(g, s, int(counts[g, s])) for g in range(genes) for s in range(samples)], "g int, s int, c int")
+    got = {r["g"]: r for r in expression.moderated_t(df, "g", "s", "c", F.col("s") >= 4).collect()}
+    total = counts.sum(axis=0) + 1
+    y = np.log2((counts + 0.5) / total * 1e6)
+    side = np.arange(samples) >= 4
+
+    def fitted(w):
+        m = [np.sum(w[:, side == k] * y[:, side == k], axis=1) / w[:, side == k].sum(axis=1) for k in (False, True)]
+        return m, sum(np.sum(w[:, side == k] * (y[:, side == k] - m[int(k)][:, None]) ** 2, axis=1) for k in (False, True)) / (samples - 2)
+
+    m, variance = fitted(np.ones_like(y))
+    size = y.mean(axis=1) + np.log2(total).mean() - math.log2(1e6)
+    borders = sorted(set(spark.createDataFrame([(float(x),) for x in size], "x double").approxQuantile("x", [i / expression.TREND for i in range(1, expression.TREND)], 0.001)))
+    part = np.searchsorted(borders, size, side="left")
+    points = sorted((size[part == k].mean(), (variance[part == k] ** 0.25).mean()) for k in set(part))
+    expected = np.where(side, m[1][:, None], m[0][:, None]) + np.log2(total) - math.log2(1e6)
+    w = np.interp(expected, [x for x, _ in points], [v for _, v in points]) ** -4.0
+    m, variance = fitted(w)
+    before, usual = expression.prior_of(np.log(variance).mean(), np.log(variance).var(ddof=1), samples - 2)
+    shrunk = usual if math.isinf(before) else (before * usual + (samples - 2) * variance) / (before + samples - 2)
+    t = (m[1] - m[0]) / np.sqrt(shrunk * (1 / w[:, ~side].sum(axis=1) + 1 / w[:, side].sum(axis=1)))
+    assert np.allclose([got[g]["t"] for g in range(genes)], t, rtol=1e-6) and np.allclose([got[g]["log_fold"] for g in range(genes)], m[1] - m[0])
+    assert sum(got[g]["adjusted"] < 0.05 for g in range(10)) >= 8 and sum(got[g]["adjusted"] < 0.05 for g in range(10, genes)) <= 6
+
+
+def test_enrichment_against_plain_python(spark):
+    rng = random.Random(8)
+    genes = [(f"g{i}", float(rng.randint(-20, 20)) or 1.0) for i in range(200)]
+    order = [g for g, _ in sorted(genes, key=lambda r: (-r[1], r[0]))]
+    weight = dict(genes)
+    sets = {"top": order[:15], "bottom": order[-20:], "any": rng.sample(order, 30), "one": [order[40]], "none": ["x"], "all": order}
+    df = spark.createDataFrame([(k, g) for k, own in sets.items() for g in own], "name string, g string")
+    got = {r["name"]: r for r in expression.enrichment(spark.createDataFrame([*genes, ("null", None)], "g string, score double"), df, "g", "score", "name", draws=150).collect()}
+    assert set(got) == {"top", "bottom", "any", "one"}
+    for k in got:
+        at, path = 0.0, [0.0]
+        whole = sum(abs(weight[g]) for g in sets[k])
+        for g in order:
+            at += abs(weight[g]) / whole if g in sets[k] else -1 / (200 - len(sets[k]))
+            path.append(at)
+        assert math.isclose(got[k]["enrichment"], max(path) if max(path) >= -min(path) else min(path), abs_tol=1e-9)
+    assert got["top"]["p"] < 0.05 and got["bottom"]["p"] < 0.05 and got["top"]["enrichment"] > 0.9 > 0 > got["bottom"]["enrichment"]
