@@ -193,11 +193,12 @@ FROM scored LEFT JOIN placed ON placed.doc_id = scored.doc_id
 """
 
 
-#: Every string of 100 bytes with its first place; a byte goes if a repeated one starts at it or within 99 bytes before.
+#: Every string of 100 bytes, cut from parts of 500 places, with its first place; a byte goes if a repeated one starts at it or within 99 bytes before.
 OP12_SQL = f"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-b AS (SELECT doc_id, i, x[2 * i + 1:2 * i + 2] AS byte, md5(x[2 * i + 1:2 * (i + {suffixes.LENGTH})]) AS s, i + {suffixes.LENGTH} <= len(x) // 2 AS whole
-      FROM (SELECT doc_id, x, unnest(range(len(x) // 2)) AS i FROM d)),
+c AS (SELECT doc_id, len(x) // 2 AS n, p, x[2 * p + 1:2 * (p + 500 + {suffixes.LENGTH})] AS y FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2, 500)) AS p FROM d)),
+b AS (SELECT doc_id, p + i AS i, y[2 * i + 1:2 * i + 2] AS byte, md5_number(y[2 * i + 1:2 * (i + {suffixes.LENGTH})]) AS s, p + i + {suffixes.LENGTH} <= n AS whole
+      FROM (SELECT *, unnest(range(least(500, n - p))) AS i FROM c)),
 f AS (SELECT s, min((doc_id, i)) AS first FROM b WHERE whole GROUP BY s HAVING count(*) > 1),
 m AS (SELECT b.*, whole AND coalesce((doc_id, i) > first, false) AS later FROM b LEFT JOIN f USING (s)),
 g AS (SELECT doc_id, i, byte, coalesce(i - max(CASE WHEN later THEN i END) OVER (PARTITION BY doc_id ORDER BY i) < {suffixes.LENGTH}, false) AS gone FROM m),
