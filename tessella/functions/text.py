@@ -87,6 +87,27 @@ def accessions(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(c, F.lit(r"(GSE\d{4,8})"), 1))
 
 
+# What ids of data repositories look like; of two forms, those of the first come first.
+REPOSITORIES = {
+    "gse": (r"(GSE\d{4,8})",),
+    "zenodo": (r"zenodo\.org/record[s]?/(\d+)", r"10\.5281/zenodo\.(\d+)"),
+    "figshare": (r"figshare\.com/articles?/[^/]+/(\d+)", r"10\.\d+/m9\.figshare\.(\d+)"),
+    "dryad": (r"(10\.5061/dryad\.\w+)",),
+}
+
+
+def repository_ids(c: Column) -> Column:
+    """A struct of arrays: the distinct ids of each data repository that a text names, form by form in order of appearance."""
+    of = lambda forms: F.array_distinct(F.concat(*(F.regexp_extract_all(c, F.lit(form), 1) for form in forms)))
+    return F.struct(*(of(forms).alias(name) for name, forms in REPOSITORIES.items()))
+
+
+def names_data(ids: Column, supplements: Column | None = None) -> Column:
+    """Whether a paper shows any sign of data: an id of a repository, or a supplement."""
+    found = sum((F.size(ids[name]) for name in REPOSITORIES), F.lit(0)) > 0
+    return found if supplements is None else found | (F.size(supplements) > 0)
+
+
 def summary(c: Column) -> Column:
     """A model's answer without code fences and without a leading ``Summary:``."""
     bare = F.trim(F.regexp_replace(F.trim(c), r"(?s)\A```[^\n]*\n|\n```\s*\z", ""))

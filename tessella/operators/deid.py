@@ -224,6 +224,16 @@ def rewritten(df: DataFrame, column: str, flag: str, client: Callable[[str], str
     return df.withColumn(column, F.pandas_udf(calls, "string").asNondeterministic()(column, flag))
 
 
+#: Characters of a value that a reviewer sees.
+PREVIEW = 200
+
+
+def review_queue(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, column_name, preview): each value that still looks like it holds contact data, a record number or a name, for a human to read."""
+    long = df.select(key, *(F.col(f"`{c}`").cast("string").alias(c) for c in columns)).unpivot([key], columns, "column_name", "value")
+    return long.filter(text.needs_review(F.col("value"))).select(key, "column_name", F.substring("value", 1, PREVIEW).alias("preview"))
+
+
 def local_endpoint(url: str, allow_remote: bool = False) -> str:
     """Refuses model endpoints on other machines unless they are asked for."""
     if not allow_remote and urlparse(url).hostname not in ("localhost", "127.0.0.1", "::1"):

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.stats import five_numbers
+
 #: A share of missing values beyond which a column is flagged.
 MOST_MISSING = 0.3
 
@@ -70,3 +72,20 @@ def column_sets(a: DataFrame, b: DataFrame) -> DataFrame:
     left, right = {c.lower() for c in a.columns}, {c.lower() for c in b.columns}
     rows = [(c, "shared" if c in left and c in right else "first" if c in left else "second") for c in sorted(left | right)]
     return a.sparkSession.createDataFrame(rows, "column_name string, standing string")
+
+
+def value_counts(df: DataFrame, columns: list[str], most: int = 10) -> DataFrame:
+    """(column_name, value, n, pct): the most frequent values of each column, null among them, equal ones in order of the value."""
+    named = F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns))).alias("v")
+    counts = df.select(named).select("v.*").groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc_nulls_first("value")))
+    top = counts.withColumn("_rank", rank).filter(F.col("_rank") <= most).drop("_rank")
+    return top.withColumn("pct", 100 * F.col("n") / F.lit(max(1, df.count())))
+
+
+def column_report(df: DataFrame, numbers: list[str], others: list[str]) -> DataFrame:
+    """(column_name, n_missing, missing_pct, least, q1, median, q3, largest), one row a column; quartiles are exact, of numbers only."""
+    every = [*numbers, *others]
+    missing = df.agg(F.count("*").alias("_all"), *((F.count("*") - F.count(F.col(f"`{c}`"))).alias(c) for c in every)).unpivot(["_all"], every, "column_name", "n_missing")
+    spread = five_numbers(df, numbers).select("column_name", "least", "q1", "median", "q3", "largest")
+    return missing.join(spread, "column_name", "left").select("column_name", "n_missing", (100 * F.col("n_missing") / F.col("_all")).alias("missing_pct"), "least", "q1", "median", "q3", "largest")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tessella.catalogue import query, table
-from tessella.operators import codes, notes
+from tessella.functions import text
+from tessella.operators import codes, deid, derive, notes
 from tessella.session import shared_path
 from tessella.sources import tables
 from tessella.streaming import feeds
@@ -126,3 +127,58 @@ def stream_running_state(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events").select("user_id", "ts", "value")
     updates = _replayed(spark, events, lambda s: feeds.running_state(s, "user_id", "ts", "value"))
     return updates.groupBy("user_id").agg(F.max("n_events").alias("n_events"), F.round(F.max_by("total", "n_events"), 4).alias("total"))
+
+
+@query("""
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'GSE' || (10000 + p_partkey) ELSE '' END AS gse, CASE p_partkey % 4 WHEN 1 THEN p_partkey || ';' || (p_partkey + 1) ELSE '' END AS zenodo,
+       CASE p_partkey % 4 WHEN 2 THEN CAST(p_partkey AS VARCHAR) ELSE '' END AS figshare, CASE WHEN p_partkey % 8 = 3 THEN '10.5061/dryad.x' || p_partkey ELSE '' END AS dryad, p_partkey % 8 <> 7 AS has_data
+FROM part
+""")
+def repository_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of four data repositories, in either form, each once; a paper without any shows no data."""
+    k = F.col("p_partkey").cast("string")
+    said = (
+        F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("GSE"), (F.col("p_partkey") + 10_000).cast("string"), F.lit(", again GSE"), (F.col("p_partkey") + 10_000).cast("string")))
+        .when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("doi 10.5281/zenodo."), (F.col("p_partkey") + 1).cast("string"), F.lit(" and https://zenodo.org/records/"), k))
+        .when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("figshare.com/articles/dataset/"), k, F.lit(" or 10.6084/m9.figshare."), k))
+        .when(F.col("p_partkey") % 8 == 3, F.concat(F.lit("https://doi.org/10.5061/dryad.x"), k, F.lit("."))).otherwise("data on request")
+    )
+    ids = table(spark, d, "part").select("p_partkey", text.repository_ids(said).alias("ids"))
+    return ids.select("p_partkey", *(F.array_join(F.col("ids")[name], ";").alias(name) for name in text.REPOSITORIES), text.names_data(F.col("ids")).alias("has_data"))
+
+
+@query("""
+SELECT c_custkey, column_name, left(v, 200) AS preview FROM (
+  SELECT c_custkey, 'note' AS column_name, 'mail c' || c_custkey || '@example.org ' || repeat('x', 250) AS v FROM customer WHERE c_custkey % 3 = 0
+  UNION ALL SELECT c_custkey, 'remark', 'call 555-123-4567, Mrs. Smith' FROM customer WHERE c_custkey % 5 = 1)
+""")
+def review_queue(spark: SparkSession, d: str) -> DataFrame:
+    note = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("mail c"), "c_custkey", F.lit("@example.org "), F.repeat(F.lit("x"), F.lit(250)))).otherwise("nothing to see")
+    remark = F.when(F.col("c_custkey") % 5 == 1, "call 555-123-4567, Mrs. Smith").when(F.col("c_custkey") % 5 == 2, "stage 3 of 2020")
+    return deid.review_queue(table(spark, d, "customer").select("c_custkey", note.alias("note"), remark.alias("remark")), "c_custkey", ["note", "remark"])
+
+
+@query("""
+WITH j AS (SELECT l_quantity, CASE WHEN l_discount > 0 THEN l_discount END AS l_discount, CASE WHEN l_returnflag <> 'A' THEN l_returnflag END AS flag FROM lineitem),
+r AS (
+  SELECT 'l_quantity' AS column_name, count(*) - count(l_quantity) AS n_missing, count(*) AS n, min(l_quantity)::DOUBLE AS least, quantile_cont(l_quantity::DOUBLE, 0.25) AS q1, quantile_cont(l_quantity::DOUBLE, 0.5) AS median, quantile_cont(l_quantity::DOUBLE, 0.75) AS q3, max(l_quantity)::DOUBLE AS largest FROM j
+  UNION ALL SELECT 'l_discount', count(*) - count(l_discount), count(*), min(l_discount), quantile_cont(l_discount::DOUBLE, 0.25), quantile_cont(l_discount::DOUBLE, 0.5), quantile_cont(l_discount::DOUBLE, 0.75), max(l_discount) FROM j
+  UNION ALL SELECT 'flag', count(*) - count(flag), count(*), NULL, NULL, NULL, NULL, NULL FROM j)
+SELECT column_name, n_missing, round(100.0::DOUBLE * n_missing / n, 6) AS missing_pct, round(least, 6) AS least, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(largest, 6) AS largest FROM r
+""")
+def column_report(spark: SparkSession, d: str) -> DataFrame:
+    """Missing values of every column, quartiles of numbers."""
+    lines = table(spark, d, "lineitem").select("l_quantity", F.when(F.col("l_discount") > 0, F.col("l_discount")).alias("l_discount"), F.when(F.col("l_returnflag") != "A", F.col("l_returnflag")).alias("flag"))
+    got = derive.column_report(lines, ["l_quantity", "l_discount"], ["flag"])
+    return got.withColumns({c: F.round(c, 6) for c in ("missing_pct", "least", "q1", "median", "q3", "largest")})
+
+
+@query("""
+WITH j AS (SELECT CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END AS priority, CAST(o_custkey % 50 AS VARCHAR) AS ward FROM orders),
+c AS (SELECT 'priority' AS column_name, priority AS value, count(*) AS n FROM j GROUP BY 2 UNION ALL SELECT 'ward', ward, count(*) FROM j GROUP BY 2)
+SELECT column_name, value, n, round(100.0::DOUBLE * n / (SELECT count(*) FROM j), 6) AS pct FROM c QUALIFY row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value NULLS FIRST) <= 10
+""")
+def value_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most frequent values of each column, null among them."""
+    orders = table(spark, d, "orders").select(F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("priority"), (F.col("o_custkey") % 50).alias("ward"))
+    return derive.value_counts(orders, ["priority", "ward"]).withColumn("pct", F.round("pct", 6))

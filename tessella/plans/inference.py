@@ -168,6 +168,6 @@ def gene_set_enrichment(spark: SparkSession, d: str) -> DataFrame:
 def moderated_expression(spark: SparkSession, d: str) -> DataFrame:
     """Parts as genes, suppliers in twelve samples, quantities as counts; plain Python holds it in the tests."""
     lines = table(spark, d, "lineitem").groupBy((F.col("l_partkey") % 500).alias("gene"), (F.col("l_suppkey") % 12).alias("sample")).agg(F.sum("l_quantity").alias("count"))
-    grid = lines.select("gene").distinct().join(F.broadcast(spark.range(12).withColumnRenamed("id", "sample")))  # twelve rows
+    grid = lines.select("gene").distinct().withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("sample", F.col("sample").cast("long"))
     filled = grid.join(lines, ["gene", "sample"], "left").withColumn("count", F.coalesce("count", F.lit(0.0)))
     return expression.moderated_t(filled, "gene", "sample", "count", F.col("sample") < 6)
