@@ -4,7 +4,7 @@ import pytest
 
 from oracle import connection, same
 from tessella.catalogue import ORACLES, QUERIES
-from tessella.plans import clinical, derived, relational, rules  # noqa: F401
+from tessella.plans import clinical, derived, files, inference, relational, rules  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 INVARIANT = ("conf_merge_locking", "line_of_therapy", "cohort_ids", "km_curve", "asof_join", "code_resolve", "concat_notes", "manifest_extend")
@@ -16,10 +16,11 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(ORACLES)
+    # Iterated fits are held against brute force in test_inference.
+    assert set(QUERIES) - set(ORACLES) == {"cox_with_entry", "moderated_expression"} and set(ORACLES) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, con, name):
     same(spark, con, QUERIES[name], ORACLES[name], FOLDER)
 
