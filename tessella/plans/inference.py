@@ -171,3 +171,13 @@ def moderated_expression(spark: SparkSession, d: str) -> DataFrame:
     grid = lines.select("gene").distinct().withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("sample", F.col("sample").cast("long"))
     filled = grid.join(lines, ["gene", "sample"], "left").withColumn("count", F.coalesce("count", F.lit(0.0)))
     return expression.moderated_t(filled, "gene", "sample", "count", F.col("sample") < 6)
+
+
+QUANTILES = "SELECT l_returnflag, CAST(quantile_disc(l_quantity, 0.25) AS DOUBLE) AS q1, CAST(quantile_disc(round(l_extendedprice, 1), 0.9) AS DOUBLE) AS high FROM {lines} GROUP BY l_returnflag"
+
+
+@query(QUANTILES.format(lines="lineitem"))
+def discrete_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """The same statement in either dialect."""
+    table(spark, d, "lineitem").createOrReplaceTempView("quantile_lines")
+    return spark.sql(translated(QUANTILES.format(lines="quantile_lines")))
