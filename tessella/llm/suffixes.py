@@ -324,7 +324,9 @@ def _of_windows(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
         columns = [np.full(len(at), TaskContext.get().partitionId(), dtype=np.int32), later[at], side[at], first[at] == 0, *(x[at] for x in (h, b, doc, version, start))]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "later", "last", "opening", *_KEYS])
 
-    sorted_ = staged(rows.repartitionByRange(*_KEYS).mapInArrow(in_bucket, f"bucket int, later boolean, last int, opening boolean, {names}"), "sorted")
+    # As many ranges as the session shuffles into, or as keep a range to about BUCKET rows.
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // BUCKET + 1)
+    sorted_ = staged(rows.repartitionByRange(ranges, *_KEYS).mapInArrow(in_bucket, f"bucket int, later boolean, last int, opening boolean, {names}"), "sorted")
     # The first key of a bucket against the last of the one before: an equal one there is earlier, or the same place.
     before = sorted_.filter("last = 1").select((F.col("bucket") + 1).alias("bucket"), "h", "b", F.col("doc").alias("_doc"), F.col("start").alias("_start"))
     across = sorted_.filter("opening and not later").join(before, ["bucket", "h", "b"]).filter("doc != _doc or start != _start")
