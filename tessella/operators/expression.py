@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.operators.stats import adjusted_p, running
+from tessella.operators.models_fit import welch
+from tessella.operators.stats import adjusted_p, mann_whitney_z, running
 from tessella.session import written
 
 #: Ranges of mean log count in which the trend of the spread is averaged.
@@ -65,6 +66,18 @@ def t_p(t: np.ndarray, degrees: float) -> np.ndarray:
     return np.where(t == 0, 1.0, np.where(direct, tail(a, b, np.where(direct, x, 0.5)), 1 - tail(b, a, np.where(direct, 0.5, 1 - x))))
 
 
+def t_test(df: DataFrame, value: str, first_group: Column) -> dict[str, float]:
+    """Welch's t, its degrees of freedom and the two-sided p."""
+    t, degrees = welch(df, value, first_group).first()
+    return {"t": t, "degrees": degrees, "p": None if t is None or degrees is None else float(t_p(np.array([t]), degrees)[0])}
+
+
+def rank_test(df: DataFrame, value: str, first_group: Column) -> dict[str, float]:
+    """Mann-Whitney's U of the first group, its z with ties and a continuity of a half accounted for, and the two-sided p."""
+    row = mann_whitney_z(df, value, first_group).first()
+    return {"u": row["u"], "z": row["z"], "p": None if row["z"] is None else math.erfc(abs(row["z"]) / math.sqrt(2))}
+
+
 def log_counts(counts: DataFrame, gene: str, sample: str, count: str) -> DataFrame:
     """``counts`` with log_count: log2 of counts in a million, half a count added to each, one to each sample's total."""
     totals = counts.groupBy(sample).agg((F.sum(count) + 1).alias("_total"))

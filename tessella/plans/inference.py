@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.catalogue import query, table
-from tessella.operators import codes, expression, models_fit, rounds, survival
+from tessella.operators import codes, expression, models_fit, rounds, stats, survival
 from tessella.plans.dialect import translated
 from tessella.session import shared_path
 
@@ -181,3 +181,16 @@ def discrete_quantiles(spark: SparkSession, d: str) -> DataFrame:
     """The same statement in either dialect."""
     table(spark, d, "lineitem").createOrReplaceTempView("quantile_lines")
     return spark.sql(translated(QUANTILES.format(lines="quantile_lines")))
+
+
+@query("""
+WITH r AS (SELECT l_returnflag = 'R' AS g, l_quantity AS v, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS mid FROM lineitem),
+u AS (SELECT sum(mid) FILTER (g) - count(*) FILTER (g) * (count(*) FILTER (g) + 1) / 2 AS u, count(*) FILTER (g)::DOUBLE AS n1, count(*) FILTER (NOT g)::DOUBLE AS n2, count(*)::DOUBLE AS n FROM r),
+t AS (SELECT sum(pow(m, 3) - m) AS ties FROM (SELECT count(*)::DOUBLE AS m FROM lineitem GROUP BY l_quantity))
+SELECT round(u, 1) AS u, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2,
+       round(sign(u - n1 * n2 / 2) * greatest(abs(u - n1 * n2 / 2) - 0.5, 0) / sqrt(n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1)))), 6) AS z FROM u, t
+""")
+def rank_test_deviate(spark: SparkSession, d: str) -> DataFrame:
+    """Quantities of returned lines against all others, with many ties."""
+    got = stats.mann_whitney_z(table(spark, d, "lineitem"), "l_quantity", F.col("l_returnflag") == "R")
+    return got.select(F.round("u", 1).alias("u"), "n1", "n2", F.round("z", 6).alias("z"))

@@ -226,3 +226,23 @@ def test_enrichment_against_plain_python(spark):
             path.append(at)
         assert math.isclose(got[k]["enrichment"], max(path) if max(path) >= -min(path) else min(path), abs_tol=1e-9)
     assert got["top"]["p"] < 0.05 and got["bottom"]["p"] < 0.05 and got["top"]["enrichment"] > 0.9 > 0 > got["bottom"]["enrichment"]
+
+
+def test_p_of_two_groups(spark):
+    rng = random.Random(12)
+    rows = [(k < 30, float(rng.randint(0, 12) + (k < 30) * 2)) for k in range(70)]
+    df = spark.createDataFrame([*rows, (True, None)], "g boolean, v double")
+    a, b = ([v for g, v in rows if g == side] for side in (True, False))
+    u = sum((x > y) + (x == y) / 2 for x in a for y in b)
+    got = expression.rank_test(df, "v", F.col("g"))
+    assert got["u"] == u
+    draws = []
+    every = [v for _, v in rows]
+    for _ in range(4000):
+        rng.shuffle(every)
+        draws.append(abs(sum((x > y) + (x == y) / 2 for x in every[:30] for y in every[30:]) - 600) >= abs(u - 600))
+    assert abs(sum(draws) / 4000 - got["p"]) < 0.02 and 0 < got["p"] < 0.2
+    t = expression.t_test(df, "v", F.col("g"))
+    assert abs(t["p"] - got["p"]) < 0.06 and t["degrees"] > 50
+    same_value = spark.createDataFrame([(True, 1.0), (False, 1.0), (True, 1.0)], "g boolean, v double")
+    assert expression.rank_test(same_value, "v", F.col("g"))["p"] is None
