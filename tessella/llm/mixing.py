@@ -60,12 +60,12 @@ def poisson_steps(rate: Column) -> Column:
     ).otherwise(F.array(F.lit(1.0)))
     above = F.aggregate(F.sequence(mode + 1, last), start, lambda acc, k: on(acc, acc["p"] * rate / k), lambda acc: F.slice(acc["all"], 2, last))
     weights = F.concat(F.reverse(below), above)
-    total = F.aggregate(weights, F.lit(0.0), lambda acc, w: acc + w)
+    # The whole sum is known when all have been added: it divides them once, at the end.
     return F.aggregate(
         weights,
         F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("upto")),
-        lambda acc, w: F.struct((acc["sum"] + w / total).alias("sum"), F.array_append(acc["upto"], acc["sum"] + w / total).alias("upto")),
-        lambda acc: acc["upto"],
+        lambda acc, w: F.struct((acc["sum"] + w).alias("sum"), F.array_append(acc["upto"], acc["sum"] + w).alias("upto")),
+        lambda acc: F.transform(acc["upto"], lambda x: x / acc["sum"]),
     )
 
 
