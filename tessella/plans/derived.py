@@ -43,6 +43,35 @@ def gated_people_of_a_join(spark: SparkSession, d: str) -> DataFrame:
     return gate.answer(spark, asked, least=12, protected=("c_custkey",)).data
 
 
+ASOF = """
+SELECT p.event_id AS event_id, v.event_id AS seen, v.value AS value, e.event_id AS error FROM
+(SELECT p.event_id, p.user_id, p.ts, v.event_id AS seen FROM (SELECT * FROM {events} WHERE event_type = 'purchase') AS p
+ ASOF LEFT JOIN (SELECT * FROM {events} WHERE event_type = 'view') AS v ON p.user_id = v.user_id AND p.ts > v.ts) AS p
+ASOF LEFT JOIN (SELECT * FROM {events} WHERE event_type = 'error') AS e ON p.user_id = e.user_id AND p.ts <= e.ts
+LEFT JOIN {events} AS v ON v.event_id = p.seen
+"""
+
+
+@query(ASOF.format(events="events"))
+def asof_statement(spark: SparkSession, d: str) -> DataFrame:
+    """The same statement in either dialect: a purchase with the view before it and the error after it."""
+    table(spark, d, "events").createOrReplaceTempView("asof_events")
+    return spark.sql(translated(ASOF.format(events="asof_events")))
+
+
+@query("""
+SELECT day, CASE WHEN n < 12 THEN '<12' ELSE CAST(n AS VARCHAR) END AS n, CASE WHEN people >= 12 THEN top END AS top
+FROM (SELECT CAST(p.ts AS DATE) AS day, count(*) AS n, max(v.value) AS top, count(DISTINCT p.user_id) AS people
+      FROM (SELECT * FROM events WHERE event_type = 'purchase') AS p ASOF JOIN (SELECT * FROM events WHERE event_type = 'view') AS v ON p.user_id = v.user_id AND p.ts >= v.ts GROUP BY 1)
+""")
+def gated_asof(spark: SparkSession, d: str) -> DataFrame:
+    """ASOF JOIN behind the gate: the users behind a day are counted through the stream that the join is made of."""
+    table(spark, d, "events").createOrReplaceTempView("gate_events")
+    sides = "(SELECT * FROM gate_events WHERE event_type = 'purchase') AS p ASOF JOIN (SELECT * FROM gate_events WHERE event_type = 'view') AS v"
+    asked = f"SELECT CAST(p.ts AS DATE) AS day, count(*) AS n, max(v.value) AS top FROM {sides} ON p.user_id = v.user_id AND p.ts >= v.ts GROUP BY CAST(p.ts AS DATE)"
+    return gate.answer(spark, asked, least=12, protected=("user_id",)).data
+
+
 @query("""
 SELECT seg, month, CASE WHEN n < 40 THEN '<40' ELSE CAST(n AS VARCHAR) END AS n, CASE WHEN people >= 40 THEN high END AS high
 FROM (SELECT seg, month, count(*) AS n, max(most) AS high, max(people) AS people
