@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.catalogue import query, table
-from tessella.operators import codes, expression, models_fit, rounds, stats, survival
+from tessella.operators import codes, expression, graphs, models_fit, rounds, stats, survival
 from tessella.plans.dialect import translated
 from tessella.session import shared_path
 
@@ -194,3 +194,27 @@ def rank_test_deviate(spark: SparkSession, d: str) -> DataFrame:
     """Quantities of returned lines against all others, with many ties."""
     got = stats.mann_whitney_z(table(spark, d, "lineitem"), "l_quantity", F.col("l_returnflag") == "R")
     return got.select(F.round("u", 1).alias("u"), "n1", "n2", F.round("z", 6).alias("z"))
+
+
+@query("""
+WITH e AS (SELECT c_nationkey AS s, s_nationkey AS d, count(*)::DOUBLE AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
+a AS (SELECT s AS u, d AS v, w FROM e UNION ALL SELECT d, s, w FROM e),
+p AS (SELECT n.n_regionkey AS c, o.n_regionkey AS d, w FROM a JOIN nation n ON n.n_nationkey = u JOIN nation o ON o.n_nationkey = v),
+t AS (SELECT sum(w) AS total FROM p)
+SELECT c AS region, round(sum(CASE WHEN c = d THEN w ELSE 0 END) / any_value(total), 9) AS inside, round(sum(w) / any_value(total), 9) AS share,
+       round(sum(CASE WHEN c = d THEN w ELSE 0 END) / any_value(total) - pow(sum(w) / any_value(total), 2), 9) AS modularity FROM p, t GROUP BY 1
+""")
+def trade_between_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Nations tied by what their customers buy of their suppliers: how well regions divide that graph."""
+    lines = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    sold = lines.join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy("c_nationkey", "s_nationkey").agg(F.count("*").alias("n"))
+    members = table(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").alias("region"))
+    got = graphs.division(graphs.adjacency(sold, "c_nationkey", "s_nationkey", "n"), members, "n_nationkey", "region")
+    return got.select("region", *(F.round(c, 9).alias(c) for c in ("inside", "share", "modularity")))
+
+
+@query()
+def embedding_communities(spark: SparkSession, d: str) -> DataFrame:
+    """All embeddings as a graph of ten neighbours each, divided; brute force and planted groups hold it in the tests."""
+    near = graphs.neighbours(table(spark, d, "embeddings"), "vec_id", "embedding", 10)
+    return graphs.communities(graphs.adjacency(near, "src", "dst")).withColumnRenamed("node", "vec_id")
