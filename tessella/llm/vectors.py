@@ -3,12 +3,16 @@
 Exact copies are one class first. In each pass every class gets the signs of ``HASHES`` random projections, read
 as one number; classes of one length are ordered by it and by id, and each is compared with a window of those after it.
 The order is made by range partitions, counted, and cut into blocks of ``ROWS`` ranks or two windows, each with the first
-ranks of the next, so blocks are even and no window ends at a border. ``planned`` measures on a sample how far apart two
-vectors of cosine ``THRESHOLD`` stand, in the densest tenth of the table, and takes the window and as many passes as leave
-an expected ``MISS`` of such pairs there. A few passes are made at a time, each group a table of links, so the shuffled
-vectors of all passes never lie on disk together. Pairs with a cosine of at least ``THRESHOLD`` in double precision
-are united, first within a block and then over all passes. Inside a component, all classes are then compared, ``BLOCK`` x
-``BLOCK`` at a time, so the window caps no count of links; only counts leave those blocks, never pairs.
+ranks of the next, so blocks are even and no window ends at a border. ``plan`` is told how many classes of the whole table
+stand between two vectors of cosine ``THRESHOLD``, and takes the window and as many passes as leave an expected ``MISS`` of
+such pairs in the densest tenth. A few passes are made at a time, each group a table of links, so the shuffled vectors of
+all passes never lie on disk together. Pairs with a cosine of at least ``THRESHOLD`` in double precision are united, first
+within a block and then over all passes.
+
+What passes miss is found exactly: ``missed_links`` compares all classes that aren't yet in one component, so no link
+depends on hashes, windows or the plan, which only settle how much is left for it. Its work is quadratic in the classes.
+Inside a component, all classes are then compared, ``BLOCK`` x ``BLOCK`` at a time, so the window caps no count of links;
+only counts leave those blocks, never pairs.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components link with nothing; components may
 be as large or small as doubles are; vectors of different length don't link; rows that share a vec_id count as one
@@ -18,18 +22,20 @@ among the kept; extra columns are dropped.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from tessella.llm.components import components
-from tessella.llm.shared import share_by_hash, staged, with_groups
+from tessella.llm.shared import staged, with_groups
 
 THRESHOLD = 0.9
-#: Share of pairs at the threshold that passes may be expected to miss.
+#: Share of pairs at the threshold that passes may be expected to leave to ``missed_links``.
 MISS = 0.01
 #: Passes whose shuffled vectors lie on disk together.
 PASSES_AT_ONCE = 4
@@ -39,16 +45,18 @@ WINDOWS = (64, 256, 1024, 4096)
 WINDOW_NUMBERS = 1 << 20
 ROWS = 2048
 BLOCK = 1024
-#: Classes in the sample, probes among them and orders tried when passes are planned.
-SAMPLE, PROBES, TRIALS = 20_000, 400, 64
+#: Classes around which the whole table is counted, numbers in all of them and orders tried when passes are planned.
+PROBES, PROBE_NUMBERS, TRIALS = 400, 1 << 22, 64
+#: Classes and bytes in a part of those that are compared whole, and parts that classes alone ask for; tasks are pairs of parts.
+PART_ROWS, PART_BYTES, PARTS = 8192, 1 << 26, 256
 #: Microseconds to deal a row once and to compare it with one other.
 DEAL, COMPARE = 30.0, 0.005
 SEED = 5
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
+def _unit(vectors: pd.Series | np.ndarray) -> np.ndarray:
     """Unit vectors in double precision; squares neither overflow nor vanish."""
-    m = np.array(vectors.tolist(), dtype=np.float64)
+    m = np.array(vectors.tolist() if isinstance(vectors, pd.Series) else vectors, dtype=np.float64)
     m /= np.abs(m).max(axis=1, keepdims=True)
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
@@ -85,40 +93,44 @@ def _keys(unit: np.ndarray, planes: np.ndarray) -> np.ndarray:
     return (unit @ planes > 0).reshape(len(unit), -1, HASHES) @ power
 
 
-def chances(unit: np.ndarray, n: int, windows: list[int], least: float) -> np.ndarray:
-    """For each window the chance that one pass over n rows, of which ``unit`` is a sample, finds a pair of cosine
-    ``least`` in the densest tenth. Half of the trials tell what is dense, the others count."""
-    rng = np.random.default_rng([SEED, n, 1])
-    size, dim = unit.shape
-    probe = unit[rng.choice(size, min(PROBES, size), replace=False)]
-    aside = rng.normal(size=probe.shape)
+def partners(probe: np.ndarray, least: float) -> np.ndarray:
+    """For each row of ``probe`` a vector of cosine ``least``."""
+    aside = np.random.default_rng([SEED, probe.shape[1], 1]).normal(size=probe.shape)
     aside -= (aside * probe).sum(axis=1, keepdims=True) * probe
     aside /= np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), 1e-300)
-    partner = least * probe + np.sqrt(1 - least * least) * aside
-    apart = np.empty((len(probe), TRIALS))
+    return least * probe + np.sqrt(1 - least * least) * aside
+
+
+def between(unit: np.ndarray, probe: np.ndarray, partner: np.ndarray) -> np.ndarray:
+    """For each probe and trial the rows of ``unit`` that stand from the probe to its partner."""
+    apart = np.empty((len(probe), TRIALS), dtype=np.int64)
     for t in range(TRIALS):
-        planes = rng.normal(size=(dim, HASHES))
+        planes = np.random.default_rng([SEED, unit.shape[1], 2, t]).normal(size=(unit.shape[1], HASHES))
         order = np.sort(_keys(unit, planes)[:, 0])
         mine, other = _keys(probe, planes)[:, 0], _keys(partner, planes)[:, 0]
         # The partner stands outside the keys from its own side; equal keys are ordered by id, so all of them may lie between.
-        low, high = np.searchsorted(order, np.minimum(mine, other), "left"), np.searchsorted(order, np.maximum(mine, other), "right")
-        apart[:, t] = (high - low) * max(1.0, n / size)
-    dense = np.argsort(-np.log(apart[:, ::2] + 1).mean(axis=1), kind="stable")[: max(1, len(probe) // 10)]
+        apart[:, t] = np.searchsorted(order, np.maximum(mine, other), "right") - np.searchsorted(order, np.minimum(mine, other), "left")
+    return apart
+
+
+def chances(apart: np.ndarray, windows: list[int]) -> np.ndarray:
+    """For each window the chance that one pass finds a pair in the densest tenth of the probes, with ``apart`` rows
+    between them by trial. Half of the trials tell what is dense, the others count."""
+    dense = np.argsort(-np.log(apart[:, ::2] + 1).mean(axis=1), kind="stable")[: max(1, len(apart) // 10)]
     tried = apart[dense, 1::2]
     # One more trial that found nothing: a chance is never taken for more than was seen.
     return np.array([(tried <= w).sum() / (tried.size + 1) for w in windows])
 
 
-def planned(unit: np.ndarray, n: int, least: float = THRESHOLD, widest: int | None = None) -> tuple[int, int]:
-    """(passes, window) for n rows, of which ``unit`` is a sample, beside vectors of up to ``widest`` numbers."""
-    fitting = [w for w in WINDOWS if w * max(unit.shape[1], widest or 0) <= WINDOW_NUMBERS] or [WINDOWS[0]]
+def plan(apart: np.ndarray, n: int, widest: int) -> tuple[int, int]:
+    """(passes, window) for n rows, ``apart`` of them between probes and partners, beside vectors of up to ``widest`` numbers."""
+    fitting = [w for w in WINDOWS if w * widest <= WINDOW_NUMBERS] or [WINDOWS[0]]
     # No window needs to be more than one step beyond the number of rows.
     windows = fitting[: 1 + sum(w < n for w in fitting)]
     if windows[-1] >= n and n <= WINDOWS[0]:
         return 1, windows[-1]
     found = []
-    seen = chances(unit, n, windows, least)
-    for window, chance in zip(windows, seen):
+    for window, chance in zip(windows, chances(apart, windows)):
         if chance > 0 or window == windows[-1]:
             # Pairs differ in their chances, and their mean flatters: a quarter of MISS is planned for.
             passes = max(1, int(np.ceil(np.log(MISS / 4) / np.log1p(-max(chance, 1 / (PROBES * TRIALS))))))
@@ -126,16 +138,42 @@ def planned(unit: np.ndarray, n: int, least: float = THRESHOLD, widest: int | No
     return min(found)[1:]
 
 
-def found_links(classes: DataFrame) -> DataFrame:
-    """Spanning links (a, b) between ids of ``classes`` (id, vector, dim), as ``planned`` for a sample of them."""
-    n = classes.count()
-    sample = classes.filter(share_by_hash("id", 5, min(1.0, SAMPLE / max(n, 1)))).select("vector").limit(2 * SAMPLE).collect()
+def planned(unit: np.ndarray, n: int, least: float = THRESHOLD) -> tuple[int, int]:
+    """(passes, window) for n rows, all of them in ``unit``."""
+    probe = unit[np.random.default_rng([SEED, n, 1]).choice(len(unit), min(PROBES, len(unit)), replace=False)]
+    return plan(between(unit, probe, partners(probe, least)), n, unit.shape[1])
+
+
+def plans(classes: DataFrame, least: float = THRESHOLD) -> list[tuple[int, int]]:
+    """The ``plan`` of each length of vectors that has probes; what stands between them is counted over all ``classes``."""
+    sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    widest = max(sizes, default=1)
+    some = max(1, min(PROBES, PROBE_NUMBERS // widest))
     by_dim: dict[int, list] = {}
-    for r in sample:
+    for r in classes.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(some).select("vector").collect():
         by_dim.setdefault(len(r["vector"]), []).append(r["vector"])
-    widest = max(by_dim, default=1)
-    plans = [planned(_unit(pd.Series(v, dtype=object)), round(n * len(v) / len(sample)), widest=widest) for _, v in sorted(by_dim.items())]
-    passes, window = (max(x) for x in zip(*plans)) if plans else (1, WINDOWS[0])
+    probes = {dim: _unit(pd.Series(v, dtype=object)) for dim, v in by_dim.items() if sizes[dim] > WINDOWS[0]}
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for dim, part in pdf.groupby("dim"):
+                if dim in probes:
+                    sums[dim] = sums.get(dim, 0) + between(_unit(part["vector"]), probes[dim], partners(probes[dim], least))
+        for dim, apart in sums.items():
+            yield pd.DataFrame({"dim": dim, "at": np.arange(apart.size), "n": apart.ravel()})
+
+    apart = {dim: np.zeros(len(probe) * TRIALS, dtype=np.int64) for dim, probe in probes.items()}
+    if probes:  # PROBES x TRIALS numbers in all
+        for dim, part in classes.select("vector", "dim").mapInPandas(counted, "dim int, at int, n long").groupBy("dim", "at").agg(F.sum("n").alias("n")).toPandas().groupby("dim"):
+            apart[dim][part["at"]] = part["n"]
+    small = [(1, WINDOWS[0])] if len(probes) < len(by_dim) else []
+    return small + [plan(counts.reshape(-1, TRIALS), sizes[dim], widest) for dim, counts in sorted(apart.items())]
+
+
+def found_links(classes: DataFrame) -> DataFrame:
+    """Spanning links (a, b) between ids of ``classes`` (id, vector, dim), found by as many passes as ``plans`` ask for."""
+    passes, window = (max(x) for x in zip(*plans(classes) or [(1, WINDOWS[0])]))
     found = None
     for first in range(0, passes, PASSES_AT_ONCE):
         some = staged(links(classes, range(first, min(first + PASSES_AT_ONCE, passes)), window), "found")
@@ -190,6 +228,70 @@ def links(classes: DataFrame, passes: range, window: int, least: float = THRESHO
     return dealt.join(classes.select("id", "vector", "dim"), "id").groupBy("pass", "block").applyInPandas(compared, "a long, b long")
 
 
+def unlike_pairs(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Linked rows (i, j) of the unit vectors a and b that aren't of one component. Single precision rules out, double decides."""
+    if of_a.min() == of_a.max() == of_b.min() == of_b.max():
+        return (np.zeros(0, dtype=np.int64),) * 2
+    found = [(np.zeros(0, dtype=np.int64),) * 2]
+    # Rounding of both vectors, of products and sums, twice over.
+    sure = least - (a.shape[1] + 4) * 2.0**-23
+    quick_a, quick_b = a.astype(np.float32), b.astype(np.float32).T
+    for at in range(0, len(a), 512):
+        cosines = quick_a[at : at + 512] @ quick_b
+        rows = np.flatnonzero(cosines.max(axis=1) >= sure) + at
+        if len(rows):
+            i, j = np.nonzero((cosines[rows - at] >= sure) & (of_a[rows, None] != of_b))
+            some = max(1, WINDOW_NUMBERS // a.shape[1])
+            for cut in range(0, len(i), some):
+                x, y = rows[i[cut : cut + some]], j[cut : cut + some]
+                near = np.einsum("ij,ij->i", a[x], b[y]) >= least
+                found.append((x[near], y[near]))
+    i, j = (np.concatenate(x) for x in zip(*found))
+    return i, j
+
+
+def missed_links(classes: DataFrame, joined: DataFrame, least: float = THRESHOLD) -> DataFrame:
+    """Spanning links (a, b) between the components of ``joined`` (component, id), a class without one being its own, from
+    all pairs of ``classes`` (id, vector, dim).
+
+    Classes are packed into blocks, and pairs of parts of that table are its tasks: it is read, not shuffled, and a block of
+    any density is one of many. Only links between components leave a task.
+    """
+    n, numbers = classes.agg(F.count("*"), F.coalesce(F.sum(F.col("dim").cast("long")), F.lit(0))).first()
+    parts = max(1, min(math.ceil(n / PART_ROWS), PARTS), math.ceil(8 * numbers / PART_BYTES))
+    kind = np.float32 if isinstance(classes.schema["vector"].dataType.elementType, FloatType) else np.float64
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for dim, part in pdf.groupby("dim"):
+                rows = max(1, min(ROWS, WINDOW_NUMBERS // dim))
+                for at in range(0, len(part), rows):
+                    block = part.iloc[at : at + rows]
+                    yield pd.DataFrame({"dim": [dim], "components": [block["component"].to_numpy(np.int64).tobytes()], "numbers": [np.array(block["vector"].tolist(), dtype=kind).tobytes()]})
+
+    named = classes.join(joined, "id", "left").select("id", "vector", "dim", F.coalesce("component", "id").alias("component"))
+    order = ["dim", "component", "id"]
+    # Fewer parts than ranges, where the cluster asks for more ranges: blocks are filled.
+    ranged = named.repartitionByRange(parts, *order).coalesce(parts).sortWithinPartitions(*order)
+    blocks = staged(ranged.mapInPandas(packed, "dim int, components binary, numbers binary").withColumn("block", F.monotonically_increasing_id()), "blocks")
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for dim, *sides in zip(pdf["dim"], pdf["components"], pdf["other_components"], pdf["numbers"], pdf["other_numbers"]):
+                of_a, of_b = (np.frombuffer(x, dtype=np.int64) for x in sides[:2])
+                a, b = (_unit(np.frombuffer(x, dtype=kind).reshape(-1, dim)) for x in sides[2:])
+                i, j = unlike_pairs(a, b, of_a, of_b, least)
+                if len(i):
+                    ids, at = np.unique(np.concatenate([of_a[i], of_b[j]]), return_inverse=True)
+                    root = roots(len(ids), at[: len(i)], at[len(i) :])
+                    tied = np.flatnonzero(root != np.arange(len(ids)))
+                    yield pd.DataFrame({"a": ids[tied], "b": ids[root[tied]]})
+
+    others = blocks.select(F.col("dim").alias("other_dim"), F.col("block").alias("other_block"), F.col("components").alias("other_components"), F.col("numbers").alias("other_numbers"))
+    pairs = blocks.hint("shuffle_replicate_nl").join(others, (F.col("dim") == F.col("other_dim")) & (F.col("block") <= F.col("other_block")))
+    return pairs.select("dim", "components", "other_components", "numbers", "other_numbers").mapInPandas(compared, "a long, b long")
+
+
 def linked_counts(members: DataFrame, least: float = THRESHOLD) -> DataFrame:
     """(id, n_linked): for each class of ``members`` (component, id, vector, copies) the copies of those it links with."""
     sizes = staged(members.groupBy("component").agg(F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK).cast("int").alias("pieces")), "sizes")
@@ -230,7 +332,11 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
     rows = staged(rows.withColumn("sound", F.coalesce(sound, F.lit(False))), "vectors")
     good = rows.filter("sound").select("vec_id", "vector")
     classes = staged(good.groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")).withColumn("dim", F.size("vector")), "classes")
-    joined = staged(components(found_links(classes), "a", "b").withColumnRenamed("node", "id"), "joined")
+    found = found_links(classes)
+    joined = staged(components(found, "a", "b").withColumnRenamed("node", "id"), "joined")
+    missed = staged(missed_links(classes, joined), "missed")
+    if not missed.isEmpty():
+        joined = staged(components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(missed), "a", "b").withColumnRenamed("node", "id"), "joined")
     members = joined.join(classes, "id").select("component", "id", "vector", "copies")
     counts = joined.join(linked_counts(members), "id")
     linked = F.col("copies") - 1 + F.coalesce("n_linked", F.lit(0))

@@ -274,3 +274,46 @@ def test_vectors_of_many_lengths_share_the_passes(spark):
     want = brute_force(rows)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(df).collect()} == want
+
+
+@pytest.mark.parametrize(("rows", "part"), [(2048, 8192), (100, 700)])
+def test_no_link_depends_on_the_plan(spark, monkeypatch, rows, part):
+    for name, value in (("WINDOWS", (64,)), ("MISS", 0.9), ("ROWS", rows)):
+        monkeypatch.setattr(vectors, name, value)
+    monkeypatch.setattr(vectors, "PART_ROWS", part, raising=False)
+    m, _ = cone_with_pairs(2000, 300)
+    data = [(i, v) for i, v in enumerate(m.tolist())] + [(9000 + i, [3 * x for x in v[:40]]) for i, v in enumerate(m[:900].tolist())] + [(9900, m[7].tolist())]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(df).collect()} == brute_force(data)
+
+
+def test_single_precision_loses_no_pair():
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=(1500, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    aside = rng.normal(size=a.shape)
+    aside -= (aside * a).sum(axis=1, keepdims=True) * a
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    c = 0.9 + rng.choice([-1e-9, 1e-9, -1e-6, 1e-6], size=(len(a), 1))
+    b = c * a + np.sqrt(1 - c * c) * aside
+    of_a, of_b = np.arange(1500), np.arange(1500, 3000)
+    of_b[:200] = of_a[:200]
+    want = {(i, j) for i, j in zip(*np.nonzero(a @ b.T >= 0.9)) if of_a[i] != of_b[j]}
+    assert {(i, j) for i, j in zip(*vectors.unlike_pairs(a, b, of_a, of_b, 0.9))} == want and 600 < len(want) < 700
+    assert not len(vectors.unlike_pairs(a, a, 0 * of_a, 0 * of_a, 0.9)[0])
+
+
+def test_passes_are_planned_by_the_whole_table(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "PROBES", 50)
+    m, _ = cone_with_pairs(3000, 10)
+    rows = list(enumerate(m.tolist())) + [(5000 + i, v[:30]) for i, v in enumerate(m[1000:2500].tolist())] + [(7000, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "id long, vector array<double>").withColumn("dim", F.size("vector")).repartition(7)
+    probe = {}
+    for r in df.orderBy(F.xxhash64("id", F.lit(vectors.SEED)), "id").limit(50).collect():
+        probe.setdefault(r["dim"], []).append(r["vector"])
+    want = []
+    for dim in (30, 64):
+        unit, p = (vectors._unit(np.array(x)) for x in ([v for _, v in rows if len(v) == dim], probe[dim]))
+        want.append(vectors.plan(vectors.between(unit, p, vectors.partners(p, 0.9)), len(unit), 64))
+    assert vectors.plans(df) == want
+    assert vectors.plans(df.limit(0)) == []
