@@ -100,55 +100,105 @@ def similarity(a: str, b: str) -> float:
     return 100 * max(partial_ratio(a, b), tokens) * (0.6 if told and known and not told & known else 1.0)
 
 
-#: Letters of a gram, and rows of one gram on the left that one task gets, about.
-GRAM, SPLIT = 2, 20_000
+#: Rows of one key on the left that one task gets, about, and frequent keys that are broadcast, at most.
+SPLIT, FREQUENT = 20_000, 10_000
+#: Substrings of the texts looked for that are broadcast, at most, and letters in them and their texts; more are joined by shuffle.
+LOOKED_FOR, LETTERS = 100_000, 4_000_000
+#: Texts that a task cuts into pieces, about.
+TEXTS = 50_000
+#: Share of the longer text that must be left; below it pieces become so short that they tell nothing.
+LEAST_ALIKE = 2 / 3
 #: Texts this like a description are compared with it though they share no word.
 SPELT_ALIKE = 70.0
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, split: int = SPLIT) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, split: int | None = None) -> DataFrame:
     """An inner join by ``key`` in which a frequent key is split: its left rows are dealt by ``spread``, its right rows repeated.
 
-    A key with n rows on the left has one part for every ``split`` of them, so no common word or gram fills a task.
+    A key with n rows on the left has one part for every ``split`` of them, so no common word or piece fills a task. Nothing is
+    broadcast by Spark's estimate, which knows the size of a table but not that of the rows made of it; frequent keys are, by their count.
     """
-    parts = left.groupBy(key).agg(F.ceil(F.count("*") / split).cast("int").alias("_parts"))
-    dealt = left.join(parts, key).withColumn("_part", F.pmod(F.xxhash64(spread), F.col("_parts")).cast("int")).drop("_parts")
-    repeated = right.join(parts, key).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
-    return dealt.join(repeated, [key, "_part"]).drop("_part")
+    split = split or SPLIT
+    often = written(left.groupBy(key).agg(F.ceil(F.count("*") / split).cast("int").alias("_parts")).filter("_parts > 1"), "frequent")
+    often = F.broadcast(often) if often.count() <= FREQUENT else often.hint("merge")
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = left.join(often, key, "left").withColumn("_part", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("_parts")
+    repeated = right.join(often, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(repeated.hint("merge"), [key, "_part"]).drop("_part")
 
 
-def grams(text: Column) -> Column:
-    """The padded grams of a text, each with how often it has stood before, so equal ones stay apart."""
-    padded = F.concat(F.lit("\u0001" * (GRAM - 1)), text, F.lit("\u0001" * (GRAM - 1)))
-    every = F.transform(F.sequence(F.lit(1), F.length(text) + GRAM - 1), lambda i: F.substr(padded, i, F.lit(GRAM)))
-    return F.transform(every, lambda g, i: F.concat(g, F.size(F.filter(F.slice(every, 1, i), lambda x: x == g)).cast("string")))
+def edits(longer: Column, c: float) -> Column:
+    """How many edits two texts may be apart, if the longer has so many letters."""
+    return F.floor((1 - c) * longer + 1e-6).cast("int")
+
+
+def longest(n: Column, c: float) -> Column:
+    return F.floor((n + 1e-6) / c).cast("int")
+
+
+def pieces(df: DataFrame, t: str, c: float) -> DataFrame:
+    """(t, n, g, place, at): each text cut into one piece more than the edits that a text as long at most may be apart, and again for those of longer ones.
+
+    ``g`` is the piece after a mark of its cut, ``place`` its number, ``at`` where it starts; all count from 0.
+    """
+
+    def cut(mark: str, m: Column) -> Column:
+        start = lambda i: F.floor(i * F.col("n") / m).cast("int")
+        piece = lambda i: F.concat(F.lit(mark), F.substr(t, start(i) + 1, start(i + 1) - start(i)))
+        return F.transform(F.sequence(F.lit(0), m - 1), lambda i: F.struct(piece(i).alias("g"), i.alias("place"), start(i).alias("at")))
+
+    rows = df.select(t, F.length(t).alias("n")).select(t, "n", (edits(F.col("n"), c) + 1).alias("m"), (edits(longest(F.col("n"), c), c) + 1).alias("more"))
+    every = F.when(F.col("more") > F.col("m"), F.concat(cut("=", F.col("m")), cut(">", F.col("more")))).otherwise(cut("=", F.col("m")))
+    return rows.select(t, "n", F.inline(every))
+
+
+def substrings(df: DataFrame, t: str, c: float) -> DataFrame:
+    """(t, size, g, start): of each text all substrings as long as a piece of a text that may be like it, by the cuts of ``pieces``."""
+    size = F.col("size")
+    lengths = lambda n, m: F.array(F.floor(n / m).cast("int"), F.ceil(n / m).cast("int"))
+    # Lengths that a text like this one may have, by the cut that such a pair is found by.
+    others = F.sequence(F.ceil(size * c - 1e-6).cast("int"), longest(size, c))
+    same = F.filter(others, lambda n: edits(F.greatest(n, size), c) == edits(n, c))
+    more = F.filter(others, lambda n: edits(F.greatest(n, size), c) > edits(n, c))
+    by_cut = F.array(
+        F.struct(F.lit("=").alias("mark"), F.array_distinct(F.flatten(F.transform(same, lambda n: lengths(n, edits(n, c) + 1)))).alias("ks")),
+        F.struct(F.lit(">").alias("mark"), F.array_distinct(F.flatten(F.transform(more, lambda n: lengths(n, edits(longest(n, c), c) + 1)))).alias("ks")),
+    )
+    rows = df.select(t, F.length(t).alias("size")).select(t, "size", F.inline(by_cut)).select(t, "size", "mark", F.explode("ks").alias("k")).filter("k <= size")
+    return rows.select(t, "size", "mark", "k", F.explode(F.sequence(F.lit(0), size - F.col("k"))).alias("start")).select(
+        t, "size", "start", F.concat("mark", F.substr(t, F.col("start") + 1, F.col("k"))).alias("g")
+    )
 
 
 def alike(values: DataFrame, table: DataFrame, value: str, other: str, cutoff: float = 75.0) -> DataFrame:
     """(value, other, score): all pairs of distinct texts whose edit distance leaves ``cutoff`` percent of the longer one, or more.
 
-    Complete, without comparing all pairs: k edits destroy at most GRAM * k grams, so of two texts that close one of the
-    GRAM * k + 1 rarest grams of either is shared. Those are an inverted index; candidates that differ too much in length are
-    left out, and the rest is settled by the edit distance itself. The cut-off must lie above GRAM / (GRAM + 1), below which texts may
-    share no gram. Null and empty texts are like nothing.
+    Complete, without comparing all pairs: a text is cut into more pieces than there may be edits, so one piece stands unchanged in
+    any text that close. Of the pieces that do, one has exactly as many edits before it as pieces, and what is left of them behind it, which
+    bounds where it may have moved to. Pieces and substrings of a length meet by an index, and the rest is settled by the edit distance itself.
+    Few substrings are broadcast, by their count; more are joined by shuffle. The cut-off must lie above two thirds, below which pieces
+    are single letters. Null and empty texts are like nothing.
     """
     c = cutoff / 100
-    if not GRAM / (GRAM + 1) < c <= 1:
-        raise ValueError(f"the cut-off lies above {100 * GRAM / (GRAM + 1):.0f} and is 100 at most")
+    if not LEAST_ALIKE < c <= 1:
+        raise ValueError(f"the cut-off lies above {100 * LEAST_ALIKE:.0f} and is 100 at most")
     left = written(values.select(F.col(value).alias("a")).filter("a <> ''").distinct(), "values")
     right = written(table.select(F.col(other).alias("b")).filter("b <> ''").distinct(), "others")
-    long = lambda df, t: df.select(t, F.explode(grams(F.col(t))).alias("g"))
-    frequency = written(long(left, "a").select("g").unionByName(long(right, "b").select("g")).groupBy("g").agg(F.count("*").alias("n")), "grams")
-
-    def prefix(df: DataFrame, t: str) -> DataFrame:
-        kept = GRAM * F.floor((1 - c) / c * F.length(t) + 1e-9) + 1
-        rows = salted_join(long(df, t), frequency, "g", t).groupBy(t).agg(F.sort_array(F.collect_list(F.struct("n", "g"))).alias("every"))
-        return rows.select(t, F.explode(F.slice("every", F.lit(1), kept.cast("int"))["g"]).alias("g"))
-
-    near = (F.length("a") * c <= F.length("b") + 1e-9) & (F.length("b") * c <= F.length("a") + 1e-9)
-    pairs = salted_join(prefix(left, "a"), prefix(right, "b"), "g", "a").filter(near).select("a", "b").distinct()
+    (_, left_size), (_, right_size) = sides = [df.select(F.count("*"), F.coalesce(F.sum(F.length(t)), F.lit(0))).first() for df, t in ((left, "a"), (right, "b"))]
+    # A text has fewer pieces than substrings, so the larger side is cut.
+    swapped = right_size > left_size
+    (whole, t), (known, u) = ((right, "b"), (left, "a")) if swapped else ((left, "a"), (right, "b"))
+    cut = pieces(whole.repartition(max(1, -(-sides[swapped][0] // TEXTS)), t), t, c)
+    sought = substrings(known, u, c)
+    size = sides[not swapped][0] <= LOOKED_FOR and sought.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(u) + F.length("g")), F.lit(0)).alias("letters")).first()
+    met = cut.join(F.broadcast(sought), "g") if size and size["n"] <= LOOKED_FOR and size["letters"] <= LETTERS else salted_join(cut, sought, "g", t)
+    most, moved = edits(F.greatest("n", "size"), c), F.col("start") - F.col("at")
+    placed = (F.abs(moved) <= F.col("place")) & (F.abs(moved - (F.col("size") - F.col("n"))) <= most - F.col("place"))
+    right_cut = F.col("g").startswith("=") == (most == edits(F.col("n"), c))
     score = 100 * (1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b")))
-    return pairs.withColumn("score", score).filter(F.col("score") >= cutoff - 1e-9).select(F.col("a").alias(value), F.col("b").alias(other), "score")
+    # One condition, so the distance is worked out last; conditions of their own would be put in front.
+    close = met.withColumn("most", most).filter(placed & right_cut & F.expr("levenshtein(a, b, most) >= 0") & (score >= cutoff - 1e-9))
+    return close.select("a", "b").distinct().select(F.col("a").alias(value), F.col("b").alias(other), score.alias("score"))
 
 
 @F.pandas_udf(DoubleType())
@@ -160,7 +210,7 @@ def fuzzy_top(values: DataFrame, table: DataFrame, value: str, limit: int = 5, c
     """(value, code, score): best codes for each distinct value among descriptions that share a telling word with it, or are spelt alike.
 
     Boilerplate doesn't bring two texts together, unless a text holds nothing else. Misspelt texts that share no word are
-    found by their grams, completely from ``SPELT_ALIKE`` percent on.
+    found by their pieces, completely from ``SPELT_ALIKE`` percent on.
     """
 
     def words(text: str):

@@ -106,6 +106,52 @@ def test_alike_texts_are_all_found(spark, monkeypatch, cutoff):
         codes.alike(spark.createDataFrame([("a",)], "v string"), spark.createDataFrame([("a",)], "k string"), "v", "k", 60.0)
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_alike_texts_meet_by_broadcast_and_by_shuffle(spark, monkeypatch, few):
+    monkeypatch.setattr(codes, "SPLIT", 5)
+    monkeypatch.setattr(codes, "FREQUENT", 3)
+    monkeypatch.setattr(codes, "LOOKED_FOR", 100_000 if few else 0)
+    rng = random.Random(11)
+    known = ["".join(rng.choice("abcé ") for _ in range(rng.randint(1, 34))) for _ in range(80)] + ["aaaaaaaa", "aaaa"]
+
+    def moved(t):
+        t = list(t)
+        for _ in range(rng.randint(0, max(2, len(t) // 4))):
+            at = rng.randint(0, len(t))
+            t[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "xb"])
+        return "".join(t)
+
+    values = [moved(rng.choice(known)) for _ in range(160)]
+    v, k = spark.createDataFrame([(v,) for v in values], "v string"), spark.createDataFrame([(k,) for k in known], "k string")
+    for cutoff, turned in ((66.7, False), (66.7, True), (75.0, True), (90.0, False)):
+        got = (codes.alike(k, v, "k", "v", cutoff) if turned else codes.alike(v, k, "v", "k", cutoff)).collect()
+        score = {(v, k): 100 * (1 - distance(v, k) / max(len(v), len(k))) for v in set(values) - {""} for k in set(known)}
+        want = {pair: s for pair, s in score.items() if s >= cutoff - 1e-9}
+        assert {(r["v"], r["k"]) for r in got} == set(want) and len(got) == len(want) > 30
+        assert all(math.isclose(r["score"], want[r["v"], r["k"]]) for r in got)
+
+
+def broadcast_rows(plan):
+    """Rows of all broadcasts in a plan that has run."""
+    kind = plan.nodeName()
+    if kind == "AdaptiveSparkPlan":
+        return broadcast_rows(plan.executedPlan())
+    if kind.endswith("QueryStage"):
+        return broadcast_rows(plan.plan())
+    own = plan.metrics().apply("numOutputRows").value() if kind == "BroadcastExchange" else 0
+    return own + sum(broadcast_rows(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+@pytest.mark.parametrize("known", [10, 4_000])
+def test_alike_broadcasts_few_rows_though_files_are_small(spark, known):
+    """A file of words is small, what is made of them isn't; joined by the estimate for the file, the driver collected it all."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(8, 12))) for _ in range(20_000)]
+    got = codes.alike(spark.createDataFrame([(w,) for w in words], "v string"), spark.createDataFrame([(w[1:],) for w in words[:known]], "k string"), "v", "k", 75.0)
+    assert {(r["v"], r["k"]) for r in got.collect()} >= {(w, w[1:]) for w in words[:known]}
+    assert broadcast_rows(got._jdf.queryExecution().executedPlan()) <= 100_000
+
+
 def test_a_misspelt_name_of_one_word_is_found(spark):
     table = spark.createDataFrame([("D47.0", "Mastocytosis"), ("C50.9", "Malignant neoplasm of breast"), ("C34.9", "Malignant neoplasm of lung")], "code string, description string")
     got = codes.fuzzy_top(spark.createDataFrame([("mastocitosis",), ("brest cancer",), ("breast",)], "v string"), table, "v", cutoff=50).collect()
